@@ -4,15 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dosewell.llm import mixture, packing, tokens, urls
+from dosewell.llm import exact, langid, licenses, mixture, packing, tokens, urls
 from dosewell.llm.common import table
 
 
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urls.filter_urls(pages, urls.page_outcomes(pages, table(spark, sf_dir, "labels")))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -25,7 +33,11 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_url_filter, op6_token_counts, op7_best_fit_packing, op8_mix_sources)}
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_url_filter, op4_license_scan, op6_token_counts, op7_best_fit_packing, op8_mix_sources, op9_language_id)}
 
 #: Queries that SQL can express over whole tables; the others are tested against brute force.
-ORACLE_SQL = {"op3_url_filter": urls.ORACLE, "op8_mix_sources": mixture.ORACLE}
+ORACLE_SQL = {"op2_exact_dedup": exact.ORACLE, "op3_url_filter": urls.ORACLE, "op8_mix_sources": mixture.ORACLE}
