@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dosewell.llm import exact, langid, licenses, mixture, packing, tokens, urls
+from dosewell.llm import ann, exact, langid, licenses, mixture, neardup, packing, tokens, urls
 from dosewell.llm.common import table
 
 
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -21,6 +25,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -37,7 +45,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_url_filter, op4_license_scan, op6_token_counts, op7_best_fit_packing, op8_mix_sources, op9_language_id)}
+QUERIES = {f.__name__: f for f in (op1_nearest_neighbours, op2_exact_dedup, op3_url_filter, op4_license_scan, op5_near_dedup, op6_token_counts, op7_best_fit_packing, op8_mix_sources, op9_language_id)}
 
 #: Queries that SQL can express over whole tables; the others are tested against brute force.
 ORACLE_SQL = {"op2_exact_dedup": exact.ORACLE, "op3_url_filter": urls.ORACLE, "op8_mix_sources": mixture.ORACLE}
