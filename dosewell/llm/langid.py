@@ -144,6 +144,49 @@ def _decide(names: list[str], machines: list, margins: dict, rows: int) -> tuple
     return best, least[np.arange(rows), best]
 
 
+class Predictor:
+    """Scores batches of texts with a trained model; made once for a task."""
+
+    def __init__(self, model: dict):
+        self.families = model["families"]
+        self.keys = [(a, b) for a, b, _ in model["machines"]]
+        weights = np.array([w for _, _, w in model["machines"]]).reshape(len(self.keys), FEATURES + 1)
+        self.linear, self.bias = weights[:, :-1].T.astype(np.float32), weights[:, -1]
+        self.names = sorted(self.families)
+
+    def __call__(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
+        """(language, score) of each text."""
+        x, off = _lowered(column)
+        langs, scores = [], [np.zeros(0)]
+        for i, j in groups(off):
+            for lo in range(i, j, 256):
+                hi = min(lo + 256, j)
+                lang, score = self._some(x[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+                langs += lang
+                scores.append(score)
+        return langs, np.concatenate(scores)
+
+    def _some(self, x: np.ndarray, at: np.ndarray) -> tuple[list[str], np.ndarray]:
+        rows = len(at) - 1
+        plain = np.concatenate(([0], np.cumsum((x >= 97) & (x <= 122))))
+        letters = plain[at[1:]] > plain[at[:-1]]
+        for k in np.flatnonzero(~letters & (at[1:] > at[:-1])).tolist():
+            letters[k] = any(c.isalpha() for c in x[at[k] : at[k + 1]].tobytes().decode("utf-8", "replace"))
+        value = _unit(_counts(x, at)) @ self.linear + self.bias if self.keys else np.zeros((rows, 0))
+        margins = {k: value[:, n] for n, k in enumerate(self.keys)}
+        lang, least = np.full(rows, "und", object), np.zeros(rows)
+        if self.names:
+            top, m = _decide(self.names, [k for k in self.keys if k[0] in self.families], margins, rows)
+            for f, family in enumerate(self.names):
+                codes = self.families[family]
+                best, own = _decide(codes, [k for k in self.keys if k[0] in codes], margins, rows)
+                mine = letters & (top == f)
+                lang[mine] = np.array(codes, object)[best[mine]]
+                least[mine] = np.minimum(m, own)[mine]
+        known = letters & bool(self.names)
+        return lang.tolist(), np.where(known, 1 / (1 + np.exp(-np.clip(2 * least, -50, 50))), 0.0)
+
+
 def predict(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, lang_pred, score of every whole text; only its text is looked at.
 
@@ -152,41 +195,28 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
     language was learned). Empty tables give no rows; repeated rows repeated results; a text under
     three bytes has no trigram and is decided by the machines' biases.
     """
-    families, machines = model["families"], model["machines"]
-    keys = [(a, b) for a, b, _ in machines]
-    weights = np.array([w for _, _, w in machines]).reshape(len(keys), FEATURES + 1)
-    names = sorted(families)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        linear, bias = weights[:, :-1].T.astype(np.float32), weights[:, -1]
+        predictor = Predictor(model)
         for b in batches:
-            x, off = _lowered(b.column(1))
-            for i, j in groups(off):
-                for lo in range(i, j, 256):
-                    hi = min(lo + 256, j)
-                    at = off[lo : hi + 1] - off[lo]
-                    part, rows = x[off[lo] : off[hi]], hi - lo
-                    plain = np.concatenate(([0], np.cumsum((part >= 97) & (part <= 122))))
-                    letters = plain[at[1:]] > plain[at[:-1]]
-                    for k in np.flatnonzero(~letters & (at[1:] > at[:-1])).tolist():
-                        letters[k] = any(c.isalpha() for c in part[at[k] : at[k + 1]].tobytes().decode("utf-8", "replace"))
-                    value = _unit(_counts(part, at)) @ linear + bias if len(keys) else np.zeros((rows, 0))
-                    margins = {k: value[:, n] for n, k in enumerate(keys)}
-                    lang, least = np.full(rows, "und", object), np.zeros(rows)
-                    if names:
-                        top, m = _decide(names, [k for k in keys if k[0] in families], margins, rows)
-                        for f, family in enumerate(names):
-                            codes = families[family]
-                            best, own = _decide(codes, [k for k in keys if k[0] in codes], margins, rows)
-                            mine = letters & (top == f)
-                            lang[mine] = np.array(codes, object)[best[mine]]
-                            least[mine] = np.minimum(m, own)[mine]
-                    score_ = np.where(letters & (len(names) > 0), 1 / (1 + np.exp(-np.clip(2 * least, -50, 50))), 0.0)
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, rows), pa.array(lang.tolist(), pa.string()), pa.array(score_)], names=["doc_id", "lang_pred", "score"])
+            lang, value = predictor(b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(value)], names=["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(score, "doc_id long, lang_pred string, score double")
 
 
+def keep_identified(docs: DataFrame, model: dict) -> DataFrame:
+    """The rows, with all their columns, whose text gets a language other than `und`."""
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        predictor = Predictor(model)
+        for b in batches:
+            lang, _ = predictor(b.column(b.schema.get_field_index("text")))
+            yield b.filter(pa.array([code != "und" for code in lang], pa.bool_()))
+
+    return docs.mapInArrow(choose, docs.schema)
+
+
 def held_out(doc_id):
     """Rows that never train: crc32 of the id's text leaves 2 when divided by 4. A null id trains nothing either."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(True))
