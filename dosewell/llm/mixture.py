@@ -42,7 +42,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
         "_capped": F.coalesce(F.sum("_cap").over(before), F.lit(0.0)),
         "_rest": F.sum("_w").over(by_ratio.rowsBetween(Window.currentRow, Window.unboundedFollowing)),
     }).withColumn("_level", (F.col("_all") - F.col("_capped")) / F.col("_rest"))
-    x = x.withColumn("_lambda", F.min(F.when(F.col("_level") <= F.col("_ratio"), F.col("_level"))).over(whole))
+    x = x.withColumn("_lambda", F.max(F.when(F.col("_level") <= F.col("_ratio"), F.col("_level"))).over(whole))
     return x.withColumn("target", F.least(F.col("_cap"), F.coalesce(F.col("_lambda"), F.col("_ratio")) * F.col("_w"))).select("source", "source_size", "target")
 
 
@@ -102,7 +102,7 @@ w AS (SELECT *, CAST([5, 2, 1][1 + ((row_number() OVER (ORDER BY source NULLS LA
 r AS (
   SELECT *, (sum(CAST(source_size AS DOUBLE)) OVER () - coalesce(sum(CAST(cap AS DOUBLE)) OVER (ORDER BY cap / wt, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
          / sum(wt) OVER (ORDER BY cap / wt, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev FROM w),
-l AS (SELECT min(lev) AS lam FROM r WHERE lev <= cap / wt),
+l AS (SELECT max(lev) AS lam FROM r WHERE lev <= cap / wt),
 t AS (
   SELECT source, source_size, least(CAST(cap AS DOUBLE), lam * wt) AS target,
          CASE WHEN source_size > 0 THEN least(floor(least(CAST(cap AS DOUBLE), lam * wt) / source_size), 3) ELSE 0 END AS times FROM w, l),
