@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from dosewell.plans import matrix, structures
+
+SECTIONS = (matrix, structures)
+QUERIES = {name: q for s in SECTIONS for name, q in s.QUERIES.items()}
+ORACLE_SQL = {name: sql for s in SECTIONS for name, sql in s.ORACLE_SQL.items()}
