@@ -14,8 +14,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import StorageLevel
+from pyspark import Broadcast, StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one pass of NumPy code looks at; bounds the memory of a task.
 CHUNK_BYTES = 4 << 20
@@ -83,3 +84,36 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+#: Words of 64 bits in a membership filter: its size is 2 MB however many ids it holds.
+FILTER_WORDS = 1 << 18
+
+
+def membership(ids: DataFrame) -> Broadcast:
+    """A Bloom filter of the ids (one long column) for tasks that would otherwise move texts.
+
+    Its size is fixed, so it may be broadcast; with very many ids it lets more rows through than it
+    should, never fewer, and an exact join always follows.
+    """
+    c = F.col(ids.columns[0])
+    bit = F.explode(F.array(*[F.pmod(F.xxhash64(c, F.lit(k)), F.lit(FILTER_WORDS * 64)) for k in range(2)]))
+    words = ids.select(bit.alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("v"))
+    out = np.zeros(FILTER_WORDS, np.int64)
+    found = words.toPandas()
+    out[found["w"].to_numpy(np.int64)] = found["v"].to_numpy(np.int64)
+    return ids.sparkSession.sparkContext.broadcast(out.view(np.uint64))
+
+
+def with_places(df: DataFrame, id_col: str) -> DataFrame:
+    """Adds the two places of an id in a membership filter, as Spark hashes it."""
+    return df.withColumns({f"_b{k}": F.pmod(F.xxhash64(F.col(id_col), F.lit(k)), F.lit(FILTER_WORDS * 64)) for k in range(2)})
+
+
+def maybe_in(words: np.ndarray, *places: np.ndarray) -> np.ndarray:
+    """Whether ids with these places may be in the filter."""
+    out = np.ones(len(places[0]), bool)
+    for b in places:
+        b = b.astype(np.uint64)
+        out &= (words[(b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63))) & np.uint64(1) == 1
+    return out

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dosewell.llm.common import CHUNK_BYTES, LOWER, flat, groups, keep, mix64
+from dosewell.llm.common import CHUNK_BYTES, LOWER, cut, flat, groups, keep, maybe_in, membership, mix64, with_places
 from dosewell.llm.components import components
 
 #: Hash groups on each side and minhashes in a group: at a similarity of 0.8 a pair shares a table
@@ -80,13 +80,13 @@ def shingle_sets(x: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray
 
 
 def _signatures(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A row of minhashes for each non-empty set."""
-    out = np.empty((len(at) - 1, len(_SEEDS)), np.uint64)
+    """A row of minhashes (32 bits each) for each non-empty set."""
+    out = np.empty((len(at) - 1, len(_SEEDS)), np.uint32)
     for k, seed in enumerate(_SEEDS):
         h = (sets ^ seed) * np.uint64(0xD6E8FEB86659FD93)
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xCA5A826395121157)
-        out[:, k] = np.minimum.reduceat(h, at[:-1])
+        out[:, k] = np.minimum.reduceat(h, at[:-1]) >> np.uint64(32)
     return out
 
 
@@ -99,7 +99,7 @@ def _lists(values: np.ndarray, at: np.ndarray) -> pa.Array:
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, set1, set2 (two sums over the set, which name it) and sig (minhashes, null without shingles)."""
+    """doc_id, n_shingles, set1, set2 (two sums over the set, which name it) and sig (minhashes, none without shingles)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -110,27 +110,34 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                 size = np.diff(at)
                 sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(sets + np.uint64(s)), dtype=np.uint64))) for s in (1, 2)]
                 some = np.flatnonzero(size > 0)
-                sig = np.zeros((j - i, len(_SEEDS)), np.uint64)
-                if len(some):
-                    sig[some] = _signatures(sets, np.append(at[some], len(sets)))
-                column = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.where(size > 0, len(_SEEDS), 0)))).astype(np.int32)), _signed(sig[some].ravel()))
+                sig = _signatures(sets, np.append(at[some], len(sets))) if len(some) else np.zeros((0, len(_SEEDS)), np.uint32)
+                ends = np.cumsum(np.where(size > 0, len(_SEEDS), 0))
+                column = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(sig.ravel().view(np.int32)))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(size), *[_signed(t[at[1:]] - t[at[:-1]]) for t in sums], column], names=["doc_id", "n_shingles", "set1", "set2", "sig"])
 
-    return docs.mapInArrow(sign, "doc_id long, n_shingles long, set1 long, set2 long, sig array<long>")
+    return docs.mapInArrow(sign, "doc_id long, n_shingles long, set1 long, set2 long, sig array<int>")
 
 
-def full_sets(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id and its sorted shingle hashes."""
+def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """doc_id and its sorted shingle hashes, for the wanted ids.
+
+    A filter of fixed size drops most other texts where they are read; the join is exact.
+    """
+    words = membership(wanted)
 
     def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            some = maybe_in(words.value, b.column(2).to_numpy(), b.column(3).to_numpy())
+            b = b.filter(pa.array(some))
             x, off = flat(b.column(1))
             for i, j in groups(off, CHUNK_BYTES):
                 part = off[i : j + 1]
                 sets, at = shingle_sets(x[part[0] : part[-1]], part - part[0], width)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), _lists(sets, at)], names=["doc_id", "shingles"])
 
-    return docs.mapInArrow(give, "doc_id long, shingles array<long>")
+    found = with_places(docs.filter("doc_id is not null"), "doc_id").mapInArrow(give, "doc_id long, shingles array<long>").join(wanted, "doc_id", "left_semi")
+    # rows that repeat an id are one set if they are equal; no new shuffle, as rows lie by id
+    return found.groupBy("doc_id", F.xxhash64("shingles").alias("_s")).agg(F.any_value("shingles").alias("shingles")).drop("_s")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -160,6 +167,16 @@ def _side(sig: str, side: int) -> Column:
     return F.array(*[F.xxhash64(F.lit(i), *k(i)) for i in range(SIDE)])
 
 
+def _equal(u: str, v: str) -> Column:
+    return F.zip_with(u, v, lambda s, t: (s == t).cast("int"))
+
+
+def _plausible(n1: str, n2: str, sig1: str, sig2: str, percent: int) -> Column:
+    """Sizes and minhashes that two sets of the wanted similarity can have."""
+    near = (F.col(n1) * 100 >= F.col(n2) * percent) & (F.col(n2) * 100 >= F.col(n1) * percent)
+    return near & (F.aggregate(_equal(sig1, sig2), F.lit(0), lambda s, e: s + e) >= AGREE)
+
+
 def near_duplicates(docs: DataFrame, width: int = 4, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Components of near-duplicates: doc_id, n_shingles, component_id, kept, one row per document.
 
@@ -171,38 +188,35 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = PERCENT, id_
     smallest. Null ids get component null and are never kept. Other columns are not read.
     """
     x = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = keep(signatures(x, width))
+    rows = cut(signatures(x, width))
     named = rows.filter("n_shingles > 0 and doc_id is not null")
-    classes = named.groupBy("set1", "set2", "n_shingles").agg(F.min("doc_id").alias("c"), F.any_value("sig").alias("sig"))
-    classes = keep(classes.select("c", "n_shingles", "set1", "set2", "sig", _side("sig", 0).alias("left"), _side("sig", 1).alias("right")))
+    classes = cut(named.groupBy("set1", "set2", "n_shingles").agg(F.min("doc_id").alias("c"), F.any_value("sig").alias("sig")))
+    sides = classes.select("c", F.col("n_shingles").alias("n"), "sig", _side("sig", 0).alias("left"), _side("sig", 1).alias("right"))
     # left groups that several classes share, then their keys with every right group
-    lefts = classes.select("c", F.explode("left").alias("l"))
+    lefts = sides.select("c", F.explode("left").alias("l"))
     shared = lefts.groupBy("l").agg(F.count("*").alias("n")).filter("n > 1").select("l")
-    keys = lefts.join(shared, "l", "left_semi").join(classes.select("c", "right"), "c").select("c", F.explode(F.transform("right", lambda r: F.xxhash64("l", r))).alias("key"))
-    buckets = keys.groupBy("key").agg(F.min(F.struct(F.xxhash64("c"), "c")).alias("m"), F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias("k"), F.col("m.c").alias("lead"))
-    members = keep(keys.join(buckets, F.col("key") == F.col("k")).select("key", "c", "lead"))
-    wanted = members.select(F.col("c").alias("doc_id")).distinct()
-    # of rows that repeat an id, the one whose set is the class's
-    sets = keep(full_sets(x.join(wanted, "doc_id", "left_semi"), width).groupBy("doc_id", F.xxhash64("shingles").alias("_s")).agg(F.any_value("shingles").alias("shingles")).drop("_s"))
+    keys = cut(lefts.join(shared, "l", "left_semi").join(sides.select("c", "right"), "c").select("c", F.explode(F.transform("right", lambda r: F.xxhash64("l", r))).alias("key")))
+    buckets = keys.groupBy("key").agg(F.min(F.struct(F.xxhash64("c"), "c")).alias("m"), F.count("*").alias("n")).filter("n > 1").select("key", F.col("m.c").alias("lead"))
+    members = cut(keys.join(buckets, "key"))
+    sets = keep(full_sets(x, members.select(F.col("c").alias("doc_id")).distinct(), width))
+    half = lambda v: sides.select(F.col("c").alias(v), F.col("n").alias(f"n{v}"), F.col("sig").alias(f"sig{v}"))
     star = members.filter("c <> lead").select(F.least("c", "lead").alias("a"), F.greatest("c", "lead").alias("b")).distinct()
-    links = keep(_confirmed(star, sets, percent))
+    star = star.join(half("a"), "a").join(half("b"), "b").filter(_plausible("na", "nb", "siga", "sigb", percent)).select("a", "b")
+    links = cut(_confirmed(star, sets, percent))
     first = components(links)
     # buckets that still hold several components: compare across them
-    now = members.join(first, F.col("c") == F.col("node"), "left").select("key", "c", F.coalesce("component", "c").alias("g"))
+    now = cut(members.join(first, F.col("c") == F.col("node"), "left").select("key", "c", F.coalesce("component", "c").alias("g")))
     mixed = now.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo <> hi").select("key")
-    one = classes.select("c", F.col("n_shingles").alias("n"), "sig", "left", "right")
-    open_ = keep(now.join(mixed, "key", "left_semi").join(one, "c"))
-    p = open_.select("key", *[F.col(v).alias(f"{v}1") for v in ("c", "g", "n", "sig", "left", "right")])
-    q = open_.select(F.col("key").alias("key2"), *[F.col(v).alias(f"{v}2") for v in ("c", "g", "n", "sig", "left", "right")])
-    equal = lambda u, v: F.zip_with(u, v, lambda s, t: (s == t).cast("int"))
-    agree = F.aggregate(equal("sig1", "sig2"), F.lit(0), lambda s, e: s + e)
+    open_ = cut(now.join(mixed, "key", "left_semi"))
+    one = sides.join(open_.select("c").distinct(), "c", "left_semi")
+    p, q = (open_.join(one, "c").select(*[F.col(v).alias(f"{v}{k}") for v in ("key", "c", "g", "n", "sig", "left", "right")]) for k in "ab")
     # a pair meets in every table that it shares; it counts in the first of them
-    table_ = F.xxhash64(F.col("left1")[F.array_position(equal("left1", "left2"), 1).cast("int") - 1], F.col("right1")[F.array_position(equal("right1", "right2"), 1).cast("int") - 1])
-    near = (F.col("n1") * 100 >= F.col("n2") * percent) & (F.col("n2") * 100 >= F.col("n1") * percent)
-    across = p.join(q, (F.col("key") == F.col("key2")) & (F.col("c1") < F.col("c2")) & (F.col("g1") != F.col("g2")) & near & (agree >= AGREE) & (F.col("key") == table_)).select(F.col("c1").alias("a"), F.col("c2").alias("b"))
-    more = _confirmed(across.distinct(), sets, percent)
+    table_ = F.xxhash64(F.col("lefta")[F.array_position(_equal("lefta", "leftb"), 1).cast("int") - 1], F.col("righta")[F.array_position(_equal("righta", "rightb"), 1).cast("int") - 1])
+    on = (F.col("keya") == F.col("keyb")) & (F.col("ca") < F.col("cb")) & (F.col("ga") != F.col("gb"))
+    across = p.join(q, on & _plausible("na", "nb", "siga", "sigb", percent) & (F.col("keya") == table_)).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    more = cut(_confirmed(across.distinct(), sets, percent))
     last = components(links.union(more))
     found = classes.join(last, F.col("c") == F.col("node"), "left").select("set1", "set2", "n_shingles", F.coalesce("component", "c").alias("_g"))
-    out = rows.join(found, ["set1", "set2", "n_shingles"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("_g")).alias("component_id"))
-    out = out.withColumn("component_id", F.when(F.col("doc_id").isNull(), None).otherwise(F.col("component_id")))
+    out = rows.select("doc_id", "n_shingles", "set1", "set2").join(found, ["set1", "set2", "n_shingles"], "left")
+    out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("_g")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
