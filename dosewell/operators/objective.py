@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dosewell.operators import coeffs
 from dosewell.operators.fluence import fluence_gradients
+from dosewell.sources.lineage import cut
 
 #: Columns of an optimisation row besides structure and voxel; null means not applicable.
 LIMITS = ("min_target", "min_weight", "max_dose", "max_weight", "oar_weight")
@@ -55,11 +56,9 @@ def optimise_fluence(coo: DataFrame, rows: DataFrame, weights: DataFrame, iterat
     """Projected gradient with `group_shrink` in each pass; returns the weights and the cost before each pass.
 
     A pass is two joins with the coefficients. Weights are a row for each beamlet; their lineage is cut
-    by checkpoints in the cluster's shared folder every few passes.
+    by tables in the cluster's shared folder every few passes.
     """
-    spark = coo.sparkSession
     coo = coo.persist()
-    shared = spark.conf.get("spark.checkpoint.dir", None)
     costs = []
     for k in range(iterations):
         dose = coeffs.apply_weights(coo, weights)
@@ -68,5 +67,5 @@ def optimise_fluence(coo: DataFrame, rows: DataFrame, weights: DataFrame, iterat
         moved = weights.join(gradient, ["beam", "beamlet"], "left").select("beam", "beamlet", F.greatest(F.col("weight") - step * F.coalesce("gradient", F.lit(0.0)), F.lit(0.0)).alias("weight"))
         weights = group_shrink(moved, tau)
         if k % 3 == 2:
-            weights = weights.checkpoint() if shared else weights.persist()
+            weights = cut(weights)
     return weights, costs

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from dosewell.plans import dosevolume, matrix, structures
+from dosewell.plans import dosevolume, images, matrix, structures
 
-SECTIONS = (matrix, structures, dosevolume)
+SECTIONS = (matrix, structures, dosevolume, images)
 QUERIES = {name: q for s in SECTIONS for name, q in s.QUERIES.items()}
 ORACLE_SQL = {name: sql for s in SECTIONS for name, sql in s.ORACLE_SQL.items()}
