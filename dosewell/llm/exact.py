@@ -1,8 +1,9 @@
 """Exact duplicates by distributed MSD radix partitioning: groups are split by successive bytes.
 
-The first round groups documents by their first 64 bytes, each later one splits the groups that
-have several members by the next, eight times longer, piece of bytes, until a group has one member
-or its texts have ended. Texts are equal because all their bytes were, not because digests were.
+Documents are counted by their first 64 bytes; those alone with theirs are settled. The others' groups
+are split by their first 4096 bytes, then by the next 64 times more, until a group has one member or its
+texts have ended. Texts are equal because all their bytes were, not because digests were. Only bytes
+that are not yet compared move from round to round.
 """
 
 from __future__ import annotations
@@ -14,11 +15,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dosewell.llm.common import LOWER, flat, keep
+from dosewell.llm.common import LOWER, flat, keep, maybe_in, membership, with_places
 
-FIRST_BYTES, GROWTH = 64, 8
-#: Copies of a group's row in the join that tells members of it, so that a hot group has several tasks.
-SALTS = 16
+#: Bytes of the first digit; the growth of the digits after it.
+FIRST_BYTES, GROWTH = 64, 64
 
 
 def _head(text: Column) -> Column:
@@ -27,60 +27,51 @@ def _head(text: Column) -> Column:
     return F.substring(F.encode(start, "UTF-8"), 1, FIRST_BYTES)
 
 
-def _tell(rows: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
-    """Joins what is known of groups of several members to their rows, salted: a group may hold a third of all."""
-    found = found.select(*[F.col(k).alias(f"_{k}") for k in keys], "_n", "_max").withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
-    on = salt == F.col("_s")
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    return rows.join(found, on, "left").drop("_s", *[f"_{k}" for k in keys])
-
-
-def _normalised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """SHA-256 and size of every normalised text; the text itself only where the group has several members."""
-    for b in batches:
-        x, off = flat(b.column("text"))
-        whole, at = x.tobytes().translate(LOWER), off.tolist()
-        view = memoryview(whole)
-        several = b.column("_n").is_valid().to_pylist()
-        sha = [hashlib.sha256(view[i:j]).hexdigest() for i, j in zip(at, at[1:])]
-        norm = [whole[i:j] if s else None for i, j, s in zip(at, at[1:], several)]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sha, pa.string()), pa.array(norm, pa.binary()), b.column("_n"), b.column("_max")], names=["doc_id", "text_sha256", "norm", "_n", "_max"])
-
-
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Groups of equal texts: doc_id, keep_id, group_size, kept, text_sha256, one row per document.
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty. keep_id is the
     largest doc_id of a group, and `kept` says that a row has it. Rows that repeat an id are counted
     each, and all rows that have keep_id are kept; a null id is never kept unless all ids of its group
-    are null, then keep_id is null and kept false. The SHA-256 of the normalised text is reported
-    only; it decides nothing. An empty table gives no rows; other columns are not read.
+    are null, then keep_id is null and kept false. The SHA-256 of the normalised text is reported and
+    names groups; it decides no equality. An empty table gives no rows; other columns are not read.
+    Counts are combined before the shuffle, and a hot group's rows meet its one count in a join whose
+    large partitions Spark splits.
     """
     x = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("head", _head(F.col("text")))
-    found = x.groupBy("head").agg(F.count("*").alias("_n"), F.max("doc_id").alias("_max")).filter("_n > 1")
-    first = _tell(x, found, ["head"]).select("doc_id", "text", "_n", "_max").mapInArrow(_normalised, "doc_id long, text_sha256 string, norm binary, _n long, _max long")
-    first = keep(first)
-    done = [first.filter("_n is null").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256")]
-    # "_max" names a group from now on; texts of one group are equal up to `upto`
-    left = first.filter("_n is not null").select("doc_id", "text_sha256", "norm", F.col("_max").alias("gid"))
-    longest = left.agg(F.max(F.octet_length("norm"))).first()[0]
-    upto, width = 0, FIRST_BYTES * GROWTH
+    # a filter of fixed size says which heads may be shared; the rounds below are exact
+    shared = membership(x.groupBy("head").agg(F.count("*").alias("n")).filter("n > 1").select(F.xxhash64("head").alias("h")))
+
+    def normalised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """SHA-256 of every normalised text; the text itself only where its head may be shared."""
+        for b in batches:
+            x, off = flat(b.column("text"))
+            whole, at = x.tobytes().translate(LOWER), off.tolist()
+            view = memoryview(whole)
+            several = maybe_in(shared.value, b.column("_b0").to_numpy(), b.column("_b1").to_numpy()).tolist()
+            sha = [hashlib.sha256(view[i:j]).hexdigest() for i, j in zip(at, at[1:])]
+            rest = [whole[i:j] if s else None for i, j, s in zip(at, at[1:], several)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sha, pa.string()), pa.array(rest, pa.binary())], names=["doc_id", "text_sha256", "rest"])
+
+    hashed = with_places(x.select("doc_id", "text", F.xxhash64("head").alias("_h")), "_h")
+    first = keep(hashed.mapInArrow(normalised, "doc_id long, text_sha256 string, rest binary"))
+    alone = lambda rows: rows.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256")
+    done = [alone(first.filter("rest is null"))]
+    left = first.filter("rest is not null").withColumn("label", F.lit(""))
+    longest = left.agg(F.max(F.octet_length("rest"))).first()[0]
+    width = FIRST_BYTES * GROWTH
     while longest is not None:
-        piece = F.substring(F.col("norm"), upto + 1, width)
-        rows = left.withColumn("piece", piece)
-        found = rows.groupBy("gid", "piece").agg(F.count("*").alias("_n"), F.max("doc_id").alias("_max")).filter("_n > 1")
-        rows = _tell(rows, found, ["gid", "piece"])
-        single, ended = F.col("_n").isNull(), F.octet_length("piece") < width
-        over = single | ended
-        rows = rows if upto + width > longest else keep(rows.withColumn("_over", over).withColumn("norm", F.when(~F.col("_over"), F.col("norm"))).drop("piece"))
-        over = over if upto + width > longest else F.col("_over")
-        done.append(rows.filter(over).select("doc_id", F.when(single, F.col("doc_id")).otherwise(F.col("_max")).alias("keep_id"), F.coalesce("_n", F.lit(1)).cast("long").alias("group_size"), "text_sha256"))
-        if upto + width > longest:
+        rows = left.select("doc_id", "text_sha256", "label", F.substring("rest", 1, width).alias("piece"), F.substring(F.col("rest"), F.lit(width + 1), F.lit(1 << 30)).alias("rest"))
+        found = rows.groupBy("label", "piece").agg(F.count("*").alias("n"), F.max("doc_id").alias("top"), F.min("text_sha256").alias("name")).filter("n > 1")
+        met = rows.join(found.withColumnsRenamed({"label": "_label", "piece": "_piece"}), (F.col("label") == F.col("_label")) & (F.col("piece") == F.col("_piece")), "left")
+        over = F.col("n").isNull() | (F.octet_length("piece") < width)
+        met = keep(met.select("doc_id", "text_sha256", "n", "top", F.col("name").alias("label"), F.when(~over, F.col("rest")).alias("rest")))
+        ended = met.filter("rest is null")
+        done.append(ended.select("doc_id", F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("top")).alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), "text_sha256"))
+        if longest < width:
             break
-        left = rows.filter(~F.col("_over")).select("doc_id", "text_sha256", "norm", F.col("_max").alias("gid"))
-        upto, width = upto + width, (upto + width) * (GROWTH - 1)
+        left = met.filter("rest is not null").select("doc_id", "text_sha256", "label", "rest")
+        longest, width = longest - width, width * GROWTH
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
