@@ -49,8 +49,8 @@ def compare_volumes(old: DataFrame, new: DataFrame) -> DataFrame:
     return s.withColumn("relative_difference", F.col("abs_difference") / F.col("old_sum"))
 
 
-def _weighted(points: DataFrame, volume: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds up the eight neighbours of fractional places x, y, z; those without weight aren't looked up."""
+def _corners(points: DataFrame, keys: list[str]) -> DataFrame:
+    """The neighbours of fractional places x, y, z with their weights _w; those without weight go."""
     corners = F.explode(_array([(a, b, c) for a in (0, 1) for b in (0, 1) for c in (0, 1)])).alias("o")
     x = points.select(*keys, "x", "y", "z", corners)
     weight = F.lit(1.0)
@@ -60,8 +60,18 @@ def _weighted(points: DataFrame, volume: DataFrame, keys: list[str]) -> DataFram
         part = F.col(place) - low
         weight = weight * F.when(F.col(f"o.{side}") == 1, part).otherwise(1 - part)
         at.append((low + F.col(f"o.{side}")).cast("int").alias(name))
-    y = x.select(*keys, *at, weight.alias("_w")).filter("_w > 0")
-    return y.join(volume, AT)
+    return x.select(*keys, *at, weight.alias("_w")).filter("_w > 0")
+
+
+def _weighted(points: DataFrame, volume: DataFrame, keys: list[str]) -> DataFrame:
+    """Corners with the volume's values."""
+    return _corners(points, keys).join(volume, AT)
+
+
+def _weighted_by(points: DataFrame, doses: DataFrame, keys: list[str]) -> DataFrame:
+    """Trilinear values at x, y, z in the volume that has the same keys."""
+    x = _corners(points, keys)
+    return x.join(doses, [*keys, *AT]).groupBy(*keys).agg(F.sum(F.col("_w") * F.col("value")).alias("value"))
 
 
 def resize_trilinear(volume: DataFrame, old: tuple[int, int, int], new: tuple[int, int, int]) -> DataFrame:
