@@ -279,7 +279,7 @@ def staple(masks: DataFrame, raters: list[str], iterations: int = 100, p0: float
     for _ in range(iterations):
         a = prior * np.prod(np.where(bits == 1, p, 1 - p), axis=1)
         b = (1 - prior) * np.prod(np.where(bits == 1, 1 - q, q), axis=1)
-        w = a / (a + b)
+        w = a / np.maximum(a + b, 1e-300)
         total = float((w * n).sum())
         p = (w * n) @ bits / max(total, 1e-300)
         q = ((1 - w) * n) @ (1 - bits) / max(float(((1 - w) * n).sum()), 1e-300)
