@@ -24,8 +24,8 @@ from dosewell.llm.components import components
 SIDE, ROWS = 10, 2
 #: A link has 100 * intersection >= PERCENT * union.
 PERCENT = 80
-#: Of the 2 * SIDE * ROWS minhashes, a pair of similarity 0.8 agrees in fewer than this with probability 2e-5.
-AGREE = 21
+#: Bits of the parity sketch that rules pairs out before their sets are fetched.
+PARITY_BITS = 2048
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
@@ -118,8 +118,23 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(sign, "doc_id long, n_shingles long, set1 long, set2 long, sig array<int>")
 
 
+def _parities(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each set, PARITY_BITS bits: whether an odd number of its shingles falls on a bit.
+
+    Two sketches differ in at most as many bits as shingles are in one of the sets alone.
+    """
+    out = np.zeros((len(at) - 1, PARITY_BITS // 64), np.int64)
+    place = (mix64(sets ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(PARITY_BITS)).astype(np.int64)
+    for lo in range(0, len(at) - 1, 1024):
+        hi = min(lo + 1024, len(at) - 1)
+        row = np.repeat(np.arange(hi - lo), np.diff(at[lo : hi + 1]))
+        odd = np.bincount(row * PARITY_BITS + place[at[lo] : at[hi]], minlength=(hi - lo) * PARITY_BITS) & 1
+        out[lo:hi] = np.packbits(odd.astype(np.uint8).reshape(hi - lo, PARITY_BITS), axis=1).view(np.int64)
+    return out
+
+
 def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """doc_id and its sorted shingle hashes, for the wanted ids.
+    """doc_id, its sorted shingle hashes and their parity sketch, for the wanted ids.
 
     A filter of fixed size drops most other texts where they are read; the join is exact.
     """
@@ -133,11 +148,12 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             for i, j in groups(off, CHUNK_BYTES):
                 part = off[i : j + 1]
                 sets, at = shingle_sets(x[part[0] : part[-1]], part - part[0], width)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), _lists(sets, at)], names=["doc_id", "shingles"])
+                odd = _parities(sets, at)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), _lists(sets, at), pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * odd.shape[1]), pa.array(odd.ravel()))], names=["doc_id", "shingles", "odd"])
 
-    found = with_places(docs.filter("doc_id is not null"), "doc_id").mapInArrow(give, "doc_id long, shingles array<long>").join(wanted, "doc_id", "left_semi")
+    found = with_places(docs.filter("doc_id is not null"), "doc_id").mapInArrow(give, "doc_id long, shingles array<long>, odd array<long>").join(wanted, "doc_id", "left_semi")
     # rows that repeat an id are one set if they are equal; no new shuffle, as rows lie by id
-    return found.groupBy("doc_id", F.xxhash64("shingles").alias("_s")).agg(F.any_value("shingles").alias("shingles")).drop("_s")
+    return found.groupBy("doc_id", F.xxhash64("shingles").alias("_s")).agg(F.any_value("shingles").alias("shingles"), F.any_value("odd").alias("odd")).drop("_s")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -171,10 +187,14 @@ def _equal(u: str, v: str) -> Column:
     return F.zip_with(u, v, lambda s, t: (s == t).cast("int"))
 
 
-def _plausible(n1: str, n2: str, sig1: str, sig2: str, percent: int) -> Column:
-    """Sizes and minhashes that two sets of the wanted similarity can have."""
+def _plausible(n1: str, n2: str, odd1: str, odd2: str, percent: int) -> Column:
+    """Whether two sets can be similar enough, by their sizes and parity sketches; never false for a link.
+
+    With sizes a and b, a link has at most (a + b) * (100 - percent) / (100 + percent) shingles in one set alone.
+    """
+    apart = F.aggregate(F.zip_with(odd1, odd2, lambda s, t: F.bit_count(s.bitwiseXOR(t))), F.lit(0), lambda s, e: s + e)
     near = (F.col(n1) * 100 >= F.col(n2) * percent) & (F.col(n2) * 100 >= F.col(n1) * percent)
-    return near & (F.aggregate(_equal(sig1, sig2), F.lit(0), lambda s, e: s + e) >= AGREE)
+    return near & (apart * (100 + percent) <= (F.col(n1) + F.col(n2)) * (100 - percent))
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -191,7 +211,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = PERCENT, id_
     rows = cut(signatures(x, width))
     named = rows.filter("n_shingles > 0 and doc_id is not null")
     classes = cut(named.groupBy("set1", "set2", "n_shingles").agg(F.min("doc_id").alias("c"), F.any_value("sig").alias("sig")))
-    sides = classes.select("c", F.col("n_shingles").alias("n"), "sig", _side("sig", 0).alias("left"), _side("sig", 1).alias("right"))
+    sides = classes.select("c", _side("sig", 0).alias("left"), _side("sig", 1).alias("right"))
     # left groups that several classes share, then their keys with every right group
     lefts = sides.select("c", F.explode("left").alias("l"))
     shared = lefts.groupBy("l").agg(F.count("*").alias("n")).filter("n > 1").select("l")
@@ -199,21 +219,22 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = PERCENT, id_
     buckets = keys.groupBy("key").agg(F.min(F.struct(F.xxhash64("c"), "c")).alias("m"), F.count("*").alias("n")).filter("n > 1").select("key", F.col("m.c").alias("lead"))
     members = cut(keys.join(buckets, "key"))
     sets = keep(full_sets(x, members.select(F.col("c").alias("doc_id")).distinct(), width))
-    half = lambda v: sides.select(F.col("c").alias(v), F.col("n").alias(f"n{v}"), F.col("sig").alias(f"sig{v}"))
+    sketches = sets.select(F.col("doc_id").alias("c"), F.size("shingles").alias("n"), "odd")
+    half = lambda v: sketches.select(F.col("c").alias(v), F.col("n").alias(f"n{v}"), F.col("odd").alias(f"odd{v}"))
     star = members.filter("c <> lead").select(F.least("c", "lead").alias("a"), F.greatest("c", "lead").alias("b")).distinct()
-    star = star.join(half("a"), "a").join(half("b"), "b").filter(_plausible("na", "nb", "siga", "sigb", percent)).select("a", "b")
+    star = star.join(half("a"), "a").join(half("b"), "b").filter(_plausible("na", "nb", "odda", "oddb", percent)).select("a", "b")
     links = cut(_confirmed(star, sets, percent))
     first = components(links)
     # buckets that still hold several components: compare across them
     now = cut(members.join(first, F.col("c") == F.col("node"), "left").select("key", "c", F.coalesce("component", "c").alias("g")))
     mixed = now.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo <> hi").select("key")
     open_ = cut(now.join(mixed, "key", "left_semi"))
-    one = sides.join(open_.select("c").distinct(), "c", "left_semi")
-    p, q = (open_.join(one, "c").select(*[F.col(v).alias(f"{v}{k}") for v in ("key", "c", "g", "n", "sig", "left", "right")]) for k in "ab")
+    one = sides.join(open_.select("c").distinct(), "c", "left_semi").join(sketches, "c")
+    p, q = (open_.join(one, "c").select(*[F.col(v).alias(f"{v}{k}") for v in ("key", "c", "g", "n", "odd", "left", "right")]) for k in "ab")
     # a pair meets in every table that it shares; it counts in the first of them
     table_ = F.xxhash64(F.col("lefta")[F.array_position(_equal("lefta", "leftb"), 1).cast("int") - 1], F.col("righta")[F.array_position(_equal("righta", "rightb"), 1).cast("int") - 1])
     on = (F.col("keya") == F.col("keyb")) & (F.col("ca") < F.col("cb")) & (F.col("ga") != F.col("gb"))
-    across = p.join(q, on & _plausible("na", "nb", "siga", "sigb", percent) & (F.col("keya") == table_)).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    across = p.join(q, on & _plausible("na", "nb", "odda", "oddb", percent) & (F.col("keya") == table_)).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     more = cut(_confirmed(across.distinct(), sets, percent))
     last = components(links.union(more))
     found = classes.join(last, F.col("c") == F.col("node"), "left").select("set1", "set2", "n_shingles", F.coalesce("component", "c").alias("_g"))
