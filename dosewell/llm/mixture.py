@@ -82,7 +82,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, i
     limits = sources.join(edge, _same(F.col("source"), F.col("_src")), "left").select(F.col("source").alias("_source"), "source_size", "target", "_times", "_threshold", "_share", "_at", "_left")
     y = x.join(limits, _same(F.col("source"), F.col("_source")))
     # no threshold: the budget covers all documents or none has words
-    below = F.when(F.col("_threshold").isNull(), F.col("_left") > 0).otherwise(F.col("_h") < F.col("_threshold"))
+    below = (F.col("_left") > 0) & F.coalesce(F.col("_h") < F.col("_threshold"), F.lit(True))
     part = F.when(F.col("_h") == F.col("_threshold"), F.floor(F.col("size") * F.col("_share") / F.col("_at"))).otherwise(0)
     return y.select(
         "doc_id", "size", "source_size", "target",
