@@ -94,11 +94,13 @@ openrail | openrail | (?:creativeml~|bigscience~)?open~?rail(?:-m)?
 proprietary | all rights reserved | all~rights~reserved
 """
 
-#: priority, score, keyword ({k} is the title's), and the form around a title `{t}` or label `{l}`.
+#: priority, score, keyword ({k} is the title's), and the form around a title `{t}` or label `{l}`;
+#: `{f}` is a title that has a version and spells out the word license.
 FORMS = (
     (4, 1.0, "spdx", r"spdx-license-identifier:\s*{l}(?:-only|-or-later|\+)?(?![\w.-])"),
     (3, 0.95, "{k}", r"(?:licensed|released|distributed|available|published)~under(?:~the)?(?:~terms~of(?:~the)?)?~{t}(?:~licen[sc]e)?\b"),
     (2, 0.9, "{k}", r"\b{t}~(?:public~)?licen[sc]e\b"),
+    (2, 0.9, "{k}", r"\b{f}(?![\w-])"),
     (1, 0.7, "licen", r"\blicen[sc]e\s*[:=]\s*[\"']?{l}(?![\w.-])"),
 )
 
@@ -119,9 +121,13 @@ def signature_rules() -> list[tuple[int, float, bytes, re.Pattern, str]]:
     for line in TITLES.strip().splitlines():
         label, key, title = (x.strip() for x in line.split(" | "))
         version = re.escape(label.rpartition("-")[2]).removesuffix(r"\.0") + (r"(?:\.0)?" if label.endswith(".0") else "")
-        title = title.replace("{v}", rf"(?:~|-)(?:version~|v(?:er)?\.?~?)?{version}(?![\d])")
+        full = re.sub(r"\(\?:~license(?:\|~licence)?\)\?", "~licen[sc]e", title) if "{v}" in title and "~license" in title else ""
+        number = rf"(?:~|-)(?:version~|v(?:er)?\.?~?)?{version}(?![\d])"
+        title, full = title.replace("{v}", number), full.replace("{v}", number)
         for priority, score, keyword, form in FORMS:
-            pattern = form.replace("{t}", f"(?:{title})").replace("{l}", re.escape(label)).replace("~", r"[\s,]+")
+            if "{f}" in form and not full:
+                continue
+            pattern = form.replace("{t}", f"(?:{title})").replace("{f}", f"(?:{full})").replace("{l}", re.escape(label)).replace("~", r"(?:[\s,]+)")
             out.append((priority, score, keyword.replace("{k}", key).encode(), re.compile(pattern.encode()), label))
     return sorted(out, key=lambda r: -r[0])
 
