@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from dosewell.llm.common import flat, groups
 
 #: Bytes of text per batch of distinct pieces: the larger, the fewer pieces are encoded twice.
-BATCH_BYTES = 24 << 20
+BATCH_BYTES = 12 << 20
 #: Distinct pieces whose ids a Python worker remembers between batches.
-CACHE_PIECES = 150_000
+CACHE_PIECES = 100_000
 
 
 def default_vocabulary() -> str:
