@@ -1,7 +1,8 @@
 """A corpus pipeline of five stages: language ID, exact dedup, near-dedup, source mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
-documents. Stages look at all rows that their predecessor kept. Extra columns pass through.
+documents. Stages look at all rows that their predecessor kept. Extra columns pass through; rows
+without an id are never dropped as duplicates.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ SHINGLE_WORDS = 5
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language is found; those without a letter go."""
-    return langid.keep_identified(docs, langid.fit(docs.filter(~langid.held_out(F.col("doc_id")))))
+    return langid.keep_identified(docs, langid.fit(docs.select("doc_id", "text", "lang").filter(~langid.held_out(F.col("doc_id")))))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,9 +36,10 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mixture takes them; the threshold's own document is rounded to a whole one."""
-    taken = mixture.mix(docs).groupBy("doc_id").agg(F.max("copies").alias("_copies")).filter("_copies > 0")
-    taken = taken.select(F.col("doc_id").alias("_id"), "_copies")
-    return docs.join(taken, F.col("doc_id") == F.col("_id")).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    taken = mixture.mix(docs).groupBy("doc_id").agg(F.max("copies").alias("copies")).filter("copies > 0")
+    rows = docs.select(F.struct(*docs.columns).alias("row"))  # extra columns may have any names
+    met = rows.join(taken, F.col("row.doc_id").eqNullSafe(F.col("doc_id")))
+    return met.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
