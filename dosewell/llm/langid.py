@@ -65,10 +65,13 @@ def _lowered(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def training_sample(docs: DataFrame, per_language: int = ROWS_PER_LANGUAGE) -> DataFrame:
-    """At most `per_language` labelled rows of each language, those of least hash, as sparse features."""
+    """At most `per_language` labelled rows of each language, chosen by hash, as sparse features."""
     hashed = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("_h", F.xxhash64("doc_id", F.lit("sample")))
-    chosen = hashed.select("lang", "doc_id", "_h").withColumn("_k", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id"))).filter(F.col("_k") <= per_language).select("lang", "_h", "doc_id")
-    rows = hashed.join(F.broadcast(chosen), ["lang", "_h", "doc_id"], "left_semi")  # at most per_language rows a language
+    # most rows of a frequent language are out by their hash before any are ranked
+    counts = hashed.groupBy("lang").agg(F.count("*").alias("_n"))
+    some = hashed.select("lang", "doc_id", "_h").join(F.broadcast(counts), "lang").filter(F.pmod("_h", F.lit(1 << 20)) * F.col("_n") < F.lit(4 * per_language * (1 << 20)))
+    chosen = some.withColumn("_k", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id"))).filter(F.col("_k") <= per_language).select("lang", "_h", "doc_id")
+    rows = hashed.join(F.broadcast(chosen), ["lang", "_h", "doc_id"], "left_semi").dropDuplicates(["lang", "doc_id"])  # at most per_language rows a language
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
