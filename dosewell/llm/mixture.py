@@ -18,6 +18,8 @@ WEIGHTS = (5, 2, 1)
 #: A source, and a document, is taken at most this many times.
 MOST = 3
 LEVEL_BITS, LEVELS = 12, 5
+#: Tasks that a source's documents are spread over where they meet its limits.
+SALTS = 32
 
 
 def word_count(text: Column) -> Column:
@@ -80,7 +82,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, i
         state = state.select("source", F.col("_m.b").alias("_budget"), F.col("_m._bucket").alias("_prefix"), F.col("_m._sum").alias("_at"))
     edge = state.select(F.col("source").alias("_src"), F.col("_prefix").alias("_threshold"), F.col("_budget").alias("_share"), F.col("_at"))
     limits = sources.join(edge, _same(F.col("source"), F.col("_src")), "left").select(F.col("source").alias("_source"), "source_size", "target", "_times", "_threshold", "_share", "_at", "_left")
-    y = x.join(limits, _same(F.col("source"), F.col("_source")))
+    # a source may hold a third of all documents: its one row is copied for each salt
+    limits = limits.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    y = x.join(limits, _same(F.col("source"), F.col("_source")) & (F.pmod("_h", F.lit(SALTS).cast("long")) == F.col("_s")))
     # no threshold: the budget covers all documents or none has words
     below = (F.col("_left") > 0) & F.coalesce(F.col("_h") < F.col("_threshold"), F.lit(True))
     part = F.when(F.col("_h") == F.col("_threshold"), F.floor(F.col("size") * F.col("_share") / F.col("_at"))).otherwise(0)
