@@ -22,7 +22,8 @@ from dosewell.llm.common import LOWER, flat, groups
 #: Phrases that are always counted, and their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: label | keyword | title pattern, on lower-cased text. `~` stands for what may divide words.
+#: label | keyword | title pattern, on lower-cased text. `~` stands for what may divide words. A keyword is a
+#: word or pattern that every match of its title contains.
 #: `{v}` stands for a version, the label's last part.
 TITLES = """
 mit | mit | mit(?:~x11)?
@@ -38,27 +39,27 @@ bsd-4-clause | bsd | (?:(?:four|4)(?:~|-)clause~bsd|bsd(?:~|-)(?:four|4)(?:~|-)c
 gpl-1.0 | gener | (?:gnu~)?general~public(?:~license)?,?{v}
 gpl-2.0 | gener | (?:gnu~)?general~public(?:~license)?,?{v}
 gpl-3.0 | gener | (?:gnu~)?general~public(?:~license)?,?{v}
-lgpl-2.0 | lesser | (?:gnu~)?(?:library|lesser)~general~public(?:~license)?,?{v}
+lgpl-2.0 | gener | (?:gnu~)?(?:library|lesser)~general~public(?:~license)?,?{v}
 lgpl-2.1 | lesser | (?:gnu~)?lesser~general~public(?:~license)?,?{v}
 lgpl-3.0 | lesser | (?:gnu~)?lesser~general~public(?:~license)?,?{v}
 agpl-3.0 | affero | (?:gnu~)?affero~general~public(?:~license)?,?{v}
-gfdl-1.2 | free documentation | (?:gnu~)?free~documentation(?:~license)?,?{v}
-gfdl-1.3 | free documentation | (?:gnu~)?free~documentation(?:~license)?,?{v}
+gfdl-1.2 | free~documentation | (?:gnu~)?free~documentation(?:~license)?,?{v}
+gfdl-1.3 | free~documentation | (?:gnu~)?free~documentation(?:~license)?,?{v}
 mpl-1.0 | mozilla | mozilla~public(?:~license)?,?{v}
 mpl-1.1 | mozilla | mozilla~public(?:~license)?,?{v}
 mpl-2.0 | mozilla | mozilla~public(?:~license)?,?{v}
 epl-1.0 | eclipse | eclipse~public(?:~license)?,?{v}
 epl-2.0 | eclipse | eclipse~public(?:~license)?,?{v}
-cddl-1.0 | common development | common~development~and~distribution(?:~license)?,?{v}
-cddl-1.1 | common development | common~development~and~distribution(?:~license)?,?{v}
-eupl-1.1 | european union | european~union~public(?:~license|~licence)?,?{v}
-eupl-1.2 | european union | european~union~public(?:~license|~licence)?,?{v}
+cddl-1.0 | common~development | common~development~and~distribution(?:~license)?,?{v}
+cddl-1.1 | common~development | common~development~and~distribution(?:~license)?,?{v}
+eupl-1.1 | european~union | european~union~public(?:~license|~licence)?,?{v}
+eupl-1.2 | european~union | european~union~public(?:~license|~licence)?,?{v}
 artistic-1.0 | artistic | artistic(?:~license)?,?{v}
 artistic-2.0 | artistic | artistic(?:~license)?,?{v}
 bsl-1.0 | boost | boost~software(?:~license)?,?{v}
-osl-3.0 | open software | open~software(?:~license)?,?{v}
+osl-3.0 | open~software | open~software(?:~license)?,?{v}
 afl-3.0 | academic | academic~free(?:~license)?,?{v}
-cpl-1.0 | common public | common~public(?:~license)?,?{v}
+cpl-1.0 | common~public | common~public(?:~license)?,?{v}
 ipl-1.0 | ibm | ibm~public(?:~license)?,?{v}
 psf-2.0 | python | python~software~foundation(?:~license)?,?{v}
 ms-pl | microsoft | microsoft~public
@@ -69,9 +70,9 @@ libpng | libpng | libpng
 unlicense | unlicense | (?:the~)?unlicense
 wtfpl | wtfpl | wtfpl
 ncsa | ncsa | (?:university~of~illinois/)?ncsa~open~source
-ofl-1.1 | open font | (?:sil~)?open~font(?:~license)?,?{v}
+ofl-1.1 | open~font | (?:sil~)?open~font(?:~license)?,?{v}
 ecl-2.0 | educational | educational~community(?:~license)?,?{v}
-upl-1.0 | universal permissive | universal~permissive(?:~license)?,?{v}
+upl-1.0 | universal~permissive | universal~permissive(?:~license)?,?{v}
 zpl-2.1 | zope | zope~public(?:~license)?,?{v}
 php-3.01 | php | php(?:~license)?,?{v}
 postgresql | postgresql | postgresql
@@ -79,19 +80,19 @@ openssl | openssl | openssl
 ruby | ruby | ruby
 vim | vim | vim
 cc0-1.0 | cc0 | cc0(?:~universal)?,?{v}
-cc-by-3.0 | cc by | cc(?:~|-)by{v}
-cc-by-4.0 | cc by | cc(?:~|-)by{v}
-cc-by-sa-3.0 | cc by-sa | cc(?:~|-)by-sa{v}
-cc-by-sa-4.0 | cc by-sa | cc(?:~|-)by-sa{v}
-cc-by-nc-3.0 | cc by-nc | cc(?:~|-)by-nc{v}
-cc-by-nc-4.0 | cc by-nc | cc(?:~|-)by-nc{v}
-cc-by-nd-4.0 | cc by-nd | cc(?:~|-)by-nd{v}
-cc-by-nc-sa-4.0 | cc by-nc-sa | cc(?:~|-)by-nc-sa{v}
-cc-by-nc-nd-4.0 | cc by-nc-nd | cc(?:~|-)by-nc-nd{v}
-odbl-1.0 | open database | open~database(?:~license)?,?{v}
-odc-by-1.0 | open data commons | open~data~commons~attribution(?:~license)?,?{v}
-openrail | openrail | (?:creativeml~|bigscience~)?open~?rail(?:-m)?
-proprietary | all rights reserved | all~rights~reserved
+cc-by-3.0 | cc(?:~|-)by | cc(?:~|-)by{v}
+cc-by-4.0 | cc(?:~|-)by | cc(?:~|-)by{v}
+cc-by-sa-3.0 | cc(?:~|-)by-sa | cc(?:~|-)by-sa{v}
+cc-by-sa-4.0 | cc(?:~|-)by-sa | cc(?:~|-)by-sa{v}
+cc-by-nc-3.0 | cc(?:~|-)by-nc | cc(?:~|-)by-nc{v}
+cc-by-nc-4.0 | cc(?:~|-)by-nc | cc(?:~|-)by-nc{v}
+cc-by-nd-4.0 | cc(?:~|-)by-nd | cc(?:~|-)by-nd{v}
+cc-by-nc-sa-4.0 | cc(?:~|-)by-nc-sa | cc(?:~|-)by-nc-sa{v}
+cc-by-nc-nd-4.0 | cc(?:~|-)by-nc-nd | cc(?:~|-)by-nc-nd{v}
+odbl-1.0 | open~database | open~database(?:~license)?,?{v}
+odc-by-1.0 | open~data~commons | open~data~commons~attribution(?:~license)?,?{v}
+openrail | open~?rail | (?:creativeml~|bigscience~)?open~?rail(?:-m)?
+proprietary | all~rights~reserved | all~rights~reserved
 """
 
 #: priority, score, keyword ({k} is the title's), and the form around a title `{t}` or label `{l}`;
@@ -132,6 +133,30 @@ def signature_rules() -> list[tuple[int, float, bytes, re.Pattern, str]]:
     return sorted(out, key=lambda r: -r[0])
 
 
+def gate(keyword: bytes) -> re.Pattern | None:
+    """The pattern of a keyword that may have several forms; None where it is a plain word."""
+    return None if keyword.isalnum() else re.compile(keyword.replace(b"~", rb"(?:[\s,]+)"))
+
+
+def held_keywords(text: bytes, at: np.ndarray, gates: dict[bytes, re.Pattern | None]) -> dict[int, set[bytes]]:
+    """The keywords in each of the texts that make up `text`, text k from at[k] to at[k + 1]; texts without any are left out."""
+    held: dict[int, set[bytes]] = {}
+    for key, pattern in gates.items():
+        if pattern is None:
+            find = lambda p, key=key: (q := text.find(key, p), q + len(key))
+        else:
+            find = lambda p, pattern=pattern: m.span() if (m := pattern.search(text, p)) else (-1, -1)
+        p, end = find(0)
+        while p >= 0:  # one look a text is enough
+            d = int(np.searchsorted(at, p, side="right")) - 1
+            if end <= at[d + 1]:
+                held.setdefault(d, set()).add(key)
+                p, end = find(int(at[d + 1]))
+            else:  # it runs into the next text
+                p, end = find(p + 1)
+    return held
+
+
 def kept_detections(found: list[tuple[int, int, int, float, str]]) -> list[tuple[int, int, int, float, str]]:
     """Of (priority, start, end, score, label), those that no better one contains."""
     out: list[tuple[int, int, int, float, str]] = []
@@ -168,7 +193,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, rules = base_patterns(), signature_rules()
-        keywords = sorted({r[2] for r in rules})
+        gates = {key: gate(key) for key in sorted({r[2] for r in rules})}
         for b in batches:
             x, off = flat(b.column(1))
             for i, j in groups(off):
@@ -183,16 +208,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 rows = j - i
                 n_base, first, last = np.zeros(rows, np.int64), [None] * rows, [None] * rows
                 labels, base_labels, score = [""] * rows, [""] * rows, np.zeros(rows)
-                held: dict[int, set[bytes]] = {}
-                for key in keywords:
-                    p = text.find(key)
-                    while p >= 0:  # one look a text is enough
-                        d = int(np.searchsorted(at, p, side="right")) - 1
-                        if p + len(key) <= at[d + 1]:
-                            held.setdefault(d, set()).add(key)
-                            p = text.find(key, int(at[d + 1]))
-                        else:
-                            p = text.find(key, p + 1)
+                held = held_keywords(text, at, gates)
                 for d, keys in held.items():
                     lo, hi = int(at[d]), int(at[d + 1])
                     own = text[lo:hi]

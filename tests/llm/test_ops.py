@@ -166,6 +166,49 @@ def test_suppression():
     assert len(licenses.signature_rules()) > 200
 
 
+@pytest.mark.parametrize(
+    "text, labels",
+    [
+        ("GNU Library General Public License version 2", "gpl,lgpl-2.0"),
+        ("licensed under CC-BY-4.0", "cc-by-4.0"),
+        ("CC-BY-SA 4.0 license", "cc-by-sa-4.0"),
+        ("GNU Free\nDocumentation License 1.3", "gfdl-1.3"),
+        ("released under the Open RAIL license", "openrail"),
+        ("All  rights\nreserved license", "proprietary"),
+    ],
+)
+def test_license_keywords(spark, text, labels):
+    assert licenses.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["labels"] == labels
+
+
+def test_license_prefilter_loses_nothing(spark):
+    texts = []
+    for line in licenses.TITLES.strip().splitlines():
+        label, _, title = (x.strip() for x in line.split(" | "))
+        version = label.rpartition("-")[2]
+        for blank in (" ", "-", "\n", ",  "):
+            for pick in (0, -1):
+                # plain forms of a title: the first or the last alternative of each group, and without its optional parts
+                for optional in (r"\1", ""):
+                    t = title.replace("{v}", "~" + version).replace("~?", "~")
+                    while "(" in t:
+                        t = re.sub(r"\(\?:([^()]*)\)\?", lambda m: m[1].split("|")[0] if optional else "", t)
+                        t = re.sub(r"\(\?:([^()]*)\)(?!\?)", lambda m: m[1].split("|")[pick], t)
+                    t = t.replace("?", "").replace("~", blank)
+                    texts += [f"{t} license", f"{t}{blank}licence", f"licensed under{blank}the {t}", f"under the terms: {t}", f"license: {label}", f"SPDX-License-Identifier: {label}-only"]
+    texts = sorted(set(texts)) + ["all rights", " reserved", "cc", "-by 4.0 license"]
+    got = [r["labels"] for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).orderBy("doc_id").collect()]
+    base, rules = licenses.base_patterns(), licenses.signature_rules()
+    some = 0
+    for text, labels in zip(texts, got, strict=True):
+        x = text.lower().encode()
+        found = [(p, m.start(), m.end(), s, label) for p, s, _, pattern, label in rules for m in pattern.finditer(x)]
+        names = {label for pattern, label in base if pattern.search(x)}
+        assert labels == ",".join(sorted(names | {k[4] for k in licenses.kept_detections(found)})), text
+        some += bool(found)
+    assert some > 1000
+
+
 # --- near duplicates
 
 
