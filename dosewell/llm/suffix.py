@@ -7,6 +7,9 @@ lies in one phrase. Equal windows have equal triggers, wherever they stand.
 1. Trigger hashes are counted over the corpus; text whose triggers occur once has no repeats.
 2. The other phrases are dealt out by trigger hash. Equal phrases become one dictionary entry, with
    its first place in the corpus from the parse; all other places of it are repeats as a whole.
+   A trigger that very many documents have (the edge of a common passage, with other text around it
+   each time) is hot: its phrases are cut to windows, those are dealt out by the hash of all their
+   bytes, and a window whose hash occurs once is no repeat.
 3. The suffixes of a part's dictionary are ordered by prefix doubling (8, 16, 32, ... bytes) up to
    `length` bytes, without hashes. Suffixes of equal rank are equal windows; the parse gives the
    first one in corpus order, and the others are repeats.
@@ -28,6 +31,12 @@ from dosewell.llm.common import flat, groups, keep, mix64, partitions
 WINDOW = 32
 #: Bytes of text that are hashed in one go.
 PART_BYTES = 1 << 20
+#: Places of a trigger in the corpus beyond which its phrases are dealt out window by window.
+HOT = 1 << 13
+#: A document's places of one trigger that may count as one.
+PLACES = 4
+#: Bytes of hot phrases that are cut to windows in one go.
+CUT_BYTES = 1 << 17
 
 _TABLE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 _BASE = 0xE7037ED1A0B428DB
@@ -121,6 +130,7 @@ def _parsed(x: np.ndarray, off: np.ndarray, length: int) -> Iterator[tuple[np.nd
 def repeated_triggers(docs: DataFrame, length: int) -> DataFrame:
     """(doc_id, h): trigger hashes of the documents that occur more than once in the corpus.
 
+    A document has a hash once, or as often as it occurs there if that is more than `PLACES` times.
     Hashes are counted inside each task first; what is dealt out is a block of (hash, document)
     for every range of hashes, so a task sends few large rows.
     """
@@ -147,6 +157,8 @@ def repeated_triggers(docs: DataFrame, length: int) -> DataFrame:
             # a hash once for each document, with the mark that this batch has it twice
             first = np.ones(len(h), bool)
             first[1:] = ~same[1:] | (row[1:] != row[:-1])
+            edge = np.append(np.flatnonzero(first), len(h))
+            first |= np.repeat(np.diff(edge) > PLACES, np.diff(edge))
             row, h, twin = row[first], h[first], twin[first]
             part = ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
             doc = ids[row].astype(np.int64)
@@ -266,47 +278,138 @@ def first_places(text: list[bytes], doc: np.ndarray, start: np.ndarray) -> tuple
     return np.array(first, np.int64), np.array(again, np.int64)
 
 
-def repeated_windows(docs: DataFrame, hits: DataFrame, length: int) -> DataFrame:
-    """doc_id, start, stop: ranges [start, stop) of windows of `length` bytes that occurred earlier in the corpus.
+_DEALT = "part int, h long, doc_id long, start long, stop long, phrase binary"
 
-    `docs` has doc_id and text, `hits` doc_id and the array of its repeated trigger hashes. Corpus
-    order is by doc_id, then by place.
+
+def _rows(part, h, doc, start, stop, phrase) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(doc), pa.array(start), pa.array(stop), phrase], names=["part", "h", "doc_id", "start", "stop", "phrase"])
+
+
+def _sent(h: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray, text: list[bytes], parts: int) -> Iterator[pa.RecordBatch]:
+    """Phrases dealt out by hash. Copies inside the batch are settled and sent without text."""
+    first, again = first_places(text, doc, start)
+    part = (h[first] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+    yield _rows(part, h[first], doc[first], start[first], np.full(len(first), -1), pa.array([text[r] for r in first.tolist()], pa.binary()))
+    if len(again):
+        yield _settled(h[again], doc[again], start[again], start[again] + n[again], parts)
+
+
+def _settled(h: np.ndarray, doc: np.ndarray, start: np.ndarray, stop: np.ndarray, parts: int) -> pa.RecordBatch:
+    return _rows(mix64(doc.astype(np.uint64)) % np.uint64(parts), h, doc, start, stop, pa.nulls(len(doc), pa.binary()))
+
+
+#: Words of 64 bits in the filter of window hashes: 2 MB however many there are.
+_FILTER_BITS = 18
+
+
+def _windows(hot: DataFrame, length: int, parts: int) -> DataFrame:
+    """The windows of hot phrases, dealt out by the hash of all their bytes, but for those whose hash occurs once."""
+
+    def cut_up(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(bytes, window's place in them, its phrase, its place in the phrase, its hash), some phrases at a time."""
+        x, off = flat(column)
+        for i, j in groups(off, CUT_BYTES):
+            own = off[i : j + 1] - off[i]
+            n = np.diff(own) - length + 1
+            at = _spread(own[:-1], n)
+            part = x[off[i] : off[j]]
+            yield part, at, i + np.repeat(np.arange(j - i), n), at - np.repeat(own[:-1], n), rolling(part, length)[at]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for *_, h in cut_up(b.column(0)):
+                h, n = np.unique(h, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+
+    several = hot.select("phrase").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1")
+    bit = F.shiftrightunsigned("h", 64 - 6 - _FILTER_BITS).alias("b")
+    words = several.select(bit).groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("v")).toPandas()
+    table = np.zeros(1 << _FILTER_BITS, np.int64)
+    table[words["w"].to_numpy(np.int64)] = words["v"].to_numpy(np.int64)
+    shared = hot.sparkSession.sparkContext.broadcast(table.view(np.uint64))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Windows that may be repeated; one that the filter lets through in vain meets no other."""
+        for b in batches:
+            b = b.sort_by([("doc_id", "ascending"), ("start", "ascending")])  # so windows come in corpus order
+            doc, start = b.column("doc_id").to_numpy(), b.column("start").to_numpy()
+            seen: set[bytes] = set()
+            for x, at, row, place, h in cut_up(b.column("phrase")):
+                k = h >> np.uint64(64 - 6 - _FILTER_BITS)
+                some = np.flatnonzero((shared.value[(k >> np.uint64(6)).astype(np.int64)] >> (k & np.uint64(63))) & np.uint64(1))
+                raw = x.tobytes()
+                new = np.zeros(len(some), bool)
+                text = []
+                for n, p in enumerate(at[some].tolist()):
+                    if (window := raw[p : p + length]) not in seen:
+                        seen.add(window)
+                        text.append(window)
+                        new[n] = True
+                d, s, h = doc[row[some]], start[row[some]] + place[some], h[some]
+                if text:
+                    part = (h[new] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+                    yield _rows(part, h[new], d[new], s[new], np.full(len(text), -1), pa.array(text, pa.binary()))
+                d, s, h = d[~new], s[~new], h[~new]
+                if len(d):  # runs of windows in a row are one range
+                    fresh = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (s[1:] != s[:-1] + 1))))
+                    yield _settled(h[fresh], d[fresh], s[fresh], s[np.append(fresh[1:], len(s)) - 1] + 1, parts)
+
+    return hot.select("doc_id", "start", "phrase").mapInArrow(send, _DEALT)
+
+
+def dealt_phrases(docs: DataFrame, hits: DataFrame, length: int) -> DataFrame:
+    """part, h, doc_id, start, stop, phrase: phrases of repeated triggers, or windows of hot ones, dealt out by hash.
+
+    What is known to be a repeat has its `stop` and no phrase; the others have stop -1.
     """
     parts = 8 * partitions(docs.sparkSession)
+    # each hot trigger speaks for `HOT` hits, so they are few
+    many = hits.select(F.explode("hits").alias("h")).groupBy("h").count().filter(F.col("count") > HOT).select("h").toPandas()["h"]
+    hot = np.sort(many.to_numpy(np.int64).view(np.uint64))
+
+    def parsed(b: pa.RecordBatch, wanted) -> Iterator[pa.RecordBatch]:
+        """Phrases of the triggers that are wanted(hashes, first row, row after the last)."""
+        x, off = flat(b.column(1))
+        ids = b.column(0).to_numpy()
+        found = []
+        text: list[bytes] = []
+        for i, j, a, z in _parts(off, length):
+            own = np.clip(off[i : j + 1], a, z) - a
+            lo, hi, h = phrases(x[a:z], own, length)
+            mine = wanted(h, i, j)
+            lo, hi, h = lo[mine], hi[mine], h[mine]
+            row = i + np.searchsorted(own, lo, side="right") - 1
+            raw = x[a:z].tobytes()
+            text += [raw[p : q + length] for p, q in zip(lo.tolist(), hi.tolist(), strict=True)]
+            found.append((h, ids[row], lo + a - off[row], hi - lo + 1))
+        if text:
+            yield from _sent(*(np.concatenate(c) for c in zip(*found, strict=True)), text, parts)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Phrases of repeated triggers. Copies inside a batch are settled here and sent without text."""
+        """Phrases of repeated triggers that are not hot."""
         for b in batches:
-            x, off = flat(b.column(1))
-            ids = b.column(0).to_numpy()
             known = b.column(2)
             value, at = known.flatten().to_numpy().view(np.uint64), known.offsets.to_numpy() - known.offsets[0].as_py()
-            found = []
-            text: list[bytes] = []
-            for i, j, a, z in _parts(off, length):
-                own = np.clip(off[i : j + 1], a, z) - a
-                lo, hi, h = phrases(x[a:z], own, length)
-                mine = np.isin(h, value[at[i] : at[j]])
-                lo, hi, h = lo[mine], hi[mine], h[mine]
-                row = i + np.searchsorted(own, lo, side="right") - 1
-                raw = x[a:z].tobytes()
-                text += [raw[p : q + length] for p, q in zip(lo.tolist(), hi.tolist(), strict=True)]
-                found.append((h, ids[row], lo + a - off[row], hi - lo + 1))
-            if not text:
-                continue
-            h, doc, start, n = (np.concatenate(c) for c in zip(*found, strict=True))
-            first, again = first_places(text, doc, start)
-            part = (h[first] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
-            yield _rows(part, h[first], doc[first], start[first], np.full(len(first), -1), pa.array([text[r] for r in first.tolist()], pa.binary()))
-            if len(again):
-                part = mix64(doc[again].astype(np.uint64)) % np.uint64(parts)
-                yield _rows(part, h[again], doc[again], start[again], start[again] + n[again], pa.nulls(len(again), pa.binary()))
-
-    def _rows(part, h, doc, start, stop, phrase) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(doc), pa.array(start), pa.array(stop), phrase], names=["part", "h", "doc_id", "start", "stop", "phrase"])
-
-    dealt = docs.join(hits, "doc_id").select("doc_id", "text", "hits").mapInArrow(send, "part int, h long, doc_id long, start long, stop long, phrase binary")
-    return dealt.groupBy("part").applyInArrow(_resolve(length), "doc_id long, start long, stop long")
+            yield from parsed(b, lambda h, i, j, value=value, at=at: np.isin(h, value[at[i] : at[j]]) & ~np.isin(h, hot))
+
+    def send_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield from parsed(b, lambda h, i, j: np.isin(h, hot))
+
+    dealt = docs.join(hits, "doc_id").select("doc_id", "text", "hits").mapInArrow(send, _DEALT)
+    if not len(hot):
+        return dealt
+    apart = keep(docs.select("doc_id", "text").mapInArrow(send_hot, _DEALT))
+    return dealt.union(apart.filter("stop >= 0")).union(_windows(apart.filter("stop < 0"), length, parts))
+
+
+def repeated_windows(docs: DataFrame, hits: DataFrame, length: int) -> DataFrame:
+    """doc_id, start, stop: ranges [start, stop) of windows of `length` bytes that occurred earlier in the corpus.
+
+    `docs` has doc_id and text, `hits` doc_id and the array of its repeated trigger hashes. Corpus
+    order is by doc_id, then by place.
+    """
+    return dealt_phrases(docs, hits, length).groupBy("part").applyInArrow(_resolve(length), "doc_id long, start long, stop long")
 
 
 def _numbered(docs: DataFrame) -> DataFrame:

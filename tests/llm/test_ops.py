@@ -429,3 +429,20 @@ def test_long_document_is_cut_into_parts(spark, monkeypatch):
     rows = [(1, "".join(map(chr, rng.integers(97, 123, 2_300_000))) + block), (2, "z" * 10 + block)]
     got = {r["doc_id"]: r["n_removed"] for r in suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: 0, 2: 5000}
+
+
+def test_repeats_of_hot_triggers(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "HOT", 20)
+    rng = np.random.default_rng(3)
+    some = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    passage, line = some(400), some(60)
+    rows = [(i, some(150) + (passage if i % 3 else passage[:250]) + some(150)) for i in range(90)] + [(100 + i, some(50) + line + some(50)) for i in range(40)]
+    rows += [(200, "".join(line + some(45) for _ in range(50))), (201, rows[5][1][100:300])]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(30)
+    want = brute_repeats(sorted(rows), 100)
+    for r in suffix.remove_repeats(d, texts=True).collect():
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"], bytes(r["kept"])) == want[r["doc_id"]]
+    triggers = suffix.repeated_triggers(d, 100)
+    assert triggers.groupBy("h").count().agg(F.max("count")).first()[0] > 3 * suffix.HOT
+    dealt = suffix.dealt_phrases(d, triggers.groupBy("doc_id").agg(F.array_agg("h").alias("hits")), 100).filter("stop < 0")
+    assert dealt.groupBy("h").agg(F.countDistinct("phrase").alias("n")).agg(F.max("n")).first()[0] <= suffix.HOT
