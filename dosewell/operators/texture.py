@@ -114,11 +114,12 @@ def texture_map(quantised: DataFrame, levels: int, reach: int = 1, offsets=DIREC
     return _blocks(quantised, 8, halo).groupBy("structure", "block").applyInPandas(run, "structure string, i int, j int, k int, energy double, entropy double, contrast double")
 
 
-def size_zones(quantised: DataFrame, rounds: int = 100) -> DataFrame:
+def size_zones(quantised: DataFrame) -> DataFrame:
     """How many 26-connected zones of each level and size a structure has: structure, level, size, n.
 
     Zones are found inside blocks of slices by NumPy first; zones that touch across blocks are then joined
-    by passing the least label along the few links between blocks until nothing changes.
+    by passing the least label along the few links between blocks until nothing changes. After each
+    pass a label also takes what its zone's own label has come to, so that long zones need few passes.
     """
     size = 8
 
@@ -153,12 +154,16 @@ def size_zones(quantised: DataFrame, rounds: int = 100) -> DataFrame:
     links = moved.join(x.filter(F.col("k") % size == 0).withColumnRenamed("label", "b"), ["structure", "level", *AT]).select("structure", "a", "b").distinct()
     both = cut(links.union(links.select("structure", F.col("b"), F.col("a"))))
     least = both.select("structure", F.col("a").alias("label")).distinct().withColumn("zone", F.col("label"))
-    for _ in range(rounds):
+    while True:
         told = both.join(least.withColumnRenamed("label", "b"), ["structure", "b"]).groupBy("structure", F.col("a").alias("label")).agg(F.min("zone").alias("_z"))
         new = cut(least.join(told, ["structure", "label"]).select("structure", "label", F.least("zone", "_z").alias("zone"), (F.col("_z") < F.col("zone")).alias("_c")))
+        changed = not new.filter("_c").isEmpty()
         least = new.drop("_c")
-        if new.filter("_c").isEmpty():
+        if not changed:
             break
+        for _ in range(2):
+            further = least.select("structure", F.col("label").alias("zone"), F.col("zone").alias("_z"))
+            least = cut(least.join(further, ["structure", "zone"]).select("structure", "label", F.col("_z").alias("zone")))
     whole = zones.join(least, ["structure", "label"], "left").groupBy("structure", "level", F.coalesce("zone", "label").alias("z")).agg(F.sum("n").alias("size"))
     return whole.groupBy("structure", "level", "size").agg(F.count("*").alias("n"))
 

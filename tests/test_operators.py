@@ -175,3 +175,10 @@ def test_empty_tables(spark, coo):
     assert coeffs.apply_weights(none, spark.createDataFrame([], "beam int, beamlet long, weight double")).count() == 0
     assert dvh.dvh_differential(voxel_doses(spark, [1.0]).limit(0), 1.0).count() == 0
     assert masks.surface_voxels(cube(spark).limit(0)).count() == 0
+
+
+def test_zone_through_many_blocks(spark):
+    # one line through 120 blocks of slices, more than passes that go one block at a time were allowed, and one of another level
+    rows = [("s", 0, 0, k, 1) for k in range(960)] + [("s", 5, 5, k, 2) for k in range(20)]
+    one = spark.createDataFrame(rows, "structure string, i int, j int, k int, level int")
+    assert sorted(tuple(r) for r in texture.size_zones(one).collect()) == [("s", 1, 960, 1), ("s", 2, 20, 1)]
