@@ -37,11 +37,14 @@ def keep(df: DataFrame) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage: write to the folder that all executors share and read back.
 
-    The folder is spark.checkpoint.dir; where it is unset (tests), a temporary folder is used.
+    The folder is spark.checkpoint.dir. Where it is unset, a temporary folder is used in local mode,
+    and elsewhere an error says what to set. Spark's users clear that folder as they do for checkpoints.
     """
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         folder = os.path.join(tempfile.gettempdir(), "dosewell-checkpoints")
     path = f"{folder.rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -90,14 +93,16 @@ def mix64(x: np.ndarray) -> np.ndarray:
 FILTER_WORDS = 1 << 18
 
 
-def membership(ids: DataFrame) -> Broadcast:
+def membership(ids: DataFrame, hashed: bool = True) -> Broadcast:
     """A Bloom filter of the ids (one long column) for tasks that would otherwise move texts.
 
     Its size is fixed, so it may be broadcast; with very many ids it lets more rows through than it
-    should, never fewer, and an exact join always follows.
+    should, never fewer, and an exact join always follows. Ids that are hashes by themselves may
+    be looked up by `hash_places` (`hashed` false).
     """
     c = F.col(ids.columns[0])
-    bit = F.explode(F.array(*[F.pmod(F.xxhash64(c, F.lit(k)), F.lit(FILTER_WORDS * 64)) for k in range(2)]))
+    places = [F.pmod(F.xxhash64(c, F.lit(k)), F.lit(FILTER_WORDS * 64)) if hashed else F.shiftrightunsigned(c, 40 - 24 * k).bitwiseAND(FILTER_WORDS * 64 - 1) for k in range(2)]
+    bit = F.explode(F.array(*places))
     words = ids.select(bit.alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("v"))
     out = np.zeros(FILTER_WORDS, np.int64)
     found = words.toPandas()
@@ -110,6 +115,11 @@ def with_places(df: DataFrame, id_col: str) -> DataFrame:
     return df.withColumns({f"_b{k}": F.pmod(F.xxhash64(F.col(id_col), F.lit(k)), F.lit(FILTER_WORDS * 64)) for k in range(2)})
 
 
+def hash_places(h: np.ndarray) -> list[np.ndarray]:
+    """The two places of 64-bit hashes in a membership filter that was made of them as they are."""
+    return [(h >> np.uint64(40 - 24 * k)) & np.uint64(FILTER_WORDS * 64 - 1) for k in range(2)]
+
+
 def maybe_in(words: np.ndarray, *places: np.ndarray) -> np.ndarray:
     """Whether ids with these places may be in the filter."""
     out = np.ones(len(places[0]), bool)

@@ -8,8 +8,9 @@ lies in one phrase. Equal windows have equal triggers, wherever they stand.
 2. The other phrases are dealt out by trigger hash. Equal phrases become one dictionary entry, with
    its first place in the corpus from the parse; all other places of it are repeats as a whole.
    A trigger that very many documents have (the edge of a common passage, with other text around it
-   each time) is hot: its phrases are cut to windows, those are dealt out by the hash of all their
-   bytes, and a window whose hash occurs once is no repeat.
+   each time) is hot: its phrases are split by what stands around it. The windows of a phrase are taken
+   in classes of `SPLIT` neighbours, a class is dealt out by the bytes that all its windows share, and one whose
+   bytes occur once has no repeats. A class that is hot again is dealt out window by window.
 3. The suffixes of a part's dictionary are ordered by prefix doubling (8, 16, 32, ... bytes) up to
    `length` bytes, without hashes. Suffixes of equal rank are equal windows; the parse gives the
    first one in corpus order, and the others are repeats.
@@ -22,17 +23,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dosewell.llm.common import flat, groups, keep, mix64, partitions
+from dosewell.llm.common import cut, flat, groups, hash_places, keep, maybe_in, membership, mix64, partitions
 
 #: Bytes that the rolling hash of a trigger covers.
 WINDOW = 32
 #: Bytes of text that are hashed in one go.
 PART_BYTES = 1 << 20
-#: Places of a trigger in the corpus beyond which its phrases are dealt out window by window.
+#: Places of a trigger in the corpus beyond which its phrases are split, and of a class of their windows.
 HOT = 1 << 13
+#: Neighbouring windows of a hot phrase that make a class.
+SPLIT = 8
+#: Text of triggers, and of phrases, that meet in one group of a task.
+TRIGGER_BYTES, PHRASE_BYTES = 1 << 27, 1 << 24
 #: A document's places of one trigger that may count as one.
 PLACES = 4
 #: Bytes of hot phrases that are cut to windows in one go.
@@ -86,9 +91,9 @@ def _least(h: np.ndarray, span: int) -> np.ndarray:
     return (out & np.uint64((1 << _PLACE_BITS) - 1)).astype(np.int64)
 
 
-def phrases(x: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, last window, trigger hash) of every phrase of the rows that make up x."""
-    empty = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+def phrases(x: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, last window, trigger hash, trigger's place) of every phrase of the rows that make up x."""
+    empty = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     n = len(x) - length + 1
     if n <= 0:
         return empty
@@ -106,7 +111,7 @@ def phrases(x: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, np
     new = np.ones(len(place), bool)
     new[1:] = (t[1:] != t[:-1]) | (place[1:] != place[:-1] + 1)
     at = np.flatnonzero(new)
-    return place[at], place[np.append(at[1:], len(place)) - 1], h[t[at]]
+    return place[at], place[np.append(at[1:], len(place)) - 1], h[t[at]], t[at]
 
 
 def _parts(off: np.ndarray, length: int) -> Iterator[tuple[int, int, int, int]]:
@@ -123,19 +128,24 @@ def _parsed(x: np.ndarray, off: np.ndarray, length: int) -> Iterator[tuple[np.nd
     """(row, first window, last window, trigger hash), windows as places in x, part by part."""
     for i, j, a, b in _parts(off, length):
         own = np.clip(off[i : j + 1], a, b) - a
-        lo, hi, h = phrases(x[a:b], own, length)
+        lo, hi, h, _ = phrases(x[a:b], own, length)
         yield i + np.searchsorted(own, lo, side="right") - 1, lo + a, hi + a, h
 
 
-def repeated_triggers(docs: DataFrame, length: int) -> DataFrame:
+def _in_parts(df: DataFrame, parts: int) -> DataFrame:
+    """Rows by `part`, over more tasks than usual where there are very many parts."""
+    return (df.repartition(parts, "part") if parts > 16 * partitions(df.sparkSession) else df).groupBy("part")
+
+
+def repeated_triggers(docs: DataFrame, length: int, text_bytes: int = 0) -> DataFrame:
     """(doc_id, h): trigger hashes of the documents that occur more than once in the corpus.
 
     A document has a hash once, or as often as it occurs there if that is more than `PLACES` times.
     Hashes are counted inside each task first; what is dealt out is a block of (hash, document)
-    for every range of hashes, so a task sends few large rows.
+    for every part of the scrambled hashes, so a task sends few large rows. There are as many parts
+    as `text_bytes` of text need.
     """
-    spark = docs.sparkSession
-    parts = 4 * partitions(spark)
+    parts = max(4 * partitions(docs.sparkSession), text_bytes // TRIGGER_BYTES)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -160,7 +170,7 @@ def repeated_triggers(docs: DataFrame, length: int) -> DataFrame:
             edge = np.append(np.flatnonzero(first), len(h))
             first |= np.repeat(np.diff(edge) > PLACES, np.diff(edge))
             row, h, twin = row[first], h[first], twin[first]
-            part = ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+            part = mix64(h) % np.uint64(parts)  # triggers are least hashes, so not even by themselves
             doc = ids[row].astype(np.int64)
             # one entry of a hash speaks for this batch; others are known to be repeats and go anywhere
             spare = np.zeros(len(h), bool)
@@ -186,7 +196,7 @@ def repeated_triggers(docs: DataFrame, length: int) -> DataFrame:
         return pa.table({"doc_id": doc[hit], "h": h[hit].view(np.int64)})
 
     dealt = docs.mapInArrow(send, "part int, h binary, doc binary, twin binary")
-    return dealt.groupBy("part").applyInArrow(meet, "doc_id long, h long")
+    return _in_parts(dealt, parts).applyInArrow(meet, "doc_id long, h long")
 
 
 def _spread(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -288,119 +298,141 @@ def _rows(part, h, doc, start, stop, phrase) -> pa.RecordBatch:
 def _sent(h: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray, text: list[bytes], parts: int) -> Iterator[pa.RecordBatch]:
     """Phrases dealt out by hash. Copies inside the batch are settled and sent without text."""
     first, again = first_places(text, doc, start)
-    part = (h[first] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+    part = mix64(h[first]) % np.uint64(parts)
     yield _rows(part, h[first], doc[first], start[first], np.full(len(first), -1), pa.array([text[r] for r in first.tolist()], pa.binary()))
     if len(again):
-        yield _settled(h[again], doc[again], start[again], start[again] + n[again], parts)
-
+        yield _settled(doc[again], start[again], start[again] + n[again], parts)
 
-def _settled(h: np.ndarray, doc: np.ndarray, start: np.ndarray, stop: np.ndarray, parts: int) -> pa.RecordBatch:
-    return _rows(mix64(doc.astype(np.uint64)) % np.uint64(parts), h, doc, start, stop, pa.nulls(len(doc), pa.binary()))
 
+def _settled(doc: np.ndarray, start: np.ndarray, stop: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Ranges of windows that are repeats; those of a document that follow one another are one."""
+    order = np.lexsort((start, doc))
+    doc, start, stop = doc[order], start[order], stop[order]
+    fresh = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (start[1:] > stop[:-1]))))
+    doc, start, stop = doc[fresh], start[fresh], np.maximum.reduceat(stop, fresh)
+    return _rows(mix64(doc.view(np.uint64)) % np.uint64(parts), np.zeros(len(doc), np.uint64), doc, start, stop, pa.nulls(len(doc), pa.binary()))
 
-#: Words of 64 bits in the filter of window hashes: 2 MB however many there are.
-_FILTER_BITS = 18
 
+def _classes(column: pa.Array, place: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Classes of windows of phrases whose trigger is at `place`, some phrases at a time.
 
-def _windows(hot: DataFrame, length: int, parts: int) -> DataFrame:
-    """The windows of hot phrases, dealt out by the hash of all their bytes, but for those whose hash occurs once."""
-
-    def cut_up(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """(bytes, window's place in them, its phrase, its place in the phrase, its hash), some phrases at a time."""
-        x, off = flat(column)
-        for i, j in groups(off, CUT_BYTES):
-            own = off[i : j + 1] - off[i]
-            n = np.diff(own) - length + 1
-            at = _spread(own[:-1], n)
-            part = x[off[i] : off[j]]
-            yield part, at, i + np.repeat(np.arange(j - i), n), at - np.repeat(own[:-1], n), rolling(part, length)[at]
+    Gives (bytes, phrase, where it begins in the bytes, class's first window in the phrase, its last one,
+    hash). Windows that start from 0 to SPLIT - 1 bytes before the trigger are class 0, the next ones
+    class 1, and so on; the hash is of the class and of the bytes that all windows of a class share, so equal
+    windows of a trigger have equal classes and hashes.
+    """
+    x, off = flat(column)
+    split = min(SPLIT, length - min(WINDOW, length) + 1)
+    core = length - split + 1
+    for i, j in groups(off, CUT_BYTES):
+        own = off[i : j + 1] - off[i]
+        n, at = np.diff(own) - length + 1, place[i:j]
+        low, high = (at - n + 1) // split, at // split
+        row = np.repeat(np.arange(j - i), high - low + 1)
+        kind = _spread(low, high - low + 1)
+        first, last = np.maximum(0, at[row] - split * kind - split + 1), np.minimum(n[row] - 1, at[row] - split * kind)
+        part = x[off[i] : off[j]]
+        h = mix64(rolling(part, core)[own[row] + at[row] - split * kind] + kind.astype(np.uint64))
+        yield part, i + row, own[row], first, last, h
+
+
+def _split(hot: DataFrame, length: int, parts: int) -> DataFrame:
+    """The windows of hot phrases in classes, or one by one where a class is hot, dealt out by hash; none that surely occur once."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for *_, h in cut_up(b.column(0)):
+            for *_, h in _classes(b.column(0), b.column(1).to_numpy(), length):
                 h, n = np.unique(h, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
 
-    several = hot.select("phrase").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1")
-    bit = F.shiftrightunsigned("h", 64 - 6 - _FILTER_BITS).alias("b")
-    words = several.select(bit).groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("v")).toPandas()
-    table = np.zeros(1 << _FILTER_BITS, np.int64)
-    table[words["w"].to_numpy(np.int64)] = words["v"].to_numpy(np.int64)
-    shared = hot.sparkSession.sparkContext.broadcast(table.view(np.uint64))
+    several = keep(hot.select("phrase", "place").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1"))
+    bits = membership(several.select(F.col("h").alias("k")), hashed=False)
+    # each speaks for `HOT` places, so they are few
+    again = np.sort(several.filter(F.col("n") > HOT).select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Windows that may be repeated; one that the filter lets through in vain meets no other."""
         for b in batches:
-            b = b.sort_by([("doc_id", "ascending"), ("start", "ascending")])  # so windows come in corpus order
             doc, start = b.column("doc_id").to_numpy(), b.column("start").to_numpy()
-            seen: set[bytes] = set()
-            for x, at, row, place, h in cut_up(b.column("phrase")):
-                k = h >> np.uint64(64 - 6 - _FILTER_BITS)
-                some = np.flatnonzero((shared.value[(k >> np.uint64(6)).astype(np.int64)] >> (k & np.uint64(63))) & np.uint64(1))
+            for x, row, base, first, last, h in _classes(b.column("phrase"), b.column("place").to_numpy(), length):
+                some = maybe_in(bits.value, *hash_places(h))
+                row, base, first, last, h = (c[some] for c in (row, base, first, last, h))
+                if not len(row):
+                    continue
+                single = np.isin(h, again)
+                one = np.flatnonzero(~single)
+                windows = last[single] - first[single] + 1
+                of = np.concatenate((one, np.repeat(np.flatnonzero(single), windows)))
+                begin = np.concatenate((first[one], _spread(first[single], windows)))
+                n = np.concatenate((last[one] - first[one] + 1, np.ones(int(windows.sum()), np.int64)))
+                key = h[of]
+                alone = np.arange(len(of)) >= len(one)
+                if alone.any():
+                    key[alone] = rolling(x, length)[base[of[alone]] + begin[alone]]
                 raw = x.tobytes()
-                new = np.zeros(len(some), bool)
-                text = []
-                for n, p in enumerate(at[some].tolist()):
-                    if (window := raw[p : p + length]) not in seen:
-                        seen.add(window)
-                        text.append(window)
-                        new[n] = True
-                d, s, h = doc[row[some]], start[row[some]] + place[some], h[some]
-                if text:
-                    part = (h[new] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
-                    yield _rows(part, h[new], d[new], s[new], np.full(len(text), -1), pa.array(text, pa.binary()))
-                d, s, h = d[~new], s[~new], h[~new]
-                if len(d):  # runs of windows in a row are one range
-                    fresh = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (s[1:] != s[:-1] + 1))))
-                    yield _settled(h[fresh], d[fresh], s[fresh], s[np.append(fresh[1:], len(s)) - 1] + 1, parts)
-
-    return hot.select("doc_id", "start", "phrase").mapInArrow(send, _DEALT)
-
-
-def dealt_phrases(docs: DataFrame, hits: DataFrame, length: int) -> DataFrame:
-    """part, h, doc_id, start, stop, phrase: phrases of repeated triggers, or windows of hot ones, dealt out by hash.
+                text = [raw[p : p + k] for p, k in zip((base[of] + begin).tolist(), (n + length - 1).tolist(), strict=True)]
+                yield from _sent(key, doc[row[of]], start[row[of]] + begin, n, text, parts)
+
+    return hot.select("doc_id", "start", "place", "phrase").mapInArrow(send, _DEALT)
+
+
+def dealt_phrases(docs: DataFrame, hits: DataFrame, length: int, parts: int | None = None) -> DataFrame:
+    """part, h, doc_id, start, stop, phrase: phrases of repeated triggers, or classes of windows of hot ones, dealt out by hash.
 
     What is known to be a repeat has its `stop` and no phrase; the others have stop -1.
     """
-    parts = 8 * partitions(docs.sparkSession)
+    parts = parts or _phrase_parts(hits, length)
     # each hot trigger speaks for `HOT` hits, so they are few
     many = hits.select(F.explode("hits").alias("h")).groupBy("h").count().filter(F.col("count") > HOT).select("h").toPandas()["h"]
     hot = np.sort(many.to_numpy(np.int64).view(np.uint64))
 
-    def parsed(b: pa.RecordBatch, wanted) -> Iterator[pa.RecordBatch]:
-        """Phrases of the triggers that are wanted(hashes, first row, row after the last)."""
+    def parsed(b: pa.RecordBatch, wanted) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]] | None:
+        """(trigger hash, doc_id, start, windows, trigger's place in the phrase, phrase) of wanted(hashes, first row, row after the last)."""
         x, off = flat(b.column(1))
         ids = b.column(0).to_numpy()
         found = []
         text: list[bytes] = []
         for i, j, a, z in _parts(off, length):
             own = np.clip(off[i : j + 1], a, z) - a
-            lo, hi, h = phrases(x[a:z], own, length)
+            lo, hi, h, t = phrases(x[a:z], own, length)
             mine = wanted(h, i, j)
-            lo, hi, h = lo[mine], hi[mine], h[mine]
+            lo, hi, h, t = lo[mine], hi[mine], h[mine], t[mine]
             row = i + np.searchsorted(own, lo, side="right") - 1
             raw = x[a:z].tobytes()
             text += [raw[p : q + length] for p, q in zip(lo.tolist(), hi.tolist(), strict=True)]
-            found.append((h, ids[row], lo + a - off[row], hi - lo + 1))
-        if text:
-            yield from _sent(*(np.concatenate(c) for c in zip(*found, strict=True)), text, parts)
+            found.append((h, ids[row], lo + a - off[row], hi - lo + 1, t - lo))
+        return (*(np.concatenate(c) for c in zip(*found, strict=True)), text) if text else None
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Phrases of repeated triggers that are not hot."""
         for b in batches:
             known = b.column(2)
             value, at = known.flatten().to_numpy().view(np.uint64), known.offsets.to_numpy() - known.offsets[0].as_py()
-            yield from parsed(b, lambda h, i, j, value=value, at=at: np.isin(h, value[at[i] : at[j]]) & ~np.isin(h, hot))
+            if found := parsed(b, lambda h, i, j, value=value, at=at: np.isin(h, value[at[i] : at[j]]) & ~np.isin(h, hot)):
+                h, doc, start, n, _, text = found
+                yield from _sent(h, doc, start, n, text, parts)
 
     def send_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Phrases of hot triggers; copies inside a batch are settled."""
         for b in batches:
-            yield from parsed(b, lambda h, i, j: np.isin(h, hot))
+            if found := parsed(b, lambda h, i, j: np.isin(h, hot)):
+                _, doc, start, n, place, text = found
+                first, again = first_places(text, doc, start)
+                order = np.concatenate((first, again))
+                stop = np.where(np.arange(len(order)) < len(first), -1, (start + n)[order])
+                yield pa.RecordBatch.from_arrays([pa.array(c[order]) for c in (doc, start)] + [pa.array(stop), pa.array(place[order]), pa.array([text[r] for r in first.tolist()] + [None] * len(again), pa.binary())], names=["doc_id", "start", "stop", "place", "phrase"])
 
     dealt = docs.join(hits, "doc_id").select("doc_id", "text", "hits").mapInArrow(send, _DEALT)
     if not len(hot):
         return dealt
-    apart = keep(docs.select("doc_id", "text").mapInArrow(send_hot, _DEALT))
-    return dealt.union(apart.filter("stop >= 0")).union(_windows(apart.filter("stop < 0"), length, parts))
+    apart = keep(docs.select("doc_id", "text").mapInArrow(send_hot, "doc_id long, start long, stop long, place long, phrase binary"))
+    known = apart.filter("stop >= 0").select(F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("part"), F.lit(0).cast("long").alias("h"), "doc_id", "start", "stop", "phrase")
+    return dealt.union(known).union(_split(apart.filter("stop < 0"), length, parts))
+
+
+def _phrase_parts(hits: DataFrame, length: int) -> int:
+    """As many parts as the phrases of so many repeated triggers need."""
+    n = hits.agg(F.sum(F.size("hits"))).first()[0] or 0
+    return max(8 * partitions(hits.sparkSession), n * 2 * length // PHRASE_BYTES)
 
 
 def repeated_windows(docs: DataFrame, hits: DataFrame, length: int) -> DataFrame:
@@ -409,20 +441,21 @@ def repeated_windows(docs: DataFrame, hits: DataFrame, length: int) -> DataFrame
     `docs` has doc_id and text, `hits` doc_id and the array of its repeated trigger hashes. Corpus
     order is by doc_id, then by place.
     """
-    return dealt_phrases(docs, hits, length).groupBy("part").applyInArrow(_resolve(length), "doc_id long, start long, stop long")
+    parts = _phrase_parts(hits, length)
+    return _in_parts(dealt_phrases(docs, hits, length, parts), parts).applyInArrow(_resolve(length), "doc_id long, start long, stop long")
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """Gives rows that repeat an id, or have none, numbers of their own: doc_id, text -> also `own`, in corpus order."""
-    repeats = docs.select("own").groupBy("own").count().filter("`count` > 1 or own is null")
-    most = repeats.agg(F.max("count"), F.max(F.abs("own"))).first()
-    if most[0] is None:
+    """Gives rows numbers of their own in corpus order where ids repeat or are null: doc_id, text, own -> also a new `own`.
+
+    Only then are texts moved and written, in ranges of (id, hash of the text), null ids last; the place in the
+    ranges' order is the number, so no id and no text needs a task of its own.
+    """
+    if docs.select("own").groupBy("own").count().filter("`count` > 1 or own is null").isEmpty():
         return docs
-    last = docs.agg(F.max("own")).first()[0] or 0
-    if (max(abs(last), most[1] or 0) + 2) * (most[0] + 1) >= 1 << 63:
-        raise ValueError("ids are too large to number the rows that repeat them")
-    of = Window.partitionBy("own").orderBy(F.xxhash64("text"), "text")
-    return docs.withColumn("_k", F.row_number().over(of) - 1).withColumn("own", F.coalesce("own", F.lit(last + 1)) * (most[0] + 1) + F.col("_k")).drop("_k")
+    keys = [F.col("own").asc_nulls_last(), F.xxhash64("text"), "_n"]
+    ranged = docs.withColumn("_n", F.monotonically_increasing_id()).repartitionByRange(partitions(docs.sparkSession), *keys).sortWithinPartitions(*keys)
+    return cut(ranged.withColumn("own", F.monotonically_increasing_id()).drop("_n"))
 
 
 def remove_repeats(docs: DataFrame, length: int = 100, texts: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -432,13 +465,14 @@ def remove_repeats(docs: DataFrame, length: int = 100, texts: bool = False, id_c
     smaller id, or earlier in the same one. Strings are those of the input, in UTF-8, whatever is
     removed elsewhere. Null is empty; a text under `length` bytes is kept whole; `kept` is
     binary, as a cut may fall inside a character. Rows that repeat an id are documents of their own, in
-    the order of their texts' hashes; null ids come last. Empty tables give no rows; other columns
-    are not read.
+    the order of their texts' hashes; null ids come last; ids may be any longs. Empty tables give no
+    rows; other columns are not read.
     """
     x = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).cast("long").alias("own"))
     x = _numbered(x)
     keyed = x.select(F.col("own").alias("doc_id"), "text")
-    hits = keep(repeated_triggers(keyed, length).groupBy("doc_id").agg(F.array_agg("h").alias("hits")))
+    size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    hits = keep(repeated_triggers(keyed, length, size).groupBy("doc_id").agg(F.array_agg("h").alias("hits")))
     ranges = repeated_windows(keyed, hits, length).groupBy("doc_id").agg(F.array_sort(F.array_agg(F.struct("start", "stop"))).alias("ranges"))
     kind = "own long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts
 
