@@ -304,12 +304,17 @@ def _sent(h: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray, text
         yield _settled(doc[again], start[again], start[again] + n[again], parts)
 
 
-def _settled(doc: np.ndarray, start: np.ndarray, stop: np.ndarray, parts: int) -> pa.RecordBatch:
-    """Ranges of windows that are repeats; those of a document that follow one another are one."""
+def _joined(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges of windows with those of a document that follow one another made one."""
     order = np.lexsort((start, doc))
     doc, start, stop = doc[order], start[order], stop[order]
     fresh = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (start[1:] > stop[:-1]))))
-    doc, start, stop = doc[fresh], start[fresh], np.maximum.reduceat(stop, fresh)
+    return doc[fresh], start[fresh], np.maximum.reduceat(stop, fresh)
+
+
+def _settled(doc: np.ndarray, start: np.ndarray, stop: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Ranges of windows that are repeats."""
+    doc, start, stop = _joined(doc, start, stop)
     return _rows(mix64(doc.view(np.uint64)) % np.uint64(parts), np.zeros(len(doc), np.uint64), doc, start, stop, pa.nulls(len(doc), pa.binary()))
 
 
@@ -417,9 +422,11 @@ def dealt_phrases(docs: DataFrame, hits: DataFrame, length: int, parts: int | No
             if found := parsed(b, lambda h, i, j: np.isin(h, hot)):
                 _, doc, start, n, place, text = found
                 first, again = first_places(text, doc, start)
-                order = np.concatenate((first, again))
-                stop = np.where(np.arange(len(order)) < len(first), -1, (start + n)[order])
-                yield pa.RecordBatch.from_arrays([pa.array(c[order]) for c in (doc, start)] + [pa.array(stop), pa.array(place[order]), pa.array([text[r] for r in first.tolist()] + [None] * len(again), pa.binary())], names=["doc_id", "start", "stop", "place", "phrase"])
+                names = ["doc_id", "start", "stop", "place", "phrase"]
+                yield pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(start[first]), pa.array(np.full(len(first), -1)), pa.array(place[first]), pa.array([text[r] for r in first.tolist()], pa.binary())], names=names)
+                if len(again):
+                    d, s, e = _joined(doc[again], start[again], (start + n)[again])
+                    yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(s), pa.array(e), pa.nulls(len(d), pa.int64()), pa.nulls(len(d), pa.binary())], names=names)
 
     dealt = docs.join(hits, "doc_id").select("doc_id", "text", "hits").mapInArrow(send, _DEALT)
     if not len(hot):
