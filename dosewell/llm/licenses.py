@@ -1,6 +1,7 @@
 """License scans: ordered signature rules behind a keyword prefilter.
 
-Every license has a title pattern, which the forms below turn into rules of different priority. A
+Every license has a title pattern, which the forms below turn into rules of different priority, and many
+have signatures of their own from the words of their grants and notices. A
 rule's pattern runs only on texts that hold its keyword. Of the detections in a text, one that lies
 inside a detection of higher priority, or inside a longer one of the same priority, is dropped.
 """
@@ -93,16 +94,124 @@ odbl-1.0 | open~database | open~database(?:~license)?,?{v}
 odc-by-1.0 | open~data~commons | open~data~commons~attribution(?:~license)?,?{v}
 openrail | open~?rail | (?:creativeml~|bigscience~)?open~?rail(?:-m)?
 proprietary | all~rights~reserved | all~rights~reserved
+agpl-1.0 | affero | (?:gnu~)?affero~general~public(?:~license)?,?{v}
+gfdl-1.1 | free~documentation | (?:gnu~)?free~documentation(?:~license)?,?{v}
+eupl-1.0 | european~union | european~union~public(?:~license|~licence)?,?{v}
+osl-2.1 | open~software | open~software(?:~license)?,?{v}
+afl-2.1 | academic | academic~free(?:~license)?,?{v}
+apsl-2.0 | apple | apple~public~source(?:~license)?,?{v}
+rpl-1.5 | reciprocal | reciprocal~public(?:~license)?,?{v}
+cecill-2.1 | cecill | cecill(?:~license)?,?{v}
+qpl-1.0 | q~public | q~public(?:~license)?,?{v}
+lppl-1.3c | latex | latex~project~public(?:~license)?,?{v}
+spl-1.0 | sun~public | sun~public(?:~license)?,?{v}
+npl-1.1 | netscape | netscape~public(?:~license)?,?{v}
+mulanpsl-2.0 | mulan | mulan~permissive~software(?:~license)?,?{v}
+blueoak-1.0.0 | blue~oak | blue~oak~model(?:~license)?,?{v}
+busl-1.1 | business~source | business~source(?:~license)?,?{v}
+sspl-1.0 | server~side | server~side~public(?:~license)?,?{v}
+elastic-2.0 | elastic | elastic(?:~license)?,?{v}
+polyform-noncommercial-1.0.0 | polyform | polyform~noncommercial(?:~license)?,?{v}
+hippocratic-2.1 | hippocratic | hippocratic(?:~license)?,?{v}
+parity-7.0 | parity | parity~public(?:~license)?,?{v}
+ogl-3.0 | open~government | open~government(?:~license|~licence)?,?{v}
+w3c | w3c | w3c~software
+ijg | jpeg | independent~jpeg~group
+sleepycat | sleepycat | sleepycat
+hpnd | historical | historical~permission~notice~and~disclaimer
+beerware | beer | beer-?ware
+json | json | json
+curl | curl | curl
+bzip2 | bzip2 | bzip2
+icu | icu | icu
+ftl | freetype | freetype(?:~project)?
+cc-by-2.0 | cc(?:~|-)by | cc(?:~|-)by{v}
+cc-by-2.5 | cc(?:~|-)by | cc(?:~|-)by{v}
+cc-by-sa-2.0 | cc(?:~|-)by-sa | cc(?:~|-)by-sa{v}
+cc-by-nd-3.0 | cc(?:~|-)by-nd | cc(?:~|-)by-nd{v}
+cc-by-nc-sa-3.0 | cc(?:~|-)by-nc-sa | cc(?:~|-)by-nc-sa{v}
+cc-by-nc-nd-3.0 | cc(?:~|-)by-nc-nd | cc(?:~|-)by-nc-nd{v}
 """
 
+#: label | keyword | signature of a grant or notice, on lower-cased text. `~` stands for blanks, quotes and
+#: the signs that begin lines of comments; the keyword is a word that every match contains.
+BODIES = r"""
+mit | hereby | permission~is~hereby~granted~free~of~charge~to~any~person~obtaining~a~copy~of~this~software(?:~and~associated~documentation~files)?
+mit-0 | hereby | permission~is~hereby~granted~free~of~charge~to~any~person~obtaining~a~copy~of~this~software[^.]{0,500}furnished~to~do~so\.~the~software~is~provided
+ncsa | hereby | permission~is~hereby~granted~free~of~charge~to~any~person~obtaining~a~copy~of~this~software[^.]{0,400}to~deal~with~the~software
+bsl-1.0 | hereby | permission~is~hereby~granted~free~of~charge~to~any~person~or~organization~obtaining~a~copy
+unicode-dfs-2016 | unicode | permission~is~hereby~granted~free~of~charge~to~any~person~obtaining~a~copy~of~the~unicode~data~files
+upl-1.0 | hereby | subject~to~the~condition~set~forth~below~permission~is~hereby~granted
+x11 | contained | except~as~contained~in~this~notice~the~names?(?:\(s\))?~of
+isc | permission | permission~to~use~copy~modify~(?:and~or|and)~distribute~this~software~for~any~purpose~with~or~without~fee~is~hereby~granted~provided~that
+0bsd | permission | permission~to~use~copy~modify~(?:and~or|and)~distribute~this~software~for~any~purpose~with~or~without~fee~is~hereby~granted\.
+hpnd | permission | permission~to~use~copy~modify~(?:and~or|and)~distribute~this~software~and~its~documentation~for~any~purpose~(?:and~)?without~fee
+postgresql | permission | permission~to~use~copy~modify~and~distribute~this~software~and~its~documentation~for~any~purpose~without~fee~and~without~a~written~agreement
+bsd-2-clause | redistribution | redistribution~and~use~in~source~and~binary~forms~with~or~without~modification~are~permitted~provided~that~the~following~conditions~are~met
+bsd-3-clause | redistribution | redistribution~and~use~in~source~and~binary~forms~with~or~without~modification[\s\S]{0,1500}?(?:neither~the~names?~of|may~not~be~used)[\s\S]{0,200}?(?:endorse|promote)
+bsd-4-clause | redistribution | redistribution~and~use~in~source~and~binary~forms~with~or~without~modification[\s\S]{0,1200}?all~advertising~materials~mentioning~features[\s\S]{0,900}?(?:endorse|promote)
+sleepycat | redistributions | redistributions~in~any~form~must~be~accompanied~by~information~on~how~to~obtain~complete~source~code
+openssl | openssl | this~product~includes~software~developed~by~the~openssl~project
+php-3.01 | php | this~product~includes~php~software
+zlib | misrepresented | the~origin~of~this~software~must~not~be~misrepresented
+apache-2.0 | apache | licensed~under~the~apache~license~version~2\.0~\(the~license
+gpl-2.0 | redistribute | you~can~redistribute~it~and~or~modify~it~under~the~terms~of~(?:version~2~of~)?the~gnu~general~public~license(?:[^.]{0,80}version~2(?!\d|\.\d)|~as~published)
+gpl-3.0 | redistribute | you~can~redistribute~it~and~or~modify~it~under~the~terms~of~the~gnu~general~public~license~as~published~by~the~free~software~foundation[^.]{0,20}version~3(?!\d)
+lgpl-2.0 | redistribute | you~can~redistribute~it~and~or~modify~it~under~the~terms~of~the~gnu~library~general~public~license
+lgpl-2.1 | redistribute | you~can~redistribute~it~and~or~modify~it~under~the~terms~of~the~gnu~lesser~general~public~license~as~published~by~the~free~software~foundation[^.]{0,20}version~2\.1
+lgpl-3.0 | redistribute | you~can~redistribute~it~and~or~modify~it~under~the~terms~of~the~gnu~lesser~general~public~license~as~published~by~the~free~software~foundation[^.]{0,20}version~3(?!\d)
+agpl-3.0 | affero | under~the~terms~of~the~gnu~affero~general~public~license~as~published
+gfdl-1.2 | documentation | permission~is~granted~to~copy~distribute~and~or~modify~this~document~under~the~terms~of~the~gnu~free~documentation~license~version~1\.2
+gfdl-1.3 | documentation | permission~is~granted~to~copy~distribute~and~or~modify~this~document~under~the~terms~of~the~gnu~free~documentation~license~version~1\.3
+mpl-1.1 | mozilla | the~contents~of~this~file~are~subject~to~the~mozilla~public~license~version~1\.1
+mpl-2.0 | mozilla | this~source~code~form~is~subject~to~the~terms~of~the~mozilla~public~license~v\.?~?2\.0
+epl-1.0 | eclipse | made~available~under~the~terms~of~the~eclipse~public~license~v(?:ersion)?~?1\.0
+epl-2.0 | eclipse | made~available~under~the~terms~of~the~eclipse~public~license~v?(?:ersion~)?~?2\.0
+cddl-1.0 | development | the~contents~of~this~file~are~subject~to~the~terms~of~the~common~development~and~distribution~license
+eupl-1.2 | eupl | licensed~under~the~eupl~(?:version~|v~?)?1\.2
+unlicense | unencumbered | this~is~free~and~unencumbered~software~released~into~the~public~domain
+wtfpl | fuck | do~what~the~fuck~you~want~to
+beerware | beer | you~can~buy~me~a~beer
+cc0-1.0 | waive | (?:has~waived|waives|waive)~all~copyright~and~related~or~neighboring~rights
+cc-by-3.0 | creative | creative~commons~attribution~3\.0
+cc-by-4.0 | creative | creative~commons~attribution~4\.0
+cc-by-sa-3.0 | creative | creative~commons~attribution~share~?alike~3\.0
+cc-by-sa-4.0 | creative | creative~commons~attribution~share~?alike~4\.0
+cc-by-nc-3.0 | creative | creative~commons~attribution~non~?commercial~3\.0
+cc-by-nc-4.0 | creative | creative~commons~attribution~non~?commercial~4\.0
+cc-by-nd-4.0 | creative | creative~commons~attribution~no~?deriv(?:ative)?s~4\.0
+cc-by-nc-sa-3.0 | creative | creative~commons~attribution~non~?commercial~share~?alike~3\.0
+cc-by-nc-sa-4.0 | creative | creative~commons~attribution~non~?commercial~share~?alike~4\.0
+cc-by-nc-nd-4.0 | creative | creative~commons~attribution~non~?commercial~no~?deriv(?:ative)?s~4\.0
+ofl-1.1 | font | this~font~software~is~licensed~under~the~sil~open~font~license
+vim | charityware | vim~is~charityware
+json | evil | the~software~shall~be~used~for~good~not~evil
+artistic-1.0 | package | the~intent~of~this~document~is~to~state~the~conditions~under~which~a~package~may~be~copied
+ms-pl | governs | this~license~governs~use~of~the~accompanying~software
+odbl-1.0 | database | made~available~under~the~open~database~license
+cecill-2.1 | cecill | governed~by~the~cecill~license
+ruby | bsdl | under~either~the~terms~of~the~2~clause~bsdl
+ijg | jpeg | based~in~part~on~the~work~of~the~independent~jpeg~group
+ftl | freetype | portions~of~this~software~are~copyright[^.]{0,80}the~freetype~project
+info-zip | info | of~the~info~zip~(?:license|copyright~and~license)
+commons-clause | commons | commons~clause~(?:license~)?condition
+openrail | restrictions | use~based~restrictions~(?:as~)?referenced~in~paragraph
+llama-community | llama | llama~(?:2|3|3\.\d)~community~license~agreement
+public-domain | domain | (?:placed|released|dedicated)~(?:into|in|to)~the~public~domain
+proprietary | confidential | (?:proprietary~and~confidential|confidential~and~proprietary)
+proprietary | unauthori | unauthori[sz]ed~(?:copying|reproduction|distribution)[^.]{0,80}prohibited
+"""
+#: Priority and score of those signatures.
+BODY_PRIORITY, BODY_SCORE = 3, 0.97
+
 #: priority, score, keyword ({k} is the title's), and the form around a title `{t}` or label `{l}`;
-#: `{f}` is a title that has a version and spells out the word license.
+#: `{f}` is a title that has a version and spells out the word license, `{b}` and `{e}` begin and end a word.
 FORMS = (
     (4, 1.0, "spdx", r"spdx-license-identifier:\s*{l}(?:-only|-or-later|\+)?(?![\w.-])"),
-    (3, 0.95, "{k}", r"(?:licensed|released|distributed|available|published)~under(?:~the)?(?:~terms~of(?:~the)?)?~{t}(?:~licen[sc]e)?\b"),
-    (2, 0.9, "{k}", r"\b{t}~(?:public~)?licen[sc]e\b"),
-    (2, 0.9, "{k}", r"\b{f}(?![\w-])"),
-    (1, 0.7, "licen", r"\blicen[sc]e\s*[:=]\s*[\"']?{l}(?![\w.-])"),
+    (3, 0.95, "{k}", r"(?:licensed|released|distributed|available|published)~under(?:~the)?(?:~terms~of(?:~the)?)?~{t}(?:~licen[sc]e)?{e}"),
+    (2, 0.9, "{k}", r"{b}{t}~(?:public~)?licen[sc]e{e}"),
+    (2, 0.9, "{k}", r"{b}{f}{e}(?!-)"),
+    (1, 0.7, "licen", r"{b}licen[sc]e\s*[:=]\s*[\"']?{l}(?![\w.-])"),
 )
 
 _WORD = b"0-9a-z\\x80-\\xff"
@@ -117,19 +226,23 @@ def base_patterns() -> list[tuple[re.Pattern, str]]:
 
 
 def signature_rules() -> list[tuple[int, float, bytes, re.Pattern, str]]:
-    """(priority, score, keyword, pattern, label) of every title in every form, in order of priority."""
+    """(priority, score, keyword, pattern, label) of every title in every form and of every body, in order of priority."""
     out = []
     for line in TITLES.strip().splitlines():
         label, key, title = (x.strip() for x in line.split(" | "))
         version = re.escape(label.rpartition("-")[2]).removesuffix(r"\.0") + (r"(?:\.0)?" if label.endswith(".0") else "")
         full = re.sub(r"\(\?:~license(?:\|~licence)?\)\?", "~licen[sc]e", title) if "{v}" in title and "~license" in title else ""
-        number = rf"(?:~|-)(?:version~|v(?:er)?\.?~?)?{version}(?![\d])"
+        number = rf"(?:~|-)(?:version~|v(?:er)?\.?~?)?{version}(?!\d|\.\d)"
         title, full = title.replace("{v}", number), full.replace("{v}", number)
         for priority, score, keyword, form in FORMS:
             if "{f}" in form and not full:
                 continue
+            form = form.replace("{b}", r"(?<![0-9a-z_\x80-\xff])").replace("{e}", r"(?![0-9a-z_\x80-\xff])")
             pattern = form.replace("{t}", f"(?:{title})").replace("{f}", f"(?:{full})").replace("{l}", re.escape(label)).replace("~", r"(?:[\s,]+)")
-            out.append((priority, score, keyword.replace("{k}", key).encode(), re.compile(pattern.encode()), label))
+            out.append((priority, score, keyword.replace("{k}", key).encode(), re.compile(pattern.encode("latin-1")), label))
+    for line in BODIES.strip().splitlines():
+        label, key, body = (x.strip() for x in line.split(" | "))
+        out.append((BODY_PRIORITY, BODY_SCORE, key.encode(), re.compile(body.replace("~", r"""(?:[\s,*#/;>"'`-]+)""").encode()), label))
     return sorted(out, key=lambda r: -r[0])
 
 
