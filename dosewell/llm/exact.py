@@ -33,8 +33,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Texts are equal when identical after lower-casing A-Z; null counts as empty. keep_id is the
     largest doc_id of a group, and `kept` says that a row has it. Rows that repeat an id are counted
     each, and all rows that have keep_id are kept; a null id is never kept unless all ids of its group
-    are null, then keep_id is null and kept false. The SHA-256 of the normalised text is reported and
-    names groups; it decides no equality. An empty table gives no rows; other columns are not read.
+    are null, then keep_id is null and kept false. Groups are labelled by the number of one of their
+    rows; the SHA-256 of the normalised text is only reported. An empty table gives no rows; other columns are not read.
     Counts are combined before the shuffle, and a hot group's rows meet its one count in a join whose
     large partitions Spark splits.
     """
@@ -51,26 +51,26 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             several = maybe_in(shared.value, b.column("_b0").to_numpy(), b.column("_b1").to_numpy()).tolist()
             sha = [hashlib.sha256(view[i:j]).hexdigest() for i, j in zip(at, at[1:])]
             rest = [whole[i:j] if s else None for i, j, s in zip(at, at[1:], several)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sha, pa.string()), pa.array(rest, pa.binary())], names=["doc_id", "text_sha256", "rest"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array(sha, pa.string()), pa.array(rest, pa.binary())], names=["doc_id", "row", "text_sha256", "rest"])
 
-    hashed = with_places(x.select("doc_id", "text", F.xxhash64("head").alias("_h")), "_h")
-    first = keep(hashed.mapInArrow(normalised, "doc_id long, text_sha256 string, rest binary"))
+    hashed = with_places(x.select("doc_id", F.monotonically_increasing_id().alias("row"), "text", F.xxhash64("head").alias("_h")), "_h")
+    first = keep(hashed.mapInArrow(normalised, "doc_id long, row long, text_sha256 string, rest binary"))
     alone = lambda rows: rows.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256")
     done = [alone(first.filter("rest is null"))]
-    left = first.filter("rest is not null").withColumn("label", F.lit(""))
+    left = first.filter("rest is not null").withColumn("label", F.lit(0).cast("long"))
     longest = left.agg(F.max(F.octet_length("rest"))).first()[0]
     width = FIRST_BYTES * GROWTH
     while longest is not None:
-        rows = left.select("doc_id", "text_sha256", "label", F.substring("rest", 1, width).alias("piece"), F.substring(F.col("rest"), F.lit(width + 1), F.lit(1 << 30)).alias("rest"))
-        found = rows.groupBy("label", "piece").agg(F.count("*").alias("n"), F.max("doc_id").alias("top"), F.min("text_sha256").alias("name")).filter("n > 1")
+        rows = left.select("doc_id", "row", "text_sha256", "label", F.substring("rest", 1, width).alias("piece"), F.substring(F.col("rest"), F.lit(width + 1), F.lit(1 << 30)).alias("rest"))
+        found = rows.groupBy("label", "piece").agg(F.count("*").alias("n"), F.max("doc_id").alias("top"), F.min("row").alias("name")).filter("n > 1")
         met = rows.join(found.withColumnsRenamed({"label": "_label", "piece": "_piece"}), (F.col("label") == F.col("_label")) & (F.col("piece") == F.col("_piece")), "left")
         over = F.col("n").isNull() | (F.octet_length("piece") < width)
-        met = keep(met.select("doc_id", "text_sha256", "n", "top", F.col("name").alias("label"), F.when(~over, F.col("rest")).alias("rest")))
+        met = keep(met.select("doc_id", "row", "text_sha256", "n", "top", F.col("name").alias("label"), F.when(~over, F.col("rest")).alias("rest")))
         ended = met.filter("rest is null")
         done.append(ended.select("doc_id", F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("top")).alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), "text_sha256"))
         if longest < width:
             break
-        left = met.filter("rest is not null").select("doc_id", "text_sha256", "label", "rest")
+        left = met.filter("rest is not null").select("doc_id", "row", "text_sha256", "label", "rest")
         longest, width = longest - width, width * GROWTH
     out = done[0]
     for d in done[1:]:
