@@ -3,12 +3,12 @@
 Labelled pages are counted by host. A beta prior is passed down from all pages to the public suffix,
 to the registered domain, to the host: each level's mean shrinks towards its parent's by a strength
 estimated from how much that level's groups differ (method of moments). A page is allowed if the
-lower posterior bound of its host's share of good pages reaches the threshold.
+lower bound of its host's share of good pages, by a normal approximation of the posterior, reaches the threshold.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: (verdict, host, path): fits the host and its subdomains if the URL's path starts with the path.
@@ -65,17 +65,22 @@ def _strength(groups: DataFrame, name: str) -> DataFrame:
 def host_reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     """host -> good_share, lower_bound, n_labelled.
 
-    `pages` has page_id and host, `outcomes` page_id and good (boolean), several a page allowed.
-    Pages are counted by host first, so all further steps are over hosts. A host without labels has
-    its domain's mean; without any labels at all the mean is 0.5.
+    `pages` has page_id and host, `outcomes` page_id and good (boolean), several a page allowed. A page
+    that is repeated counts once, and one without an id has no outcomes. Pages are counted by host
+    first, so all further steps are over hosts; domains and suffixes are sums that hosts look up, and
+    no host, domain or suffix needs a task of its own. A host without labels has its domain's mean;
+    without any labels at all the mean is 0.5.
     """
+    pages = pages.distinct()
     labelled = outcomes.filter(F.col("good").isNotNull()).groupBy("page_id").agg(F.count("*").alias("n"), F.sum(F.col("good").cast("int")).alias("k"))
     hosts = pages.join(labelled, "page_id", "left").groupBy("host").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("_n"), F.coalesce(F.sum("k"), F.lit(0)).alias("_k"))
     hosts = hosts.withColumn("_domain", domain_of(F.col("host"))).withColumn("_suffix", suffix_of(F.col("host")))
-    over = lambda key, c: F.sum(c).over(Window.partitionBy(key))
-    level = lambda key: hosts.groupBy(key).agg(F.sum("_n").alias("_n"), F.sum("_k").alias("_k")).filter("_n > 0")
+    total = lambda key: hosts.groupBy(key).agg(F.sum("_n").alias("_n"), F.sum("_k").alias("_k"))
+    level = lambda key: total(key).filter("_n > 0")
     priors = _strength(level("_suffix"), "suffix").crossJoin(_strength(level("_domain"), "domain")).crossJoin(_strength(level("host"), "host"))  # one row each
-    x = hosts.withColumns({"_nd": over("_domain", "_n"), "_kd": over("_domain", "_k")}).withColumns({"_ns": over("_suffix", "_n"), "_ks": over("_suffix", "_k")}).crossJoin(F.broadcast(priors))
+    domains = total("_domain").withColumnsRenamed({"_n": "_nd", "_k": "_kd"})
+    suffixes = total("_suffix").withColumnsRenamed({"_n": "_ns", "_k": "_ks"})
+    x = hosts.join(domains, "_domain").join(suffixes, "_suffix").crossJoin(F.broadcast(priors))
     shrunk = lambda parent, strength, k, n: (F.col(strength) * F.col(parent) + F.col(k)) / (F.col(strength) + F.col(n))
     x = x.withColumn("_ps", shrunk("_m_suffix", "_s_suffix", "_ks", "_ns"))
     x = x.withColumn("_pd", shrunk("_ps", "_s_domain", "_kd", "_nd"))
@@ -89,7 +94,8 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: tuple = RULES, thr
 
     A fitting rule decides, the longest first; otherwise the posterior bound of the host does. A null
     URL or one without `://` has an empty host and path and is judged by the reputation of the empty
-    host. Repeated rows are judged alike; an empty table gives no rows; other columns are not read.
+    host. Repeated rows are judged alike and count once in reputations; an empty table gives no rows;
+    other columns are not read.
     """
     x = pages.select(F.col(id_col).cast("long").alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     reputation = host_reputation(x.select("page_id", "host"), outcomes).withColumnRenamed("host", "_host")
@@ -101,7 +107,7 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: tuple = RULES, thr
 def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """Labels of the documents that pages show: the number after the language in a path is the doc_id."""
     number = F.regexp_extract(path_of(F.col("url")), r"^/[a-z]{2}/(\d{1,18})", 1)
-    ids = pages.select(F.col("page_id").cast("long").alias("page_id"), F.when(number != "", number).cast("long").alias("_doc"))
+    ids = pages.select(F.col("page_id").cast("long").alias("page_id"), F.when(number != "", number).cast("long").alias("_doc")).distinct()
     good = labels.select(F.col("doc_id").cast("long").alias("_doc"), ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"))
     return ids.filter(F.col("_doc").isNotNull()).join(good, "_doc").select("page_id", "good")
 
@@ -112,10 +118,10 @@ WITH p AS (
          regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
 o AS (
   SELECT p.page_id, count(*) AS n, sum(CASE WHEN l.quality = 1 AND l.toxic = 0 THEN 1 ELSE 0 END) AS k
-  FROM p JOIN labels l ON l.doc_id = TRY_CAST(regexp_extract(p.path, '^/[a-z]{2}/(\d{1,18})', 1) AS BIGINT) GROUP BY p.page_id),
+  FROM (SELECT DISTINCT page_id, TRY_CAST(regexp_extract(path, '^/[a-z]{2}/(\d{1,18})', 1) AS BIGINT) AS doc FROM p) p JOIN labels l ON l.doc_id = p.doc GROUP BY p.page_id),
 two AS (SELECT host, coalesce(sum(n), 0) AS n, coalesce(sum(k), 0) AS k, array_to_string(string_split(host, '.')[-2:], '.') AS t2,
         array_to_string(string_split(host, '.')[-3:], '.') AS t3, array_to_string(string_split(host, '.')[-1:], '.') AS t1
-        FROM p LEFT JOIN o USING (page_id) GROUP BY host),
+        FROM (SELECT DISTINCT page_id, host FROM p) LEFT JOIN o USING (page_id) GROUP BY host),
 h AS (
   SELECT host, CAST(n AS DOUBLE) AS n, CAST(k AS DOUBLE) AS k,
          CASE WHEN t2 IN ('ac.uk', 'co.jp', 'co.nz', 'co.uk', 'com.au', 'com.br', 'com.cn', 'gov.uk', 'org.au', 'org.uk') THEN t3 ELSE t2 END AS dom,
