@@ -8,18 +8,18 @@ from pyspark.sql import functions as F
 from dosewell.llm.common import cut
 
 
-def components(links: DataFrame, rounds: int = 40) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(a, b) links -> (node, component): the smallest node reachable, for each node that has a link.
 
     Every step keeps at most as many links as there were and points nodes at smaller ones; the number
     of steps grows with the logarithm of the longest chain. Lineage is cut after each; nothing but a
     count and a sum comes to the driver. Minima are aggregates, so a node with very many links is
-    combined before the shuffle.
+    combined before the shuffle. Steps go on until one changes nothing.
     """
     e = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
     e = cut(e)
     before = None
-    for _ in range(rounds):
+    while True:
         # large star: every node's larger neighbours point at the least of its neighbours and itself
         both = e.select("u", "v").union(e.select(F.col("v"), F.col("u")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).withColumnRenamed("u", "n")

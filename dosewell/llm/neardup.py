@@ -4,7 +4,9 @@ Two small collections of hash groups are computed, `SIDE` on each side. A table'
 of the left with one of the right, so SIDE x SIDE tables cost 2 x SIDE groups of minhashes. Documents
 with equal sets form one class, and only classes take part. In each bucket all classes are compared
 with one of them; after the connected classes are merged, what is left in a bucket of different
-components is compared across, so that a large group of copies never becomes all of its pairs.
+components is compared across, so that a large group of copies never becomes all of its pairs. Where
+very many texts share a template and are no links, that is still a square of the bucket, which is dealt
+to many tasks.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ SIDE, ROWS = 14, 3
 PERCENT = 80
 #: Bits of the parity sketch that rules pairs out before their sets are fetched.
 PARITY_BITS = 512
+#: Members of a bucket that are compared across in one task; a larger bucket is compared in squares.
+SQUARE = 1 << 11
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
@@ -222,13 +226,16 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = PERCENT, id_
     first = components(links)
     # buckets that still hold several components: compare across them
     now = cut(members.join(first, F.col("c") == F.col("node"), "left").select("key", "c", F.coalesce("component", "c").alias("g")))
-    mixed = now.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo <> hi").select("key")
-    open_ = cut(now.join(mixed, "key", "left_semi"))
+    mixed = now.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count("*").alias("n")).filter("lo <> hi").select("key", F.ceil(F.col("n") / SQUARE).cast("int").alias("strips"))
+    open_ = cut(now.join(mixed, "key").withColumn("strip", F.pmod(F.xxhash64("c"), "strips").cast("int")))
     one = sides.join(open_.select("c").distinct(), "c", "left_semi").join(sketches, "c")
-    p, q = (open_.join(one, "c").select(*[F.col(v).alias(f"{v}{k}") for v in ("key", "c", "g", "n", "odd", "left", "right")]) for k in "ab")
+    # the square of a strip pair is one task's
+    every = F.explode(F.sequence(F.lit(0), F.col("strips") - 1))
+    squares = {"a": ("strip", every), "b": (every, "strip")}
+    p, q = (open_.select("*", F.col(x).alias("x") if isinstance(x, str) else x.alias("x"), F.col(y).alias("y") if isinstance(y, str) else y.alias("y")).join(one, "c").select(*[F.col(v).alias(f"{v}{k}") for v in ("key", "x", "y", "c", "g", "n", "odd", "left", "right")]) for k, (x, y) in squares.items())
     # a pair meets in every table that it shares; it counts in the first of them
     table_ = F.xxhash64(F.col("lefta")[F.array_position(_equal("lefta", "leftb"), 1).cast("int") - 1], F.col("righta")[F.array_position(_equal("righta", "rightb"), 1).cast("int") - 1])
-    on = (F.col("keya") == F.col("keyb")) & (F.col("ca") < F.col("cb")) & (F.col("ga") != F.col("gb"))
+    on = (F.col("keya") == F.col("keyb")) & (F.col("xa") == F.col("xb")) & (F.col("ya") == F.col("yb")) & (F.col("ca") < F.col("cb")) & (F.col("ga") != F.col("gb"))
     across = p.join(q, on & _plausible("na", "nb", "odda", "oddb", percent) & (F.col("keya") == table_)).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     more = cut(_confirmed(across.distinct(), sets, percent))
     last = components(links.union(more))
