@@ -2,11 +2,13 @@
 
 Texts are cut at places that are always borders between pre-tokens, equal pieces of a batch are
 found with Arrow's dictionary encoding, and only the distinct pieces go through `tokenizers`.
-Batches are balanced by bytes, not rows, and a long text is never encoded in one call.
+Batches are balanced by bytes, not rows, and a long text is encoded in pieces. The borders are those
+of one pre-tokenizer; with a vocabulary that has another, whole texts are encoded.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -33,20 +35,39 @@ def default_vocabulary() -> str:
 
 _PRINT = np.zeros(256, bool)
 _PRINT[0x21:0x7F] = True
-_LATIN = np.zeros(256, bool)
-_LATIN[0xC3:0xD0] = True
+_DIGIT = np.zeros(256, bool)
+_DIGIT[48:58] = True
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 _STOP = np.zeros(256, bool)
 _STOP[list(b'.,;:!?)"')] = True
 
 
+#: Bytes without a cut beyond which rarer borders are looked for.
+RARE = 1 << 12
+#: The pre-tokenizer whose borders `safe_cuts` knows; texts for others are encoded whole.
+KNOWN = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+
+
+def _wide(x: np.ndarray) -> np.ndarray:
+    """Whether a character beyond ASCII that is no white space begins at each byte, by its first three bytes.
+
+    White space beyond ASCII lies in U+0080-00BF, U+1680, U+2000-207F and U+3000; those ranges, or more, are left out.
+    """
+    b1, b2 = np.append(x[1:], 0), np.append(x[2:], (0, 0))[: len(x)]
+    out = (x >= 0xC3) & (x < 0xF8)
+    out &= ~((x == 0xE1) & (b1 == 0x9A)) & ~((x == 0xE2) & ((b1 == 0x80) | (b1 == 0x81))) & ~((x == 0xE3) & (b1 == 0x80) & (b2 == 0x80))
+    return out
+
+
 def safe_cuts(x: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Sorted byte positions, row starts among them, at which texts may be cut without changing any token.
 
-    Cuts lie before a lone blank between two characters that aren't white space, around a lone line
-    feed of that kind, and between an ASCII letter and one of . , ; : ! ? ) ". All are borders of the
-    pre-tokenizer's pattern, and none lies inside a special token's string.
+    Cuts lie before a lone blank between two characters of any script that aren't white space, around
+    a lone line feed of that kind, and between an ASCII letter and one of . , ; : ! ? ) ". Where those are far
+    apart, also between an ASCII letter and a digit, and before an ideographic comma or full stop after a
+    Chinese character or hiragana. All are borders of the pre-tokenizer's pattern, and none lies
+    inside a special token's string. A longer run of one kind of character is one pre-token.
     """
     n = len(x)
     if n == 0:
@@ -56,8 +77,10 @@ def safe_cuts(x: np.ndarray, off: np.ndarray) -> np.ndarray:
     if n > 2:
         solid = _PRINT[x]
         ends = solid.copy()  # the character that ends here is no white space
-        ends[1:] |= (x[1:] >= 0x80) & _LATIN[x[:-1]]
-        begins = solid | _LATIN[x]
+        wide = _wide(x)
+        for back, low, high in ((1, 0xC3, 0xDF), (2, 0xE0, 0xEF), (3, 0xF0, 0xF7)):  # the last byte of 2, 3 or 4
+            ends[back:] |= wide[:-back] & (x[:-back] >= low) & (x[:-back] <= high)
+        begins = solid | wide
         inner = ends[:-2] & begins[2:]
         blank = inner & (x[1:-1] == 32)
         feed = inner & (x[1:-1] == 10)
@@ -71,7 +94,22 @@ def safe_cuts(x: np.ndarray, off: np.ndarray) -> np.ndarray:
         mark[2:] |= feed
         mark[1:] |= _LETTER[x[:-1]] & _STOP[x[1:]]
     mark[starts] = True
-    return np.flatnonzero(mark)
+    found = np.flatnonzero(mark)
+    gap = np.diff(np.append(found, n))
+    for a, size in zip(found[gap > RARE].tolist(), gap[gap > RARE].tolist(), strict=True):
+        mark[a : a + size] |= _rare(x[a : a + size])
+    return np.flatnonzero(mark) if (gap > RARE).any() else found
+
+
+def _rare(x: np.ndarray) -> np.ndarray:
+    """Borders inside a stretch of a text: letter to digit, digit to letter, and before U+3001 or U+3002 after a letter."""
+    out = np.zeros(len(x), bool)
+    out[1:] = (_LETTER[x[:-1]] & _DIGIT[x[1:]]) | (_DIGIT[x[:-1]] & _LETTER[x[1:]])
+    if len(x) >= 6:
+        a, b, c = x[:-5], x[1:-4], x[2:-3]
+        letter = ((a >= 0xE5) & (a <= 0xE8)) | ((a == 0xE3) & (((b == 0x81) & (c >= 0x82)) | ((b == 0x82) & (c <= 0x93))))
+        out[3:-2] |= letter & (x[3:-2] == 0xE3) & (x[4:-1] == 0x80) & ((x[5:] == 0x81) | (x[5:] == 0x82))
+    return out
 
 
 class Pieces:
@@ -82,6 +120,9 @@ class Pieces:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
+        parts = json.loads(self.tokenizer.to_str())
+        how = parts["pre_tokenizer"] or {}
+        self.cuts = parts["normalizer"] is None and all(how.get(k) == v for k, v in KNOWN.items())
         self.known: dict[bytes, list[int]] = {}
 
     def ids(self, pieces: list[bytes]) -> list[list[int]]:
@@ -97,7 +138,7 @@ class Pieces:
 
     def batch(self, x: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(code of each piece, first piece of each row and the end, tokens per code, start of a code in the pool, pool of ids)."""
-        cuts = safe_cuts(x, off)
+        cuts = safe_cuts(x, off) if self.cuts else off[:-1][off[:-1] < off[1:]]
         ends = np.append(cuts, len(x)).astype(np.int32)
         column = pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(x))])
         coded = column.dictionary_encode()
