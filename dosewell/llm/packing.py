@@ -16,37 +16,70 @@ from dosewell.llm.common import keep, partitions
 from dosewell.llm.tokens import token_pieces
 
 
-def _complement(counts: np.ndarray, gap: int) -> list[int] | None:
-    """One, two or three available lengths that add up to `gap`; of several, those that are least scarce."""
-    if counts[gap] > 0:
-        return [gap]
-    have = counts[: gap + 1]
-    # pair[s]: the larger length a of the pair (a, s - a) with the best availability
-    best, pick = 0, None
-    a = np.arange(1, gap)
-    if len(a):
-        room = np.minimum(have[a], have[gap - a])
-        room = np.where(a * 2 == gap, have[a] // 2, room)
-        k = int(room.argmax())
-        if room[k] > 0:
-            return sorted((int(a[k]), gap - int(a[k])), reverse=True)
-    there = np.flatnonzero(have[:gap])
-    for x in there[there * 3 >= gap][::-1].tolist():  # the largest of the three
-        rest = gap - x
-        b = np.arange(1, min(x, rest - 1) + 1)
-        c = rest - b
-        ok = (c >= 1) & (c <= b)
-        b, c = b[ok], c[ok]
-        if not len(b):
-            continue
-        room = np.minimum(np.minimum(have[b] // (1 + (b == c)), have[c] // (1 + (b == c))), have[x])
-        room = np.where((b == x) & (c == x), have[x] // 3, np.where(b == x, np.minimum(have[x] // 2, have[c]), room))
-        k = int(room.argmax())
-        if room[k] > best:
-            best, pick = int(room[k]), [x, int(b[k]), int(c[k])]
-            if best > 8:
+class SumIndex:
+    """Available lengths by the sums of one, two and three of them.
+
+    `pairs` and `triples` hold a combination for each sum. Counts only fall, so a combination is good while its
+    lengths last, is looked for again when they don't, and a sum without one never gets one.
+    """
+
+    def __init__(self, counts: np.ndarray):
+        self.left = counts.copy()
+        self.pairs: dict[int, tuple[int, ...] | None] = {}
+        self.triples: dict[int, tuple[int, ...] | None] = {}
+
+    def lasts(self, combination: tuple[int, ...]) -> bool:
+        return all(self.left[x] >= combination.count(x) for x in combination)
+
+    def take(self, combination: tuple[int, ...], times: int = 1) -> None:
+        for x in combination:
+            self.left[x] -= times
+
+    def _best_pair(self, total: int) -> tuple[int, ...] | None:
+        """Of the pairs of a sum, the one that lasts longest."""
+        a = np.arange(1, total // 2 + 1)
+        room = np.minimum(self.left[a], self.left[total - a])
+        if not total % 2 and len(a):
+            room[-1] = self.left[total // 2] // 2
+        k = int(room.argmax()) if len(room) else 0
+        return (total - int(a[k]), int(a[k])) if len(room) and room[k] > 0 else None
+
+    def pair(self, total: int) -> tuple[int, ...] | None:
+        have = self.pairs.get(total, ())
+        if have is not None and (not have or not self.lasts(have)):
+            have = self.pairs[total] = self._best_pair(total)
+        return have
+
+    def _best_triple(self, total: int) -> tuple[int, ...] | None:
+        """A length and a pair: of those whose length is the least third or more, the one that lasts longest."""
+        best, room = None, 0
+        for x in (np.flatnonzero(self.left[: total - 1]))[::-1].tolist():
+            if x * 3 < total:  # the largest of three is no less than a third
                 break
-    return pick
+            two = self.pair(total - x)
+            if two is None:
+                continue
+            if x in two and not self.lasts((x, *two)):
+                self.left[x] -= 1
+                two = self._best_pair(total - x)
+                self.left[x] += 1
+                if two is None:
+                    continue
+            three = (x, *two)
+            lasting = min(int(self.left[y]) // three.count(y) for y in three)
+            if lasting > room:
+                best, room = three, lasting
+        return best
+
+    def triple(self, total: int) -> tuple[int, ...] | None:
+        have = self.triples.get(total, ())
+        if have is not None and (not have or not self.lasts(have)):
+            have = self.triples[total] = self._best_triple(total)
+        return have
+
+    def complement(self, gap: int) -> tuple[int, ...] | None:
+        """One, two or three available lengths that add up to `gap`."""
+        return (gap,) if self.left[gap] > 0 else self.pair(gap) or self.triple(gap)
 
 
 def packing_plan(counts: dict[int, int], width: int) -> list[tuple[list[int], int]]:
@@ -59,28 +92,27 @@ def packing_plan(counts: dict[int, int], width: int) -> list[tuple[list[int], in
     left = np.zeros(width + 1, np.int64)
     for length, n in counts.items():
         left[length] = n
+    index = SumIndex(left)
     plan: list[tuple[list[int], int]] = []
     for top in range(width, 0, -1):
-        while left[top] > 0:
-            pattern, rest = [top], left.copy()
-            rest[top] -= 1
+        while index.left[top] > 0:
+            pattern = [top]
+            index.take((top,))
             gap = width - top
             while gap > 0:
-                fill = _complement(rest, gap)
+                fill = index.complement(gap)
                 if fill is None:
-                    fits = np.flatnonzero(rest[1 : gap + 1])
+                    fits = np.flatnonzero(index.left[1 : gap + 1])
                     if not len(fits):
                         break
-                    fill = [int(fits[-1]) + 1]
-                for x in fill:
-                    rest[x] -= 1
+                    fill = (int(fits[-1]) + 1,)
+                index.take(fill)
                 pattern += fill
                 gap -= sum(fill)
-            need = np.bincount(pattern, minlength=width + 1)
-            used = np.flatnonzero(need)
-            times = int((left[used] // need[used]).min())
-            left -= need * times
-            plan.append((pattern, times))
+            # as often again as its lengths last
+            more = min(int(index.left[x]) // pattern.count(x) for x in pattern)
+            index.take(tuple(pattern), more)
+            plan.append((pattern, more + 1))
     return plan
 
 
