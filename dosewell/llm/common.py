@@ -51,6 +51,21 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str, id_col: str = "doc_id", text_col: str = "text", nulls_last: bool = True) -> DataFrame:
+    """Adds the long `name`: the id, or where ids repeat or are null a number of each row in the order of ids.
+
+    Only in the second case are rows moved and written, in ranges of (id, hash of the text); the place in
+    the ranges' order is the number, so no id and no text needs a task of its own.
+    """
+    own = F.col(id_col).cast("long")
+    if df.select(own.alias("i")).groupBy("i").count().filter("`count` > 1 or i is null").isEmpty():
+        return df.withColumn(name, own)
+    read = f"{name}_"
+    keys = [own.asc_nulls_last() if nulls_last else own.asc_nulls_first(), F.xxhash64(text_col), read]
+    ranged = df.withColumn(read, F.monotonically_increasing_id()).repartitionByRange(partitions(df.sparkSession), *keys).sortWithinPartitions(*keys)
+    return cut(ranged.withColumn(name, F.monotonically_increasing_id()).drop(read))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

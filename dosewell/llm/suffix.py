@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dosewell.llm.common import cut, flat, groups, hash_places, keep, maybe_in, membership, mix64, partitions
+from dosewell.llm.common import flat, groups, hash_places, keep, maybe_in, membership, mix64, numbered, partitions
 
 #: Bytes that the rolling hash of a trigger covers.
 WINDOW = 32
@@ -452,19 +452,6 @@ def repeated_windows(docs: DataFrame, hits: DataFrame, length: int) -> DataFrame
     return _in_parts(dealt_phrases(docs, hits, length, parts), parts).applyInArrow(_resolve(length), "doc_id long, start long, stop long")
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """Gives rows numbers of their own in corpus order where ids repeat or are null: doc_id, text, own -> also a new `own`.
-
-    Only then are texts moved and written, in ranges of (id, hash of the text), null ids last; the place in the
-    ranges' order is the number, so no id and no text needs a task of its own.
-    """
-    if docs.select("own").groupBy("own").count().filter("`count` > 1 or own is null").isEmpty():
-        return docs
-    keys = [F.col("own").asc_nulls_last(), F.xxhash64("text"), "_n"]
-    ranged = docs.withColumn("_n", F.monotonically_increasing_id()).repartitionByRange(partitions(docs.sparkSession), *keys).sortWithinPartitions(*keys)
-    return cut(ranged.withColumn("own", F.monotonically_increasing_id()).drop("_n"))
-
-
 def remove_repeats(docs: DataFrame, length: int = 100, texts: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """What is left of each whole text: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, on request, `kept`.
 
@@ -475,8 +462,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, texts: bool = False, id_c
     the order of their texts' hashes; null ids come last; ids may be any longs. Empty tables give no
     rows; other columns are not read.
     """
-    x = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).cast("long").alias("own"))
-    x = _numbered(x)
+    x = numbered(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "own")
     keyed = x.select(F.col("own").alias("doc_id"), "text")
     size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     hits = keep(repeated_triggers(keyed, length, size).groupBy("doc_id").agg(F.array_agg("h").alias("hits")))

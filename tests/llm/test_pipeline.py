@@ -49,5 +49,29 @@ def test_stages_take_odd_rows(spark, sf_dir):
             out.count()
 
 
+def test_rows_are_told_apart_by_themselves(spark, sf_dir):
+    docs = odd(spark)
+    rows = [(5, "alpha beta gamma"), (9, "alpha beta gamma"), (5, "a wholly different text"), (9, "alpha beta gamma"), (None, "Alpha beta gamma"), (None, "x"), (None, "x")]
+    small = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(corpus_pipeline.STAGES)
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in stages["exact_dedup"](spark, small, sf_dir).collect()) == [(0, "x"), (5, "a wholly different text"), (9, "alpha beta gamma")]
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in stages["near_dedup"](spark, small, sf_dir).collect()) == [(0, "x"), (5, "a wholly different text"), (5, "alpha beta gamma")]
+    texts = [(r["text"] or "").lower() for r in stages["exact_dedup"](spark, docs, sf_dir).collect()]
+    assert sorted(texts) == sorted({(r["text"] or "").lower() for r in docs.collect()})
+    near = stages["near_dedup"](spark, docs, sf_dir).collect()
+    want = collections.Counter(shingle_set(r["text"], 5) for r in docs.collect())
+    got = collections.Counter(shingle_set(r["text"], 5) for r in near)
+    assert got[frozenset()] == want[frozenset()]
+    assert all(n == 1 for s, n in got.items() if s)
+
+
+def test_packing_takes_odd_rows(spark, sf_dir):
+    docs = odd(spark)
+    packed = dict(corpus_pipeline.STAGES)["best_fit_packing"](spark, docs, sf_dir).collect()
+    firsts = collections.Counter(r["doc_id"] for r in packed if r["piece"] == 0)
+    assert firsts == collections.Counter(r["doc_id"] for r in docs.collect())
+    assert dict(corpus_pipeline.STAGES)["best_fit_packing"](spark, docs.limit(0), sf_dir).count() == 0
+
+
 def test_run(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
