@@ -27,8 +27,8 @@ TREES, LEAF = 12, 400
 MOST_DEPTH = 11
 #: Queries that are compared with all vectors, and the share of their true nearest that walks must reach.
 PROBES, RECALL = 64, 0.95
-#: Vectors of a block at most, and blocks that a query is addressed to; larger blocks are dealt to several tasks.
-BLOCK, MOST_BLOCKS = 1 << 15, 1024
+#: Vectors of a block at most, and blocks that a query is addressed to, few and many; larger blocks are dealt to several tasks.
+BLOCK, LEAST_BLOCKS, MOST_BLOCKS = 1 << 16, 16, 1024
 #: Queries of a block that are scored in one go, and rows of a batch that is sent.
 CHUNK, SENT = 128, 4096
 
@@ -243,7 +243,7 @@ def nearest(vectors: DataFrame, k: int = 20, query_every: int = 20, id_col: str
     if search is None:
         search = _enough(queries, indexed, forest, counts, dims, k, recall)
 
-    blocks = Blocks(counts[0], max(1024, min(BLOCK, n // 32)))
+    blocks = Blocks(counts[0], max(256, min(BLOCK, -(-n // LEAST_BLOCKS))))
 
     def occupied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The leaves that the vectors of each block lie in, as bits."""
