@@ -131,31 +131,22 @@ def match_lesions(a: DataFrame, b: DataFrame, limit: float = 3.0) -> DataFrame:
     """Pairs lesions of two scans (structure, i, j, k): structure_a, structure_b, or a new lesion where b is null.
 
     The nearest by Hausdorff distance and by mean surface distance must agree, and one of the two must
-    be below the limit. Points of the scans meet in blocks through `nearest_distance`.
+    be below the limit. The surfaces of every pair of lesions, of which scans have few, meet in one
+    `nearest_distance`, each way.
     """
-    sa, sb = mk.surface_voxels(a), mk.surface_voxels(b)
-    names = [r[0] for r in sb.select("structure").distinct().orderBy("structure").collect()]  # lesions of one scan, a short list
-    parts = []
-    for n in names:
-        one = sb.filter(F.col("structure") == n)
-        there = mk.nearest_distance(sa.select("structure", *mk.AT), one).groupBy("structure").agg(F.max("distance").alias("h1"), F.avg("distance").alias("m1"))
-        parts.append(there.select(F.col("structure").alias("structure_a"), F.lit(n).alias("structure_b"), "h1", "m1"))
-    back = []
-    for n in [r[0] for r in sa.select("structure").distinct().orderBy("structure").collect()]:
-        one = sa.filter(F.col("structure") == n)
-        x = mk.nearest_distance(sb.select("structure", *mk.AT), one).groupBy("structure").agg(F.max("distance").alias("h2"), F.avg("distance").alias("m2"))
-        back.append(x.select(F.lit(n).alias("structure_a"), F.col("structure").alias("structure_b"), "h2", "m2"))
-    if not parts:
-        return sa.select(F.col("structure").alias("structure_a")).distinct().select("structure_a", F.lit(None).cast("string").alias("structure_b"))
-    pairs, other = parts[0], back[0]
-    for p in parts[1:]:
-        pairs = pairs.unionByName(p)
-    for p in back[1:]:
-        other = other.unionByName(p)
-    x = pairs.join(other, ["structure_a", "structure_b"]).select("structure_a", "structure_b", F.greatest("h1", "h2").alias("h"), ((F.col("m1") + F.col("m2")) / 2).alias("m"))
+    sa = mk.surface_voxels(a).select(F.col("structure").alias("structure_a"), *mk.AT)
+    sb = mk.surface_voxels(b).select(F.col("structure").alias("structure_b"), *mk.AT)
+    pairs = sa.select("structure_a").distinct().join(sb.select("structure_b").distinct(), F.lit(True))
+    of_a, of_b = sa.join(pairs, "structure_a"), sb.join(pairs, "structure_b")
+    columns = ["structure_a", "structure_b", "way", *mk.AT]
+    points = of_a.withColumn("way", F.lit("there")).select(*columns).union(of_b.withColumn("way", F.lit("back")).select(*columns))
+    targets = of_b.withColumn("way", F.lit("there")).select(*columns).union(of_a.withColumn("way", F.lit("back")).select(*columns))
+    ways = mk.nearest_distance(points, targets, on=("structure_a", "structure_b", "way")).groupBy("structure_a", "structure_b", "way").agg(F.max("distance").alias("h"), F.avg("distance").alias("m"))
+    x = ways.groupBy("structure_a", "structure_b").agg(F.max("h").alias("h"), F.avg("m").alias("m"))
     best = x.groupBy("structure_a").agg(F.min_by("structure_b", F.struct("h", "structure_b")).alias("_bh"), F.min("h").alias("h"), F.min_by("structure_b", F.struct("m", "structure_b")).alias("_bm"), F.min("m").alias("m"))
     agree = (F.col("_bh") == F.col("_bm")) & ((F.col("h") < limit) | (F.col("m") < limit))
-    return best.select("structure_a", F.when(agree, F.col("_bh")).alias("structure_b"))
+    every = sa.select("structure_a").distinct().join(best, "structure_a", "left")
+    return every.select("structure_a", F.when(agree, F.col("_bh")).alias("structure_b"))
 
 
 def isocentre_dose(doses: DataFrame, masks: DataFrame, name: str) -> DataFrame:

@@ -13,7 +13,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+
+from dosewell.operators.ranks import exact_quantiles, ranked_values
 
 KEYS = ("plan", "structure")
 #: Added to a ratio before it is rounded up, so that dose 0 falls into bin 1.
@@ -37,10 +38,11 @@ def dvh_differential(doses: DataFrame, width: float) -> DataFrame:
     Where a structure has negative doses its bins are rounded up without the small term. Counting is
     combined before the shuffle, so only bins move.
     """
-    low = doses.groupBy(*KEYS).agg(F.min("dose").alias("_min"))
     ratio = F.col("dose") / width
-    bin_ = F.when(F.col("_min") >= 0, F.ceil(ratio + EPS)).otherwise(F.ceil(ratio)).cast("long")
-    counts = doses.join(F.broadcast(low), list(KEYS)).groupBy(*KEYS, bin_.alias("bin")).agg(F.sum("volume").alias("volume"))
+    # both ways to round are counted at once, as the structure's least dose says only later which one holds
+    both = doses.groupBy(*KEYS, F.ceil(ratio + EPS).cast("long").alias("_up"), F.ceil(ratio).cast("long").alias("_plain")).agg(F.sum("volume").alias("volume"), F.min("dose").alias("_min"))
+    low = F.min("_min").over(_group())
+    counts = both.withColumn("bin", F.when(low >= 0, F.col("_up")).otherwise(F.col("_plain"))).groupBy(*KEYS, "bin").agg(F.sum("volume").alias("volume"))
     first = counts.groupBy(*KEYS).agg(F.least(F.min("bin"), F.lit(1)).alias("bin")).withColumn("volume", F.lit(0.0))
     counts = counts.unionByName(first).groupBy(*KEYS, "bin").agg(F.sum("volume").alias("volume"))
     return _filled(counts).select(*KEYS, "bin", ((F.col("bin") - 1) * width + width / 2).alias("dose"), "volume")
@@ -49,7 +51,7 @@ def dvh_differential(doses: DataFrame, width: float) -> DataFrame:
 def dvh_fixed_bins(doses: DataFrame, n: int) -> DataFrame:
     """`n` bins from 0 to each structure's largest dose; without any dose, bins of width 0 hold all in the first."""
     top = doses.groupBy(*KEYS).agg(F.max("dose").alias("_max"))
-    x = doses.join(F.broadcast(top), list(KEYS))
+    x = doses.join(top, list(KEYS))
     number = F.when(F.col("_max") > 0, F.least(F.greatest(F.ceil(F.col("dose") * n / F.col("_max") + EPS), F.lit(1)), F.lit(n))).otherwise(1).cast("long")
     counts = x.groupBy(*KEYS, number.alias("bin")).agg(F.sum("volume").alias("volume"))
     bins = top.select(*KEYS, F.explode(F.sequence(F.lit(1).cast("long"), F.lit(n).cast("long"))).alias("bin"), (F.col("_max") / n).alias("_w"))
@@ -72,26 +74,24 @@ def dvh_cumulative(dvh: DataFrame) -> DataFrame:
 def dvh_exact(doses: DataFrame) -> DataFrame:
     """The empirical curve: sorted doses after a 0, each with 1 - rank / (n + 1).
 
-    Structures may be very uneven, so ranks are found in two steps: doses are dealt into ranges
-    whose sizes are summed first, and ranked inside a range.
+    Equal doses are counted before they are ranked, and their ranks are written out from the counts, so that
+    neither a large structure nor a dose that most voxels have is sorted in one task.
     """
-    edges = doses.groupBy(*KEYS).agg(F.percentile_approx("dose", [k / 16 for k in range(1, 16)], 1000).alias("_e"), F.count("*").alias("_n"))
-    x = doses.join(F.broadcast(edges), list(KEYS))
-    x = x.withColumn("_r", F.size(F.filter("_e", lambda e: e < F.col("dose"))))
-    sizes = x.groupBy(*KEYS, "_r").agg(F.count("*").alias("_m"))
-    before = F.coalesce(F.sum("_m").over(_group().orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select(*KEYS, "_r", before.alias("_before"))
-    rank = F.row_number().over(Window.partitionBy(*KEYS, "_r").orderBy("dose"))
-    y = x.withColumn("_k", rank).join(F.broadcast(starts), [*KEYS, "_r"]).select(*KEYS, (F.col("_k") + F.col("_before")).alias("rank"), "dose", "_n")
-    zero = edges.select(*KEYS, F.lit(0).cast("long").alias("rank"), F.lit(0.0).alias("dose"), "_n")
+    x = ranked_values(doses, list(KEYS), "dose").withColumnRenamed("value", "dose")
+    first = F.col("_last") - F.col("_c") + 1
+    # a dose's ranks in pieces, so that no array is long
+    pieces = x.select("*", F.explode(F.sequence(first, "_last", F.lit(1 << 16))).alias("_a"))
+    y = pieces.select(*KEYS, F.explode(F.sequence("_a", F.least(F.col("_a") + (1 << 16) - 1, "_last"))).alias("rank"), "dose", "_n")
+    zero = doses.groupBy(*KEYS).agg(F.count("dose").alias("_n")).select(*KEYS, F.lit(0).cast("long").alias("rank"), F.lit(0.0).alias("dose"), "_n")
     return y.unionByName(zero).select(*KEYS, "rank", "dose", (1 - F.col("rank") / (F.col("_n") + 1)).alias("fraction"))
 
 
 def dvh_auc(doses: DataFrame) -> DataFrame:
-    """Area under the empirical curve: each dose step times the fraction before it."""
-    w = _group().orderBy("rank")
-    x = dvh_exact(doses).withColumn("_step", F.lead("dose").over(w) - F.col("dose"))
-    return x.groupBy(*KEYS).agg(F.sum(F.coalesce("_step", F.lit(0.0)) * F.col("fraction")).alias("auc"))
+    """Area under the empirical curve: each dose step times the fraction before it.
+
+    Summed by parts, every dose counts 1 / (n + 1) and the largest once more, so nothing is sorted.
+    """
+    return doses.groupBy(*KEYS).agg(((F.sum("dose") + F.max("dose")) / (F.count("*") + 1)).alias("auc"))
 
 
 def dose_stats(dvh: DataFrame) -> DataFrame:
@@ -169,10 +169,12 @@ def dvh_slope(dvh: DataFrame, dose: float, bins: int = 6) -> DataFrame:
     return x.filter((F.col("_l") <= bins) | (F.col("_r") <= bins)).groupBy(*KEYS).agg(F.regr_slope("above", "dose").alias("slope"))
 
 
-@F.pandas_udf(DoubleType())
-def erf(x: pd.Series) -> pd.Series:
-    """The error function, which Spark lacks."""
-    return pd.Series(np.fromiter((math.erf(v) if v == v else math.nan for v in x), float, len(x)))
+def erf(x: Column) -> Column:
+    """The error function, which Spark lacks: a series of positive terms, and 1 beyond 6."""
+    # terms 2^n x^(2n+1) / (1 * 3 * ... * (2n+1)), each from the one before
+    step = lambda s, n: F.struct((s["sum"] + s["term"] * 2 * x * x / (2 * n + 1)).alias("sum"), (s["term"] * 2 * x * x / (2 * n + 1)).alias("term"))
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(120)), F.struct(x.cast("double").alias("sum"), x.cast("double").alias("term")), step, lambda s: s["sum"])
+    return F.when(F.abs(x) > 6, F.signum(x)).otherwise(series * F.exp(-x * x) * (2 / math.sqrt(math.pi)))
 
 
 def ntcp_lkb(eud_column: Column, d50: float, m: float) -> Column:
@@ -200,10 +202,10 @@ def normalise_plan(doses: DataFrame, target: str, q: float, reference: str) -> D
 
     The percentile is exact with linear interpolation; it is asked of the target only.
     """
-    own = doses.filter(F.col("structure") == target).groupBy("plan").agg(F.percentile("dose", q / 100).alias("_own"))
+    own = exact_quantiles(doses.filter(F.col("structure") == target), ["plan"], "dose", {"_own": q / 100})
     ref = own.filter(F.col("plan") == reference).select(F.col("_own").alias("_ref"))
     scale = own.crossJoin(F.broadcast(ref)).select("plan", (F.col("_ref") / F.col("_own")).alias("_scale"))
-    return doses.join(F.broadcast(scale), "plan").withColumn("dose", F.col("dose") * F.col("_scale")).drop("_scale")
+    return doses.join(scale, "plan").withColumn("dose", F.col("dose") * F.col("_scale")).drop("_scale")
 
 
 def interpolated_d95(dvh: DataFrame, target: str) -> DataFrame:
@@ -218,26 +220,31 @@ def interpolated_d95(dvh: DataFrame, target: str) -> DataFrame:
 def scale_to_prescription(doses: DataFrame, target: str, prescription: float, width: float) -> DataFrame:
     """Scales every plan so that its target's interpolated D95 is the prescription."""
     scale = interpolated_d95(dvh_differential(doses, width), target).select("plan", (F.lit(prescription) / F.col("d95")).alias("_scale"))
-    return doses.join(F.broadcast(scale), "plan").withColumn("dose", F.col("dose") * F.col("_scale")).drop("_scale")
+    return doses.join(scale, "plan").withColumn("dose", F.col("dose") * F.col("_scale")).drop("_scale")
 
 
 def homogeneity(doses: DataFrame, target: str) -> DataFrame:
     """D95 / D5 of the target for each plan, and the cohort's mean."""
-    x = doses.filter(F.col("structure") == target).groupBy("plan").agg(F.percentile("dose", 0.05).alias("d95"), F.percentile("dose", 0.95).alias("d5"))
+    x = exact_quantiles(doses.filter(F.col("structure") == target), ["plan"], "dose", {"d95": 0.05, "d5": 0.95})
     return x.select("plan", (F.col("d95") / F.col("d5")).alias("homogeneity")).withColumn("cohort_mean", F.avg("homogeneity").over(Window.partitionBy()))
 
 
 def conformity(doses: DataFrame, target: str, reference: float) -> DataFrame:
-    """Conformity index and number of each plan, from volumes at a reference dose."""
-    t = F.sum(F.when(F.col("structure") == target, F.col("volume")))
+    """Conformity index and number of each plan, from volumes at a reference dose.
+
+    `doses` has plan, voxel, structure, dose, volume; a voxel counts once, in however many structures it is,
+    and rows without a structure are voxels outside all of them.
+    """
+    voxels = doses.groupBy("plan", "voxel").agg(F.max("dose").alias("dose"), F.max("volume").alias("volume"), F.coalesce(F.bool_or(F.col("structure") == target), F.lit(False)).alias("_in"))
+    t = F.sum(F.when(F.col("_in"), F.col("volume")))
     r = F.sum(F.when(F.col("dose") >= reference, F.col("volume")))
-    tr = F.sum(F.when((F.col("structure") == target) & (F.col("dose") >= reference), F.col("volume")))
-    return doses.groupBy("plan").agg((t / r).alias("conformity_index"), (tr / t * (tr / r)).alias("conformity_number"))
+    tr = F.sum(F.when(F.col("_in") & (F.col("dose") >= reference), F.col("volume")))
+    return voxels.groupBy("plan").agg((t / r).alias("conformity_index"), (tr / t * (tr / r)).alias("conformity_number"))
 
 
 def oar_table(doses: DataFrame, patterns: list[str]) -> DataFrame:
     """Largest dose and D95 of organs found by a part of their name, the first match of a plan by name; a column pair each."""
-    x = doses.groupBy("plan", "structure").agg(F.max("dose").alias("dmax"), F.percentile("dose", 0.05).alias("d95"))
+    x = exact_quantiles(doses, ["plan", "structure"], "dose", {"d95": 0.05, "dmax": 1.0})
     wanted = F.explode(F.array(*[F.lit(p) for p in patterns])).alias("pattern")
     y = x.select("*", wanted).filter(F.contains(F.lower("structure"), F.lower("pattern")))
     first = y.withColumn("_k", F.row_number().over(Window.partitionBy("plan", "pattern").orderBy("structure"))).filter("_k = 1")
@@ -310,10 +317,22 @@ def stale_dvh(stored: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def ivh_features(dvh: DataFrame) -> DataFrame:
-    """Intensity at 10 to 90 percent of volume, and volume at 10 to 90 percent of the largest intensity: long rows."""
-    x = _cumulated(dvh).withColumn("_top", F.max(F.when(F.col("volume") != 0, F.col("dose"))).over(_group()))
+    """Intensity at 10 to 90 percent of the volume, share of volume at 10 to 90 percent of the way from the least to the largest intensity, and the slope at d50.
+
+    A share is that above the first bin of at least the intensity. The slope is the least-squares one of the
+    volume's share over up to 6 bins on each side of d50.
+    """
+    x = _cumulated(dvh).withColumn("fraction", F.col("above") / F.col("total"))
+    some = F.when(F.col("volume") != 0, F.col("dose"))
+    low, top = F.min(some).over(_group()), F.max(some).over(_group())
+    x = x.withColumn("_low", low).withColumn("_range", top - low)
+    d50 = F.coalesce(F.min(F.when(F.col("fraction") < 0.5, F.col("dose"))).over(_group()), F.lit(0.0))
+    x = x.withColumn("_d50", d50)
+    side = Window.partitionBy(*KEYS, F.signum(F.col("dose") - F.col("_d50"))).orderBy(F.abs(F.col("dose") - F.col("_d50")))
+    x = x.withColumn("_near", (F.row_number().over(side) <= 6) & (F.col("dose") != F.col("_d50")))
     parts = [(F.coalesce(F.min(F.when(F.col("above") / F.col("total") < p / 100, F.col("dose"))), F.lit(0.0))).alias(f"d{p}") for p in range(10, 100, 10)]
-    parts += [(F.coalesce(F.max(F.when(F.col("dose") >= F.col("_top") * p / 100, F.col("above"))), F.lit(0.0)) / F.max("total")).alias(f"v{p}") for p in range(10, 100, 10)]
+    parts += [F.coalesce(F.max(F.when(F.col("dose") >= F.col("_low") + F.col("_range") * p / 100, F.col("fraction"))), F.lit(0.0)).alias(f"v{p}") for p in range(10, 100, 10)]
+    parts.append(F.regr_slope(F.when(F.col("_near"), F.col("fraction")), F.col("dose")).alias("slope"))
     return x.groupBy(*KEYS).agg(*parts)
 
 
@@ -331,7 +350,7 @@ def volume_slope(volume: DataFrame, masks: DataFrame, thresholds: list[float], v
     """Least-squares slope of the volume at or above each percentage of the structure's largest value."""
     x = masks.join(volume, ["i", "j", "k"])
     top = x.groupBy("structure").agg(F.max("value").alias("_top"))
-    y = x.join(F.broadcast(top), "structure")
+    y = x.join(top, "structure")
     counts = y.groupBy("structure").agg(*[F.sum((F.col("value") >= F.col("_top") * t / 100).cast("int")).alias(f"t{n}") for n, t in enumerate(thresholds)])
     rows = counts.select("structure", F.explode(F.array(*[F.struct(F.lit(float(t)).alias("t"), (F.col(f"t{n}") * voxel_volume).alias("v")) for n, t in enumerate(thresholds)])).alias("p"))
     return rows.groupBy("structure").agg(F.regr_slope("p.v", "p.t").alias("slope"))

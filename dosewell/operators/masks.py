@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from dosewell.sources.lineage import cut
+
 AT = ("i", "j", "k")
 FACES = ((1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1))
 
@@ -68,7 +70,7 @@ def dice(masks: DataFrame) -> DataFrame:
     y = x.select(F.col("structure").alias("b"), *AT)
     meet = x.select(F.col("structure").alias("a"), *AT).join(y, list(AT)).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("m"))
     p, q = sizes.select(F.col("structure").alias("a"), F.col("n").alias("na")), sizes.select(F.col("structure").alias("b"), F.col("n").alias("nb"))
-    return p.join(F.broadcast(q), F.col("a") < F.col("b")).join(meet, ["a", "b"], "left").select("a", "b", (2.0 * F.coalesce("m", F.lit(0)) / (F.col("na") + F.col("nb"))).alias("dice"))
+    return p.join(q, F.col("a") < F.col("b")).join(meet, ["a", "b"], "left").select("a", "b", (2.0 * F.coalesce("m", F.lit(0)) / (F.col("na") + F.col("nb"))).alias("dice"))
 
 
 def structure_stats(masks: DataFrame, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
@@ -155,9 +157,19 @@ def isodose_structure(volume: DataFrame, level: float) -> DataFrame:
     return volume.filter(F.col("value") >= level)
 
 
-def pad_crop(masks: DataFrame, start: tuple[int, int, int]) -> DataFrame:
-    """Indices in a cropped box to indices in the full volume; use the negative start for the way back."""
-    return masks.withColumns({c: F.col(c) + s for c, s in zip(AT, start, strict=True)})
+def pad_crop(masks: DataFrame, start: tuple[int, int, int], size: tuple[int, int, int] | None = None, full: tuple[int, int, int] | None = None) -> DataFrame:
+    """Indices in a cropped box at `start` to indices in the full volume, or back.
+
+    With `size` the way is from the full volume into the box of that size: what lies outside goes. Otherwise it
+    is from the box to the full volume. `lindex` is the linear index, i fastest, in the box (`size`) or in the
+    full volume where its shape `full` is given.
+    """
+    sign, shape = (-1, size) if size else (1, full)
+    x = masks.withColumns({c: F.col(c) + sign * s for c, s in zip(AT, start, strict=True)})
+    if size:
+        for c, n in zip(AT, size, strict=True):
+            x = x.filter((F.col(c) >= 0) & (F.col(c) < n))
+    return x.withColumn("lindex", (F.col("k").cast("long") * shape[1] + F.col("j")) * shape[0] + F.col("i")) if shape else x
 
 
 def _cells(points: DataFrame, size: float, spacing) -> DataFrame:
@@ -188,42 +200,49 @@ def min_surface_distance(masks: DataFrame, a: str, b: str, spacing=(1.0, 1.0, 1.
         size *= 2
 
 
-def nearest_distance(points: DataFrame, targets: DataFrame, spacing=(1.0, 1.0, 1.0), block: int = 4096) -> DataFrame:
-    """points (any columns and i, j, k) -> also `distance` to the nearest of targets (i, j, k).
+def nearest_distance(points: DataFrame, targets: DataFrame, spacing=(1.0, 1.0, 1.0), on: tuple[str, ...] = (), cell: float = 4.0) -> DataFrame:
+    """points (any columns and i, j, k) -> also `distance` to the nearest of targets (i, j, k), null without any.
 
-    Targets, a structure's surface, are dealt out in blocks; each block is compared with the points
-    in NumPy, and the least over blocks is kept.
+    Points meet the targets that have the same `on` columns. Targets are looked for in neighbouring cells, which
+    settles every point that has one within a cell's width; cells double for the others. In each pass a
+    quarter as large cells are compared first, by the least and greatest distance that their points can have,
+    so a point meets the targets of few of them.
     """
-    blocks = targets.select(*AT).distinct().withColumn("_b", F.pmod(F.hash(*AT), F.lit(8)))
-    packed = blocks.groupBy("_b").agg(F.collect_list(F.struct(*[F.col(c).cast("double").alias(c) for c in AT])).alias("t"))
-
-    def measure(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            for lo in range(0, len(pdf), block):
-                part = pdf.iloc[lo : lo + block]
-                same = part["_b"].to_numpy()
-                out = np.full(len(part), np.inf)
-                x = part[list(AT)].to_numpy(float) * np.array(spacing)
-                for b in np.unique(same):
-                    rows = same == b
-                    t = np.array([[r["i"], r["j"], r["k"]] for r in part["t"][rows].iloc[0]]) * np.array(spacing)
-                    out[rows] = np.sqrt((((x[rows][:, None, :] - t[None, :, :]) ** 2).sum(axis=2)).min(axis=1))
-                yield part.drop(columns=["t", "_b"]).assign(distance=out)
-
-    joined = points.crossJoin(F.broadcast(packed))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema) + ", distance double"
-    found = joined.mapInPandas(measure, schema)
-    return found.groupBy(*points.columns).agg(F.min("distance").alias("distance"))
+    keys = list(on)
+    left, there = cut(points.select(*keys, *AT).distinct()), cut(targets.select(*keys, *AT).distinct())
+    ends = left.select(*AT).union(there.select(*AT)).agg(*[(F.max(c) - F.min(c) + 1).alias(c) for c in AT]).first()
+    span = sum((ends[c] or 0) * s for c, s in zip(AT, spacing, strict=True))
+    square = sum(((F.col(c) - F.col(f"{c}2")) * s) ** 2 for c, s in zip(AT, spacing, strict=True))
+    size, done = float(cell), None
+    while True:
+        fine = size / 4
+        p, t = _cells(left, fine, spacing), _cells(there, fine, spacing)
+        coarse = [F.floor(F.col(f"_c{c}") / 4).cast("int").alias(f"_g{c}") for c in AT]
+        mine = p.select(*keys, *[f"_c{c}" for c in AT]).distinct().select("*", *coarse, F.explode(_offsets(box(1))).alias("o"))
+        mine = mine.select(*keys, *[f"_c{c}" for c in AT], *[(F.col(f"_g{c}") + F.col(f"o.{a}")).alias(f"_g{c}") for c, a in zip(AT, "abc", strict=True)])
+        other = t.select(*keys, *[f"_c{c}" for c in AT]).distinct().select(*keys, *coarse, *[F.col(f"_c{c}").alias(f"_d{c}") for c in AT])
+        met = mine.join(other, [*keys, *[f"_g{c}" for c in AT]])
+        apart = [F.abs(F.col(f"_c{c}") - F.col(f"_d{c}")) for c in AT]
+        least, most = (sum((f(a) * fine) ** 2 for a in apart) for f in (lambda a: F.greatest(a - 1, F.lit(0)), lambda a: a + 1))
+        met = met.withColumns({"_least": least, "_bound": F.min(most).over(Window.partitionBy(*keys, *[f"_c{c}" for c in AT]))})
+        met = met.filter((F.col("_least") <= F.col("_bound")) & (F.col("_least") <= size * size)).select(*keys, *[f"_c{c}" for c in AT], *[f"_d{c}" for c in AT])
+        near = t.select(*keys, *[F.col(c).alias(f"{c}2") for c in AT], *[F.col(f"_c{c}").alias(f"_d{c}") for c in AT])
+        best = p.join(met, [*keys, *[f"_c{c}" for c in AT]]).join(near, [*keys, *[f"_d{c}" for c in AT]]).groupBy(*keys, *AT).agg(F.sqrt(F.min(square)).alias("distance"))
+        found = cut(left.join(best, [*keys, *AT], "left"))
+        last = size > span
+        sure = found if last else found.filter(F.col("distance") <= size)
+        done = sure if done is None else done.unionByName(sure)
+        left = found.filter(F.coalesce(F.col("distance") > size, F.lit(True))).select(*keys, *AT)
+        if last or left.isEmpty():
+            return points.join(done, [*keys, *AT], "left").select(*points.columns, "distance")
+        size *= 2
 
 
 def hausdorff(masks: DataFrame, a: str, b: str, spacing=(1.0, 1.0, 1.0)) -> DataFrame:
     """One row: the larger of the two directed greatest nearest-surface distances, and the mean of nearest distances."""
-    surface = surface_voxels(masks.filter(F.col("structure").isin(a, b)))
-    p, q = (surface.filter(F.col("structure") == n).select(*AT) for n in (a, b))
-    there, back = nearest_distance(p, q, spacing), nearest_distance(q, p, spacing)
-    return there.union(back).agg(F.max("distance").alias("hausdorff"), F.avg("distance").alias("mean_distance"))
+    surface = surface_voxels(masks.filter(F.col("structure").isin(a, b))).select("structure", *AT)
+    other = surface.withColumn("structure", F.when(F.col("structure") == a, b).otherwise(a))
+    return nearest_distance(surface, other, spacing, ("structure",)).agg(F.max("distance").alias("hausdorff"), F.avg("distance").alias("mean_distance"))
 
 
 def com_distance(masks: DataFrame, spacing=(1.0, 1.0, 1.0)) -> DataFrame:
@@ -232,7 +251,7 @@ def com_distance(masks: DataFrame, spacing=(1.0, 1.0, 1.0)) -> DataFrame:
     p = com.select(F.col("structure").alias("a"), *[F.col(c).alias(f"{c}a") for c in AT])
     q = com.select(F.col("structure").alias("b"), *[F.col(c).alias(f"{c}b") for c in AT])
     square = sum((F.col(f"{c}a") - F.col(f"{c}b")) ** 2 for c in AT)
-    return p.join(F.broadcast(q), F.col("a") < F.col("b")).select("a", "b", F.sqrt(square).alias("distance"))
+    return p.join(q, F.col("a") < F.col("b")).select("a", "b", F.sqrt(square).alias("distance"))
 
 
 def _patterns(masks: DataFrame, raters: list[str]) -> DataFrame:

@@ -68,4 +68,5 @@ def optimise_fluence(coo: DataFrame, rows: DataFrame, weights: DataFrame, iterat
         weights = group_shrink(moved, tau)
         if k % 3 == 2:
             weights = cut(weights)
-    return weights, costs
+    coo.unpersist()
+    return cut(weights), costs

@@ -7,9 +7,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from dosewell.operators.ranks import exact_quantiles
 from dosewell.sources.lineage import cut
 
 AT = ["i", "j", "k"]
+EPS = 2.220446049250313e-16
 #: One of each pair of opposite directions to the 26 neighbours, and those in the plane.
 DIRECTIONS_3D = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (c, b, a) > (0, 0, 0)]
 DIRECTIONS_2D = [d for d in DIRECTIONS_3D if d[2] == 0]
@@ -20,18 +22,18 @@ def first_order(scan: DataFrame, masks: DataFrame, voxel_volume: float) -> DataF
     x = masks.select("structure", *AT).distinct().join(scan, AT).select("structure", "value")
     mean = x.groupBy("structure").agg(F.avg("value").alias("_m"))
     v = F.col("value")
-    y = x.join(F.broadcast(mean), "structure")
+    y = x.join(mean, "structure")
     out = y.groupBy("structure").agg(
-        F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), (F.max(v) - F.min(v)).alias("range"), F.stddev_samp(v).alias("std"), F.var_samp(v).alias("var"), F.percentile(v, 0.5).alias("median"),
+        F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), (F.max(v) - F.min(v)).alias("range"), F.stddev_samp(v).alias("std"), F.var_samp(v).alias("var"), F.max("_m").alias("_mean"),
         F.skewness(v).alias("skewness"), (F.kurtosis(v) + 3).alias("kurtosis"), F.sqrt(F.avg(v * v)).alias("rms"), (F.sum(v * v) * voxel_volume).alias("energy"), F.avg(F.abs(v - F.col("_m"))).alias("mean_abs_deviation"),
     )
-    return out
+    return out.drop("_mean").join(exact_quantiles(x, ["structure"], "value", {"median": 0.5}), "structure")
 
 
 def histogram_entropy(values: DataFrame, n: int = 256) -> DataFrame:
     """-sum p log2 p over n bins of equal width between the least and the largest value of each structure."""
     ends = values.groupBy("structure").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"), F.count("*").alias("_n"))
-    x = values.join(F.broadcast(ends), "structure")
+    x = values.join(ends, "structure")
     bin_ = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col("value") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * n), F.lit(n - 1))).otherwise(0)
     c = x.groupBy("structure", "_n", bin_.alias("bin")).agg(F.count("*").alias("_c"))
     p = F.col("_c") / F.col("_n")
@@ -44,29 +46,57 @@ def quantise(scan: DataFrame, masks: DataFrame, levels: int, equal_width: bool =
     ends = x.groupBy("structure").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
     at = (F.col("value") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
     level = F.greatest(F.ceil(at * levels), F.lit(1)) if equal_width else F.floor(at * (levels - 1) + 1 + 0.5)
-    return x.join(F.broadcast(ends), "structure").select("structure", *AT, F.when(F.col("_hi") > F.col("_lo"), level).otherwise(1).cast("int").alias("level"))
+    return x.join(ends, "structure").select("structure", *AT, F.when(F.col("_hi") > F.col("_lo"), level).otherwise(1).cast("int").alias("level"))
+
+
+def _grid(pdf: pd.DataFrame, margin: int) -> tuple[np.ndarray, np.ndarray]:
+    """(levels as a dense array with an empty margin, each row's place in it); 0 where there is no voxel."""
+    lo = pdf[AT].min().to_numpy(int) - margin
+    at = pdf[AT].to_numpy(int) - lo
+    out = np.zeros(tuple(at.max(axis=0) + margin + 1), np.int32)
+    out[at[:, 0], at[:, 1], at[:, 2]] = pdf["level"]
+    return out, at
 
 
 def cooccurrence(quantised: DataFrame, offsets=DIRECTIONS_3D) -> DataFrame:
-    """Shares of level pairs of neighbours inside the structure, symmetric: structure, l1, l2, p."""
-    o = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a, b, c in offsets])).alias("o")
-    x = quantised.select("structure", F.col("level").alias("l1"), *AT, o)
-    x = x.select("structure", "l1", (F.col("i") + F.col("o.a")).alias("i"), (F.col("j") + F.col("o.b")).alias("j"), (F.col("k") + F.col("o.c")).alias("k"))
-    pairs = x.join(quantised.withColumnRenamed("level", "l2"), ["structure", *AT]).groupBy("structure", "l1", "l2").agg(F.count("*").alias("n"))
+    """Shares of level pairs of neighbours inside the structure, symmetric: structure, l1, l2, p.
+
+    Voxels are dealt out in blocks of slices with the slices around them; a block's pairs are counted by NumPy, so
+    what moves is about one copy of each voxel and some counts.
+    """
+    reach = max(max(map(abs, o)) for o in offsets)
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        grid, at = _grid(pdf, reach)
+        own = at[pdf["own"].to_numpy(bool)]
+        top = int(pdf["level"].max()) + 1
+        total = np.zeros(top * top, np.int64)
+        u = grid[own[:, 0], own[:, 1], own[:, 2]]
+        for a, b, c in offsets:
+            v = grid[own[:, 0] + a, own[:, 1] + b, own[:, 2] + c]
+            total += np.bincount((u * top + v)[v > 0], minlength=top * top)
+        pair = np.flatnonzero(total)
+        return pd.DataFrame({"structure": pdf["structure"].iloc[0], "l1": pair // top, "l2": pair % top, "n": total[pair]})
+
+    pairs = _blocks(quantised, 8, reach).groupBy("structure", "block").applyInPandas(count, "structure string, l1 int, l2 int, n long")
     both = pairs.union(pairs.select("structure", F.col("l2").alias("l1"), F.col("l1").alias("l2"), "n")).groupBy("structure", "l1", "l2").agg(F.sum("n").alias("n"))
     return both.select("structure", "l1", "l2", (F.col("n") / F.sum("n").over(Window.partitionBy("structure"))).alias("p"))
 
 
-def cooccurrence_features(p: DataFrame) -> DataFrame:
-    """Energy, entropy, contrast, inverse difference moment, sum average, correlation, cluster shade and prominence."""
+def cooccurrence_features(p: DataFrame, levels: int) -> DataFrame:
+    """Energy, entropy, contrast, inverse difference moment, sum average, correlations, cluster shade and prominence."""
     m = p.groupBy("structure").agg(F.sum(F.col("l1") * F.col("p")).alias("_m"), F.sum(F.col("l1") * F.col("l1") * F.col("p")).alias("_q"))
-    x = p.join(F.broadcast(m), "structure")
+    shares = p.groupBy("structure", "l1").agg(F.sum("p").alias("_x")).groupBy("structure").agg(F.sum(F.col("_x") * F.col("_x")).alias("_px2"))
+    x = p.join(m.join(shares, "structure"), "structure")
+    # the spread of level shares around 1 / levels, as shares add up to 1
+    spread = (F.max("_px2") - 1 / levels) / levels
+    haralick = (F.sum(F.col("l1") * F.col("l2") * F.col("p")) - 1 / levels**2) / (spread + EPS)
     d, s = F.col("l1") - F.col("l2"), F.col("l1") + F.col("l2") - 2 * F.col("_m")
     variance = F.max(F.col("_q") - F.col("_m") * F.col("_m"))
     covariance = F.sum((F.col("l1") - F.col("_m")) * (F.col("l2") - F.col("_m")) * F.col("p"))
     return x.groupBy("structure").agg(
         F.sum(F.col("p") * F.col("p")).alias("energy"), (-F.sum(F.col("p") * F.log2(F.col("p") + 1e-10))).alias("entropy"), F.sum(d * d * F.col("p")).alias("contrast"), F.sum(F.col("p") / (1 + d * d)).alias("inverse_difference"),
-        F.sum((F.col("l1") + F.col("l2")) * F.col("p")).alias("sum_average"), F.when(variance > 0, covariance / variance).alias("correlation"), F.sum(F.pow(s, F.lit(3)) * F.col("p")).alias("cluster_shade"), F.sum(F.pow(s, F.lit(4)) * F.col("p")).alias("cluster_prominence"),
+        F.sum((F.col("l1") + F.col("l2")) * F.col("p")).alias("sum_average"), F.when(variance > 0, covariance / variance).alias("correlation"), F.sum(F.pow(s, F.lit(3)) * F.col("p")).alias("cluster_shade"), F.sum(F.pow(s, F.lit(4)) * F.col("p")).alias("cluster_prominence"), haralick.alias("haralick_correlation"),
     )
 
 
@@ -76,42 +106,76 @@ def _blocks(quantised: DataFrame, size: int, halo: int) -> DataFrame:
     return quantised.select("structure", *AT, "level", at).withColumn("own", F.floor(F.col("k") / size) == F.col("block"))
 
 
+#: Numbers of level pairs of patches that a task holds at a time.
+PATCH_CELLS = 1 << 22
+
+
+def _patch_features(p: np.ndarray, levels: int) -> dict[str, np.ndarray]:
+    """Features of rows of level-pair shares, as in `cooccurrence_features`."""
+    n = np.arange(levels * levels)
+    l1, l2 = n // levels + 1.0, n % levels + 1.0
+    some, m = p.sum(axis=1) > 0, 2 * (p @ l1)
+    s1, s2, s3, s4 = (p @ (l1 + l2) ** k for k in (1, 2, 3, 4))
+    product, variance = p @ (l1 * l2), p @ l1**2 - m * m / 4
+    shares = p.reshape(len(p), levels, levels).sum(axis=2)
+    spread = ((shares * shares).sum(axis=1) - 1 / levels) / levels
+    correlation = np.divide(product - m * m / 4, variance, out=np.full(len(p), np.nan), where=variance > 1e-12)
+    return {
+        "energy": (p * p).sum(axis=1), "entropy": -(p * np.log2(p + 1e-10)).sum(axis=1), "contrast": p @ (l1 - l2) ** 2, "inverse_difference": p @ (1 / (1 + (l1 - l2) ** 2)), "sum_average": s1,
+        "correlation": correlation, "cluster_shade": s3 - 3 * m * s2 + 3 * m * m * s1 - m**3 * some, "cluster_prominence": s4 - 4 * m * s3 + 6 * m * m * s2 - 4 * m**3 * s1 + m**4 * some,
+        "haralick_correlation": np.where(some, (product - 1 / levels**2) / (spread + EPS), np.nan),
+    }
+
+
+FEATURES = ("energy", "entropy", "contrast", "inverse_difference", "sum_average", "correlation", "cluster_shade", "cluster_prominence", "haralick_correlation")
+
+
 def texture_map(quantised: DataFrame, levels: int, reach: int = 1, offsets=DIRECTIONS_3D) -> DataFrame:
-    """Energy, entropy and contrast of level pairs in the box of half-width `reach` around each voxel.
+    """The features of level pairs in the box of half-width `reach` around each voxel; correlations are null where undefined.
 
     Voxels are dealt out in blocks of slices with the slices around them, and each block is done by
-    NumPy with running sums over the box.
+    NumPy, some voxels at a time.
     """
-    halo = reach
+    box = [(a, b, c) for a in range(-reach, reach + 1) for b in range(-reach, reach + 1) for c in range(-reach, reach + 1)]
+    inside = set(box)
+    steps = [(q, r) for o in offsets for q in box if (r := (q[0] + o[0], q[1] + o[1], q[2] + o[2])) in inside]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        lo = pdf[AT].min().to_numpy(int) - reach
-        shape = tuple(pdf[AT].max().to_numpy(int) + reach - lo + 1)
-        grid = np.zeros(shape, np.int32)
-        at = pdf[AT].to_numpy(int) - lo
-        grid[at[:, 0], at[:, 1], at[:, 2]] = pdf["level"]
-        own = at[pdf["own"].to_numpy(bool)]
-        counts = np.zeros((len(own), levels * levels))
-        box = [(a, b, c) for a in range(-reach, reach + 1) for b in range(-reach, reach + 1) for c in range(-reach, reach + 1)]
-        inside = set(box)
-        for o in offsets:
-            for q in box:
-                r = (q[0] + o[0], q[1] + o[1], q[2] + o[2])
-                if r not in inside:
-                    continue
+        grid, at = _grid(pdf, reach)
+        mine = pdf["own"].to_numpy(bool)
+        out, parts = pdf.loc[mine, ["structure", *AT]], []
+        for lo in range(0, int(mine.sum()), max(1, PATCH_CELLS // levels**2)):
+            own = at[mine][lo : lo + max(1, PATCH_CELLS // levels**2)]
+            counts = np.zeros(len(own) * levels * levels)
+            row = np.arange(len(own)) * levels * levels
+            for q, r in steps:
                 u = grid[own[:, 0] + q[0], own[:, 1] + q[1], own[:, 2] + q[2]]
                 v = grid[own[:, 0] + r[0], own[:, 1] + r[1], own[:, 2] + r[2]]
-                rows = np.flatnonzero((u > 0) & (v > 0))
-                np.add.at(counts, (rows, (u[rows] - 1) * levels + v[rows] - 1), 1)
-                np.add.at(counts, (rows, (v[rows] - 1) * levels + u[rows] - 1), 1)
-        total = counts.sum(axis=1, keepdims=True)
-        p = np.divide(counts, total, out=np.zeros_like(counts), where=total > 0)
-        n = np.arange(levels * levels)
-        contrast = p @ ((n // levels - n % levels) ** 2).astype(float)
-        out = pdf[pdf["own"]][["structure", *AT]].copy()
-        return out.assign(energy=(p * p).sum(axis=1), entropy=-(p * np.log2(p + 1e-10)).sum(axis=1), contrast=contrast)
-
-    return _blocks(quantised, 8, halo).groupBy("structure", "block").applyInPandas(run, "structure string, i int, j int, k int, energy double, entropy double, contrast double")
+                some = (u > 0) & (v > 0)
+                # a step gives a voxel one pair, so no place is met twice
+                counts[(row + (u - 1) * levels + v - 1)[some]] += 1
+                counts[(row + (v - 1) * levels + u - 1)[some]] += 1
+            counts = counts.reshape(len(own), -1)
+            total = counts.sum(axis=1, keepdims=True)
+            parts.append(pd.DataFrame(_patch_features(np.divide(counts, total, out=np.zeros_like(counts), where=total > 0), levels)))
+        features = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=FEATURES, dtype=float)
+        return pd.concat([out.reset_index(drop=True), features], axis=1)
+
+    found = _blocks(quantised, 8, reach).groupBy("structure", "block").applyInPandas(run, "structure string, i int, j int, k int, " + ", ".join(f"{f} double" for f in FEATURES))
+    return found.withColumns({f: F.when(~F.isnan(f), F.col(f)) for f in ("correlation", "haralick_correlation")})
+
+
+def joined_labels(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """For each of n nodes the least node that the links (u, v) reach, by hooking roots and halving paths."""
+    root = np.arange(n)
+    while True:
+        a, b = root[u], root[v]
+        apart = a != b
+        if not apart.any():
+            return root
+        np.minimum.at(root, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while (root[root] != root).any():
+            root = root[root]
 
 
 def size_zones(quantised: DataFrame) -> DataFrame:
@@ -124,23 +188,19 @@ def size_zones(quantised: DataFrame) -> DataFrame:
     size = 8
 
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = {tuple(p): n for n, p in enumerate(pdf[AT].to_numpy(int))}
-        level, root = pdf["level"].to_numpy(), np.arange(len(pdf))
-
-        def find(n: int) -> int:
-            while root[n] != n:
-                root[n] = root[root[n]]
-                n = root[n]
-            return n
-
-        for p, n in at.items():
-            for o in DIRECTIONS_3D:
-                m = at.get((p[0] + o[0], p[1] + o[1], p[2] + o[2]))
-                if m is not None and level[m] == level[n]:
-                    a, b = find(n), find(m)
-                    root[max(a, b)] = min(a, b)
+        lo = pdf[AT].min().to_numpy(int) - 1
+        at = pdf[AT].to_numpy(int) - lo
+        number = np.full(tuple(at.max(axis=0) + 2), -1, np.int64)
+        number[at[:, 0], at[:, 1], at[:, 2]] = np.arange(len(pdf))
+        level, links = pdf["level"].to_numpy(), []
+        for a, b, c in DIRECTIONS_3D:
+            other = number[at[:, 0] + a, at[:, 1] + b, at[:, 2] + c]
+            one = np.flatnonzero(other >= 0)
+            one = one[level[one] == level[other[one]]]
+            links.append((one, other[one]))
+        root = joined_labels(len(pdf), *(np.concatenate(x) for x in zip(*links, strict=True)))
         block = int(pdf["block"].iloc[0])
-        return pdf[["structure", *AT, "level"]].assign(label=[f"{block}:{find(n)}" for n in range(len(pdf))])
+        return pdf[["structure", *AT, "level"]].assign(label=[f"{block}:{n}" for n in root.tolist()])
 
     blocks = quantised.withColumn("block", F.floor(F.col("k") / size).cast("int"))
     x = blocks.groupBy("structure", "block").applyInPandas(label, "structure string, i int, j int, k int, level int, label string")
@@ -198,7 +258,7 @@ def background_threshold(pet: DataFrame, limit: float, voxel_volume: float) -> D
 
     Bins are 2 IQR n^(-1/3) wide.
     """
-    q = pet.agg(F.percentile("value", 0.25).alias("_a"), F.percentile("value", 0.75).alias("_b"), F.count("*").alias("_n"), F.min("value").alias("_lo"))
+    q = exact_quantiles(pet, [], "value", {"_a": 0.25, "_b": 0.75}).crossJoin(pet.agg(F.count("*").alias("_n"), F.min("value").alias("_lo")))
     q = q.withColumn("_w", 2 * (F.col("_b") - F.col("_a")) * F.pow(F.col("_n").cast("double"), F.lit(-1 / 3)))
     x = pet.crossJoin(F.broadcast(q)).groupBy(F.floor((F.col("value") - F.col("_lo")) / F.col("_w")).alias("bin"), "_lo", "_w").agg(F.count("*").alias("n"))
     x = x.withColumn("level", F.col("_lo") + (F.col("bin") + 0.5) * F.col("_w"))

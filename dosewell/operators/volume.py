@@ -30,8 +30,20 @@ def _both(a: DataFrame, b: DataFrame, how: str = "full") -> DataFrame:
     return a.withColumnRenamed("value", "a").join(b.withColumnRenamed("value", "b"), AT, how)
 
 
-def dose_difference(a: DataFrame, b: DataFrame, level_a: float | None = None, level_b: float | None = None) -> DataFrame:
-    """b - a, absent as 0; with levels, both are first scaled to percent of them."""
+def _at_point(volume: DataFrame, point: tuple[int, int, int], name: str) -> DataFrame:
+    """One row: the value at a place, null where there is none or 0."""
+    here = sum((F.col(c) == p).cast("int") for c, p in zip(AT, point, strict=True)) == len(AT)
+    return volume.agg(F.max(F.when(here & (F.col("value") != 0), F.col("value"))).alias(name))
+
+
+def dose_difference(a: DataFrame, b: DataFrame, level_a: float | None = None, level_b: float | None = None, point: tuple[int, int, int] | None = None) -> DataFrame:
+    """b - a, absent as 0; with levels both are first scaled to percent of them, with a point to percent of their values there.
+
+    Where a dose has no value at the point, or 0, differences are null.
+    """
+    if point is not None:
+        both = _both(a, b).crossJoin(_at_point(a, point, "_a")).crossJoin(_at_point(b, point, "_b"))  # one row each
+        return both.select(*AT, (F.coalesce("b", F.lit(0.0)) / F.col("_b") * 100 - F.coalesce("a", F.lit(0.0)) / F.col("_a") * 100).alias("value"))
     x = F.coalesce("a", F.lit(0.0)) * (100 / level_a if level_a else 1.0)
     y = F.coalesce("b", F.lit(0.0)) * (100 / level_b if level_b else 1.0)
     return _both(a, b).select(*AT, (y - x).alias("value"))
@@ -152,12 +164,20 @@ def combine_spectrum(volumes: DataFrame, spectrum: DataFrame, kernel: bool = Fal
     return volumes.join(F.broadcast(s), "energy").groupBy(*AT).agg(F.sum(F.col("value") * F.col("_w")).alias("value"))
 
 
+def count_to_energy(counts: DataFrame) -> DataFrame:
+    """Shares of the energy that photons of each energy bring: adds `share`, count x energy over its sum."""
+    part = F.col("count") * F.col("energy")
+    return counts.crossJoin(counts.agg(F.sum(part).alias("_all"))).withColumn("share", part / F.col("_all")).drop("_all")
+
+
 def box_filter(volume: DataFrame, width: int) -> DataFrame:
     """Sums over width x width places in the plane, absent ones as 0; an even window reaches one farther ahead."""
     back, ahead = (width - 1) // 2, width // 2
-    one = F.sum("value").over(Window.partitionBy("j", "k").orderBy("i").rangeBetween(-back, ahead))
-    two = F.sum("value").over(Window.partitionBy("i", "k").orderBy("j").rangeBetween(-back, ahead))
-    return volume.withColumn("value", one).withColumn("value", two)
+    sums = volume.select(*AT, "value")
+    for c in ("i", "j"):  # a value goes to all places of an axis that see it, present or not
+        to = F.explode(F.sequence(F.col(c) - ahead, F.col(c) + back)).alias("_to")
+        sums = sums.select(*[x for x in AT if x != c], to, "value").withColumnRenamed("_to", c).groupBy(*AT).agg(F.sum("value").alias("value"))
+    return volume.drop("value").join(sums, AT)
 
 
 def depth_profiles(volume: DataFrame, ci: int, cj: int) -> DataFrame:

@@ -8,7 +8,8 @@ from dosewell.functions.names import clean_name, dose_units_gy
 from dosewell.operators import cohort
 from dosewell.plans import inputs as data
 from dosewell.plans.dosevolume import CUM, DVH, WIDTH
-from dosewell.plans.inputs import DOSES, rounded, with_sql
+from dosewell.plans.inputs import DOSES, EVENT_MASKS, rounded, with_sql
+from dosewell.plans.structures import SURFACE
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -125,13 +126,13 @@ def c11(spark, sf_dir):
     return cohort.unique_match(p, spark.createDataFrame([("^1-",), ("^[23]-",), ("7$",)], "pattern string"))
 
 
-HEADERS = "headers AS (SELECT conv_id AS patient, 'f' || turn AS file, role AS modality, 'len' || (length(text) % 4) AS field, left(text, 10) AS value, turn AS instance FROM conversations UNION ALL SELECT conv_id, 'f' || turn, role, 'role', role, turn FROM conversations)"
+HEADERS = "headers AS (SELECT conv_id AS patient, 'f' || turn AS file, role AS modality, 'len' || (length(text) % 4) AS field, text AS value, turn AS instance FROM conversations UNION ALL SELECT conv_id, 'f' || turn, role, 'role', role, turn FROM conversations)"
 
 
 def _headers(spark, sf_dir):
     c = data.table(spark, sf_dir, "conversations")
     file = F.concat(F.lit("f"), F.col("turn"))
-    a = c.select(F.col("conv_id").alias("patient"), file.alias("file"), F.col("role").alias("modality"), F.concat(F.lit("len"), F.length("text") % 4).alias("field"), F.left("text", F.lit(10)).alias("value"), F.col("turn").alias("instance"))
+    a = c.select(F.col("conv_id").alias("patient"), file.alias("file"), F.col("role").alias("modality"), F.concat(F.lit("len"), F.length("text") % 4).alias("field"), F.col("text").alias("value"), F.col("turn").alias("instance"))
     return a.union(c.select("conv_id", file, "role", F.lit("role"), "role", "turn"))
 
 
@@ -157,12 +158,20 @@ def c15(spark, sf_dir):
     return cohort.check_structures(found, spark.createDataFrame([(x,) for x in ("click", "error", "signup", "view", "purchase")], "structure string"))
 
 
-@query("c16_match_lesions")
+@query(
+    "c16_match_lesions",
+    with_sql(
+        EVENT_MASKS, SURFACE, "p AS (SELECT * FROM surface WHERE structure IN ('click', 'error')), q AS (SELECT * FROM surface WHERE structure IN ('view', 'signup'))",
+        "d AS (SELECT p.structure AS a, q.structure AS b, sqrt(min((p.i - q.i) ^ 2 + (p.j - q.j) ^ 2 + (p.k - q.k) ^ 2)) AS d, 0 AS way FROM p, q GROUP BY p.structure, q.structure, p.i, p.j, p.k UNION ALL SELECT p.structure, q.structure, sqrt(min((p.i - q.i) ^ 2 + (p.j - q.j) ^ 2 + (p.k - q.k) ^ 2)), 1 FROM p, q GROUP BY p.structure, q.structure, q.i, q.j, q.k)",
+        "w AS (SELECT a, b, max(d) AS h, avg(d) AS m FROM d GROUP BY a, b, way), u AS (SELECT a, b, max(h) AS h, avg(m) AS m FROM w GROUP BY a, b)",
+        "x AS (SELECT a, arg_min(b, (h, b)) AS bh, min(h) AS h, arg_min(b, (m, b)) AS bm, min(m) AS m FROM u GROUP BY a)",
+        "SELECT a AS structure_a, CASE WHEN bh = bm AND (h < 3 OR m < 3) THEN bh END AS structure_b FROM x",
+    ),
+)
 def c16(spark, sf_dir):
     m = data.event_masks(spark, sf_dir)
-    near = (F.col("i") < 5) & (F.col("j") < 5)
-    a = m.filter(near & F.col("structure").isin("click", "error")).select("structure", "i", "j", "k")
-    b = m.filter(near & F.col("structure").isin("view", "signup")).select("structure", "i", "j", "k")
+    a = m.filter(F.col("structure").isin("click", "error")).select("structure", "i", "j", "k")
+    b = m.filter(F.col("structure").isin("view", "signup")).select("structure", "i", "j", "k")
     return cohort.match_lesions(a, b)
 
 

@@ -130,13 +130,25 @@ def d11(spark, sf_dir):
     return rounded(dvh.dvh_slope(_dvh(spark, sf_dir), 50.0), 8)
 
 
-@query("d12_complication_models")
+#: The error function by its alternating series, for arguments that are not large.
+ERF = "(2 / sqrt(pi()) * list_sum(list_transform(range(0, 70), lambda n: (CASE WHEN n % 2 = 0 THEN 1 ELSE -1 END) * pow({x}, 2 * n + 1) / (gamma(n + 1) * (2 * n + 1)))))"
+
+
+@query(
+    "d12_complication_models",
+    with_sql(
+        DOSES, DVH, "e AS (SELECT plan, structure, pow(sum(pow(dose, 4 + 2.220446049250313e-16) * volume) / sum(volume), 1 / (4 + 2.220446049250313e-16)) AS eud FROM dvh GROUP BY ALL)",
+        "v AS (SELECT plan, structure, exp(avg(ln(1 / (1 + exp(4 * 2.0 * (1 - dose / 55.0)))))) AS tcp_voxels FROM doses GROUP BY ALL)", "c AS (SELECT unnest([60.0::DOUBLE, 70.0, 80.0]) AS d50)",
+        "y AS (SELECT plan, structure, d50, eud, tcp_voxels, (eud - d50) / (0.2 * d50) / sqrt(2) AS s, (eud - 70) * 1.5 * sqrt(2 * pi()) / 70 / sqrt(2) AS t FROM e JOIN v USING (plan, structure), c)",
+        "SELECT plan, structure, d50, round(0.5 * (1 + " + ERF.format(x="s") + "), 6) AS ntcp, round(0.5 * (1 + " + ERF.format(x="t") + "), 6) AS erp, round(1 / (1 + exp(4 * 2.0 * (1 - eud / 55.0))), 6) AS tcp, round(tcp_voxels, 6) AS tcp_voxels FROM y",
+    ),
+)
 def d12(spark, sf_dir):
     e = dvh.eud(_dvh(spark, sf_dir), 4.0)
     d50 = F.explode(F.array(*[F.lit(x) for x in (60.0, 70.0, 80.0)])).alias("d50")
     x = e.select("*", d50)
     t = dvh.tcp_voxels(data.doses(spark, sf_dir), 55.0, 2.0)
-    lkb = 0.5 * (1 + dvh.erf((F.col("eud") - F.col("d50")) / (0.2 * F.col("d50")) / (2**0.5)))
+    lkb = dvh.ntcp_lkb(F.col("eud"), F.col("d50"), 0.2)
     return rounded(x.join(t, ["plan", "structure"]).select("plan", "structure", "d50", lkb.alias("ntcp"), dvh.erp(F.col("eud"), 70.0, 1.5).alias("erp"), dvh.tcp_logistic(F.col("eud"), 55.0, 2.0).alias("tcp"), F.col("tcp").alias("tcp_voxels")), 6)
 
 
@@ -160,9 +172,11 @@ def d15(spark, sf_dir):
     return rounded(dvh.homogeneity(data.doses(spark, sf_dir), "R"), 8)
 
 
-@query("d16_conformity", with_sql(DOSES, "SELECT plan, round(sum(CASE WHEN structure = 'R' THEN volume END) / sum(CASE WHEN dose >= 50 THEN volume END), 6) AS conformity_index, round(sum(CASE WHEN structure = 'R' AND dose >= 50 THEN volume END) ^ 2 / sum(CASE WHEN structure = 'R' THEN volume END) / sum(CASE WHEN dose >= 50 THEN volume END), 6) AS conformity_number FROM doses GROUP BY plan"))
+@query("d16_conformity", "WITH v AS (SELECT l_linestatus AS plan, l_orderkey AS voxel, max(l_extendedprice / 1000) AS dose, bool_or(l_returnflag = 'R') AS t FROM lineitem GROUP BY ALL) SELECT plan, round(count(*) FILTER (WHERE t) / count(*) FILTER (WHERE dose >= 50), 6) AS conformity_index, round(count(*) FILTER (WHERE t AND dose >= 50) ^ 2 / count(*) FILTER (WHERE t) / count(*) FILTER (WHERE dose >= 50), 6) AS conformity_number FROM v GROUP BY plan")
 def d16(spark, sf_dir):
-    return rounded(dvh.conformity(data.doses(spark, sf_dir), "R", 50.0), 6)
+    """Orders as voxels, which may lie in several structures."""
+    x = data.table(spark, sf_dir, "lineitem").select(F.col("l_linestatus").alias("plan"), F.col("l_orderkey").alias("voxel"), F.col("l_returnflag").alias("structure"), (F.col("l_extendedprice") / 1000).alias("dose"), F.lit(0.001).alias("volume"))
+    return rounded(dvh.conformity(x, "R", 50.0), 6)
 
 
 ORGANS = "organs AS (SELECT l_linestatus AS plan, p_type || ' ' || p_brand AS structure, l_extendedprice / 1000 AS dose FROM lineitem JOIN part ON p_partkey = l_partkey)"
@@ -202,7 +216,7 @@ def d19b(spark, sf_dir):
     return dvh.plan_score(_verdicts(spark, sf_dir))
 
 
-@query("d20_metric_registry")
+@query("d20_metric_registry", with_sql(DOSES, DVH, "SELECT plan, structure, 'mean' AS metric, round(sum(dose * volume) / sum(volume), 6) AS value FROM dvh GROUP BY ALL UNION ALL SELECT plan, structure, 'hottest', round(max(dose) FILTER (WHERE volume > 0), 6) FROM dvh GROUP BY ALL"))
 def d20(spark, sf_dir):
     registry = dvh.MetricRegistry()
     registry.register("mean", lambda d, v: float((d * v).sum() / v.sum()))
@@ -227,8 +241,8 @@ def _scan(spark, sf_dir):
 @query(
     "d22_ivh_features",
     with_sql(
-        SCAN, histogram_sql("dvh", "scan", 0.05), CUM, "c2 AS (SELECT *, max(CASE WHEN volume <> 0 THEN dose END) OVER (PARTITION BY plan, structure) AS top FROM cum)",
-        "SELECT plan, structure, " + ", ".join([f"round(coalesce(min(CASE WHEN above / total < {p} / 100.0::DOUBLE THEN dose END), 0), 6) AS d{p}" for p in range(10, 100, 10)] + [f"round(coalesce(max(CASE WHEN dose >= top * {p} / 100 THEN above END), 0) / max(total), 6) AS v{p}" for p in range(10, 100, 10)]) + " FROM c2 GROUP BY ALL",
+        SCAN, histogram_sql("dvh", "scan", 0.05), CUM, "c2 AS (SELECT *, above / total AS fraction, min(CASE WHEN volume <> 0 THEN dose END) OVER w AS low, max(CASE WHEN volume <> 0 THEN dose END) OVER w AS top, coalesce(min(CASE WHEN above / total < 0.5 THEN dose END) OVER w, 0) AS d50 FROM cum WINDOW w AS (PARTITION BY plan, structure))",
+        "SELECT plan, structure, " + ", ".join([f"round(coalesce(min(CASE WHEN above / total < {p} / 100.0::DOUBLE THEN dose END), 0), 6) AS d{p}" for p in range(10, 100, 10)] + [f"round(coalesce(max(CASE WHEN dose >= low + (top - low) * {p} / 100 THEN fraction END), 0), 6) AS v{p}" for p in range(10, 100, 10)]) + ", round(regr_slope(fraction, dose) FILTER (WHERE abs(dose - d50) < 6.5 * 0.05 AND dose <> d50), 6) AS slope FROM c2 GROUP BY ALL",
     ),
 )
 def d22(spark, sf_dir):
@@ -240,9 +254,9 @@ def d23(spark, sf_dir):
     return rounded(dvh.surface_histogram(data.volume(spark, sf_dir), masks.surface_voxels(data.event_masks(spark, sf_dir)), 0.5), 6)
 
 
-@query("d24_distance_dose", with_sql(EVENT_MASKS, VOLUME, "m AS (SELECT DISTINCT i, j, k FROM masks WHERE structure = 'U4' AND i < 6)", "sf AS (SELECT * FROM m WHERE (SELECT count(*) FROM m n WHERE abs(n.i - m.i) + abs(n.j - m.j) + abs(n.k - m.k) = 1) < 6)", "p AS (SELECT m.*, value FROM m JOIN volume USING (i, j, k) WHERE value >= 60) SELECT p.i, p.j, p.k, value, round(sqrt(min((p.i - sf.i) ^ 2 + (p.j - sf.j) ^ 2 + (p.k - sf.k) ^ 2)), 6) AS distance FROM p, sf GROUP BY p.i, p.j, p.k, value"))
+@query("d24_distance_dose", with_sql(EVENT_MASKS, VOLUME, SURFACE, "m AS (SELECT DISTINCT i, j, k FROM masks WHERE structure = 'U4')", "sf AS (SELECT * FROM surface WHERE structure = 'U4')", "p AS (SELECT m.*, value FROM m JOIN volume USING (i, j, k) WHERE value >= 60) SELECT p.i, p.j, p.k, value, round(sqrt(min((p.i - sf.i) ^ 2 + (p.j - sf.j) ^ 2 + (p.k - sf.k) ^ 2)), 6) AS distance FROM p, sf GROUP BY p.i, p.j, p.k, value"))
 def d24(spark, sf_dir):
-    m = data.event_masks(spark, sf_dir).filter("structure = 'U4' and i < 6")
+    m = data.event_masks(spark, sf_dir).filter("structure = 'U4'")
     points = m.select("i", "j", "k").distinct().join(data.volume(spark, sf_dir).filter("value >= 60"), ["i", "j", "k"])
     return rounded(masks.nearest_distance(points, masks.surface_voxels(m)), 6)
 

@@ -51,6 +51,11 @@ def g2a(spark, sf_dir):
     return rounded(volume.dose_difference(_v(spark, sf_dir), _w(spark, sf_dir), 60.0, 300.0), 6)
 
 
+@query("g2_dose_difference_at_point", with_sql(VOLUME, VOLUME2, "a AS (SELECT max(value) AS v FROM volume WHERE i = 3 AND j = 4 AND k = 2), b AS (SELECT max(value) AS v FROM volume2 WHERE i = 3 AND j = 4 AND k = 2) SELECT i, j, k, round(coalesce(y.value, 0) / b.v * 100 - coalesce(x.value, 0) / a.v * 100, 6) AS value FROM volume x FULL JOIN volume2 y USING (i, j, k), a, b"))
+def g2c(spark, sf_dir):
+    return rounded(volume.dose_difference(_v(spark, sf_dir), _w(spark, sf_dir), point=(3, 4, 2)), 6)
+
+
 @query("g2_dose_ratio", with_sql(VOLUME, VOLUME2, "SELECT i, j, k, round(CASE WHEN a.value <> 0 THEN b.value / a.value END, 6) AS value FROM volume a JOIN volume2 b USING (i, j, k)"))
 def g2b(spark, sf_dir):
     return rounded(volume.dose_ratio(_v(spark, sf_dir), _w(spark, sf_dir)), 6)
@@ -73,13 +78,14 @@ def corners_sql(name: str, points: str, keys: str) -> str:
 @query(
     "g4_resize_trilinear",
     with_sql(
-        VOLUME, "t AS (SELECT CAST(n % 15 AS INTEGER) AS ti, CAST((n // 15) % 15 AS INTEGER) AS tj, CAST(n // 225 AS INTEGER) AS tk FROM (SELECT unnest(range(15 * 15 * 12)) AS n))",
-        "p AS (SELECT *, (ti + 0.5::DOUBLE) / 15 * 20 - 0.5::DOUBLE AS x, (tj + 0.5::DOUBLE) / 15 * 20 - 0.5::DOUBLE AS y, (tk + 0.5::DOUBLE) / 12 * 25 - 0.5::DOUBLE AS z FROM t)",
+        VOLUME, "h AS (SELECT (max(k) + 1)::BIGINT AS nk FROM volume)", "t AS (SELECT CAST(n % 15 AS INTEGER) AS ti, CAST((n // 15) % 15 AS INTEGER) AS tj, CAST(n // 225 AS INTEGER) AS tk, nk FROM (SELECT unnest(range(15 * 15 * ((nk + 1) // 2))) AS n, nk FROM h))",
+        "p AS (SELECT *, (ti + 0.5::DOUBLE) / 15 * 20 - 0.5::DOUBLE AS x, (tj + 0.5::DOUBLE) / 15 * 20 - 0.5::DOUBLE AS y, (tk + 0.5::DOUBLE) / ((nk + 1) // 2) * nk - 0.5::DOUBLE AS z FROM t)",
         corners_sql("f", "p", "ti, tj, tk"), "SELECT ti AS i, tj AS j, tk AS k, round(coalesce(value, 0), 9) AS value FROM t LEFT JOIN f USING (ti, tj, tk)",
     ),
 )
 def g4(spark, sf_dir):
-    return rounded(volume.resize_trilinear(_v(spark, sf_dir), (20, 20, 25), (15, 15, 12)), 9)
+    slices = _v(spark, sf_dir).agg(F.max("k") + 1).first()[0]
+    return rounded(volume.resize_trilinear(_v(spark, sf_dir), (20, 20, slices), (15, 15, (slices + 1) // 2)), 9)
 
 
 @query(
@@ -173,9 +179,15 @@ def g11b(spark, sf_dir):
     return _spectral(spark, sf_dir, True)
 
 
-@query("g12_box_filter", with_sql(VOLUME, "a AS (SELECT i, j, k, sum(value) OVER (PARTITION BY j, k ORDER BY i RANGE BETWEEN 1 PRECEDING AND 2 FOLLOWING) AS v FROM volume) SELECT i, j, k, round(sum(v) OVER (PARTITION BY i, k ORDER BY j RANGE BETWEEN 1 PRECEDING AND 2 FOLLOWING), 4) AS value FROM a"))
+@query("g11_count_to_energy", "WITH c AS (SELECT (user_id % 25 + 1) * 0.25::DOUBLE AS energy, count(*) AS count FROM events GROUP BY ALL) SELECT energy, count, round(count * energy / sum(count * energy) OVER (), 9) AS share FROM c")
+def g11c(spark, sf_dir):
+    c = data.table(spark, sf_dir, "events").groupBy(((F.col("user_id") % 25 + 1) * 0.25).alias("energy")).agg(F.count("*").alias("count"))
+    return rounded(volume.count_to_energy(c), 9)
+
+
+@query("g12_box_filter", with_sql(VOLUME2, "SELECT v.i, v.j, v.k, round(sum(w.value), 4) AS value FROM volume2 v JOIN volume2 w ON w.k = v.k AND w.i BETWEEN v.i - 1 AND v.i + 2 AND w.j BETWEEN v.j - 1 AND v.j + 2 GROUP BY v.i, v.j, v.k"))
 def g12(spark, sf_dir):
-    return rounded(volume.box_filter(_v(spark, sf_dir), 4))
+    return rounded(volume.box_filter(_w(spark, sf_dir), 4))
 
 
 @query("g15_depth_profiles", with_sql(VOLUME, "p AS (SELECT k, max(value) FILTER (WHERE i = 10 AND j = 10) AS centre, sum(value) AS partial, avg(value) AS mean FROM volume GROUP BY k) SELECT k, round(centre / max(centre) OVER (), 6) AS centre, round(partial / max(partial) OVER (), 6) AS partial, round(mean / max(mean) OVER (), 6) AS mean FROM p"))
@@ -237,7 +249,7 @@ def g22(spark, sf_dir):
     "g23_robust_dvh",
     with_sql(
         VOLUME, EVENT_MASKS, "s AS (SELECT CAST(n_nationkey // 3 AS INTEGER) AS trial, n_nationkey % 3 - 0.75::DOUBLE AS sx, (n_nationkey % 2) * 0.5::DOUBLE AS sy, (n_nationkey % 5) * 0.25::DOUBLE AS sz FROM nation WHERE n_nationkey < 9)",
-        "m AS (SELECT structure, i AS vi, j AS vj, k AS vk FROM masks WHERE structure = 'click')",
+        "m AS (SELECT structure, i AS vi, j AS vj, k AS vk FROM masks)",
         "p AS (SELECT m.*, trial, vi + sx AS x, vj + sy AS y, vk + sz AS z FROM m, s)", corners_sql("f", "p", "structure, trial, vi, vj, vk"),
         "doses AS (SELECT trial AS plan, structure, coalesce(value, 0) / 3 AS dose, 0.25::DOUBLE AS volume FROM (SELECT m.*, trial FROM m, (SELECT DISTINCT trial FROM s)) LEFT JOIN f USING (structure, trial, vi, vj, vk))",
         histogram_sql("dvh", "doses", 20.0),
@@ -247,7 +259,7 @@ def g22(spark, sf_dir):
 def g23(spark, sf_dir):
     n = F.col("n_nationkey")
     s = data.table(spark, sf_dir, "nation").filter("n_nationkey < 9").select(F.floor(n / 3).cast("int").alias("trial"), (n % 3 - 0.75).alias("sx"), ((n % 2) * 0.5).alias("sy"), ((n % 5) * 0.25).alias("sz"))
-    x = volume.robust_dvh(_v(spark, sf_dir), data.event_masks(spark, sf_dir).filter("structure = 'click'"), s, 20.0, 0.25)
+    x = volume.robust_dvh(_v(spark, sf_dir), data.event_masks(spark, sf_dir), s, 20.0, 0.25)
     return x.select("structure", "bin", "dose", F.round("mean_volume", 6).alias("mean_volume"), F.round("std_volume", 5).alias("std_volume"))
 
 
@@ -299,14 +311,28 @@ def t5(spark, sf_dir):
     return rounded(texture.cooccurrence(_levels(spark, sf_dir)), 9)
 
 
-@query("t6_cooccurrence_features", with_sql(VOLUME, EVENT_MASKS, LEVELS, DIRECTIONS, COOCCURRENCE, "m AS (SELECT structure, sum(l1 * p) AS m, sum(l1 * l1 * p) AS q FROM p GROUP BY 1) SELECT structure, round(sum(p * p), 6) AS energy, round(-sum(p * log2(p + 1e-10)), 6) AS entropy, round(sum((l1 - l2) ^ 2 * p), 6) AS contrast, round(sum(p / (1 + (l1 - l2) ^ 2)), 6) AS inverse_difference, round(sum((l1 + l2) * p), 6) AS sum_average, round(sum((l1 - m) * (l2 - m) * p) / max(q - m * m), 6) AS correlation, round(sum((l1 + l2 - 2 * m) ^ 3 * p), 6) AS cluster_shade, round(sum((l1 + l2 - 2 * m) ^ 4 * p), 6) AS cluster_prominence FROM p JOIN m USING (structure) GROUP BY structure"))
+@query("t6_cooccurrence_features", with_sql(VOLUME, EVENT_MASKS, LEVELS, DIRECTIONS, COOCCURRENCE, "m AS (SELECT structure, sum(l1 * p) AS m, sum(l1 * l1 * p) AS q FROM p GROUP BY 1)", "px AS (SELECT structure, l, coalesce(sum(p), 0) AS x FROM (SELECT DISTINCT structure FROM p) CROSS JOIN (SELECT unnest(range(1, 9)) AS l) LEFT JOIN (SELECT structure, l1 AS l, p FROM p) USING (structure, l) GROUP BY ALL), hs AS (SELECT structure, avg((x - 1 / 8) ^ 2) AS s FROM px GROUP BY structure)", "SELECT structure, round((sum(l1 * l2 * p) - 1 / 64) / (any_value(s) + 2.220446049250313e-16), 6) AS haralick_correlation, round(sum(p * p), 6) AS energy, round(-sum(p * log2(p + 1e-10)), 6) AS entropy, round(sum((l1 - l2) ^ 2 * p), 6) AS contrast, round(sum(p / (1 + (l1 - l2) ^ 2)), 6) AS inverse_difference, round(sum((l1 + l2) * p), 6) AS sum_average, round(sum((l1 - m) * (l2 - m) * p) / max(q - m * m), 6) AS correlation, round(sum((l1 + l2 - 2 * m) ^ 3 * p), 6) AS cluster_shade, round(sum((l1 + l2 - 2 * m) ^ 4 * p), 6) AS cluster_prominence FROM p JOIN m USING (structure) JOIN hs USING (structure) GROUP BY structure"))
 def t6(spark, sf_dir):
-    return rounded(texture.cooccurrence_features(texture.cooccurrence(_levels(spark, sf_dir))), 6)
+    return rounded(texture.cooccurrence_features(texture.cooccurrence(_levels(spark, sf_dir)), 8), 6)
 
 
-@query("t7_texture_map")
+@query(
+    "t7_texture_map",
+    with_sql(
+        VOLUME, EVENT_MASKS, LEVELS, DIRECTIONS, "bx AS (SELECT * FROM (VALUES (-1), (0), (1)) x(a), (VALUES (-1), (0), (1)) y(b), (VALUES (-1), (0), (1)) z(c))",
+        "seen AS (SELECT structure, i - a AS vi, j - b AS vj, k - c AS vk, i, j, k, level FROM q, bx)",
+        "pr AS (SELECT x.structure, vi, vj, vk, x.level AS l1, y.level AS l2 FROM (SELECT seen.*, i + a AS ni, j + b AS nj, k + c AS nk FROM seen, o WHERE abs(i + a - vi) <= 1 AND abs(j + b - vj) <= 1 AND abs(k + c - vk) <= 1) x JOIN q y ON y.structure = x.structure AND y.i = ni AND y.j = nj AND y.k = nk)",
+        "bo AS (SELECT * FROM pr UNION ALL SELECT structure, vi, vj, vk, l2, l1 FROM pr)",
+        "p AS (SELECT structure, vi AS i, vj AS j, vk AS k, l1, l2, count(*) / sum(count(*)) OVER (PARTITION BY structure, vi, vj, vk) AS p FROM bo GROUP BY structure, vi, vj, vk, l1, l2)",
+        "m AS (SELECT structure, i, j, k, sum(l1 * p) AS m, sum(l1 * l1 * p) - sum(l1 * p) ^ 2 AS v FROM p GROUP BY ALL), px AS (SELECT structure, i, j, k, (sum(x * x) - 1 / 8) / 8 AS s FROM (SELECT structure, i, j, k, l1, sum(p) AS x FROM p GROUP BY ALL) GROUP BY ALL)",
+        "f AS (SELECT structure, i, j, k, sum(p * p) AS energy, -sum(p * log2(p + 1e-10)) AS entropy, sum((l1 - l2) ^ 2 * p) AS contrast, sum(p / (1 + (l1 - l2) ^ 2)) AS inverse_difference, sum((l1 + l2) * p) AS sum_average, CASE WHEN max(v) > 1e-12 THEN sum((l1 - m) * (l2 - m) * p) / max(v) END AS correlation, sum((l1 + l2 - 2 * m) ^ 3 * p) AS cluster_shade, sum((l1 + l2 - 2 * m) ^ 4 * p) AS cluster_prominence, (sum(l1 * l2 * p) - 1 / 64) / (max(s) + 2.220446049250313e-16) AS haralick_correlation FROM p JOIN m USING (structure, i, j, k) JOIN px USING (structure, i, j, k) GROUP BY ALL)",
+        "SELECT structure, i, j, k, " + ", ".join(f"round({c} + 1e-10, 5) + 0.0 AS {c}" if c.endswith("correlation") else f"round(coalesce({c}, 0) + 1e-10, 5) + 0.0 AS {c}" for c in texture.FEATURES) + " FROM q LEFT JOIN f USING (structure, i, j, k)",
+    ),
+)
 def t7(spark, sf_dir):
-    return rounded(texture.texture_map(_levels(spark, sf_dir), 8), 6)
+    x = texture.texture_map(_levels(spark, sf_dir), 8)
+    # exact halves of the last digit are frequent; the small term sends them all up
+    return x.select("structure", "i", "j", "k", *[(F.round(F.col(c) + 1e-10, 5) + F.lit(0.0)).alias(c) for c in texture.FEATURES])
 
 
 @query("t8_size_zones")

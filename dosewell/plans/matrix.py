@@ -248,7 +248,19 @@ def p4(spark, sf_dir):
     return rounded(objective.group_shrink(data.weights(spark, sf_dir), 12.0), 6)
 
 
-@query("p5_optimise_fluence")
+def _pass_sql(n: int, step: float, tau: float) -> tuple[str, ...]:
+    """One pass of the optimiser from weights w{n} to w{n + 1}."""
+    return (
+        f"d{n} AS (SELECT voxel, sum(coeff * weight) AS dose FROM coo JOIN w{n} USING (beam, beamlet) GROUP BY voxel)",
+        f"r{n} AS (SELECT voxel, sum(coalesce(min_weight * least(coalesce(dose, 0) - min_target, 0), 0) * (min_target IS NOT NULL)::INTEGER + coalesce(max_weight * greatest(coalesce(dose, 0) - max_dose, 0), 0) * (max_dose IS NOT NULL)::INTEGER + coalesce(oar_weight, 0) * coalesce(dose, 0)) AS residual FROM limits LEFT JOIN d{n} USING (voxel) GROUP BY voxel)",
+        f"g{n} AS (SELECT beam, beamlet, sum(coeff * residual) AS gradient FROM coo JOIN r{n} USING (voxel) GROUP BY ALL)",
+        f"m{n} AS (SELECT beam, beamlet, greatest(weight - {step}::DOUBLE * coalesce(gradient, 0), 0) AS weight FROM w{n} LEFT JOIN g{n} USING (beam, beamlet))",
+        f"a{n} AS (SELECT *, {tau} * pow(nullif(sqrt(sum(weight * weight) OVER (PARTITION BY beam)), 0), -1.5) AS alpha FROM m{n})",
+        f"w{n + 1} AS (SELECT beam, beamlet, weight * CASE WHEN alpha IS NULL OR alpha > 2 * sqrt(6) / 9 THEN 0 ELSE (2 / sqrt(3) * sin((acos(least(0.75 * sqrt(3) * alpha, 1)) + pi() / 2) / 3)) ^ 2 END AS weight FROM a{n})",
+    )
+
+
+@query("p5_optimise_fluence", with_sql(COO, LIMIT_ROWS, "w0 AS (SELECT s_nationkey AS beam, s_suppkey AS beamlet, 5.0::DOUBLE AS weight FROM supplier)", *[s for n in range(3) for s in _pass_sql(n, 1e-6, 0.5)], "SELECT beam, beamlet, round(weight, 6) AS weight FROM w3"))
 def p5(spark, sf_dir):
     start = data.table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("beam"), F.col("s_suppkey").alias("beamlet"), F.lit(5.0).alias("weight"))
     found, _ = objective.optimise_fluence(data.coo(spark, sf_dir), limit_rows(spark, sf_dir), start, 3, 1e-6, 0.5)

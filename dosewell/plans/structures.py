@@ -72,9 +72,9 @@ def k6(spark, sf_dir):
     return masks.surface_voxels(data.event_masks(spark, sf_dir))
 
 
-@query("k7_dilate", with_sql(EVENT_MASKS, BOX, "SELECT DISTINCT structure, i + a AS i, j + b AS j, k + c AS k FROM masks, bx WHERE structure = 'click'"))
+@query("k7_dilate", with_sql(EVENT_MASKS, BOX, "SELECT DISTINCT structure, i + a AS i, j + b AS j, k + c AS k FROM masks, bx"))
 def k7a(spark, sf_dir):
-    return masks.dilate(data.event_masks(spark, sf_dir).filter("structure = 'click'"), masks.box(1))
+    return masks.dilate(data.event_masks(spark, sf_dir), masks.box(1))
 
 
 @query("k7_erode", with_sql(EVENT_MASKS, SURFACE.split(", nb AS")[0], "c AS (SELECT structure, i - a AS i, j - b AS j, k - c AS k, count(*) AS n FROM masks, o GROUP BY ALL) SELECT structure, i, j, k FROM c SEMI JOIN masks USING (structure, i, j, k) WHERE n = 6"))
@@ -82,15 +82,14 @@ def k7b(spark, sf_dir):
     return masks.erode(data.event_masks(spark, sf_dir), list(masks.FACES))
 
 
-@query("k7_ring_and_skin", with_sql(EVENT_MASKS, BOX, "t AS (SELECT DISTINCT i, j, k FROM masks WHERE structure = 'click' AND i < 8), body AS (SELECT DISTINCT i, j, k FROM masks WHERE structure IN ('U3')), r AS (SELECT a, b, c FROM (VALUES (-2), (-1), (0), (1), (2)) x(a), (VALUES (-2), (-1), (0), (1), (2)) y(b), (VALUES (-2), (-1), (0), (1), (2)) z(c) WHERE a * a + b * b + c * c <= 4), g AS (SELECT DISTINCT i + a AS i, j + b AS j, k + c AS k FROM t, r), f AS (SELECT DISTINCT i + a AS i, j + b AS j, k + c AS k FROM t, bx), e AS (SELECT i - a AS i, j - b AS j, k - c AS k, count(*) AS n FROM body, bx GROUP BY ALL HAVING n = 27) SELECT 'ring' AS structure, * FROM (SELECT * FROM g EXCEPT SELECT * FROM f INTERSECT SELECT * FROM g) SEMI JOIN body USING (i, j, k) UNION ALL SELECT 'skin', * FROM (SELECT * FROM body EXCEPT SELECT i, j, k FROM e)"))
+@query("k7_ring_and_skin", with_sql(EVENT_MASKS, BOX, "t AS (SELECT DISTINCT i, j, k FROM masks WHERE structure = 'click'), body AS (SELECT DISTINCT i, j, k FROM masks WHERE structure IN ('U3')), r AS (SELECT a, b, c FROM (VALUES (-2), (-1), (0), (1), (2)) x(a), (VALUES (-2), (-1), (0), (1), (2)) y(b), (VALUES (-2), (-1), (0), (1), (2)) z(c) WHERE a * a + b * b + c * c <= 4), g AS (SELECT DISTINCT i + a AS i, j + b AS j, k + c AS k FROM t, r), f AS (SELECT DISTINCT i + a AS i, j + b AS j, k + c AS k FROM t, bx), e AS (SELECT i - a AS i, j - b AS j, k - c AS k, count(*) AS n FROM body, bx GROUP BY ALL HAVING n = 27) SELECT 'ring' AS structure, * FROM (SELECT * FROM g EXCEPT SELECT * FROM f INTERSECT SELECT * FROM g) SEMI JOIN body USING (i, j, k) UNION ALL SELECT 'skin', * FROM (SELECT * FROM body EXCEPT SELECT i, j, k FROM e)"))
 def k7c(spark, sf_dir):
-    m = data.event_masks(spark, sf_dir)
-    return masks.ring_and_skin(m.filter("structure <> 'click' or i < 8"), "click", "U3", 2)
+    return masks.ring_and_skin(data.event_masks(spark, sf_dir), "click", "U3", 2)
 
 
-@query("k8_expand_margin", with_sql(EVENT_MASKS, "r AS (SELECT a, b, c FROM (VALUES (-2), (-1), (0), (1), (2)) x(a), (VALUES (-1), (0), (1)) y(b), (VALUES (-1), (0), (1)) z(c) WHERE a * a + 4 * b * b + 4 * c * c <= 4) SELECT DISTINCT structure, i + a AS i, j + b AS j, k + c AS k FROM masks, r WHERE structure = 'signup'"))
+@query("k8_expand_margin", with_sql(EVENT_MASKS, "r AS (SELECT a, b, c FROM (VALUES (-2), (-1), (0), (1), (2)) x(a), (VALUES (-1), (0), (1)) y(b), (VALUES (-1), (0), (1)) z(c) WHERE a * a + 4 * b * b + 4 * c * c <= 4) SELECT DISTINCT structure, i + a AS i, j + b AS j, k + c AS k FROM masks, r"))
 def k8(spark, sf_dir):
-    return masks.expand_margin(data.event_masks(spark, sf_dir).filter("structure = 'signup'"), 2.0, (1.0, 2.0, 2.0))
+    return masks.expand_margin(data.event_masks(spark, sf_dir), 2.0, (1.0, 2.0, 2.0))
 
 
 SEGMENTS = "segments AS (SELECT structure, k, j, min(i) AS first, max(i) AS last FROM (SELECT *, i - row_number() OVER (PARTITION BY structure, k, j ORDER BY i) AS g FROM masks) GROUP BY structure, k, j, g)"
@@ -130,21 +129,27 @@ def k12b(spark, sf_dir):
     return masks.isodose_structure(data.volume(spark, sf_dir), 80.0)
 
 
-@query("k13_pad_crop", with_sql(EVENT_MASKS, "SELECT structure, voxel, i + 3 AS i, j + 4 AS j, k + 5 AS k FROM masks"))
+@query("k13_pad_crop", with_sql(EVENT_MASKS, "SELECT structure, voxel, i + 3 AS i, j + 4 AS j, k + 5 AS k, ((k + 5)::BIGINT * 28 + j + 4) * 26 + i + 3 AS lindex FROM masks"))
 def k13(spark, sf_dir):
-    return masks.pad_crop(data.event_masks(spark, sf_dir), (3, 4, 5))
+    return masks.pad_crop(data.event_masks(spark, sf_dir), (3, 4, 5), full=(26, 28, 1 << 20))
+
+
+@query("k13_crop", with_sql(EVENT_MASKS, "SELECT structure, voxel, i - 2 AS i, j - 3 AS j, k - 1 AS k, ((k - 1)::BIGINT * 10 + j - 3) * 12 + i - 2 AS lindex FROM masks WHERE i BETWEEN 2 AND 13 AND j BETWEEN 3 AND 12 AND k >= 1"))
+def k13b(spark, sf_dir):
+    return masks.pad_crop(data.event_masks(spark, sf_dir), (2, 3, 1), size=(12, 10, 1 << 20))
 
 
-@query("k14_min_surface_distance", with_sql(EVENT_MASKS, "p AS (SELECT i, j, k FROM masks WHERE structure = 'click' AND i < 3), q AS (SELECT i, j, k FROM masks WHERE structure = 'signup' AND i > 11) SELECT round(sqrt(min((p.i - q.i) ^ 2 + ((p.j - q.j) * 2.0) ^ 2 + ((p.k - q.k) * 2.0) ^ 2)), 6) AS distance FROM p, q"))
+@query("k14_min_surface_distance", with_sql(EVENT_MASKS, "p AS (SELECT i, j, k FROM masks WHERE structure = 'click'), q AS (SELECT i, j, k FROM masks WHERE structure = 'signup'), d AS (SELECT sqrt(min((p.i - q.i) ^ 2 + ((p.j - q.j) * 2.0) ^ 2 + ((p.k - q.k) * 2.0) ^ 2)) AS d FROM p, q) SELECT round(CASE WHEN d < 1 THEN 0 ELSE d END, 6) AS distance FROM d"))
 def k14(spark, sf_dir):
-    m = data.event_masks(spark, sf_dir).filter("(structure = 'click' and i < 3) or (structure = 'signup' and i > 11)")
-    return rounded(masks.min_surface_distance(m, "click", "signup", (1.0, 2.0, 2.0)), 6)
+    return rounded(masks.min_surface_distance(data.event_masks(spark, sf_dir), "click", "signup", (1.0, 2.0, 2.0)), 6)
+
+
+SQUARES = "(p.i - q.i) ^ 2 + ((p.j - q.j) * 2.0) ^ 2 + ((p.k - q.k) * 2.0) ^ 2"
 
 
-@query("k15_hausdorff")
+@query("k15_hausdorff", with_sql(EVENT_MASKS, SURFACE, f"p AS (SELECT * FROM surface WHERE structure = 'click'), q AS (SELECT * FROM surface WHERE structure = 'signup'), d AS (SELECT sqrt(min({SQUARES})) AS d FROM p, q GROUP BY p.i, p.j, p.k UNION ALL SELECT sqrt(min({SQUARES})) FROM p, q GROUP BY q.i, q.j, q.k) SELECT round(max(d), 6) AS hausdorff, round(avg(d), 6) AS mean_distance FROM d"))
 def k15(spark, sf_dir):
-    m = data.event_masks(spark, sf_dir).filter("(structure = 'click' and i < 8) or (structure = 'signup' and i > 6)")
-    return rounded(masks.hausdorff(m, "click", "signup", (1.0, 2.0, 2.0)), 6)
+    return rounded(masks.hausdorff(data.event_masks(spark, sf_dir), "click", "signup", (1.0, 2.0, 2.0)), 6)
 
 
 @query("k16_com_distance", with_sql(EVENT_MASKS, "c AS (SELECT structure, avg(i) AS i, avg(j) AS j, avg(k) AS k FROM masks GROUP BY 1) SELECT a.structure AS a, b.structure AS b, round(sqrt((a.i - b.i) ^ 2 + (a.j - b.j) ^ 2 + (a.k - b.k) ^ 2), 6) AS distance FROM c a JOIN c b ON a.structure < b.structure"))

@@ -10,9 +10,13 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes to the folder of spark.checkpoint.dir (a temporary one where it is unset) and reads back."""
+    """Writes to the folder of spark.checkpoint.dir and reads back; without one, to a temporary folder in local mode only."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "dosewell-checkpoints")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        folder = os.path.join(tempfile.gettempdir(), "dosewell-checkpoints")
     path = f"{folder.rstrip('/')}/loop-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dosewell.functions.names import clean_name, dose_units_gy
-from dosewell.operators import coeffs, cohort, dvh, fluence, masks, objective, texture, volume
+from dosewell.operators import coeffs, cohort, dvh, fluence, masks, objective, ranks, texture, volume
 from dosewell.sources import tables
 
 
@@ -102,6 +102,51 @@ def test_hausdorff_against_numpy(spark):
     assert math.isclose(got, max(d.min(axis=0).max(), d.min(axis=1).max()))
 
 
+def test_nearest_distance_against_numpy(spark):
+    rng = np.random.default_rng(21)
+    points = np.unique(rng.integers(0, 60, (150, 3)), axis=0)
+    targets = {"x": np.unique(rng.integers(0, 60, (40, 3)), axis=0), "y": np.array([[400, 5, 5], [402, 7, 7]]), "z": points[:5]}
+    rows = [(n, *map(int, p), 7) for n in "xyzw" for p in points]
+    there = [(n, *map(int, t)) for n, own in targets.items() for t in own]
+    p = spark.createDataFrame(rows, "name string, i int, j int, k int, extra int")
+    got = masks.nearest_distance(p, spark.createDataFrame(there, "name string, i int, j int, k int"), (1.0, 2.0, 0.5), ("name",)).collect()
+    assert len(got) == len(rows)
+    s = np.array([1.0, 2.0, 0.5])
+    for r in got:
+        own = targets.get(r["name"])
+        want = None if own is None else math.sqrt(((((np.array([r["i"], r["j"], r["k"]]) - own) * s) ** 2).sum(axis=1)).min())
+        assert (want is None and r["distance"] is None) or math.isclose(r["distance"], want, abs_tol=1e-9)
+
+
+def test_pad_and_crop(spark):
+    a = cube(spark, 4)
+    back = masks.pad_crop(masks.pad_crop(a, (3, 4, 5), full=(20, 21, 22)).drop("lindex"), (3, 4, 5), size=(4, 4, 4))
+    assert {(r["i"], r["j"], r["k"], r["lindex"]) for r in back.collect()} == {(i, j, k, (k * 4 + j) * 4 + i) for i in range(4) for j in range(4) for k in range(4)}
+    assert masks.pad_crop(a, (1, 1, 1), size=(2, 2, 2)).count() == 8
+
+
+def test_staple_against_voxels(spark):
+    rng = np.random.default_rng(22)
+    truth = rng.random((6, 6, 6)) < 0.4
+    seen = {n: truth ^ (rng.random(truth.shape) < e) for n, e in (("a", 0.05), ("b", 0.1), ("c", 0.25))}
+    for m in seen.values():
+        m[0, 0, 0] = m[-1, -1, -1] = True
+    rows = [(n, *map(int, at)) for n, m in seen.items() for at in np.argwhere(m)]
+    got, _ = masks.staple(spark.createDataFrame(rows, "structure string, i int, j int, k int"), list(seen))
+    d = np.stack([m.ravel() for m in seen.values()]).astype(float)
+    p, q, prior, before = np.full(3, 0.9999), np.full(3, 0.9999), d.mean(), None
+    for _ in range(100):
+        a = prior * np.prod(np.where(d == 1, p[:, None], 1 - p[:, None]), axis=0)
+        b = (1 - prior) * np.prod(np.where(d == 1, 1 - q[:, None], q[:, None]), axis=0)
+        w = a / (a + b)
+        p, q = (d @ w) / w.sum(), ((1 - d) @ (1 - w)) / (1 - w).sum()
+        if before is not None and abs(w.sum() - before) < 1e-2:
+            break
+        before = w.sum()
+    for n, r in enumerate(sorted(got.collect(), key=lambda r: r["rater"])):
+        assert math.isclose(r["sensitivity"], p[n], rel_tol=1e-9) and math.isclose(r["specificity"], q[n], rel_tol=1e-9)
+
+
 def voxel_doses(spark, doses):
     return spark.createDataFrame([("p", "s", float(d), 1.0) for d in doses], "plan string, structure string, dose double, volume double")
 
@@ -126,6 +171,40 @@ def test_equal_dose_curves_agree(spark):
     assert math.isclose(exact[200][1], 1 - 200 / 201)
 
 
+def test_equal_doses_and_long_runs(spark):
+    d = [0.0] * 500 + [3.0] * 70000 + list(np.random.default_rng(4).normal(2, 1, 300))
+    rows = dvh.dvh_exact(spark.createDataFrame([("p", "s", float(x), 1.0) for x in d[:800]] + [("q", "s", float(x), 1.0) for x in d], "plan string, structure string, dose double, volume double"))
+    got = {(r["plan"], r["rank"]): r["dose"] for r in rows.collect()}
+    for plan, own in (("p", sorted(d[:800])), ("q", sorted(d))):
+        assert [got[plan, k] for k in range(len(own) + 1)] == [0.0, *own]
+    area = {r["plan"]: r["auc"] for r in dvh.dvh_auc(spark.createDataFrame([("q", "s", float(x), 1.0) for x in d], "plan string, structure string, dose double, volume double")).collect()}
+    curve = [0.0, *sorted(d)]
+    assert math.isclose(area["q"], sum((b - a) * (1 - k / (len(d) + 1)) for k, (a, b) in enumerate(zip(curve, curve[1:]))), rel_tol=1e-9)
+
+
+def test_quantiles_against_numpy(spark):
+    rng = np.random.default_rng(5)
+    own = {"a": rng.normal(0, 1, 1000), "b": np.array([2.0] * 50 + [1.0]), "c": np.array([7.0])}
+    x = spark.createDataFrame([(g, float(v)) for g, vs in own.items() for v in vs], "g string, v double")
+    shares = {"q0": 0.0, "q5": 0.05, "q50": 0.5, "q99": 0.99, "q100": 1.0}
+    for r in ranks.exact_quantiles(x, ["g"], "v", shares).collect():
+        assert all(math.isclose(r[n], np.quantile(own[r["g"]], q), rel_tol=1e-12, abs_tol=1e-12) for n, q in shares.items())
+    whole = ranks.exact_quantiles(x, [], "v", {"m": 0.5}).first()["m"]
+    assert math.isclose(whole, np.median(np.concatenate(list(own.values()))), abs_tol=1e-12)
+
+
+def test_error_function(spark):
+    x = [0.0, 1e-9, 0.3, -0.7, 2.5, -5.5, 5.999, 6.5, -40.0]
+    got = spark.createDataFrame([(v,) for v in x], "x double").select("x", dvh.erf(F.col("x")).alias("e")).collect()
+    assert all(math.isclose(r["e"], math.erf(r["x"]), rel_tol=1e-12, abs_tol=1e-15) for r in got)
+
+
+def test_conformity_counts_a_voxel_once(spark):
+    rows = [("p", v, s, d, 1.0) for v, s, d in [(1, "t", 60.0), (1, "o", 60.0), (2, "t", 40.0), (3, None, 70.0), (4, "o", 10.0)]]
+    r = dvh.conformity(spark.createDataFrame(rows, "plan string, voxel long, structure string, dose double, volume double"), "t", 50.0).first()
+    assert (r["conformity_index"], r["conformity_number"]) == (1.0, 0.25)
+
+
 def test_models(spark):
     x = spark.createDataFrame([(70.0,), (50.0,)], "eud double").select(dvh.ntcp_lkb(F.col("eud"), 70.0, 0.2).alias("a"), dvh.tcp_logistic(F.col("eud"), 50.0, 2.0).alias("b")).collect()
     assert math.isclose(x[0]["a"], 0.5) and math.isclose(x[1]["b"], 0.5)
@@ -147,6 +226,76 @@ def test_resize_to_same_grid(spark):
     assert sorted(map(tuple, volume.resize_trilinear(v, (3, 4, 2), (3, 4, 2)).collect())) == sorted(rows)
 
 
+def test_box_filter_over_holes(spark):
+    rng = np.random.default_rng(6)
+    grid = rng.random((9, 8, 2)) * (rng.random((9, 8, 2)) < 0.4)
+    v = spark.createDataFrame([(*map(int, at), float(grid[tuple(at)])) for at in np.argwhere(grid)], "i int, j int, k int, value double")
+    for width in (3, 4):
+        back, ahead = (width - 1) // 2, width // 2
+        for r in volume.box_filter(v, width).collect():
+            i, j, k = r["i"], r["j"], r["k"]
+            assert math.isclose(r["value"], grid[max(0, i - back) : i + ahead + 1, max(0, j - back) : j + ahead + 1, k].sum())
+
+
+def test_intensity_features(spark):
+    x = spark.createDataFrame([("p", "s", b, b * 1.0, v) for b, v in enumerate([0.0, 4.0, 2.0, 0.0, 3.0, 1.0])], "plan string, structure string, bin long, dose double, volume double")
+    r = dvh.ivh_features(x).first()
+    assert (r["d50"], r["v10"], r["v50"], r["v90"]) == (2.0, 0.4, 0.4, 0.0)
+    assert math.isclose(r["slope"], np.polyfit([0, 1, 3, 4, 5], [1.0, 0.6, 0.4, 0.1, 0.0], 1)[0])
+
+
+def test_zones_by_search(spark):
+    rng = np.random.default_rng(7)
+    level = rng.integers(0, 3, (7, 6, 20))
+    rows = [("s", *map(int, at), int(level[tuple(at)])) for at in np.argwhere(level > 0)]
+    left, want = {tuple(r[1:4]) for r in rows}, {}
+    while left:
+        at = left.pop()
+        zone, todo = 1, [at]
+        while todo:
+            a = todo.pop()
+            for b in [b for b in left if max(abs(p - q) for p, q in zip(a, b)) == 1 and level[b] == level[a]]:
+                left.remove(b)
+                todo.append(b)
+                zone += 1
+        want[int(level[at]), zone] = want.get((int(level[at]), zone), 0) + 1
+    got = texture.size_zones(spark.createDataFrame(rows, "structure string, i int, j int, k int, level int"))
+    assert {(r["level"], r["size"]): r["n"] for r in got.collect()} == want
+
+
+def test_tables_as_files(spark, coo, tmp_path):
+    path = tmp_path / "spectrum.spec"
+    path.write_text("# energy fluence\n\n0.2 0.001 # low\n0.5\t0.25\n")
+    assert [tuple(r) for r in tables.read_space_table(spark, str(path), [("energy", "double"), ("fluence", "double")]).collect()] == [(0.2, 0.001), (0.5, 0.25)]
+    tables.write_beam_parts(coeffs.partition_beams(coo, 1), str(tmp_path / "parts"))
+    assert sorted(p.name for p in (tmp_path / "parts").iterdir() if p.is_dir()) == ["part=0", "part=1"]
+    back = spark.read.parquet(str(tmp_path / "parts"))
+    assert sorted((r["beam"], r["beamlet"], r["voxel"], r["coeff"]) for r in back.collect()) == sorted(COO)
+
+
+def test_optimiser_against_numpy(spark):
+    rng = np.random.default_rng(8)
+    a = rng.random((6, 4)) * (rng.random((6, 4)) < 0.8)
+    beam = np.array([0, 0, 1, 1])
+    m = spark.createDataFrame([(int(beam[j]), j, i, float(a[i, j])) for i, j in np.argwhere(a).tolist()], "beam int, beamlet long, voxel long, coeff double")
+    info = [("t", v, 1.0, 2.0, 1.2, 1.0, None) for v in range(3)] + [("o", v, None, None, None, None, 0.5) for v in range(3, 6)]
+    rows = spark.createDataFrame(info, "structure string, voxel long, min_target double, min_weight double, max_dose double, max_weight double, oar_weight double")
+    start = spark.createDataFrame([(int(beam[j]), j, 0.5) for j in range(4)], "beam int, beamlet long, weight double")
+    found, costs = objective.optimise_fluence(m, rows, start, 4, 0.05, 1e-3)
+    w, want = np.full(4, 0.5), []
+    for _ in range(4):
+        d = a @ w
+        under, over = np.minimum(d[:3] - 1.0, 0), np.maximum(d[:3] - 1.2, 0)
+        want.append(0.5 * (2 * under**2 + over**2).sum() + 0.5 * (0.5 * d[3:] ** 2).sum())
+        w = np.maximum(w - 0.05 * (a.T @ np.concatenate([2 * under + over, 0.5 * d[3:]])), 0)
+        for b in (0, 1):
+            alpha = 1e-3 * np.linalg.norm(w[beam == b]) ** -1.5
+            w[beam == b] *= 0 if alpha > 2 * 6**0.5 / 9 else (2 / 3**0.5 * np.sin((np.arccos(0.75 * 3**0.5 * alpha) + np.pi / 2) / 3)) ** 2
+    assert np.allclose(costs, want)
+    got = {r["beamlet"]: r["weight"] for r in found.collect()}
+    assert np.allclose([got[j] for j in range(4)], w)
+
+
 def test_texture(spark):
     q = spark.createDataFrame([("s", i, j, k, (i + j + k) % 3 + 1) for i in range(4) for j in range(4) for k in range(10)], "structure string, i int, j int, k int, level int")
     p = texture.cooccurrence(q)
