@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dosewell.functions.names import clean_name, dose_units_gy
-from dosewell.operators import cohort
+from dosewell.operators import cohort, masks, patients, texture, volume
 from dosewell.plans import inputs as data
 from dosewell.plans.dosevolume import CUM, DVH, WIDTH
 from dosewell.plans.inputs import DOSES, EVENT_MASKS, rounded, with_sql
@@ -192,3 +192,34 @@ def c17(spark, sf_dir):
 def c18(spark, sf_dir):
     o = data.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("patient")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_totalprice"))).getField("o_totalprice").alias("trials"), F.avg("o_totalprice").alias("mean"), F.coalesce(F.stddev_samp("o_totalprice"), F.lit(0.0)).alias("sigma"))
     return rounded(cohort.trial_rows(o))
+
+
+#: Events as voxels of patients: a patient for each seventh user.
+PATIENTS = f"m AS (SELECT user_id % 7 AS patient, event_type AS structure, {data.CELL.format('event_id')}, value FROM events)"
+
+
+def _patients(spark, sf_dir):
+    i, j, k = data.cell(F.col("event_id"))
+    return data.table(spark, sf_dir, "events").select((F.col("user_id") % 7).alias("patient"), F.col("event_type").alias("structure"), i.alias("i"), j.alias("j"), k.alias("k"), "value")
+
+
+@query("k6_surface_by_patient", with_sql(PATIENTS, "o AS (SELECT * FROM (VALUES (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)) t(a, b, c)), n AS (SELECT patient, structure, i + a AS i, j + b AS j, k + c AS k, count(*) AS n FROM m, o GROUP BY ALL) SELECT patient, structure, i, j, k, (6 - coalesce(n, 0))::INTEGER AS faces FROM m LEFT JOIN n USING (patient, structure, i, j, k) WHERE coalesce(n, 0) < 6"))
+def k6p(spark, sf_dir):
+    x = _patients(spark, sf_dir)
+    c = patients.cohort_of(x)
+    return c.apart(masks.surface_voxels(c.together(x)))
+
+
+@query("g12_box_filter_by_patient", with_sql(PATIENTS, "SELECT v.patient, v.i, v.j, v.k, round(sum(w.value), 4) AS value FROM m v JOIN m w ON w.patient = v.patient AND w.k = v.k AND w.i BETWEEN v.i - 1 AND v.i + 1 AND w.j BETWEEN v.j - 1 AND v.j + 1 GROUP BY v.patient, v.i, v.j, v.k"))
+def g12p(spark, sf_dir):
+    x = _patients(spark, sf_dir).drop("structure")
+    c = patients.cohort_of(x)
+    return rounded(c.apart(volume.box_filter(c.together(x), 3)))
+
+
+@query("t1_first_order_by_patient", with_sql(PATIENTS, "SELECT patient, structure, round(avg(value), 4) AS mean, round(quantile_cont(value, 0.5), 4) AS median, round(stddev_samp(value), 4) AS std FROM m GROUP BY patient, structure"))
+def t1p(spark, sf_dir):
+    x = _patients(spark, sf_dir)
+    c = patients.cohort_of(x)
+    y = c.together(x)
+    return rounded(c.apart(texture.first_order(y.drop("structure"), y.drop("value"), 1.0).select("structure", "mean", "median", "std")))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dosewell.functions.names import clean_name, dose_units_gy
-from dosewell.operators import coeffs, cohort, dvh, fluence, masks, objective, ranks, texture, volume
+from dosewell.operators import coeffs, cohort, dvh, fluence, masks, objective, patients, ranks, texture, volume
 from dosewell.sources import tables
 
 
@@ -118,6 +118,15 @@ def test_nearest_distance_against_numpy(spark):
         assert (want is None and r["distance"] is None) or math.isclose(r["distance"], want, abs_tol=1e-9)
 
 
+def test_patients_do_not_meet(spark):
+    a = cube(spark, 3, "a:b", at=2).withColumn("patient", F.lit("p")).union(cube(spark, 2).withColumn("patient", F.lit("q")))
+    c = patients.cohort_of(a)
+    for op in (masks.surface_voxels, lambda m: masks.dilate(m, masks.box(2)), lambda m: masks.expand_margin(m, 3.0, (1.0, 1.0, 1.0)), masks.to_segments):
+        got = sorted(map(tuple, c.apart(op(c.together(a))).collect()))
+        want = [(p, *r) for p in "pq" for r in op(a.filter(F.col("patient") == p).drop("patient")).collect()]
+        assert got == sorted(map(tuple, want))
+
+
 def test_pad_and_crop(spark):
     a = cube(spark, 4)
     back = masks.pad_crop(masks.pad_crop(a, (3, 4, 5), full=(20, 21, 22)).drop("lindex"), (3, 4, 5), size=(4, 4, 4))
