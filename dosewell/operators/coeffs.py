@@ -29,7 +29,7 @@ def partition_beams(coo: DataFrame, per_part: int = 100) -> DataFrame:
     """Adds `part`: beams in sorted order, per_part to a part. Only distinct beams are ranked."""
     beams = coo.select("beam").distinct()
     ranked = beams.select("beam", F.floor((F.row_number().over(Window.orderBy("beam")) - 1) / per_part).cast("int").alias("part"))
-    return coo.join(F.broadcast(ranked), "beam")  # a row for each beam of a plan, at most a few thousand
+    return coo.join(ranked, "beam")
 
 
 def sparsify(coo: DataFrame, thresh: float) -> DataFrame:
@@ -85,7 +85,7 @@ def column_index(coo: DataFrame) -> DataFrame:
     before = F.sum("_n").over(Window.orderBy("beam").rowsBetween(Window.unboundedPreceding, -1))
     starts = sizes.select("beam", F.coalesce(before, F.lit(0)).alias("_start"))
     rank = F.row_number().over(Window.partitionBy("beam").orderBy("beamlet")) - 1
-    return keys.withColumn("_rank", rank).join(F.broadcast(starts), "beam").select(*COLUMN, (F.col("_start") + F.col("_rank")).alias("col"))
+    return keys.withColumn("_rank", rank).join(starts, "beam").select(*COLUMN, (F.col("_start") + F.col("_rank")).alias("col"))
 
 
 def select_columns(coo: DataFrame, beams: DataFrame) -> DataFrame:
@@ -101,11 +101,12 @@ def reduce_by_roi(coo: DataFrame, masks: DataFrame, rois: DataFrame) -> DataFram
     ROIs before plus the voxel's rank in its ROI by i, j, k; a voxel in two ROIs gives two rows;
     voxels in none and zero coefficients go.
     """
-    inside = masks.join(F.broadcast(rois), "structure")
-    rank = F.row_number().over(Window.partitionBy("structure").orderBy("i", "j", "k")) - 1
-    before = F.sum("_n").over(Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, -1))
-    starts = inside.groupBy("structure", "ord").agg(F.count("*").alias("_n")).select("structure", F.coalesce(before, F.lit(0)).alias("_start"))
-    rows = inside.withColumn("_rank", rank).join(F.broadcast(starts), "structure").select(F.col("structure").alias("roi"), "voxel", (F.col("_start") + F.col("_rank")).alias("row"))
+    inside = masks.join(rois, "structure")
+    # planes are counted first and ranked each by itself, as one structure may hold most voxels
+    rank = F.row_number().over(Window.partitionBy("structure", "i").orderBy("j", "k")) - 1
+    before = F.sum("_n").over(Window.orderBy("ord", "i").rowsBetween(Window.unboundedPreceding, -1))  # a row for each plane of a structure
+    starts = inside.groupBy("structure", "ord", "i").agg(F.count("*").alias("_n")).select("structure", "i", F.coalesce(before, F.lit(0)).alias("_start"))
+    rows = inside.withColumn("_rank", rank).join(starts, ["structure", "i"]).select(F.col("structure").alias("roi"), "voxel", (F.col("_start") + F.col("_rank")).alias("row"))
     return coo.filter("coeff <> 0").join(rows, "voxel").select(*COLUMN, "roi", "row", "coeff")
 
 
@@ -154,7 +155,7 @@ def structure_rows(masks: DataFrame, info: DataFrame, mod: int = 1) -> DataFrame
     for c in ("min_weight", "oar_weight"):
         has = has | (F.coalesce(c, F.lit(0.0)) != 0)
     used = info.filter(has)
-    x = masks.join(F.broadcast(used.select("structure", "ord", "target")), "structure")
+    x = masks.join(used.select("structure", "ord", "target"), "structure")
     near = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)])).alias("o")
     grown = x.filter("target").select("ord", (F.col("i")).alias("i0"), F.col("j").alias("j0"), F.col("k").alias("k0"), near)
     grown = grown.select((F.col("i0") + F.col("o.a")).alias("i"), (F.col("j0") + F.col("o.b")).alias("j"), (F.col("k0") + F.col("o.c")).alias("k"), "ord").groupBy("i", "j", "k").agg(F.min("ord").alias("_first"))

@@ -22,7 +22,7 @@ def sum_doses(doses: DataFrame, factors: DataFrame) -> DataFrame:
     factors: plan, factor, offset, unit; a unit that spells cGy is divided by 100. A factor of -1 subtracts.
     """
     gray = F.when(F.lower("unit").isin("cgy", "cgys", "cgray", "centigray", "centigrays"), F.col("value") / 100).otherwise(F.col("value"))
-    x = doses.join(F.broadcast(factors), "plan")
+    x = doses.join(factors, "plan")
     return x.groupBy(*AT).agg(F.sum((gray + F.col("offset")) * F.col("factor")).alias("value"))
 
 
@@ -161,7 +161,7 @@ def combine_spectrum(volumes: DataFrame, spectrum: DataFrame, kernel: bool = Fal
     w = F.col("fluence") * F.col("energy") * F.col("mu") if kernel else F.col("fluence") / F.col("energy")
     s = spectrum.withColumn("_w", w)
     s = s.withColumn("_w", F.col("_w") / F.sum("_w").over(Window.partitionBy())).select("energy", "_w")
-    return volumes.join(F.broadcast(s), "energy").groupBy(*AT).agg(F.sum(F.col("value") * F.col("_w")).alias("value"))
+    return volumes.join(s, "energy").groupBy(*AT).agg(F.sum(F.col("value") * F.col("_w")).alias("value"))
 
 
 def count_to_energy(counts: DataFrame) -> DataFrame:
