@@ -31,7 +31,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
 
     Sources are ordered by code point, null last. What sources at their limit leave is shared by the
     others by weight; the level at which that ends is found in one pass over sources in the order of
-    limit / weight. The input has a row for each source.
+    limit / weight. The input has a row for each source, and sources are few: they are ordered in one task.
     """
     order = Window.orderBy(F.col("source").asc_nulls_last())
     k = F.pmod(F.row_number().over(order) - 1, F.lit(len(weights)))
