@@ -5,22 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges that a group's values are dealt into.
-RANGES = 16
+#: The most ranges that a group's values are dealt into, and the different values that a range is meant to hold.
+RANGES, RANGE_VALUES = 256, 1 << 20
 
 
 def ranked_values(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
     """keys, value, _c (rows with the value), _last (rank of the last of them, from 1), _n (rows of the group).
 
     Equal values are counted before the shuffle. Values are dealt into ranges whose sizes are summed
-    first, and ranked inside a range, so neither a group nor a value needs a task of its own.
+    first, and ranked inside a range, so neither a group nor a value needs a task of its own. A group has
+    as many ranges as its values need: a small one is a single range.
     """
     values = rows.filter(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("value")).agg(F.count("*").alias("_c"))
-    edges = values.groupBy(*keys).agg(F.percentile_approx("value", [k / RANGES for k in range(1, RANGES)], 1000).alias("_e"), F.sum("_c").alias("_n"))
+    edges = values.groupBy(*keys).agg(F.percentile_approx("value", [k / RANGES for k in range(1, RANGES)], 8 * RANGES).alias("_e"), F.sum("_c").alias("_n"), F.ceil(F.count("*") / RANGE_VALUES).alias("_k"))
+    # of the edges at k / RANGES, those that lie nearest above the group's own ones
+    before_ = lambda i: F.floor(i * F.least("_k", F.lit(RANGES)) / RANGES)
+    edges = edges.withColumn("_e", F.filter("_e", lambda e, i: before_(i + 1) > before_(i))).drop("_k")
     x = (values.join(edges, keys) if keys else values.crossJoin(edges)).withColumn("_r", F.size(F.filter("_e", lambda e: e < F.col("value"))))
     sizes = x.groupBy(*keys, "_r").agg(F.sum("_c").alias("_m"))
     before = F.coalesce(F.sum("_m").over(Window.partitionBy(*keys).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.withColumn("_before", before).drop("_m")  # RANGES rows a group
+    starts = sizes.withColumn("_before", before).drop("_m")  # at most RANGES rows a group
     inside = F.sum("_c").over(Window.partitionBy(*keys, "_r").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
     return x.withColumn("_in", inside).join(starts, [*keys, "_r"]).select(*keys, "value", "_c", (F.col("_in") + F.col("_before")).alias("_last"), "_n")
 

@@ -191,7 +191,9 @@ def test_equal_doses_and_long_runs(spark):
     assert math.isclose(area["q"], sum((b - a) * (1 - k / (len(d) + 1)) for k, (a, b) in enumerate(zip(curve, curve[1:]))), rel_tol=1e-9)
 
 
-def test_quantiles_against_numpy(spark):
+@pytest.mark.parametrize("range_values", [ranks.RANGE_VALUES, 10, 1])
+def test_quantiles_against_numpy(spark, monkeypatch, range_values):
+    monkeypatch.setattr(ranks, "RANGE_VALUES", range_values)  # one range a group, many, the most
     rng = np.random.default_rng(5)
     own = {"a": rng.normal(0, 1, 1000), "b": np.array([2.0] * 50 + [1.0]), "c": np.array([7.0])}
     x = spark.createDataFrame([(g, float(v)) for g, vs in own.items() for v in vs], "g string, v double")
