@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 
 from dosewell.llm.common import flat, groups
 
-#: Bytes of text per batch of distinct pieces: the larger, the fewer pieces are encoded twice.
-BATCH_BYTES = 12 << 20
+#: Bytes of text per batch of distinct pieces: the larger, the fewer pieces are encoded twice, and the more memory a task
+#: takes (some 30 bytes for each byte of text).
+BATCH_BYTES = 6 << 20
 #: Distinct pieces whose ids a Python worker remembers between batches.
 CACHE_PIECES = 100_000
 
