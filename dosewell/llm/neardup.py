@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dosewell.llm.common import CHUNK_BYTES, LOWER, cut, flat, groups, keep, maybe_in, membership, mix64, with_places
+from dosewell.llm.common import LOWER, cut, flat, groups, keep, maybe_in, membership, mix64, with_places
 from dosewell.llm.components import components
 
 #: Hash groups on each side and minhashes in a group: at a similarity of 0.8 a pair shares a table
@@ -28,6 +28,8 @@ SIDE, ROWS = 14, 3
 PERCENT = 80
 #: Bits of the parity sketch that rules pairs out before their sets are fetched.
 PARITY_BITS = 512
+#: Bytes of text whose shingles are hashed at once: a task takes some 45 bytes for each.
+SET_BYTES = 1 << 20
 #: Members of a bucket that are compared across in one task; a larger bucket is compared in squares.
 SQUARE = 1 << 11
 
@@ -109,7 +111,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, off = flat(b.column(1))
-            for i, j in groups(off):
+            for i, j in groups(off, SET_BYTES):
                 part = off[i : j + 1]
                 sets, at = shingle_sets(x[part[0] : part[-1]], part - part[0], width)
                 size = np.diff(at)
@@ -150,7 +152,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             some = maybe_in(words.value, b.column(2).to_numpy(), b.column(3).to_numpy())
             b = b.filter(pa.array(some))
             x, off = flat(b.column(1))
-            for i, j in groups(off, CHUNK_BYTES):
+            for i, j in groups(off, SET_BYTES):
                 part = off[i : j + 1]
                 sets, at = shingle_sets(x[part[0] : part[-1]], part - part[0], width)
                 odd = _parities(sets, at)
