@@ -140,8 +140,8 @@ def membership_bits(masks: DataFrame, order: DataFrame) -> DataFrame:
 
 def split_sup_inf(masks: DataFrame, parts: int) -> DataFrame:
     """Adds `part`: the structure's extent in k in equal intervals, the last one closed."""
-    w = Window.partitionBy("structure")
-    x = masks.withColumn("_lo", F.min("k").over(w)).withColumn("_hi", F.max("k").over(w))
+    ends = masks.groupBy("structure").agg(F.min("k").alias("_lo"), F.max("k").alias("_hi"))
+    x = masks.join(ends, "structure").select(*masks.columns, "_lo", "_hi")
     at = F.floor((F.col("k") - F.col("_lo")) * float(parts) / (F.col("_hi") - F.col("_lo")))
     return x.withColumn("part", F.when(F.col("_hi") == F.col("_lo"), 0).otherwise(F.least(at, F.lit(parts - 1))).cast("int")).drop("_lo", "_hi")
 
