@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dosewell.llm import ann, exact, langid, licenses, mixture, neardup, packing, suffix, tokens, urls
+from dosewell.llm import ann, chat, codes, divergence, exact, langid, licenses, mixture, neardup, packing, suffix, tokens, urls
 from dosewell.llm.common import table
 
 
@@ -49,7 +49,19 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_nearest_neighbours, op2_exact_dedup, op3_url_filter, op4_license_scan, op5_near_dedup, op6_token_counts, op7_best_fit_packing, op8_mix_sources, op9_language_id, op10_suffix_dedup)}
+def op11_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.read_back(chat.format_turns(chat.with_planted(table(spark, sf_dir, "conversations"))))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_nearest_neighbours, op2_exact_dedup, op3_url_filter, op4_license_scan, op5_near_dedup, op6_token_counts, op7_best_fit_packing, op8_mix_sources, op9_language_id, op10_suffix_dedup, op11_chat_formatting, op12_vector_codes, op13_source_divergence)}
 
 #: Queries that SQL can express over whole tables; the others are tested against brute force.
-ORACLE_SQL = {"op2_exact_dedup": exact.ORACLE, "op3_url_filter": urls.ORACLE, "op8_mix_sources": mixture.ORACLE}
+ORACLE_SQL = {"op2_exact_dedup": exact.ORACLE, "op3_url_filter": urls.ORACLE, "op8_mix_sources": mixture.ORACLE, "op11_chat_formatting": chat.ORACLE, "op12_vector_codes": codes.ORACLE, "op13_source_divergence": divergence.ORACLE}
