@@ -9,6 +9,8 @@ from dosewell.functions.names import file_stem
 from dosewell.operators import dvh as dv
 from dosewell.operators import masks as mk
 from dosewell.operators import volume as vol
+from dosewell.operators.distance import greatest_nearest
+from dosewell.sources.lineage import cut
 
 
 def match_structures(names: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -127,26 +129,29 @@ def check_structures(found: DataFrame, expected: DataFrame) -> DataFrame:
     return gone.groupBy("patient").agg(F.array_join(F.array_sort(F.collect_list("structure")), ",").alias("missing"))
 
 
-def match_lesions(a: DataFrame, b: DataFrame, limit: float = 3.0) -> DataFrame:
-    """Pairs lesions of two scans (structure, i, j, k): structure_a, structure_b, or a new lesion where b is null.
+def match_lesions(a: DataFrame, b: DataFrame, limit: float = 3.0, spacing=(1.0, 1.0, 1.0)) -> DataFrame:
+    """Pairs lesions of two scans (structure, i, j, k): structure_a, structure_b (null: a new lesion), hausdorff, centre_distance.
 
-    The nearest by Hausdorff distance and by mean surface distance must agree, and one of the two must
-    be below the limit. The surfaces of every pair of lesions, of which scans have few, meet in one
-    `nearest_distance`, each way.
+    The lesion of b that is nearest by Hausdorff distance of the surfaces and the one nearest by the distance between the surfaces'
+    mean points must be the same, and one of the two distances be below the limit. Both least distances are given in any case. The surfaces
+    of every pair of lesions, of which scans have few, meet in one job, each way.
     """
-    sa = mk.surface_voxels(a).select(F.col("structure").alias("structure_a"), *mk.AT)
-    sb = mk.surface_voxels(b).select(F.col("structure").alias("structure_b"), *mk.AT)
+    sa = cut(mk.surface_voxels(a).select(F.col("structure").alias("structure_a"), *mk.AT))
+    sb = cut(mk.surface_voxels(b).select(F.col("structure").alias("structure_b"), *mk.AT))
+    keys = ["structure_a", "structure_b"]
     pairs = sa.select("structure_a").distinct().join(sb.select("structure_b").distinct(), F.lit(True))
     of_a, of_b = sa.join(pairs, "structure_a"), sb.join(pairs, "structure_b")
-    columns = ["structure_a", "structure_b", "way", *mk.AT]
+    columns = [*keys, "way", *mk.AT]
     points = of_a.withColumn("way", F.lit("there")).select(*columns).union(of_b.withColumn("way", F.lit("back")).select(*columns))
     targets = of_b.withColumn("way", F.lit("there")).select(*columns).union(of_a.withColumn("way", F.lit("back")).select(*columns))
-    ways = mk.nearest_distance(points, targets, on=("structure_a", "structure_b", "way")).groupBy("structure_a", "structure_b", "way").agg(F.max("distance").alias("h"), F.avg("distance").alias("m"))
-    x = ways.groupBy("structure_a", "structure_b").agg(F.max("h").alias("h"), F.avg("m").alias("m"))
-    best = x.groupBy("structure_a").agg(F.min_by("structure_b", F.struct("h", "structure_b")).alias("_bh"), F.min("h").alias("h"), F.min_by("structure_b", F.struct("m", "structure_b")).alias("_bm"), F.min("m").alias("m"))
+    apart = greatest_nearest(points, targets, spacing, (*keys, "way")).groupBy(*keys).agg(F.max("distance").alias("h"))
+    centre = lambda s, n: s.groupBy(f"structure_{n}").agg(*[(F.avg(c) * float(w)).alias(f"{c}_{n}") for c, w in zip(mk.AT, spacing, strict=True)])
+    middle = pairs.join(centre(sa, "a"), "structure_a").join(centre(sb, "b"), "structure_b").select(*keys, F.sqrt(sum((F.col(f"{c}_a") - F.col(f"{c}_b")) ** 2 for c in mk.AT)).alias("m"))
+    nearest = lambda d: F.min_by("structure_b", F.struct(d, "structure_b"))
+    best = apart.join(middle, keys).groupBy("structure_a").agg(nearest("h").alias("_bh"), F.min("h").alias("h"), nearest("m").alias("_bm"), F.min("m").alias("m"))
     agree = (F.col("_bh") == F.col("_bm")) & ((F.col("h") < limit) | (F.col("m") < limit))
     every = sa.select("structure_a").distinct().join(best, "structure_a", "left")
-    return every.select("structure_a", F.when(agree, F.col("_bh")).alias("structure_b"))
+    return every.select("structure_a", F.when(agree, F.col("_bh")).alias("structure_b"), F.col("h").alias("hausdorff"), F.col("m").alias("centre_distance"))
 
 
 def isocentre_dose(doses: DataFrame, masks: DataFrame, name: str) -> DataFrame:

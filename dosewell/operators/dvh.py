@@ -89,9 +89,10 @@ def dvh_exact(doses: DataFrame) -> DataFrame:
 def dvh_auc(doses: DataFrame) -> DataFrame:
     """Area under the empirical curve: each dose step times the fraction before it.
 
-    Summed by parts, every dose counts 1 / (n + 1) and the largest once more, so nothing is sorted.
+    Summed by parts, every dose counts 1 / (n + 1) and the largest once more, so nothing is sorted. Null doses
+    are no voxels, here as in the curve; without any other the area is null.
     """
-    return doses.groupBy(*KEYS).agg(((F.sum("dose") + F.max("dose")) / (F.count("*") + 1)).alias("auc"))
+    return doses.groupBy(*KEYS).agg(((F.sum("dose") + F.max("dose")) / (F.count("dose") + 1)).alias("auc"))
 
 
 def dose_stats(dvh: DataFrame) -> DataFrame:
@@ -160,13 +161,20 @@ def eud_histogram(dvh: DataFrame, a: float) -> DataFrame:
     return x.select(*KEYS, "bin", (F.sum("_part").over(_group().orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)) / F.sum("_part").over(_group())).alias("contribution"))
 
 
-def dvh_slope(dvh: DataFrame, dose: float, bins: int = 6) -> DataFrame:
-    """Least-squares slope of the cumulative volume over up to `bins` bins on each side of `dose`."""
-    x = _cumulated(dvh)
-    left = F.when(F.col("dose") < dose, F.row_number().over(Window.partitionBy(*KEYS, F.col("dose") < dose).orderBy(F.col("bin").desc())))
-    right = F.when(F.col("dose") > dose, F.row_number().over(Window.partitionBy(*KEYS, F.col("dose") > dose).orderBy("bin")))
+def dvh_slope(dvh: DataFrame, dose: float, bins: int = 6, relative: bool = False) -> DataFrame:
+    """Least-squares slope of the cumulative volume, or its fraction, over up to `bins` bins on each side of `dose`.
+
+    Below the first bin that bin is the left side and those after it the right one; above the last bin that one is the
+    right side and those before it the left one. A bin at the dose itself is left out, unless it is the first or last of all.
+    """
+    x = _cumulated(dvh).withColumn("_pos", F.row_number().over(_group().orderBy("bin")))
+    left, right = F.max(F.when(F.col("dose") < dose, F.col("_pos"))).over(_group()), F.min(F.when(F.col("dose") > dose, F.col("_pos"))).over(_group())
     x = x.withColumn("_l", left).withColumn("_r", right)
-    return x.filter((F.col("_l") <= bins) | (F.col("_r") <= bins)).groupBy(*KEYS).agg(F.regr_slope("above", "dose").alias("slope"))
+    x = x.withColumn("_left", F.coalesce("_l", "_r")).withColumn("_right", F.when(F.col("_l").isNull(), F.col("_r") + 1).otherwise(F.coalesce("_r", "_l")))
+    x = x.withColumn("_left", F.when(F.col("_r").isNull(), F.col("_l") - 1).otherwise(F.col("_left")))
+    used = F.col("_pos").between(F.col("_left") - (bins - 1), F.col("_left")) | F.col("_pos").between(F.col("_right"), F.col("_right") + (bins - 1))
+    volume = F.col("above") / F.col("total") if relative else F.col("above")
+    return x.groupBy(*KEYS).agg(F.regr_slope(F.when(used, volume), F.col("dose")).alias("slope"))
 
 
 def erf(x: Column) -> Column:

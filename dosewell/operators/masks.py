@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from dosewell.operators.distance import box_map, distance_map, greatest_nearest, least_distance
 from dosewell.sources.lineage import cut
 
 AT = ("i", "j", "k")
@@ -106,19 +107,45 @@ def erode(masks: DataFrame, offsets: list[tuple[int, int, int]]) -> DataFrame:
     return count.filter(F.col("n") == len(offsets)).join(x, ["structure", *AT], "left_semi").drop("n")
 
 
-def ring_and_skin(masks: DataFrame, target: str, body: str, radius: int, gap: int = 1, skin: int = 1) -> DataFrame:
-    """Two structures: the ball around the target without its box, inside the body; and the body without its eroded self."""
+def dilate_ball(masks: DataFrame, radius: float, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
+    """All voxels within a physical radius of the structure, by its distance map: no row for each voxel and offset."""
+    return distance_map(masks, radius, spacing).drop("distance")
+
+
+def erode_ball(masks: DataFrame, radius: float, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
+    """Voxels of the structure with no place outside of it within the radius.
+
+    The nearest outside place of a voxel shares a face with the structure, so only those are looked at.
+    """
+    x = masks.select("structure", *AT).distinct()
+    near = surface_voxels(x).select("structure", *AT, F.explode(_offsets(FACES)).alias("o")).select("structure", *[(F.col(c) + F.col(f"o.{o}")).alias(c) for c, o in zip(AT, "abc", strict=True)])
+    outside = near.distinct().join(x, ["structure", *AT], "left_anti")
+    return x.join(dilate_ball(outside, radius, spacing), ["structure", *AT], "left_anti")
+
+
+def ring_radius(voxels: int) -> float:
+    """The ring's radius for a target of so many voxels: twice that of a ball of its size, 20 at most."""
+    return min(20.0, 2.0 * (3.0 * voxels / 4.0 / np.pi) ** (1.0 / 3.0))
+
+
+def ring_and_skin(masks: DataFrame, target: str, body: str, radius: float | None = None, gap: int = 1, skin: int = 1) -> DataFrame:
+    """Two structures: the ball around the target without its box, inside the body; and the body without its eroded self.
+
+    Without a radius the ring's follows from the target's size (`ring_radius`).
+    """
     t, b = masks.filter(F.col("structure") == target), masks.filter(F.col("structure") == body)
     inside = b.select(*AT).distinct()
-    outer = dilate(surface_voxels(t), ball(radius)).select(*AT).union(t.select(*AT)).distinct()
-    ring = outer.join(dilate(t, box(gap)).select(*AT), list(AT), "left_anti").join(inside, list(AT), "left_semi")
+    if radius is None:
+        radius = ring_radius(_at(masks, target).count())
+    outer = dilate_ball(t, radius).select(*AT)
+    ring = outer.join(box_map(t, gap).select(*AT), list(AT), "left_anti").join(inside, list(AT), "left_semi")
     rind = inside.join(erode(b, box(skin)).select(*AT), list(AT), "left_anti")
     return ring.select(F.lit("ring").alias("structure"), *AT).union(rind.select(F.lit("skin").alias("structure"), *AT))
 
 
 def expand_margin(masks: DataFrame, margin: float, spacing: tuple[float, float, float]) -> DataFrame:
-    """The structure and all voxels within a physical margin of its surface; only the surface is dilated."""
-    return dilate(surface_voxels(masks), ball(margin, spacing)).union(masks.select("structure", *AT)).distinct()
+    """The structure and all voxels within a physical margin of it."""
+    return dilate_ball(masks, margin, spacing)
 
 
 def to_segments(masks: DataFrame) -> DataFrame:
@@ -176,28 +203,12 @@ def _cells(points: DataFrame, size: float, spacing) -> DataFrame:
     return points.withColumns({f"_c{c}": F.floor(F.col(c) * s / size).cast("long") for c, s in zip(AT, spacing, strict=True)})
 
 
-def min_surface_distance(masks: DataFrame, a: str, b: str, spacing=(1.0, 1.0, 1.0), cell: float = 4.0) -> DataFrame:
-    """One row: the least distance between two surfaces, 0 when below the in-plane spacing.
-
-    Points meet in neighbouring cells; the cell grows until some do. The cell starts where one of the
-    pairs found bounds the answer, so that no closer pair can lie farther apart than a cell.
-    """
+def min_surface_distance(masks: DataFrame, a: str, b: str, spacing=(1.0, 1.0, 1.0)) -> DataFrame:
+    """One row: the least distance between two surfaces, 0 when below the larger in-plane spacing."""
     surface = surface_voxels(masks.filter(F.col("structure").isin(a, b)))
-    p, q = (surface.filter(F.col("structure") == n).select(*AT) for n in (a, b))
-    reach = surface.agg(*[(F.max(c) - F.min(c)).alias(c) for c in AT]).first()
-    top = sum(((reach[c] or 0) + 1) * s for c, s in zip(AT, spacing, strict=True))
-    square = sum(((F.col(c) - F.col(f"{c}2")) * s) ** 2 for c, s in zip(AT, spacing, strict=True))
-    size = float(cell)
-    while True:
-        x = _cells(p, size, spacing).select(*AT, *[f"_c{c}" for c in AT], F.explode(_offsets(box(1))).alias("o"))
-        x = x.select(*AT, (F.col("_ci") + F.col("o.a")).alias("ci"), (F.col("_cj") + F.col("o.b")).alias("cj"), (F.col("_ck") + F.col("o.c")).alias("ck"))
-        y = _cells(q, size, spacing).select(*[F.col(c).alias(f"{c}2") for c in AT], F.col("_ci").alias("ci"), F.col("_cj").alias("cj"), F.col("_ck").alias("ck"))
-        best = x.join(y, ["ci", "cj", "ck"]).agg(F.sqrt(F.min(square)).alias("d"))
-        d = best.first()["d"]
-        if (d is not None and d <= size) or size > top:
-            small = min(spacing[0], spacing[1])
-            return best.select(F.when(F.col("d") < small, 0.0).otherwise(F.col("d")).alias("distance"))
-        size *= 2
+    p, q = (surface.filter(F.col("structure") == n) for n in (a, b))
+    small = max(spacing[0], spacing[1])
+    return least_distance(p, q, spacing).select(F.when(F.col("distance") < small, 0.0).otherwise(F.col("distance")).alias("distance"))
 
 
 def nearest_distance(points: DataFrame, targets: DataFrame, spacing=(1.0, 1.0, 1.0), on: tuple[str, ...] = (), cell: float = 4.0) -> DataFrame:
@@ -238,11 +249,22 @@ def nearest_distance(points: DataFrame, targets: DataFrame, spacing=(1.0, 1.0, 1
         size *= 2
 
 
-def hausdorff(masks: DataFrame, a: str, b: str, spacing=(1.0, 1.0, 1.0)) -> DataFrame:
-    """One row: the larger of the two directed greatest nearest-surface distances, and the mean of nearest distances."""
+def _both_ways(masks: DataFrame, a: str, b: str) -> tuple[DataFrame, DataFrame]:
+    """The surface voxels of two structures, and the same under the other one's name."""
     surface = surface_voxels(masks.filter(F.col("structure").isin(a, b))).select("structure", *AT)
-    other = surface.withColumn("structure", F.when(F.col("structure") == a, b).otherwise(a))
-    return nearest_distance(surface, other, spacing, ("structure",)).agg(F.max("distance").alias("hausdorff"), F.avg("distance").alias("mean_distance"))
+    return surface, surface.withColumn("structure", F.when(F.col("structure") == a, b).otherwise(a))
+
+
+def hausdorff(masks: DataFrame, a: str, b: str, spacing=(1.0, 1.0, 1.0)) -> DataFrame:
+    """One row: the larger of the two directed greatest nearest-surface distances."""
+    surface, other = _both_ways(masks, a, b)
+    return greatest_nearest(surface, other, spacing, ("structure",)).agg(F.max("distance").alias("hausdorff"))
+
+
+def mean_surface_distance(masks: DataFrame, a: str, b: str, spacing=(1.0, 1.0, 1.0)) -> DataFrame:
+    """One row: the mean of the distances from all surface voxels of both to the nearest of the other."""
+    surface, other = _both_ways(masks, a, b)
+    return nearest_distance(surface, other, spacing, ("structure",)).agg(F.avg("distance").alias("mean_distance"))
 
 
 def com_distance(masks: DataFrame, spacing=(1.0, 1.0, 1.0)) -> DataFrame:

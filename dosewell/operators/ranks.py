@@ -29,9 +29,13 @@ def ranked_values(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
     return x.withColumn("_in", inside).join(starts, [*keys, "_r"]).select(*keys, "value", "_c", (F.col("_in") + F.col("_before")).alias("_last"), "_n")
 
 
-def exact_quantiles(rows: DataFrame, keys: list[str], column: str, shares: dict[str, float]) -> DataFrame:
-    """A column for each named share: the exact quantile of each group, with linear interpolation between neighbours."""
-    place = {name: F.lit(q) * (F.col("_n") - 1) for name, q in shares.items()}
+def exact_quantiles(rows: DataFrame, keys: list[str], column: str, shares: dict[str, float], middles: bool = False) -> DataFrame:
+    """A column for each named share: the exact quantile of each group, with linear interpolation between neighbours.
+
+    The first value is at share 0 and the last at 1, or (`middles`) each at (rank - 1/2) / n.
+    """
+    last = F.col("_n") - 1
+    place = {name: F.greatest(F.lit(0.0), F.least(F.lit(q) * F.col("_n") - 0.5, last.cast("double"))) if middles else F.lit(q) * last for name, q in shares.items()}
     at = lambda p: F.min(F.when(F.col("_last") > p, F.col("value")))
     columns = [c for name, p in place.items() for c in (at(F.floor(p)).alias(f"_lo_{name}"), at(F.ceil(p)).alias(f"_hi_{name}"), F.max(p - F.floor(p)).alias(f"_part_{name}"))]
     x = ranked_values(rows, keys, column).groupBy(*keys).agg(*columns)

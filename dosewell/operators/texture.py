@@ -254,14 +254,23 @@ def local_variation(scan: DataFrame, masks: DataFrame, structure: str, distance:
 
 
 def background_threshold(pet: DataFrame, limit: float, voxel_volume: float) -> DataFrame:
-    """One row: the level of the histogram bin at which value x volume of the higher bins passes `limit`, and their volume.
+    """One row: the level at which value x volume of the histogram's highest bins passes `limit`, as a share of the largest value, and their volume.
 
-    Bins are 2 IQR n^(-1/3) wide.
+    Zeros, nulls and values that are not finite are no voxels. Bins are 2 IQR n^(-1/3) wide and counted from 0 as in a dose histogram, the quartiles
+    are those of values at (rank - 1/2) / n. Where the limit is never passed, the lowest bin's level and the whole volume are given; without spread (a width of
+    0) both are null.
     """
-    q = exact_quantiles(pet, [], "value", {"_a": 0.25, "_b": 0.75}).crossJoin(pet.agg(F.count("*").alias("_n"), F.min("value").alias("_lo")))
-    q = q.withColumn("_w", 2 * (F.col("_b") - F.col("_a")) * F.pow(F.col("_n").cast("double"), F.lit(-1 / 3)))
-    x = pet.crossJoin(F.broadcast(q)).groupBy(F.floor((F.col("value") - F.col("_lo")) / F.col("_w")).alias("bin"), "_lo", "_w").agg(F.count("*").alias("n"))
-    x = x.withColumn("level", F.col("_lo") + (F.col("bin") + 0.5) * F.col("_w"))
-    w = Window.orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    y = x.withColumn("_s", F.sum(F.col("level") * F.col("n") * voxel_volume).over(w)).withColumn("_v", F.sum(F.col("n") * voxel_volume).over(w))
-    return y.filter(F.col("_s") > limit).agg(F.max("level").alias("threshold"), F.min("_v").alias("volume"))
+    x = pet.filter((F.col("value") != 0) & ~F.isnan("value") & (F.abs("value") < float("inf"))).select("value")
+    q = exact_quantiles(x, [], "value", {"_a": 0.25, "_b": 0.75}, middles=True).crossJoin(x.agg(F.count("*").alias("_n"), F.min("value").alias("_lo"), F.max("value").alias("_top")))
+    width = 2 * (F.col("_b") - F.col("_a")) * F.pow(F.col("_n").cast("double"), F.lit(-1 / 3))
+    q = q.withColumn("_w", F.when(width > 0, width))
+    place = F.col("value") / F.col("_w")
+    first = lambda v: F.when(F.col("_lo") >= 0, F.ceil(F.lit(EPS) + v)).otherwise(F.ceil(v))
+    bins = x.crossJoin(F.broadcast(q)).groupBy(first(place).alias("bin"), "_lo", "_top", "_w").agg(F.count("*").alias("n"))
+    bins = bins.withColumn("level", (F.col("bin") - 0.5) * F.col("_w"))
+    w = Window.orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, 0)  # bins, not voxels
+    y = bins.withColumn("_s", F.sum(F.col("level") * F.col("n") * voxel_volume).over(w)).withColumn("_v", F.sum(F.col("n") * voxel_volume).over(w))
+    passed = F.col("_s") > limit
+    low = F.when(F.max("_lo") >= 0, 0.5 * F.max("_w")).otherwise(F.min("level"))
+    found = y.agg(F.max(F.when(passed, F.col("level"))).alias("_level"), F.min(F.when(passed, F.col("_v"))).alias("_volume"), low.alias("_first"), F.max("_v").alias("_all"), F.max("_top").alias("_peak"), F.max("_w").alias("_width"))
+    return found.select((F.coalesce("_level", "_first") / F.col("_peak")).alias("threshold"), F.when(F.col("_width").isNotNull(), F.coalesce("_volume", "_all")).alias("volume"))

@@ -163,16 +163,17 @@ def c15(spark, sf_dir):
     with_sql(
         EVENT_MASKS, SURFACE, "p AS (SELECT * FROM surface WHERE structure IN ('click', 'error')), q AS (SELECT * FROM surface WHERE structure IN ('view', 'signup'))",
         "d AS (SELECT p.structure AS a, q.structure AS b, sqrt(min((p.i - q.i) ^ 2 + (p.j - q.j) ^ 2 + (p.k - q.k) ^ 2)) AS d, 0 AS way FROM p, q GROUP BY p.structure, q.structure, p.i, p.j, p.k UNION ALL SELECT p.structure, q.structure, sqrt(min((p.i - q.i) ^ 2 + (p.j - q.j) ^ 2 + (p.k - q.k) ^ 2)), 1 FROM p, q GROUP BY p.structure, q.structure, q.i, q.j, q.k)",
-        "w AS (SELECT a, b, max(d) AS h, avg(d) AS m FROM d GROUP BY a, b, way), u AS (SELECT a, b, max(h) AS h, avg(m) AS m FROM w GROUP BY a, b)",
+        "h AS (SELECT a, b, max(d) AS h FROM d GROUP BY a, b), ca AS (SELECT structure AS a, avg(i) AS i, avg(j) AS j, avg(k) AS k FROM p GROUP BY 1), cb AS (SELECT structure AS b, avg(i) AS i, avg(j) AS j, avg(k) AS k FROM q GROUP BY 1)",
+        "u AS (SELECT a, b, h, sqrt((ca.i - cb.i) ^ 2 + (ca.j - cb.j) ^ 2 + (ca.k - cb.k) ^ 2) AS m FROM h JOIN ca USING (a) JOIN cb USING (b))",
         "x AS (SELECT a, arg_min(b, (h, b)) AS bh, min(h) AS h, arg_min(b, (m, b)) AS bm, min(m) AS m FROM u GROUP BY a)",
-        "SELECT a AS structure_a, CASE WHEN bh = bm AND (h < 3 OR m < 3) THEN bh END AS structure_b FROM x",
+        "SELECT a AS structure_a, CASE WHEN bh = bm AND (h < 3 OR m < 3) THEN bh END AS structure_b, round(h, 6) AS hausdorff, round(m, 6) AS centre_distance FROM x",
     ),
 )
 def c16(spark, sf_dir):
     m = data.event_masks(spark, sf_dir)
     a = m.filter(F.col("structure").isin("click", "error")).select("structure", "i", "j", "k")
     b = m.filter(F.col("structure").isin("view", "signup")).select("structure", "i", "j", "k")
-    return cohort.match_lesions(a, b)
+    return rounded(cohort.match_lesions(a, b), 6)
 
 
 @query(

@@ -130,6 +130,24 @@ def d11(spark, sf_dir):
     return rounded(dvh.dvh_slope(_dvh(spark, sf_dir), 50.0), 8)
 
 
+def _slope_sql(dose: str) -> str:
+    """Positions to fit as lists of bins by place, built from the ends of both sides."""
+    return f"""e AS (SELECT plan, structure, list(dose ORDER BY bin) AS x, list(above / total ORDER BY bin) AS y, count(*)::INTEGER AS n, count(*) FILTER (WHERE dose < {dose})::INTEGER AS l, (count(*) FILTER (WHERE dose <= {dose}) + 1)::INTEGER AS r FROM cum GROUP BY ALL),
+s AS (SELECT plan, structure, x, y, n, CASE WHEN l = 0 THEN r WHEN r > n THEN l - 1 ELSE l END AS a, CASE WHEN l = 0 THEN r + 1 WHEN r > n THEN l ELSE r END AS b FROM e),
+f AS (SELECT plan, structure, x, y, unnest(list_concat(range(greatest(1, a - 5), a + 1), range(b, least(n, b + 5) + 1))) AS p FROM s)
+SELECT plan, structure, round(regr_slope(y[p], x[p]), 8) AS slope FROM f GROUP BY ALL"""
+
+
+@query("d11_dvh_slope_fraction", with_sql(DOSES, DVH, CUM, _slope_sql("50.0")))
+def d11b(spark, sf_dir):
+    return rounded(dvh.dvh_slope(_dvh(spark, sf_dir), 50.0, relative=True), 8)
+
+
+@query("d11_dvh_slope_at_end", with_sql(DOSES, DVH, CUM, _slope_sql("1000.0")))
+def d11c(spark, sf_dir):
+    return rounded(dvh.dvh_slope(_dvh(spark, sf_dir), 1000.0, relative=True), 8)
+
+
 #: The error function by its alternating series, for arguments that are not large.
 ERF = "(2 / sqrt(pi()) * list_sum(list_transform(range(0, 70), lambda n: (CASE WHEN n % 2 = 0 THEN 1 ELSE -1 END) * pow({x}, 2 * n + 1) / (gamma(n + 1) * (2 * n + 1)))))"
 

@@ -350,6 +350,18 @@ def t10(spark, sf_dir):
     return rounded(texture.local_variation(_v(spark, sf_dir), data.event_masks(spark, sf_dir), "U4", 2.0, 5))
 
 
-@query("t11_background_threshold", with_sql(VOLUME, "q AS (SELECT 2 * (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) * count(*) ^ (-1 / 3.0::DOUBLE) AS w, min(value) AS lo FROM volume), b AS (SELECT floor((value - lo) / w) AS bin, lo + (floor((value - lo) / w) + 0.5) * w AS level, count(*) AS n FROM volume, q GROUP BY ALL), s AS (SELECT level, sum(level * n * 0.25) OVER (ORDER BY bin DESC ROWS UNBOUNDED PRECEDING) AS s, sum(n * 0.25) OVER (ORDER BY bin DESC ROWS UNBOUNDED PRECEDING) AS v FROM b) SELECT round(max(level), 6) AS threshold, min(v) AS volume FROM s WHERE s > 5000"))
+@query(
+    "t11_background_threshold",
+    with_sql(
+        VOLUME,
+        "v AS (SELECT value FROM volume WHERE value <> 0 AND isfinite(value)), o AS (SELECT value, row_number() OVER (ORDER BY value) AS r, count(*) OVER () AS n FROM v)",
+        "pt AS (SELECT q, greatest(1, least(n, q * n + 0.5)) AS p FROM (SELECT DISTINCT n FROM o), (VALUES (0.25::DOUBLE), (0.75::DOUBLE)) t(q))",
+        "qq AS (SELECT q, sum(CASE WHEN r = floor(p) THEN value * (1 - (p - floor(p))) ELSE 0 END + CASE WHEN r = floor(p) + 1 THEN value * (p - floor(p)) ELSE 0 END) AS x FROM o, pt GROUP BY q)",
+        "w AS (SELECT 2 * (max(x) - min(x)) * (SELECT count(*) FROM v) ^ (-1 / 3.0::DOUBLE) AS w FROM qq)",
+        "b AS (SELECT ceil(2.220446049250313e-16::DOUBLE + value / w) AS bin, count(*) AS n FROM v, w GROUP BY 1)",
+        "s AS (SELECT bin, sum((bin - 0.5) * w * n * 0.25) OVER o AS s, sum(n * 0.25) OVER o AS v FROM b, w WINDOW o AS (ORDER BY bin DESC ROWS UNBOUNDED PRECEDING))",
+        "SELECT round(max((bin - 0.5) * w / (SELECT max(value) FROM v)), 6) AS threshold, min(v)::DOUBLE AS volume FROM s, w WHERE s > 5000",
+    ),
+)
 def t11(spark, sf_dir):
     return rounded(texture.background_threshold(_v(spark, sf_dir), 5000.0, 0.25), 6)

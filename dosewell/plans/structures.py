@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dosewell.operators import masks
+from dosewell.operators.distance import distance_map
 from dosewell.plans import inputs as data
 from dosewell.plans.inputs import EVENT_MASKS, VOLUME, rounded, with_sql
 
@@ -139,7 +140,7 @@ def k13b(spark, sf_dir):
     return masks.pad_crop(data.event_masks(spark, sf_dir), (2, 3, 1), size=(12, 10, 1 << 20))
 
 
-@query("k14_min_surface_distance", with_sql(EVENT_MASKS, "p AS (SELECT i, j, k FROM masks WHERE structure = 'click'), q AS (SELECT i, j, k FROM masks WHERE structure = 'signup'), d AS (SELECT sqrt(min((p.i - q.i) ^ 2 + ((p.j - q.j) * 2.0) ^ 2 + ((p.k - q.k) * 2.0) ^ 2)) AS d FROM p, q) SELECT round(CASE WHEN d < 1 THEN 0 ELSE d END, 6) AS distance FROM d"))
+@query("k14_min_surface_distance", with_sql(EVENT_MASKS, "p AS (SELECT i, j, k FROM masks WHERE structure = 'click'), q AS (SELECT i, j, k FROM masks WHERE structure = 'signup'), d AS (SELECT sqrt(min((p.i - q.i) ^ 2 + ((p.j - q.j) * 2.0) ^ 2 + ((p.k - q.k) * 2.0) ^ 2)) AS d FROM p, q) SELECT round(CASE WHEN d < 2 THEN 0 ELSE d END, 6) AS distance FROM d"))
 def k14(spark, sf_dir):
     return rounded(masks.min_surface_distance(data.event_masks(spark, sf_dir), "click", "signup", (1.0, 2.0, 2.0)), 6)
 
@@ -147,11 +148,40 @@ def k14(spark, sf_dir):
 SQUARES = "(p.i - q.i) ^ 2 + ((p.j - q.j) * 2.0) ^ 2 + ((p.k - q.k) * 2.0) ^ 2"
 
 
-@query("k15_hausdorff", with_sql(EVENT_MASKS, SURFACE, f"p AS (SELECT * FROM surface WHERE structure = 'click'), q AS (SELECT * FROM surface WHERE structure = 'signup'), d AS (SELECT sqrt(min({SQUARES})) AS d FROM p, q GROUP BY p.i, p.j, p.k UNION ALL SELECT sqrt(min({SQUARES})) FROM p, q GROUP BY q.i, q.j, q.k) SELECT round(max(d), 6) AS hausdorff, round(avg(d), 6) AS mean_distance FROM d"))
+NEAREST = (SURFACE, f"p AS (SELECT * FROM surface WHERE structure = 'click'), q AS (SELECT * FROM surface WHERE structure = 'signup'), d AS (SELECT sqrt(min({SQUARES})) AS d FROM p, q GROUP BY p.i, p.j, p.k UNION ALL SELECT sqrt(min({SQUARES})) FROM p, q GROUP BY q.i, q.j, q.k)")
+
+
+@query("k15_hausdorff", with_sql(EVENT_MASKS, *NEAREST, "SELECT round(max(d), 6) AS hausdorff FROM d"))
 def k15(spark, sf_dir):
     return rounded(masks.hausdorff(data.event_masks(spark, sf_dir), "click", "signup", (1.0, 2.0, 2.0)), 6)
 
 
+@query("k15_mean_surface_distance", with_sql(EVENT_MASKS, *NEAREST, "SELECT round(avg(d), 6) AS mean_distance FROM d"))
+def k15b(spark, sf_dir):
+    return rounded(masks.mean_surface_distance(data.event_masks(spark, sf_dir), "click", "signup", (1.0, 2.0, 2.0)), 6)
+
+
+#: The least squared distance along one axis after another, for places up to a radius around the structure.
+def _axis(name: str, source: str, axis: str, reach: int, square: str) -> str:
+    other = [c for c in "ijk" if c != axis]
+    return f"{name} AS (SELECT structure, {axis} + o AS {axis}, {other[0]}, {other[1]}, min(d + {square}) AS d FROM {source}, range(-{reach}, {reach + 1}) t(o) GROUP BY ALL)"
+
+
+@query("k7_dilate_ball", with_sql(EVENT_MASKS, "g0 AS (SELECT structure, i, j, k, 0 AS d FROM masks WHERE structure IN ('click', 'error'))", _axis("g1", "g0", "i", 6, "o * o"), _axis("g2", "g1", "j", 3, "4 * o * o"), _axis("g3", "g2", "k", 3, "4 * o * o"), "SELECT structure, i, j, k, round(sqrt(d), 6) AS distance FROM g3 WHERE d <= 36"))
+def k7d(spark, sf_dir):
+    return rounded(distance_map(data.event_masks(spark, sf_dir).filter(F.col("structure").isin("click", "error")), 6.0, (1.0, 2.0, 2.0)), 6)
+
+
+@query("k7_erode_ball", with_sql(EVENT_MASKS, "u AS (SELECT DISTINCT structure, i, j, k FROM masks WHERE structure IN ('U3', 'U4') AND k > 0), r AS (SELECT a, b, c FROM range(-1, 2) x(a), range(-1, 2) y(b), range(-1, 2) z(c) WHERE a * a + b * b + c * c <= 2), n AS (SELECT structure, i + a AS i, j + b AS j, k + c AS k, count(*) AS n FROM u, r GROUP BY ALL) SELECT structure, i, j, k FROM n SEMI JOIN u USING (structure, i, j, k) WHERE n = 19"))
+def k7e(spark, sf_dir):
+    return masks.erode_ball(data.event_masks(spark, sf_dir).filter("structure in ('U3', 'U4') and k > 0"), 1.5)
+
+
+@query("k7_ring_by_volume", with_sql(EVENT_MASKS, BOX, "t AS (SELECT DISTINCT 'ring' AS structure, i, j, k, 0 AS d FROM masks WHERE structure = 'signup'), size AS (SELECT least(20, 2 * (3 * count(*) / 4.0::DOUBLE / pi()) ^ (1 / 3.0::DOUBLE)) AS r FROM t)", _axis("g1", "t", "i", 20, "o * o"), _axis("g2", "g1", "j", 20, "o * o"), _axis("g3", "g2", "k", 20, "o * o"), "body AS (SELECT DISTINCT i, j, k FROM masks WHERE structure = 'U3'), f AS (SELECT DISTINCT i + a AS i, j + b AS j, k + c AS k FROM t, bx), e AS (SELECT i - a AS i, j - b AS j, k - c AS k, count(*) AS n FROM body, bx GROUP BY ALL HAVING n = 27) SELECT 'ring' AS structure, i, j, k FROM g3 SEMI JOIN body USING (i, j, k) ANTI JOIN f USING (i, j, k) WHERE d <= (SELECT r * r FROM size) UNION ALL SELECT 'skin', * FROM (SELECT * FROM body EXCEPT SELECT i, j, k FROM e)"))
+def k7f(spark, sf_dir):
+    return masks.ring_and_skin(data.event_masks(spark, sf_dir), "signup", "U3")
+
+
 @query("k16_com_distance", with_sql(EVENT_MASKS, "c AS (SELECT structure, avg(i) AS i, avg(j) AS j, avg(k) AS k FROM masks GROUP BY 1) SELECT a.structure AS a, b.structure AS b, round(sqrt((a.i - b.i) ^ 2 + (a.j - b.j) ^ 2 + (a.k - b.k) ^ 2), 6) AS distance FROM c a JOIN c b ON a.structure < b.structure"))
 def k16(spark, sf_dir):
     return rounded(masks.com_distance(data.event_masks(spark, sf_dir)), 6)
