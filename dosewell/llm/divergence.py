@@ -28,7 +28,7 @@ BLOCK_BYTES = 6 << 20
 #: Bytes of the first level's prefixes.
 FIRST_BYTES = 2
 
-BLOCK = "langs array<string>, sources array<string>, doc_lang binary, doc_group binary, group_lang binary, terms binary, pair_doc binary, pair_term binary, pair_count binary"
+BLOCK = "langs array<string>, doc_lang binary, doc_group binary, group_lang binary, group_source binary, terms binary, pair_doc binary, pair_term binary, pair_count binary"
 _LETTER = np.array([65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(256)])
 _LOWER = np.frombuffer(LOWER, np.uint8)
 _STEP = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -41,21 +41,15 @@ def _tokens(x: np.ndarray, off: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     inner = off[1:-1]
     before[inner[inner < len(x)]] = False  # a text's first byte continues nothing
     starts = np.flatnonzero(letter & ~before)
-    kept = np.concatenate(([0], np.cumsum(letter)))
-    ends = np.concatenate((kept[starts], [kept[-1]]))
     data = _LOWER[x[letter]]
+    kept = np.cumsum(letter, dtype=np.int32)
+    ends = np.append(kept[starts] - 1, np.int32(len(data)))
     terms = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
     return terms, np.searchsorted(off, starts, side="right") - 1
 
 
-def _codes(column: pa.Array) -> tuple[np.ndarray, list[str]]:
-    e = column.dictionary_encode()
-    return e.indices.to_numpy(zero_copy_only=False).astype(np.int64), e.dictionary.to_pylist()
-
-
-def blocks(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> DataFrame:
-    """Documents in dictionary form, about BLOCK_BYTES of text in a row."""
-    word = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+def blocks(docs: DataFrame) -> DataFrame:
+    """Documents (text, lang, source_id) in dictionary form, about BLOCK_BYTES of text in a row."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -68,19 +62,21 @@ def blocks(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> Da
                 place = np.empty(len(order), np.int64)
                 place[order] = np.arange(len(order))
                 pairs, n = np.unique(doc * max(1, len(order)) + place[e.indices.to_numpy(zero_copy_only=False)], return_counts=True)
-                lang, langs = _codes(b.column("lang").slice(i, j - i))
-                source, sources = _codes(b.column("source").slice(i, j - i))
-                group, at = np.unique(lang * len(sources) + source, return_inverse=True)
+                names = b.column("lang").slice(i, j - i).dictionary_encode()
+                lang, ids = names.indices.to_numpy(zero_copy_only=False).astype(np.int64), b.column("source_id").slice(i, j - i).to_numpy()
+                ids, source = np.unique(ids, return_inverse=True)
+                group, at = np.unique(lang * len(ids) + source, return_inverse=True)
                 words = e.dictionary.take(pa.array(order)).to_pylist()
+                numbers = [lang, at, group // len(ids)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([langs], pa.list_(pa.string())), pa.array([[sources[g % len(sources)] for g in group.tolist()]], pa.list_(pa.string()))]
-                    + [pa.array([v.astype("<u4").tobytes()], pa.binary()) for v in (lang, at, group // len(sources))]
-                    + [pa.array([b"".join(w + b"\0" for w in words)], pa.binary())]
+                    [pa.array([names.dictionary.to_pylist()], pa.list_(pa.string()))]
+                    + [pa.array([v.astype("<u4").tobytes()], pa.binary()) for v in numbers]
+                    + [pa.array([v], pa.binary()) for v in (ids[group % len(ids)].astype("<i8").tobytes(), b"".join(w + b"\0" for w in words))]
                     + [pa.array([v.astype("<u4").tobytes()], pa.binary()) for v in (pairs // max(1, len(order)), pairs % max(1, len(order)), n)],
-                    names=["langs", "sources", "doc_lang", "doc_group", "group_lang", "terms", "pair_doc", "pair_term", "pair_count"],
+                    names=["langs", "doc_lang", "doc_group", "group_lang", "group_source", "terms", "pair_doc", "pair_term", "pair_count"],
                 )
 
-    return docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), word(lang_col).alias("lang"), word(source_col).alias("source")).mapInArrow(encode, BLOCK)
+    return docs.select("text", "lang", "source_id").mapInArrow(encode, BLOCK)
 
 
 class Block:
@@ -88,7 +84,7 @@ class Block:
 
     def __init__(self, b: pa.RecordBatch, row: int) -> None:
         numbers = lambda name: np.frombuffer(b.column(name)[row].as_py(), "<u4").astype(np.int64)
-        self.langs, self.sources = b.column("langs")[row].as_py(), b.column("sources")[row].as_py()
+        self.langs, self.group_source = b.column("langs")[row].as_py(), np.frombuffer(b.column("group_source")[row].as_py(), "<i8")
         self.doc_lang, self.doc_group, self.group_lang = numbers("doc_lang"), numbers("doc_group"), numbers("group_lang")
         self.doc, self.term, self.count = numbers("pair_doc"), numbers("pair_term"), numbers("pair_count")
         self.x = np.frombuffer(b.column("terms")[row].as_py(), np.uint8)
@@ -134,6 +130,15 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
             yield Block(b, row)
 
 
+def _counted(keys: np.ndarray, space: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys below `space` and how often each is there."""
+    if space > 4 * len(keys):
+        return np.unique(keys, return_counts=True)
+    n = np.bincount(keys, minlength=space)
+    found = np.flatnonzero(n)
+    return found, n[found]
+
+
 def _strings(x: np.ndarray, off: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer(off.astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(x).tobytes())])
 
@@ -163,7 +168,7 @@ def frequent_terms(coded: DataFrame, least: int = 10) -> DataFrame:
                 new = np.ones(len(p), bool)
                 new[1:] = (doc[1:] != doc[:-1]) | (p[1:] != p[:-1])  # once a document
                 head = np.flatnonzero(np.diff(now, prepend=-1))
-                found, n = np.unique(k.doc_lang[doc[new]] * max(1, len(head)) + p[new], return_counts=True)
+                found, n = _counted(k.doc_lang[doc[new]] * max(1, len(head)) + p[new], len(k.langs) * len(head))
                 lang, first = found // max(1, len(head)), head[found % max(1, len(head))] if len(head) else found
                 yield pa.RecordBatch.from_arrays([pa.array(k.langs, pa.string()).take(pa.array(lang)), _strings(*k.prefixes(first, width)), pa.array(k.hashes(lang, first, width).view(np.int64)), pa.array(n)], names=["lang", "prefix", "h", "n"])
 
@@ -178,7 +183,10 @@ def frequent_terms(coded: DataFrame, least: int = 10) -> DataFrame:
 
 
 def term_counts(coded: DataFrame, kept: DataFrame) -> DataFrame:
-    """(lang, source, term, c > 0): occurrences of kept terms in each group."""
+    """(lang, term, source_id, c > 0): occurrences of kept terms in each group.
+
+    A block gives one row for a language's term, with the sources that have it side by side, so that few rows move.
+    """
     few = membership(kept.select("h"), hashed=False)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,22 +195,28 @@ def term_counts(coded: DataFrame, kept: DataFrame) -> DataFrame:
             lang = np.repeat(np.arange(len(k.langs)), terms)
             maybe = maybe_in(few.value, *hash_places(k.hashes(lang, np.tile(np.arange(terms), len(k.langs)), None))).reshape(len(k.langs), terms)
             go = maybe[k.doc_lang[k.doc], k.term] if len(k.term) else np.zeros(0, bool)
-            found, at = np.unique(k.doc_group[k.doc[go]] * max(1, terms) + k.term[go], return_inverse=True)
+            groups_ = len(k.group_lang)
+            # by language and term, then by group
+            found, at = np.unique((k.group_lang[k.doc_group[k.doc[go]]] * max(1, terms) + k.term[go]) * groups_ + k.doc_group[k.doc[go]], return_inverse=True)
             n = np.bincount(at, weights=k.count[go], minlength=len(found)).astype(np.int64)
-            group, term = found // max(1, terms), found % max(1, terms)
-            x, off = k.prefixes(term, None)
-            words = pc.binary_slice(_strings(x, off), 0, -1).cast(pa.string())  # without the end mark
-            yield pa.RecordBatch.from_arrays([pa.array(k.langs, pa.string()).take(pa.array(k.group_lang[group])), pa.array(k.sources, pa.string()).take(pa.array(group)), words, pa.array(n)], names=["lang", "source", "term", "c"])
+            head = np.flatnonzero(np.diff(found // groups_, prepend=-1))
+            rows = pa.array(np.append(head, len(found)).astype(np.int32))
+            lang, term = found[head] // groups_ // max(1, terms), found[head] // groups_ % max(1, terms)
+            words = pc.binary_slice(_strings(*k.prefixes(term, None)), 0, -1).cast(pa.string())  # without the end mark
+            sources, counts = (pa.ListArray.from_arrays(rows, pa.array(v)) for v in (k.group_source[found % groups_], n))
+            yield pa.RecordBatch.from_arrays([pa.array(k.langs, pa.string()).take(pa.array(lang)), words, sources, counts], names=["lang", "term", "s", "c"])
 
-    found = coded.mapInArrow(count, "lang string, source string, term string, c long").groupBy("lang", "source", "term").agg(F.sum("c").alias("c"))
-    return found.join(kept.select("lang", "term"), ["lang", "term"])
+    found = coded.mapInArrow(count, "lang string, term string, s array<long>, c array<long>").repartition("lang", "term")
+    each = found.select("lang", "term", F.explode(F.arrays_zip("s", "c")).alias("x")).groupBy("lang", "term", F.col("x.s").alias("source_id")).agg(F.sum("x.c").alias("c"))
+    return each.join(kept.select("lang", "term"), ["lang", "term"])
 
 
 def _p(count: Column, total: Column, terms: Column) -> Column:
-    """1 + floor(10^9 (count + 2) / (total + 2 terms)), in decimals, so that counts of any size are exact."""
+    """1 + floor(10^9 (count + 2) / (total + 2 terms)); counts too large for that in longs are divided as decimals."""
     wide = lambda c: c.cast("decimal(20,0)")
-    top, bottom = F.lit(1000000000).cast("decimal(10,0)") * (wide(count) + 2), wide(total) + wide(2 * terms)
-    return 1 + F.call_function("div", top, F.when(bottom > 0, bottom))
+    bottom = total + 2 * terms
+    large = F.call_function("div", F.lit(1000000000).cast("decimal(10,0)") * (wide(count) + 2), wide(bottom))
+    return 1 + F.when(bottom == 0, F.lit(None).cast("long")).when(count < 9_000_000_000, F.call_function("div", 1000000000 * (count + 2), bottom)).otherwise(large)
 
 
 def _f(p: Column, q: Column) -> Column:
@@ -221,17 +235,26 @@ def divergence(docs: DataFrame, least: int = 10, top: int = 10, text_col: str =
     V f(p0, p0) + the excess of each source's own terms against the other's p0, a sum over its distinct counts,
     + a correction for terms that both have. So work follows the counts there are, not pairs x terms.
     """
-    coded = keep(blocks(docs, text_col, lang_col, source_col))
+    word = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    rows = docs.select(word(text_col).alias("text"), word(lang_col).alias("lang"), word(source_col).alias("source"))
+    present = keep(rows.select("lang", "source").distinct())
+    seed = 0  # sources have 64-bit ids within the job; should two of them have the same, others are taken
+    while True:
+        source_id = F.xxhash64("source", F.lit(seed))
+        if present.agg(F.count_distinct("source") == F.count_distinct(source_id)).first()[0]:
+            break
+        seed += 1
+    coded = cut(blocks(rows.withColumn("source_id", source_id)))
     kept = keep(frequent_terms(coded, least))
     counts = cut(term_counts(coded, kept))
-    word = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    sizes = counts.groupBy("lang", "source").agg(F.sum("c").alias("total"))
+    sizes = counts.groupBy("lang", "source_id").agg(F.sum("c").alias("total"))
     terms = kept.groupBy("lang").agg(F.count("*").alias("v"))
     zero = F.lit(0).cast("long")
-    group = docs.select(word(lang_col).alias("lang"), word(source_col).alias("source")).distinct().join(sizes, ["lang", "source"], "left").join(terms, "lang", "left")
-    group = cut(group.select("lang", "source", F.coalesce("total", zero).alias("total"), F.coalesce("v", zero).alias("v")).withColumn("p0", _p(zero, F.col("total"), F.col("v"))))
+    group = present.withColumn("source_id", source_id).join(sizes, ["lang", "source_id"], "left").join(terms, "lang", "left")
+    group = cut(group.select("lang", "source", "source_id", F.coalesce("total", zero).alias("total"), F.coalesce("v", zero).alias("v")).withColumn("p0", _p(zero, F.col("total"), F.col("v"))))
     whole = group.groupBy("lang").agg(F.sum("total").alias("lang_total"))
-    shares = counts.join(group, ["lang", "source"]).withColumn("p", _p(F.col("c"), F.col("total"), F.col("v")))
+    shares = counts.join(group, ["lang", "source_id"]).withColumn("p", _p(F.col("c"), F.col("total"), F.col("v")))
+    shares = cut(shares.select("lang", "source", "term", "c", "v", "p0", "p"))
 
     # terms that a group has more often than its language
     in_lang = shares.withColumn("lang_c", F.sum("c").over(Window.partitionBy("lang", "term"))).join(whole, "lang").withColumn("q", _p(F.col("lang_c"), F.col("lang_total"), F.col("v")))
