@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast, StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one pass of NumPy code looks at; bounds the memory of a task.
@@ -51,6 +51,19 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, or a longer one that no column has; Spark tells names apart without regard to case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns by their names, which may hold dots or quotes."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def numbered(df: DataFrame, name: str, id_col: str = "doc_id", text_col: str = "text", nulls_last: bool = True) -> DataFrame:
     """Adds the long `name`: the id, or where ids repeat or are null a number of each row in the order of ids.
 
@@ -60,7 +73,7 @@ def numbered(df: DataFrame, name: str, id_col: str = "doc_id", text_col: str = "
     own = F.col(id_col).cast("long")
     if df.select(own.alias("i")).groupBy("i").count().filter("`count` > 1 or i is null").isEmpty():
         return df.withColumn(name, own)
-    read = f"{name}_"
+    read = free_name(df, f"{name}_")
     keys = [own.asc_nulls_last() if nulls_last else own.asc_nulls_first(), F.xxhash64(text_col), read]
     ranged = df.withColumn(read, F.monotonically_increasing_id()).repartitionByRange(partitions(df.sparkSession), *keys).sortWithinPartitions(*keys)
     return cut(ranged.withColumn(name, F.monotonically_increasing_id()).drop(read))

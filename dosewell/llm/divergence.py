@@ -11,12 +11,14 @@ the numbers of its terms. Terms with a common prefix are neighbours there, so a
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,7 +26,7 @@ from pyspark.sql.window import Window
 from dosewell.llm.common import LOWER, cut, flat, groups, hash_places, keep, maybe_in, membership, mix64
 
 #: Bytes of text in a block.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 #: Bytes of the first level's prefixes.
 FIRST_BYTES = 2
 
@@ -91,7 +93,7 @@ class Block:
         ends = np.flatnonzero(self.x == 0) + 1
         self.off = np.concatenate(([0], ends))
         self.length = np.diff(self.off)
-        self.lang_hash = mix64(np.array([int.from_bytes(name.encode()[:512] or b"\0", "little") % ((1 << 61) - 1) for name in self.langs], np.uint64))
+        self.lang_hash = lang_hashes(self.langs)
 
     def firsts(self, width: int) -> np.ndarray:
         """The number of each term's prefix of `width` bytes; equal prefixes are neighbours."""
@@ -112,16 +114,65 @@ class Block:
         off = np.concatenate(([0], np.cumsum(n)))
         return self.x[np.arange(off[-1]) + np.repeat(self.off[terms] - off[:-1], n)], off
 
-    def hashes(self, lang: np.ndarray, terms: np.ndarray, width: int | None) -> np.ndarray:
-        """64-bit hashes of (language, prefix)."""
-        x, off = self.prefixes(terms, width)
-        if not len(terms):
-            return np.zeros(0, np.uint64)
-        at = np.arange(len(x)) - np.repeat(off[:-1], np.diff(off))
-        power = np.full(int(np.diff(off).max()), _STEP, np.uint64)
-        power[0] = 1
-        power = np.multiply.accumulate(power)
-        return mix64(np.add.reduceat((x.astype(np.uint64) + np.uint64(1)) * power[at], off[:-1]) ^ self.lang_hash[lang])
+    def hashes(self, terms: np.ndarray, width: int | None) -> np.ndarray:
+        """64-bit hashes of prefixes, without their language."""
+        out = np.zeros(len(terms), np.uint64)
+        for i in range(0, len(terms), 1 << 14):
+            out[i : i + (1 << 14)] = byte_hashes(*self.prefixes(terms[i : i + (1 << 14)], width))
+        return out
+
+    def allowed(self, few: np.ndarray, place: np.ndarray, head: np.ndarray, width: int | None) -> np.ndarray:
+        """Whether each pair's (language, prefix) may be in a filter; `place` numbers the prefixes of terms, of which `head` are the first ones."""
+        keys = self.doc_lang[self.doc] * max(1, len(head)) + place[self.term]
+        there = np.zeros(len(self.langs) * len(head), bool)
+        there[keys] = True
+        found = np.flatnonzero(there)
+        lang, prefix = found // max(1, len(head)), found % max(1, len(head))
+        there[found] = maybe_in(few, *hash_places(mix64(self.hashes(head, width)[prefix] ^ self.lang_hash[lang])))
+        return there[keys]
+
+
+def byte_hashes(x: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """A polynomial of each row's bytes; no row is empty."""
+    if len(off) == 1:
+        return np.zeros(0, np.uint64)
+    at = np.arange(len(x)) - np.repeat(off[:-1], np.diff(off))
+    power = np.full(int(np.diff(off).max()), _STEP, np.uint64)
+    power[0] = 1
+    power = np.multiply.accumulate(power)
+    return np.add.reduceat((x.astype(np.uint64) + np.uint64(1)) * power[at], off[:-1])
+
+
+def lang_hashes(langs: list[str]) -> np.ndarray:
+    return mix64(np.array([int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), "little") for name in langs], np.uint64))
+
+
+def prefix_filter(prefixes: DataFrame) -> Broadcast:
+    """A membership filter of (lang, prefix) rows."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names = b.column(0).dictionary_encode()
+            h = byte_hashes(*flat(b.column(1))) ^ lang_hashes(names.dictionary.to_pylist())[names.indices.to_numpy(zero_copy_only=False).astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(mix64(h).view(np.int64))], names=["h"])
+
+    return membership(prefixes.select("lang", "prefix").mapInArrow(hashed, "h long"), hashed=False)
+
+
+def _merged(parts: Iterator[pa.RecordBatch], limit: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+    """Counts of (lang, prefix) summed within a task, up to `limit` rows at a time."""
+    held, rows = [], 0
+    for last in (False, True):
+        for p in parts if not last else (None,):
+            if p is not None:
+                held.append(p)
+                rows += p.num_rows
+            if held and (last or rows > limit):
+                t = pa.Table.from_batches(held).group_by(["lang", "prefix"]).aggregate([("n", "sum")]).select(["lang", "prefix", "n_sum"]).rename_columns(["lang", "prefix", "n"])
+                held, rows = t.combine_chunks().to_batches(), t.num_rows
+                if last or rows > limit // 2:
+                    yield from held
+                    held, rows = [], 0
 
 
 def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
@@ -144,7 +195,7 @@ def _strings(x: np.ndarray, off: np.ndarray) -> pa.Array:
 
 
 def frequent_terms(coded: DataFrame, least: int = 10) -> DataFrame:
-    """(lang, term, h) of the terms in at least `least` documents of a language, by prefix refinement of `blocks`.
+    """(lang, term, prefix with its end mark) of the terms in at least `least` documents of a language, by prefix refinement of `blocks`.
 
     At each level every document counts a prefix once; counts of a block are combined in its task, those of a task before the shuffle. Between levels
     tasks get a filter of fixed size with the surviving prefixes: what it lets through in error is counted exactly
@@ -158,10 +209,7 @@ def frequent_terms(coded: DataFrame, least: int = 10) -> DataFrame:
                 doc, term = k.doc, k.term
                 if before:
                     old = k.firsts(before)
-                    head = np.flatnonzero(np.diff(old, prepend=-1))
-                    lang = np.repeat(np.arange(len(k.langs)), len(head))
-                    open_ = maybe_in(alive.value, *hash_places(k.hashes(lang, np.tile(head, len(k.langs)), before))).reshape(len(k.langs), -1) & (k.length[head] > before)
-                    go = open_[k.doc_lang[doc], old[term]] if len(term) else np.zeros(0, bool)
+                    go = k.allowed(alive.value, old, np.flatnonzero(np.diff(old, prepend=-1)), before) & (k.length > before)[term]
                     doc, term = doc[go], term[go]
                 now = k.firsts(width)
                 p = now[term]
@@ -170,15 +218,16 @@ def frequent_terms(coded: DataFrame, least: int = 10) -> DataFrame:
                 head = np.flatnonzero(np.diff(now, prepend=-1))
                 found, n = _counted(k.doc_lang[doc[new]] * max(1, len(head)) + p[new], len(k.langs) * len(head))
                 lang, first = found // max(1, len(head)), head[found % max(1, len(head))] if len(head) else found
-                yield pa.RecordBatch.from_arrays([pa.array(k.langs, pa.string()).take(pa.array(lang)), _strings(*k.prefixes(first, width)), pa.array(k.hashes(lang, first, width).view(np.int64)), pa.array(n)], names=["lang", "prefix", "h", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(k.langs, pa.string()).take(pa.array(lang)), _strings(*k.prefixes(first, width)), pa.array(n)], names=["lang", "prefix", "n"])
 
-        counts = coded.mapInArrow(count, "lang string, prefix binary, h long, n long").groupBy("lang", "prefix").agg(F.first("h").alias("h"), F.sum("n").alias("n"))
-        survivors = keep(counts.filter(F.col("n") >= least).select("lang", "prefix", "h"))
+        counts = coded.mapInArrow(lambda batches, count=count: _merged(count(batches)), "lang string, prefix binary, n long").groupBy("lang", "prefix").agg(F.sum("n").alias("n"))
+        survivors = keep(counts.filter(F.col("n") >= least).select("lang", "prefix"))
         ended = F.substring("prefix", -1, 1) == F.lit(b"\0")
-        complete.append(survivors.filter(ended).selectExpr("lang", "cast(substring(prefix, 1, length(prefix) - 1) as string) as term", "h"))
+        complete.append(survivors.filter(ended))
         if survivors.filter(~ended).isEmpty():
-            return reduce(DataFrame.unionByName, complete)
-        alive = membership(survivors.filter(~ended).select("h"), hashed=False)
+            whole = reduce(DataFrame.unionByName, complete)
+            return whole.select("lang", F.expr("cast(substring(prefix, 1, length(prefix) - 1) as string)").alias("term"), "prefix")
+        alive = prefix_filter(survivors.filter(~ended))
         before, width = width, 2 * width
 
 
@@ -187,14 +236,12 @@ def term_counts(coded: DataFrame, kept: DataFrame) -> DataFrame:
 
     A block gives one row for a language's term, with the sources that have it side by side, so that few rows move.
     """
-    few = membership(kept.select("h"), hashed=False)
+    few = prefix_filter(kept)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in _each(batches):
             terms = len(k.length)
-            lang = np.repeat(np.arange(len(k.langs)), terms)
-            maybe = maybe_in(few.value, *hash_places(k.hashes(lang, np.tile(np.arange(terms), len(k.langs)), None))).reshape(len(k.langs), terms)
-            go = maybe[k.doc_lang[k.doc], k.term] if len(k.term) else np.zeros(0, bool)
+            go = k.allowed(few.value, np.arange(terms), np.arange(terms), None)
             groups_ = len(k.group_lang)
             # by language and term, then by group
             found, at = np.unique((k.group_lang[k.doc_group[k.doc[go]]] * max(1, terms) + k.term[go]) * groups_ + k.doc_group[k.doc[go]], return_inverse=True)

@@ -20,6 +20,8 @@ from dosewell.llm.common import LOWER, flat, groups, keep
 
 #: Trigram features, and the most labelled rows of a language that train the machines.
 FEATURES, ROWS_PER_LANGUAGE = 8192, 400
+#: The most languages that are learned.
+MOST_LANGUAGES = 128
 #: Families of common language codes; another code is a family of its own. They keep the machines to hundreds, as pairs
 #: are made of families and inside each, not of all languages. Fixed values.
 FAMILIES = {
@@ -75,14 +77,18 @@ def _lowered(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(x.tobytes().translate(LOWER), np.uint8), off
 
 
-def training_sample(docs: DataFrame, per_language: int = ROWS_PER_LANGUAGE) -> DataFrame:
-    """At most `per_language` labelled rows of each language, chosen by hash, as sparse features."""
+def training_sample(docs: DataFrame, per_language: int = ROWS_PER_LANGUAGE, most: int = MOST_LANGUAGES) -> DataFrame:
+    """At most `per_language` labelled texts of each language, chosen by the hash of their ids, as sparse features.
+
+    An id is one text of a language: of several rows that share one, the text that comes first. Where there are more than `most` codes, the
+    commonest are learned (ties to the code that comes first), as pairs of languages grow with the square of their number.
+    """
     hashed = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("_h", F.xxhash64("doc_id", F.lit("sample")))
-    # most rows of a frequent language are out by their hash before any are ranked
-    counts = hashed.groupBy("lang").agg(F.count("*").alias("_n"))
-    some = hashed.select("lang", "doc_id", "_h").join(F.broadcast(counts), "lang").filter(F.pmod("_h", F.lit(1 << 20)) * F.col("_n") < F.lit(4 * per_language * (1 << 20)))
+    # ids are counted, not rows: an id that most rows of a language have is one; the count need only be near, as four times as many get through
+    counts = hashed.groupBy("lang").agg(F.count("*").alias("_rows"), F.approx_count_distinct("doc_id", 0.02).alias("_n")).orderBy(F.desc("_rows"), "lang").limit(most)
+    some = hashed.select("lang", "doc_id", "_h").join(F.broadcast(counts), "lang").filter(F.pmod("_h", F.lit(1 << 20)) * F.col("_n") < F.lit(4 * per_language * (1 << 20))).distinct()
     chosen = some.withColumn("_k", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id"))).filter(F.col("_k") <= per_language).select("lang", "_h", "doc_id")
-    rows = hashed.join(F.broadcast(chosen), ["lang", "_h", "doc_id"], "left_semi").dropDuplicates(["lang", "doc_id"])  # at most per_language rows a language
+    rows = hashed.join(F.broadcast(chosen), ["lang", "_h", "doc_id"], "left_semi").groupBy("lang", "doc_id").agg(F.min("text").alias("text"))  # at most per_language rows for each of `most` languages
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -108,7 +114,7 @@ def _train(pdf: pd.DataFrame) -> pd.DataFrame:
     top = np.array([10.0 * 0.5 / share[s] for s in y])  # classes weigh the same
     w, alpha, square = np.zeros(FEATURES + 1), np.zeros(len(y)), [float((v * v).sum()) for _, v in rows]
     order = np.random.default_rng(7)
-    for _ in range(30):
+    for _ in range(200):
         change = 0.0
         for k in order.permutation(len(y)):
             i, v = rows[k]
@@ -127,7 +133,8 @@ def fit(docs: DataFrame, per_language: int = ROWS_PER_LANGUAGE) -> dict:
 
     A task trains one pair on at most 2 x per_language rows times the languages of a family. What
     comes to the driver is a weight vector of single precision for each pair, whatever the number of documents:
-    the 95 languages of the families above make 457 pairs, 15 MB.
+    the 95 languages of the families above make 457 pairs, 15 MB. Codes without a family are one each, so MOST_LANGUAGES
+    of these make 8128 pairs at worst, 270 MB; rarer codes than the MOST_LANGUAGES commonest are not learned.
     """
     sample = keep(training_sample(docs, per_language))
     languages = sorted(r[0] for r in sample.select("lang").distinct().collect())
@@ -238,7 +245,11 @@ def held_out(doc_id):
 
 
 def identify(docs: DataFrame, per_language: int = ROWS_PER_LANGUAGE) -> DataFrame:
-    """Learns from the rows that aren't held out and predicts all: doc_id, held_out, lang_pred, score."""
+    """Learns from the rows that aren't held out and predicts all: doc_id, held_out, lang_pred, score.
+
+    Labelled rows that share an id are one text of each of their languages; rows that are repeated are predicted each. Null
+    ids are held out. Other columns are not read; an empty table gives no rows.
+    """
     x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), F.col("lang").cast("string").alias("lang"))
     model = fit(x.filter(~held_out(F.col("doc_id"))), per_language)
     return predict(x, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

@@ -136,7 +136,7 @@ cc-by-nc-nd-3.0 | cc(?:~|-)by-nc-nd | cc(?:~|-)by-nc-nd{v}
 #: label | keyword | signature of a grant or notice, on lower-cased text. `~` stands for blanks, quotes and
 #: the signs that begin lines of comments; the keyword is a word that every match contains.
 BODIES = r"""
-mit | hereby | permission~is~hereby~granted~free~of~charge~to~any~person~obtaining~a~copy~of~this~software(?:~and~associated~documentation~files)?
+mit | hereby | permission~is~hereby~granted~free~of~charge~to~any~person~obtaining~a~copy(?:~of~this~software(?:~and~associated~documentation~files)?)?(?![0-9a-z])(?!~of~the~unicode)
 mit-0 | hereby | permission~is~hereby~granted~free~of~charge~to~any~person~obtaining~a~copy~of~this~software[^.]{0,500}furnished~to~do~so\.~the~software~is~provided
 ncsa | hereby | permission~is~hereby~granted~free~of~charge~to~any~person~obtaining~a~copy~of~this~software[^.]{0,400}to~deal~with~the~software
 bsl-1.0 | hereby | permission~is~hereby~granted~free~of~charge~to~any~person~or~organization~obtaining~a~copy
@@ -147,6 +147,7 @@ isc | permission | permission~to~use~copy~modify~(?:and~or|and)~distribute~this~
 0bsd | permission | permission~to~use~copy~modify~(?:and~or|and)~distribute~this~software~for~any~purpose~with~or~without~fee~is~hereby~granted\.
 hpnd | permission | permission~to~use~copy~modify~(?:and~or|and)~distribute~this~software~and~its~documentation~for~any~purpose~(?:and~)?without~fee
 postgresql | permission | permission~to~use~copy~modify~and~distribute~this~software~and~its~documentation~for~any~purpose~without~fee~and~without~a~written~agreement
+bsd | redistribution | redistribution~and~use~in~source~and~binary~forms~with~or~without~modification
 bsd-2-clause | redistribution | redistribution~and~use~in~source~and~binary~forms~with~or~without~modification~are~permitted~provided~that~the~following~conditions~are~met
 bsd-3-clause | redistribution | redistribution~and~use~in~source~and~binary~forms~with~or~without~modification[\s\S]{0,1500}?(?:neither~the~names?~of|may~not~be~used)[\s\S]{0,200}?(?:endorse|promote)
 bsd-4-clause | redistribution | redistribution~and~use~in~source~and~binary~forms~with~or~without~modification[\s\S]{0,1200}?all~advertising~materials~mentioning~features[\s\S]{0,900}?(?:endorse|promote)
@@ -192,22 +193,33 @@ odbl-1.0 | database | made~available~under~the~open~database~license
 cecill-2.1 | cecill | governed~by~the~cecill~license
 ruby | bsdl | under~either~the~terms~of~the~2~clause~bsdl
 ijg | jpeg | based~in~part~on~the~work~of~the~independent~jpeg~group
+gpl-1.0 | gpl | {b}(?:gnu~)?gpl(?:~|-)?(?:version~|v(?:er)?\.?~?)?1(?:\.0)?(?:-only|-or-later|\+)?{e}(?!\.\d)
+gpl-2.0 | gpl | {b}(?:gnu~)?gpl(?:~|-)?(?:version~|v(?:er)?\.?~?)?2(?:\.0)?(?:-only|-or-later|\+)?{e}(?!\.\d)
+gpl-3.0 | gpl | {b}(?:gnu~)?gpl(?:~|-)?(?:version~|v(?:er)?\.?~?)?3(?:\.0)?(?:-only|-or-later|\+)?{e}(?!\.\d)
+lgpl-2.0 | lgpl | {b}(?:gnu~)?lgpl(?:~|-)?(?:version~|v(?:er)?\.?~?)?2(?:\.0)?(?:-only|-or-later|\+)?{e}(?!\.\d)
+lgpl-2.1 | lgpl | {b}(?:gnu~)?lgpl(?:~|-)?(?:version~|v(?:er)?\.?~?)?2\.1(?:-only|-or-later|\+)?{e}
+lgpl-3.0 | lgpl | {b}(?:gnu~)?lgpl(?:~|-)?(?:version~|v(?:er)?\.?~?)?3(?:\.0)?(?:-only|-or-later|\+)?{e}(?!\.\d)
+agpl-3.0 | agpl | {b}(?:gnu~)?agpl(?:~|-)?(?:version~|v(?:er)?\.?~?)?3(?:\.0)?(?:-only|-or-later|\+)?{e}(?!\.\d)
+unlicense | unlicense | {b}the~unlicense{e}
+cc0-1.0 | cc0 | {b}cc0(?:-1\.0)?{e}
 ftl | freetype | portions~of~this~software~are~copyright[^.]{0,80}the~freetype~project
 info-zip | info | of~the~info~zip~(?:license|copyright~and~license)
 commons-clause | commons | commons~clause~(?:license~)?condition
 openrail | restrictions | use~based~restrictions~(?:as~)?referenced~in~paragraph
-llama-community | llama | llama~(?:2|3|3\.\d)~community~license~agreement
+llama-community | llama | llama~(?:2|3|3\.\d|4)~community~licen[sc]e(?:~agreement)?
 public-domain | domain | (?:placed|released|dedicated)~(?:into|in|to)~the~public~domain
 proprietary | confidential | (?:proprietary~and~confidential|confidential~and~proprietary)
 proprietary | unauthori | unauthori[sz]ed~(?:copying|reproduction|distribution)[^.]{0,80}prohibited
 """
+#: What begins and ends a word in patterns.
+BEGIN, END = r"(?<![0-9a-z_\x80-\xff])", r"(?![0-9a-z_\x80-\xff])"
 #: Priority and score of those signatures.
 BODY_PRIORITY, BODY_SCORE = 3, 0.97
 
 #: priority, score, keyword ({k} is the title's), and the form around a title `{t}` or label `{l}`;
 #: `{f}` is a title that has a version and spells out the word license, `{b}` and `{e}` begin and end a word.
 FORMS = (
-    (4, 1.0, "spdx", r"spdx-license-identifier:\s*{l}(?:-only|-or-later|\+)?(?![\w.-])"),
+    (4, 1.0, "spdx", r"spdx-license-identifier:[ \t]*(?:[\w.+()-]+[ \t]+){0,40}?\(*({l}(?:-only|-or-later|\+)?)(?![\w.-])"),
     (3, 0.95, "{k}", r"(?:licensed|released|distributed|available|published)~under(?:~the)?(?:~terms~of(?:~the)?)?~{t}(?:~licen[sc]e)?{e}"),
     (2, 0.9, "{k}", r"{b}{t}~(?:public~)?licen[sc]e{e}"),
     (2, 0.9, "{k}", r"{b}{f}{e}(?!-)"),
@@ -237,12 +249,12 @@ def signature_rules() -> list[tuple[int, float, bytes, re.Pattern, str]]:
         for priority, score, keyword, form in FORMS:
             if "{f}" in form and not full:
                 continue
-            form = form.replace("{b}", r"(?<![0-9a-z_\x80-\xff])").replace("{e}", r"(?![0-9a-z_\x80-\xff])")
+            form = form.replace("{b}", BEGIN).replace("{e}", END)
             pattern = form.replace("{t}", f"(?:{title})").replace("{f}", f"(?:{full})").replace("{l}", re.escape(label)).replace("~", r"(?:[\s,]+)")
             out.append((priority, score, keyword.replace("{k}", key).encode(), re.compile(pattern.encode("latin-1")), label))
     for line in BODIES.strip().splitlines():
         label, key, body = (x.strip() for x in line.split(" | "))
-        out.append((BODY_PRIORITY, BODY_SCORE, key.encode(), re.compile(body.replace("~", r"""(?:[\s,*#/;>"'`-]+)""").encode()), label))
+        out.append((BODY_PRIORITY, BODY_SCORE, key.encode(), re.compile(body.replace("{b}", BEGIN).replace("{e}", END).replace("~", r"""(?:[\s,*#/;>"'`-]+)""").encode("latin-1")), label))
     return sorted(out, key=lambda r: -r[0])
 
 
@@ -334,7 +346,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     if places:
                         n_base[d], first[d], last[d] = len(places), min(places), max(places)
                     base_labels[d] = ",".join(sorted(names))
-                    found = [(pr, m.start(), m.end(), s, label) for pr, s, key, pattern, label in rules if key in keys for m in pattern.finditer(own)]
+                    found = [(pr, *m.span(m.lastindex or 0), s, label) for pr, s, key, pattern, label in rules if key in keys for m in pattern.finditer(own)]  # a group is the part that counts
                     kept = kept_detections(found)
                     labels[d] = ",".join(sorted(names | {k[4] for k in kept}))
                     score[d] = max([k[3] for k in kept] + [0.8] * bool(names) + [0.0])

@@ -148,13 +148,40 @@ class Pieces:
         pool = np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))
         return coded.indices.to_numpy(), np.searchsorted(cuts, off), lengths, np.cumsum(lengths) - lengths, pool
 
+    def slices(self, x: np.ndarray, limit: int = 0) -> Iterator[np.ndarray]:
+        """A text in parts of about `limit` bytes, cut where no token is changed; whole where no such place is known.
+
+        A cut follows from the few bytes around it, so those found in a part, away from its end, are the text's.
+        """
+        at, size = 0, limit or BATCH_BYTES
+        while self.cuts and len(x) - at > size:
+            found = safe_cuts(x[at : at + size], np.array([0, size]))
+            found = found[(found > 0) & (found <= size - 16)]
+            if len(found):
+                yield x[at : at + int(found[-1])]
+                at, size = at + int(found[-1]), limit or BATCH_BYTES
+            else:
+                size *= 2
+        yield x[at:]
+
     def counts(self, x: np.ndarray, off: np.ndarray) -> np.ndarray:
+        if len(off) == 2 and len(x) > BATCH_BYTES:
+            return np.array([sum(int(self._counts(part, np.array([0, len(part)]))[0]) for part in self.slices(x))])
+        return self._counts(x, off)
+
+    def rows(self, x: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after another, and where each row's begin (and the end)."""
+        if len(off) == 2 and len(x) > BATCH_BYTES:
+            ids = np.concatenate([self._rows(part, np.array([0, len(part)]))[0] for part in self.slices(x)])
+            return ids, np.array([0, len(ids)])
+        return self._rows(x, off)
+
+    def _counts(self, x: np.ndarray, off: np.ndarray) -> np.ndarray:
         codes, first, lengths, _, _ = self.batch(x, off)
         total = np.concatenate(([0], np.cumsum(lengths[codes] if len(codes) else np.zeros(0, np.int64))))
         return total[first[1:]] - total[first[:-1]]
 
-    def rows(self, x: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after another, and where each row's begin (and the end)."""
+    def _rows(self, x: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         codes, first, lengths, starts, pool = self.batch(x, off)
         if not len(codes):
             return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -210,3 +211,111 @@ def test_divergence_odd_rows(spark):
     rows = [("alpha beta", None, None)] * 12 + [("alpha" + "b" * 5000, "", "x")] * 11 + [(None, "de", "x"), ("", "de", "y"), ("1 2", "de", None), ("alpha", "nl", "only")]
     same_divergence(spark, rows)
     assert divergence.divergence(odd(spark).limit(0)).count() == 0
+
+
+# --- mended operators
+
+
+@pytest.mark.parametrize(
+    "text, labels",
+    [
+        ("SPDX-License-Identifier: MIT OR Apache-2.0", "apache-2.0,mit"),
+        ("// SPDX-License-Identifier: (GPL-2.0-only WITH Classpath-exception-2.0) AND BSD-3-Clause\n MPL-2.0", "bsd-3-clause,gpl-2.0"),
+        ("released as GNU GPL v3 or later", "gpl-3.0"),
+        ("License GPLv2+", "gpl-2.0"),
+        ("it is LGPL-2.1-or-later", "lgpl-2.1"),
+        ("agpl 3.0", "agpl-3.0"),
+        ("see the Unlicense.", "unlicense"),
+        ("dedicated with CC0", "cc0-1.0"),
+        ("the Llama 2 Community License", "llama-community"),
+        ("Permission is hereby granted, free of charge, to any person obtaining a copy.", "mit"),
+        ("Permission is hereby granted, free of charge, to any person or organization obtaining a copy", "bsl-1.0"),
+        ("Permission is hereby granted, free of charge, to any person obtaining a copy of the Unicode data files", "unicode-dfs-2016"),
+        ("Redistribution and use in source and binary forms, with or without modification, are permitted.", "bsd"),
+        ("gplus 3 or mygpl3 or gpl 3.1 and cc00", ""),
+    ],
+)
+def test_common_forms_of_licenses(spark, text, labels):
+    from dosewell.llm import licenses
+
+    rows = licenses.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert rows[0]["labels"] == labels
+
+
+def test_no_language_is_lost_to_shared_ids(spark):
+    from dosewell.llm import langid
+
+    free = [i for i in range(200) if zlib.crc32(str(i).encode()) % 4 != 2]
+    rows = [(i, f"the quick house and {i} other words", "en") for i in free] + [(i, f"le chat de la maison {i} encore", "fr") for i in free]
+    for shared in (free[0], free[1], 7777):
+        x = rows + [(shared, "zzq xxk wwv qqj", "xx")] * 3000
+        df = spark.createDataFrame(x, "doc_id long, text string, lang string")
+        sample = {r["lang"]: r["count"] for r in langid.training_sample(df, 50).groupBy("lang").count().collect()}
+        assert sample == {"en": 50, "fr": 50, "xx": 1}
+    few = langid.training_sample(spark.createDataFrame([(i, "t", f"l{i % 9}") for i in range(90)], "doc_id long, text string, lang string"), 50, most=4)
+    assert {r[0] for r in few.select("lang").distinct().collect()} == {"l0", "l1", "l2", "l3"}
+
+
+def test_machine_against_plain_solver():
+    """The dual solved by projected gradient on the whole kernel matrix gives the same plane."""
+    import pandas as pd
+
+    from dosewell.llm import langid
+
+    rng = np.random.default_rng(2)
+    rows = []
+    for k in range(60):
+        index = np.sort(rng.choice(40, 8, replace=False) + (0 if k % 3 else 15))
+        value = np.full(8, 8**-0.5)
+        rows.append(("a" if k % 3 else "b", index, value, k))
+    w = np.array(langid._train(pd.DataFrame([("a", "b", n, i, v, o) for n, i, v, o in rows], columns=["a", "b", "name", "index", "value", "order"]))["w"][0])
+    x = np.zeros((60, langid.FEATURES + 1))
+    for r, (_, i, v, _) in zip(x, rows):
+        r[i], r[-1] = v, 1.0
+    y = np.array([1.0 if n == "a" else -1.0 for n, *_ in rows])
+    top = np.where(y > 0, 5 / (y > 0).mean(), 5 / (y < 0).mean())
+    q = (x * y[:, None]) @ (x * y[:, None]).T
+    alpha = np.zeros(60)
+    step = np.linalg.eigvalsh(q)[-1]
+    for _ in range(40000):
+        alpha = np.clip(alpha + (1 - q @ alpha) / step, 0, top)
+    plain = (alpha * y) @ x
+    cost = lambda v: 0.5 * v @ v + (top * np.maximum(0, 1 - y * (x @ v))).sum()
+    assert cost(w.astype(float)) <= 1.02 * cost(plain)
+    assert (np.sign(x @ w) == np.sign(x @ plain)).mean() >= 0.95
+
+
+def test_votes_are_counted():
+    from dosewell.llm import langid
+
+    rng = np.random.default_rng(4)
+    names = list("abcd")
+    pairs = [(a, b) for n, a in enumerate(names) for b in names[n + 1 :]]
+    margins = {p: rng.standard_normal(200) for p in pairs}
+    best, least = langid._decide(names, pairs, margins, 200)
+    for r in range(200):
+        won = {n: [m[r] if p[0] == n else -m[r] for p, m in margins.items() if n in p] for n in names}
+        votes = {n: sum(v > 0 for v in vs) for n, vs in won.items()}
+        top = [n for n in names if votes[n] == max(votes.values())]
+        want = max(top, key=lambda n: sum(won[n]))
+        assert names[best[r]] == want
+        assert least[r] == min(won[want])
+
+
+def test_long_texts_are_counted_in_slices(spark, monkeypatch):
+    from dosewell.llm import tokens
+
+    texts = ["word, and (more) 12 words.\n\nThen  some\ttabs —日本語。テキスト " * 400, "x" * 30000, "ab12" * 8000, " " * 20000 + "end", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    encoder = tokens.pieces(tokens.default_vocabulary())
+    for t in texts[:4]:
+        x = np.frombuffer(t.encode(), np.uint8)
+        parts = list(encoder.slices(x, 3000))
+        assert b"".join(p.tobytes() for p in parts) == t.encode()
+        assert sum(int(encoder.counts(p, np.array([0, len(p)]))[0]) for p in parts) == len(encoder.tokenizer.encode(t, add_special_tokens=False).ids)
+    assert len(list(encoder.slices(np.frombuffer(texts[0].encode(), np.uint8), 3000))) > 5
+    monkeypatch.setattr(tokens, "BATCH_BYTES", 3000)
+    x = np.frombuffer(texts[0].encode(), np.uint8)
+    ids, at = encoder.rows(x, np.array([0, len(x)]))
+    assert ids.tolist() == encoder.tokenizer.encode(texts[0], add_special_tokens=False).ids and at.tolist() == [0, len(ids)]
+    assert df.count() == 5

@@ -49,6 +49,17 @@ def test_stages_take_odd_rows(spark, sf_dir):
             out.count()
 
 
+def test_stages_take_columns_of_any_name(spark, sf_dir):
+    extra = ["_row_", "_ROW", "_copies", "Copies", "number", "whole", "a.b", "_ID"]
+    docs = odd(spark).drop("_h")
+    for k, name in enumerate(extra):
+        docs = docs.withColumn(name, F.lit(f"v{k}"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        rows = stage(spark, docs, sf_dir).collect()
+        assert rows, name
+        assert all(tuple(r[c] for c in extra) == tuple(f"v{k}" for k in range(len(extra))) for r in rows), name
+
+
 def test_rows_are_told_apart_by_themselves(spark, sf_dir):
     docs = odd(spark)
     rows = [(5, "alpha beta gamma"), (9, "alpha beta gamma"), (5, "a wholly different text"), (9, "alpha beta gamma"), (None, "Alpha beta gamma"), (None, "x"), (None, "x")]
