@@ -10,19 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dosewell.llm import exact, langid, mixture, neardup, packing
-from dosewell.llm.common import cut, numbered, table
+from dosewell.llm.common import columns_of, cut, free_name, numbered, table
 
 #: Words in a shingle of the near-duplicate stage.
 SHINGLE_WORDS = 5
 
 
-def _named(docs: DataFrame, name: str) -> str:
-    """`name`, or a longer one that no column has."""
-    while name in docs.columns:
-        name += "_"
-    return name
-
-
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language is found; null, empty and other texts without a letter go.
 
@@ -38,10 +31,10 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are told apart by themselves, not by their ids: of a row that is repeated one copy stays, of rows
     that share an id those with other texts stay. Null ids are less than all others. An empty table stays empty.
     """
-    row = _named(docs, "_row")
+    row = free_name(docs, "_row")
     rows = numbered(docs, row, nulls_last=False)
     gone = exact.exact_duplicates(rows, id_col=row).filter("not kept").select(F.col("doc_id").alias(row))
-    return rows.join(gone, row, "left_anti").select(*docs.columns)
+    return rows.join(gone, row, "left_anti").select(*columns_of(docs))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,10 +44,10 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     empty and blank texts are linked with nothing and stay. Sets are those of whole texts. An empty
     table stays empty.
     """
-    row = _named(docs, "_row")
+    row = free_name(docs, "_row")
     rows = numbered(docs, row)
     gone = neardup.near_duplicates(rows, SHINGLE_WORDS, id_col=row).filter("not kept").select(F.col("doc_id").alias(row))
-    return rows.join(gone, row, "left_anti").select(*docs.columns)
+    return rows.join(gone, row, "left_anti").select(*columns_of(docs))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,10 +56,10 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Rows are told apart by themselves, as in the exact stage. Texts without words have size 0 and come as often as
     their source is taken; a null source is a source; an empty table stays empty.
     """
-    row = _named(docs, "_row")
+    row = free_name(docs, "_row")
     rows = numbered(docs, row)
     taken = mixture.mix(rows, id_col=row).filter("copies > 0").select(F.col("doc_id").alias("number"), "copies")
-    whole = rows.select(F.col(row).alias("number"), F.struct(*docs.columns).alias("whole"))  # extra columns may have any names
+    whole = rows.select(F.col(row).alias("number"), F.struct(*columns_of(docs)).alias("whole"))  # extra columns may have any names
     return whole.join(taken, "number").select("whole", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("whole.*")
 
 
