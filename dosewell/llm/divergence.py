@@ -26,11 +26,11 @@ from pyspark.sql.window import Window
 from dosewell.llm.common import LOWER, cut, flat, groups, hash_places, keep, maybe_in, membership, mix64
 
 #: Bytes of text in a block.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Bytes of the first level's prefixes.
-FIRST_BYTES = 2
+FIRST_BYTES = 4
 
-BLOCK = "langs array<string>, doc_lang binary, doc_group binary, group_lang binary, group_source binary, terms binary, pair_doc binary, pair_term binary, pair_count binary"
+BLOCK = "langs array<string>, doc_lang binary, doc_group binary, group_lang binary, group_source binary, terms binary, doc_terms binary, pair_term binary, pair_count binary"
 _LETTER = np.array([65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(256)])
 _LOWER = np.frombuffer(LOWER, np.uint8)
 _STEP = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -50,6 +50,15 @@ def _tokens(x: np.ndarray, off: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     return terms, np.searchsorted(off, starts, side="right") - 1
 
 
+def _narrow(v: np.ndarray) -> bytes:
+    """Numbers that are not negative, in 1, 2 or 4 bytes each as the largest one needs."""
+    return v.astype(next(t for t in ("<u1", "<u2", "<u4") if v.max(initial=0) <= np.iinfo(t).max)).tobytes()
+
+
+def _widened(b: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(b, f"<u{len(b) // n}" if n else "<u1").astype(np.int64)
+
+
 def blocks(docs: DataFrame) -> DataFrame:
     """Documents (text, lang, source_id) in dictionary form, about BLOCK_BYTES of text in a row."""
 
@@ -74,8 +83,8 @@ def blocks(docs: DataFrame) -> DataFrame:
                     [pa.array([names.dictionary.to_pylist()], pa.list_(pa.string()))]
                     + [pa.array([v.astype("<u4").tobytes()], pa.binary()) for v in numbers]
                     + [pa.array([v], pa.binary()) for v in (ids[group % len(ids)].astype("<i8").tobytes(), b"".join(w + b"\0" for w in words))]
-                    + [pa.array([v.astype("<u4").tobytes()], pa.binary()) for v in (pairs // max(1, len(order)), pairs % max(1, len(order)), n)],
-                    names=["langs", "doc_lang", "doc_group", "group_lang", "group_source", "terms", "pair_doc", "pair_term", "pair_count"],
+                    + [pa.array([_narrow(v)], pa.binary()) for v in (np.bincount(pairs // max(1, len(order)), minlength=j - i), pairs % max(1, len(order)), n)],
+                    names=["langs", "doc_lang", "doc_group", "group_lang", "group_source", "terms", "doc_terms", "pair_term", "pair_count"],
                 )
 
     return docs.select("text", "lang", "source_id").mapInArrow(encode, BLOCK)
@@ -88,7 +97,9 @@ class Block:
         numbers = lambda name: np.frombuffer(b.column(name)[row].as_py(), "<u4").astype(np.int64)
         self.langs, self.group_source = b.column("langs")[row].as_py(), np.frombuffer(b.column("group_source")[row].as_py(), "<i8")
         self.doc_lang, self.doc_group, self.group_lang = numbers("doc_lang"), numbers("doc_group"), numbers("group_lang")
-        self.doc, self.term, self.count = numbers("pair_doc"), numbers("pair_term"), numbers("pair_count")
+        terms = _widened(b.column("doc_terms")[row].as_py(), len(self.doc_lang))
+        self.doc = np.repeat(np.arange(len(terms)), terms)
+        self.term, self.count = (_widened(b.column(c)[row].as_py(), len(self.doc)) for c in ("pair_term", "pair_count"))
         self.x = np.frombuffer(b.column("terms")[row].as_py(), np.uint8)
         ends = np.flatnonzero(self.x == 0) + 1
         self.off = np.concatenate(([0], ends))
@@ -159,7 +170,7 @@ def prefix_filter(prefixes: DataFrame) -> Broadcast:
     return membership(prefixes.select("lang", "prefix").mapInArrow(hashed, "h long"), hashed=False)
 
 
-def _merged(parts: Iterator[pa.RecordBatch], limit: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+def _merged(parts: Iterator[pa.RecordBatch], limit: int = 1 << 17) -> Iterator[pa.RecordBatch]:
     """Counts of (lang, prefix) summed within a task, up to `limit` rows at a time."""
     held, rows = [], 0
     for last in (False, True):
