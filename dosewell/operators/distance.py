@@ -20,25 +20,25 @@ AT = ("i", "j", "k")
 ROOM = 1 + 1e-9
 
 
-def _lines(batches: Iterator[pa.RecordBatch], axis: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Whole lines from sorted batches, each time with the rows that begin one; rows differ in a line by `axis` and d2 only."""
+def whole_lines(batches: Iterator[pa.RecordBatch], axis: str, value: str = "d2") -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Whole lines from sorted batches, each time with the rows that begin one; rows differ in a line by `axis` and `value` only."""
     held = None
     for b in batches:
         t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])]).combine_chunks()
-        begins = _begins(t, axis)
+        begins = _begins(t, axis, value)
         last = int(begins[-1]) if len(begins) else 0
         if last:
             yield t.slice(0, last), begins[:-1]
         held = t.slice(last)
     if held is not None and held.num_rows:
-        yield held, _begins(held, axis)
+        yield held, _begins(held, axis, value)
 
 
-def _begins(t: pa.Table, axis: str) -> np.ndarray:
+def _begins(t: pa.Table, axis: str, value: str) -> np.ndarray:
     new = np.zeros(t.num_rows, bool)
     new[:1] = True
     for name in t.column_names:
-        if name not in (axis, "d2"):
+        if name not in (axis, value):
             c = t.column(name).combine_chunks()
             v = (c.dictionary_encode().indices if not pa.types.is_integer(c.type) else c).fill_null(-(1 << 31)).to_numpy(zero_copy_only=False)
             new[1:] |= v[1:] != v[:-1]
@@ -56,7 +56,7 @@ def _spread(rows: DataFrame, on: list[str], axis: str, reach: int, step: float,
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in on) + (", " if on else "") + "i int, j int, k int, d2 double"
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, begins in _lines(batches, axis):
+        for t, begins in whole_lines(batches, axis):
             pos, d2 = t.column(axis).to_numpy().astype(np.int64), t.column("d2").to_numpy()
             new = np.zeros(len(pos), bool)
             new[begins] = True

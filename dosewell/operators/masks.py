@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -277,16 +276,23 @@ def com_distance(masks: DataFrame, spacing=(1.0, 1.0, 1.0)) -> DataFrame:
 
 
 def _patterns(masks: DataFrame, raters: list[str]) -> DataFrame:
-    """How many voxels of the union's bounding box have each pattern of ratings (bit r for rater r)."""
+    """How many voxels of the union's bounding box have each pattern of ratings: a string of 0 and 1, a place for each rater.
+
+    There may be any number of raters; a pattern that no voxel has is no row.
+    """
     rated = masks.filter(F.col("structure").isin(raters))
-    number = F.coalesce(*[F.when(F.col("structure") == r, F.lit(1 << n)) for n, r in enumerate(raters)])
-    voxels = rated.groupBy(*AT).agg(F.bit_or(number).cast("long").alias("pattern"))
+    own = [F.when(F.max((F.col("structure") == r).cast("int")) == 1, F.lit("1")).otherwise(F.lit("0")) for r in raters]
+    voxels = rated.groupBy(*AT).agg(F.concat(*own).alias("pattern"))
     counts = voxels.groupBy("pattern").agg(F.count("*").alias("n"))
-    size = rated.agg(*[(F.max(c) - F.min(c) + 1).alias(c) for c in AT])
-    rest = size.crossJoin(voxels.agg(F.count("*").alias("m"))).select(F.lit(0).cast("long").alias("pattern"), (F.col("i") * F.col("j") * F.col("k") - F.col("m")).cast("long").alias("n"))
+    size = rated.agg(*[(F.max(c) - F.min(c) + 1).cast("long").alias(c) for c in AT])
+    rest = size.crossJoin(voxels.agg(F.count("*").alias("m"))).select(F.lit("0" * len(raters)).alias("pattern"), (F.col("i") * F.col("j") * F.col("k") - F.col("m")).cast("long").alias("n"))
     return counts.unionByName(rest)
 
 
+def _rating(r: int) -> F.Column:
+    return F.substring("pattern", r + 1, 1).cast("double")
+
+
 def consensus(masks: DataFrame, raters: list[str], voxel_volume: float, levels: int = 20) -> DataFrame:
     """Volume with at least each level of agreement: level, volume, corrected_volume.
 
@@ -295,7 +301,7 @@ def consensus(masks: DataFrame, raters: list[str], voxel_volume: float, levels:
     """
     counts = _patterns(masks, raters)
     x = counts.select("pattern", "n")
-    rating = [F.expr(f"cast((pattern >> {r}) & 1 as double)") for r in range(len(raters))]
+    rating = [_rating(r) for r in range(len(raters))]
     shares = x.agg(*[(F.sum(rating[r] * F.col("n")) / F.sum("n")).alias(f"p{r}") for r in range(len(raters))])
     x = x.crossJoin(F.broadcast(shares))
     chance = [F.sqrt(F.col(f"p{r}") * (1 - F.col(f"p{r}"))) for r in range(len(raters))]
@@ -309,27 +315,38 @@ def consensus(masks: DataFrame, raters: list[str], voxel_volume: float, levels:
 def staple(masks: DataFrame, raters: list[str], iterations: int = 100, p0: float = 0.9999, q0: float = 0.9999, tolerance: float = 1e-2) -> tuple[DataFrame, DataFrame]:
     """Expectation maximisation of raters' sensitivity and specificity: (raters, probability of each pattern).
 
-    Voxels are counted by their pattern of ratings once, so that each pass looks at 2^raters rows.
+    Voxels are counted by their pattern of ratings once. A pass is an aggregate over the patterns, of which there are at most as
+    many as voxels; the driver holds two numbers for each rater. Passes end when the sum of probabilities changes by less than `tolerance`.
+    A pattern's likelihoods are sums of logarithms, so many raters don't make them vanish. Without any voxel both tables are empty.
     """
-    counts = _patterns(masks, raters).toPandas()  # at most 2^raters rows
-    bits = np.array([[(int(c) >> r) & 1 for r in range(len(raters))] for c in counts["pattern"]], float).reshape(len(counts), len(raters))
-    n = counts["n"].to_numpy(float)
-    p, q = np.full(len(raters), p0), np.full(len(raters), q0)
-    prior = float((bits.mean(axis=1) * n).sum() / n.sum())
-    before = None
+    counts = cut(_patterns(masks, raters).filter("n is not null"))
+    total = counts.agg(F.sum("n").alias("n"), *[F.sum(_rating(r) * F.col("n")).alias(f"x{r}") for r in range(len(raters))]).first()
+    spark = masks.sparkSession
+    if not total["n"]:
+        return spark.createDataFrame([], "rater string, sensitivity double, specificity double"), counts.withColumn("probability", F.lit(0.0)).limit(0)
+    prior = sum(total[f"x{r}"] for r in range(len(raters))) / len(raters) / total["n"]
+    p, q, before = [p0] * len(raters), [q0] * len(raters), None
     for _ in range(iterations):
-        a = prior * np.prod(np.where(bits == 1, p, 1 - p), axis=1)
-        b = (1 - prior) * np.prod(np.where(bits == 1, 1 - q, q), axis=1)
-        w = a / np.maximum(a + b, 1e-300)
-        total = float((w * n).sum())
-        p = (w * n) @ bits / max(total, 1e-300)
-        q = ((1 - w) * n) @ (1 - bits) / max(float(((1 - w) * n).sum()), 1e-300)
-        if before is not None and abs(total - before) < tolerance:
+        weighed = counts.withColumn("probability", _truth(prior, p, q))
+        w, n = F.col("probability"), F.col("n")
+        true = [F.sum(w * n * _rating(r)).alias(f"t{r}") for r in range(len(raters))]
+        false = [F.sum((1 - w) * n * (1 - _rating(r))).alias(f"f{r}") for r in range(len(raters))]
+        s = weighed.agg(F.sum(w * n).alias("in"), F.sum((1 - w) * n).alias("out"), *true, *false).first()
+        p = [s[f"t{r}"] / max(s["in"], 1e-300) for r in range(len(raters))]
+        q = [s[f"f{r}"] / max(s["out"], 1e-300) for r in range(len(raters))]
+        if before is not None and abs(s["in"] - before) < tolerance:
             break
-        before = total
-    spark = masks.sparkSession
-    found = spark.createDataFrame(pd.DataFrame({"rater": raters, "sensitivity": p, "specificity": q}))
-    return found, spark.createDataFrame(pd.DataFrame({"pattern": counts["pattern"], "n": counts["n"], "probability": w}))
+        before = s["in"]
+    return spark.createDataFrame(list(zip(raters, map(float, p), map(float, q))), "rater string, sensitivity double, specificity double"), weighed
+
+
+def _truth(prior: float, p: list[float], q: list[float]) -> F.Column:
+    """The probability that a voxel with the pattern is in the true structure."""
+    log = lambda x: float(np.log(max(x, 1e-300)))
+    odds = F.lit(log(1 - prior) - log(prior))
+    for r, (a, b) in enumerate(zip(p, q)):
+        odds = odds + F.when(_rating(r) == 1, log(1 - b) - log(a)).otherwise(log(b) - log(1 - a))
+    return 1 / (1 + F.exp(F.least(odds, F.lit(700.0))))
 
 
 def kappa(masks: DataFrame, raters: list[str]) -> DataFrame:
@@ -338,7 +355,7 @@ def kappa(masks: DataFrame, raters: list[str]) -> DataFrame:
     With two categories the kappa of each is the overall one.
     """
     r = len(raters)
-    ones = sum(F.expr(f"cast((pattern >> {k}) & 1 as double)") for k in range(r))
+    ones = sum(_rating(k) for k in range(r))
     x = _patterns(masks, raters).select("n", ones.alias("x"))
     agree = (F.col("x") * (F.col("x") - 1) + (r - F.col("x")) * (r - F.col("x") - 1)) / (r * (r - 1))
     s = x.agg(F.sum("n").alias("n"), F.sum(F.col("x") * F.col("n")).alias("ones"), F.sum(agree * F.col("n")).alias("agree"))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dosewell.operators import coeffs
 from dosewell.operators.fluence import fluence_gradients
-from dosewell.sources.lineage import cut
+from dosewell.operators.stored import Coefficients, in_place
+from dosewell.sources.lineage import cut, discard
 
 #: Columns of an optimisation row besides structure and voxel; null means not applicable.
 LIMITS = ("min_target", "min_weight", "max_dose", "max_weight", "oar_weight")
@@ -23,16 +23,26 @@ def _parts():
 
 def dose_objective(dose: DataFrame, rows: DataFrame) -> DataFrame:
     """Half the weighted squares of under-dose, over-dose and organ dose, for each structure and in total (structure null)."""
+    return dose_cost(rows.join(dose, "voxel", "left"))
+
+
+def dose_cost(dosed: DataFrame) -> DataFrame:
+    """`dose_objective` of rows that have their dose."""
     d, w, under, over = _parts()
     cost = 0.5 * (w("min_weight") * under * under + w("max_weight") * over * over + w("oar_weight") * d * d)
-    return rows.join(dose, "voxel", "left").withColumn("_cost", cost).rollup("structure").agg(F.sum("_cost").alias("cost"))
+    return dosed.withColumn("_cost", cost).rollup("structure").agg(F.sum("_cost").alias("cost"))
 
 
 def dose_residual(dose: DataFrame, rows: DataFrame) -> DataFrame:
     """The weighted residual of every voxel, which the transposed matrix takes."""
+    return voxel_residual(rows.join(dose, "voxel", "left"))
+
+
+def voxel_residual(dosed: DataFrame) -> DataFrame:
+    """`dose_residual` of rows that have their dose."""
     d, w, under, over = _parts()
     residual = w("min_weight") * under + w("max_weight") * over + w("oar_weight") * d
-    return rows.join(dose, "voxel", "left").groupBy("voxel").agg(F.sum(residual).alias("residual"))
+    return dosed.groupBy("voxel").agg(F.sum(residual).alias("residual"))
 
 
 def smoothness(fluence: DataFrame, gamma: float) -> DataFrame:
@@ -52,21 +62,24 @@ def group_shrink(weights: DataFrame, tau: float) -> DataFrame:
     return x.withColumn("weight", F.col("weight") * scale).drop("_norm", "_alpha")
 
 
-def optimise_fluence(coo: DataFrame, rows: DataFrame, weights: DataFrame, iterations: int, step: float, tau: float) -> tuple[DataFrame, list[float]]:
+def optimise_fluence(coo: DataFrame | Coefficients, rows: DataFrame, weights: DataFrame, iterations: int, step: float, tau: float) -> tuple[DataFrame, list[float]]:
     """Projected gradient with `group_shrink` in each pass; returns the weights and the cost before each pass.
 
-    A pass is two joins with the coefficients. Weights are a row for each beamlet; their lineage is cut
-    by tables in the cluster's shared folder every few passes.
+    Coefficients are dealt out once by beamlet and once by voxel and stay there. A pass computes the dose once and writes
+    it beside the limits of its voxels; cost and residual are read from that table. Doses and weights, a row a voxel or beamlet, are cut from
+    their lineage in every pass, so a lost executor costs no pass, and the tables of the pass before are deleted.
     """
-    coo = coo.persist()
-    costs = []
-    for k in range(iterations):
-        dose = coeffs.apply_weights(coo, weights)
-        costs.append(dose_objective(dose, rows).filter("structure is null").agg(F.max("cost")).first()[0])
-        gradient = coeffs.apply_transpose(coo, dose_residual(dose, rows))
+    own = isinstance(coo, DataFrame)
+    stored = in_place(coo) if own else coo
+    costs, before = [], []
+    for _ in range(iterations):
+        dosed = cut(rows.join(stored.dose(weights), "voxel", "left"))
+        costs.append(dose_cost(dosed).filter("structure is null").agg(F.max("cost")).first()[0])
+        gradient = stored.gradient(voxel_residual(dosed))
         moved = weights.join(gradient, ["beam", "beamlet"], "left").select("beam", "beamlet", F.greatest(F.col("weight") - step * F.coalesce("gradient", F.lit(0.0)), F.lit(0.0)).alias("weight"))
-        weights = group_shrink(moved, tau)
-        if k % 3 == 2:
-            weights = cut(weights)
-    coo.unpersist()
-    return cut(weights), costs
+        weights = cut(group_shrink(moved, tau))
+        discard(dosed, *before)
+        before = [weights]
+    if own:
+        stored.unpersist()
+    return weights, costs

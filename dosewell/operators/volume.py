@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from dosewell.operators.distance import whole_lines
 from dosewell.operators.dvh import dvh_differential
 
 AT = ["i", "j", "k"]
@@ -170,14 +174,53 @@ def count_to_energy(counts: DataFrame) -> DataFrame:
     return counts.crossJoin(counts.agg(F.sum(part).alias("_all"))).withColumn("share", part / F.col("_all")).drop("_all")
 
 
+def _line_sums(rows: DataFrame, axis: str, back: int, ahead: int) -> DataFrame:
+    """Sums of the values from `back` places behind to `ahead` before each place of an axis that sees any.
+
+    Places lie in stretches as long as a window; a window's sum is that of the end of one stretch and of the beginning of the
+    next, both running sums, so the work for a place doesn't grow with the window and no sum is made by subtracting.
+    """
+    width = back + ahead + 1
+    others = [c for c in AT if c != axis]
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, begins in whole_lines(batches, axis, "value"):
+            pos, value = t.column(axis).to_numpy().astype(np.int64), t.column("value").to_numpy()
+            new = np.zeros(len(pos), bool)
+            new[begins] = True
+            new[1:] |= np.diff(pos) >= width
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(pos)) - 1
+            size = pos[last] - pos[first] + width  # from the first place that sees the run to the last
+            start = np.cumsum(size + width) - size  # `width` empty places before each run
+            run = np.cumsum(new) - 1
+            room = -(-int(start[-1] + size[-1] + 2 * width) // width) * width
+            dense = np.zeros(room)
+            np.add.at(dense, start[run] + pos - pos[first][run], value)
+            parts = dense.reshape(-1, width)
+            upto, onward = parts.cumsum(axis=1).ravel(), parts[:, ::-1].cumsum(axis=1)[:, ::-1].ravel()
+            # a run's place p (from 0) is at first + p - ahead and sees the values at p - width + 1 to p of the run
+            place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            end = np.repeat(start, size) + place
+            begin = end - width + 1
+            out = np.where(begin % width == 0, upto[end], onward[begin] + upto[end])
+            line = t.select(others).take(pa.array(np.repeat(first, size)))
+            at = pa.array((place + np.repeat(pos[first], size) - ahead).astype(np.int32))
+            yield from pa.table([at if c == axis else line.column(c) for c in AT] + [pa.array(out)], names=[*AT, "value"]).combine_chunks().to_batches()
+
+    return rows.select(*AT, "value").repartition(*others).sortWithinPartitions(*others, axis).mapInArrow(summed, "i int, j int, k int, value double")
+
+
 def box_filter(volume: DataFrame, width: int) -> DataFrame:
-    """Sums over width x width places in the plane, absent ones as 0; an even window reaches one farther ahead."""
+    """Sums over width x width places in the plane, absent ones as 0; an even window reaches one farther ahead.
+
+    Lines along i, then along j, are dealt out whole and summed as streams, one row a place: no value is copied to the places that see it. Null values count 0.
+    """
     back, ahead = (width - 1) // 2, width // 2
-    sums = volume.select(*AT, "value")
-    for c in ("i", "j"):  # a value goes to all places of an axis that see it, present or not
-        to = F.explode(F.sequence(F.col(c) - ahead, F.col(c) + back)).alias("_to")
-        sums = sums.select(*[x for x in AT if x != c], to, "value").withColumnRenamed("_to", c).groupBy(*AT).agg(F.sum("value").alias("value"))
-    return volume.drop("value").join(sums, AT)
+    sums = volume.select(*[F.col(c).cast("int").alias(c) for c in AT], F.coalesce(F.col("value").cast("double"), F.lit(0.0)).alias("value")).dropna(subset=list(AT))
+    for c in ("i", "j"):
+        sums = _line_sums(sums, c, back, ahead)
+    return volume.drop("value").join(sums, list(AT))
 
 
 def depth_profiles(volume: DataFrame, ci: int, cj: int) -> DataFrame:

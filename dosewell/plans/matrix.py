@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dosewell.operators import coeffs, fluence, objective
+from dosewell.operators import coeffs, fluence, objective, stored
 from dosewell.plans import inputs as data
 from dosewell.plans.inputs import COO, FLUENCE, PART_MASKS, WEIGHTS, rounded, with_sql
 from dosewell.sources import tables
@@ -112,6 +112,11 @@ def m8(spark, sf_dir):
     return rounded(coeffs.apply_weights(data.coo(spark, sf_dir), data.weights(spark, sf_dir)), 7)
 
 
+@query("m8_apply_weights_packed", with_sql(COO, WEIGHTS, f"d AS ({DOSE.format('coo')}) SELECT voxel, round(dose, 7) AS dose FROM d"))
+def m8b(spark, sf_dir):
+    return rounded(stored.packed_dose(coeffs.pack_coeffs(data.coo(spark, sf_dir)), data.weights(spark, sf_dir)), 7)
+
+
 RESIDUAL = "residual AS (SELECT p_partkey AS voxel, p_retailprice / 1000 AS residual FROM part WHERE p_size > 10)"
 
 

@@ -209,9 +209,20 @@ def k17(spark, sf_dir):
     return rounded(masks.consensus(data.event_masks(spark, sf_dir), RATERS, 0.25), 6)
 
 
-@query("k18_staple")
+def _em_sql(passes: int) -> list[str]:
+    """Passes over patterns in products of probabilities, one common table expression each."""
+    out = ["pr AS (SELECT sum((a + b + c) * n) / 3 / sum(n) AS g FROM pat)", "t0 AS (SELECT 0.9999::DOUBLE AS p1, 0.9999::DOUBLE AS p2, 0.9999::DOUBLE AS p3, 0.9999::DOUBLE AS q1, 0.9999::DOUBLE AS q2, 0.9999::DOUBLE AS q3)"]
+    like = lambda p, q: (" * ".join(f"CASE WHEN {x} = 1 THEN {p}{k} ELSE 1 - {p}{k} END" for k, x in enumerate("abc", 1)), " * ".join(f"CASE WHEN {x} = 1 THEN 1 - {q}{k} ELSE {q}{k} END" for k, x in enumerate("abc", 1)))
+    yes, no = like("p", "q")
+    for k in range(passes):
+        out.append(f"w{k} AS (SELECT a, b, c, n, g * {yes} / (g * {yes} + (1 - g) * {no}) AS w FROM pat, pr, t{k})")
+        out.append(f"t{k + 1} AS (SELECT " + ", ".join(f"sum(w * n * {x}) / sum(w * n) AS p{j}" for j, x in enumerate("abc", 1)) + ", " + ", ".join(f"sum((1 - w) * n * (1 - {x})) / sum((1 - w) * n) AS q{j}" for j, x in enumerate("abc", 1)) + f" FROM w{k})")
+    return out
+
+
+@query("k18_staple", with_sql(EVENT_MASKS, *RATINGS, *_em_sql(6), " UNION ALL ".join(f"SELECT '{r}' AS rater, round(p{k}, 6) AS sensitivity, round(q{k}, 6) AS specificity FROM t6" for k, r in enumerate(RATERS, 1))))
 def k18(spark, sf_dir):
-    return rounded(masks.staple(data.event_masks(spark, sf_dir), RATERS)[0], 6)
+    return rounded(masks.staple(data.event_masks(spark, sf_dir), RATERS, iterations=6, tolerance=0.0)[0], 6)
 
 
 @query("k19_kappa", with_sql(EVENT_MASKS, *RATINGS, "q AS (SELECT sum(n) AS n, sum((a + b + c) * n) / sum(n) / 3 AS p, sum(((a + b + c) * (a + b + c - 1) + (3 - a - b - c) * (2 - a - b - c)) / 6 * n) / sum(n) AS agree FROM pat) SELECT round((agree - (p * p + (1 - p) * (1 - p))) / (1 - (p * p + (1 - p) * (1 - p))), 6) AS kappa FROM q"))

@@ -194,3 +194,27 @@ def test_background_threshold_against_numpy(spark, limit, low):
     assert math.isclose(got["threshold"], levels[t] / x.max(), rel_tol=1e-9)
     assert math.isclose(got["volume"], volume[t:].sum())
     assert tuple(texture.background_threshold(spark.createDataFrame([(0, 0, 0, 2.0)] * 3, "i int, j int, k int, value double"), 1.0, 1.0).first()) == (None, None)
+
+
+def test_seventy_raters(spark):
+    """More raters than bits of a long, against the same steps over voxels in NumPy."""
+    rng = np.random.default_rng(30)
+    truth = rng.random((5, 5, 5)) < 0.5
+    names = [f"r{k}" for k in range(70)]
+    seen = [truth ^ (rng.random(truth.shape) < 0.02 + 0.4 * k / 70) for k in range(70)]
+    seen[0][0, 0, 0] = seen[0][-1, -1, -1] = True
+    rows = [(n, *map(int, at)) for n, m in zip(names, seen) for at in np.argwhere(m)]
+    m = spark.createDataFrame(rows, ROWS)
+    got, patterns = masks.staple(m, names, iterations=4, tolerance=0.0)
+    d = np.stack([s.ravel() for s in seen]).astype(float)
+    p, q, prior = np.full(70, 0.9999), np.full(70, 0.9999), d.mean()
+    for _ in range(4):
+        la = np.log(prior) + np.log(np.where(d == 1, p[:, None], np.maximum(1 - p[:, None], 1e-300))).sum(0)
+        lb = np.log(1 - prior) + np.log(np.where(d == 1, np.maximum(1 - q[:, None], 1e-300), q[:, None])).sum(0)
+        w = 1 / (1 + np.exp(np.minimum(lb - la, 700)))
+        p, q = (d @ w) / w.sum(), ((1 - d) @ (1 - w)) / (1 - w).sum()
+    for n, r in zip(range(70), sorted(got.collect(), key=lambda r: int(r["rater"][1:]))):
+        assert math.isclose(r["sensitivity"], p[n], rel_tol=1e-6, abs_tol=1e-9) and math.isclose(r["specificity"], q[n], rel_tol=1e-6, abs_tol=1e-9)
+    assert patterns.agg(F.sum("n")).first()[0] == 125
+    assert -1 < masks.kappa(m, names).first()["kappa"] < 1
+    assert masks.staple(m.limit(0), names)[0].count() == 0
