@@ -40,7 +40,11 @@ def dvh_differential(doses: DataFrame, width: float) -> DataFrame:
     """
     ratio = F.col("dose") / width
     # both ways to round are counted at once, as the structure's least dose says only later which one holds
-    both = doses.groupBy(*KEYS, F.ceil(ratio + EPS).cast("long").alias("_up"), F.ceil(ratio).cast("long").alias("_plain")).agg(F.sum("volume").alias("volume"), F.min("dose").alias("_min"))
+    return histogram_of(doses.groupBy(*KEYS, F.ceil(ratio + EPS).cast("long").alias("_up"), F.ceil(ratio).cast("long").alias("_plain")).agg(F.sum("volume").alias("volume"), F.min("dose").alias("_min")), width)
+
+
+def histogram_of(both: DataFrame, width: float) -> DataFrame:
+    """`dvh_differential` from counts by both ways to round: keys, _up, _plain, volume, _min (the least dose)."""
     low = F.min("_min").over(_group())
     counts = both.withColumn("bin", F.when(low >= 0, F.col("_up")).otherwise(F.col("_plain"))).groupBy(*KEYS, "bin").agg(F.sum("volume").alias("volume"))
     first = counts.groupBy(*KEYS).agg(F.least(F.min("bin"), F.lit(1)).alias("bin")).withColumn("volume", F.lit(0.0))

@@ -53,24 +53,30 @@ def structure_volume(masks: DataFrame, voxel_volume: float) -> DataFrame:
     return masks.select("structure", *AT).distinct().groupBy("structure").agg(F.count("*").alias("voxels"), (F.count("*") * voxel_volume).alias("volume"))
 
 
-def union_intersection(masks: DataFrame, names: list[str], voxel_volume: float) -> DataFrame:
-    """One row: volumes of the union and the intersection of the named structures, and their ratio."""
-    n = masks.filter(F.col("structure").isin(names)).groupBy(*AT).agg(F.count_distinct("structure").alias("n"))
-    sums = n.agg((F.count("*") * voxel_volume).alias("union_volume"), (F.coalesce(F.sum((F.col("n") == len(names)).cast("int")), F.lit(0)) * voxel_volume).alias("intersection_volume"))
+def union_intersection(masks: DataFrame, names: list[str], voxel_volume: float, on: tuple[str, ...] = ()) -> DataFrame:
+    """One row (for each value of the `on` columns): volumes of the union and the intersection of the named structures, and their ratio."""
+    n = masks.filter(F.col("structure").isin(names)).groupBy(*on, *AT).agg(F.count_distinct("structure").alias("n"))
+    sums = n.groupBy(*on).agg((F.count("*") * voxel_volume).alias("union_volume"), (F.coalesce(F.sum((F.col("n") == len(names)).cast("int")), F.lit(0)) * voxel_volume).alias("intersection_volume"))
     return sums.withColumn("ratio", F.when(F.col("union_volume") > 0, F.col("intersection_volume") / F.col("union_volume")))
 
 
-def dice(masks: DataFrame) -> DataFrame:
-    """2 x intersection / (a + b) of all pairs of structures a < b, 0 for pairs that don't meet.
+def dice(masks: DataFrame, on: tuple[str, ...] = ()) -> DataFrame:
+    """2 x intersection / (a + b) of all pairs of structures a < b, 0 for pairs that don't meet; pairs have the same `on` columns.
 
     Pairs are made from the short list of structures; voxels meet by an equi-join that is counted at once.
     """
-    x = masks.select("structure", *AT).distinct()
-    sizes = x.groupBy("structure").agg(F.count("*").alias("n"))
-    y = x.select(F.col("structure").alias("b"), *AT)
-    meet = x.select(F.col("structure").alias("a"), *AT).join(y, list(AT)).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("m"))
-    p, q = sizes.select(F.col("structure").alias("a"), F.col("n").alias("na")), sizes.select(F.col("structure").alias("b"), F.col("n").alias("nb"))
-    return p.join(q, F.col("a") < F.col("b")).join(meet, ["a", "b"], "left").select("a", "b", (2.0 * F.coalesce("m", F.lit(0)) / (F.col("na") + F.col("nb"))).alias("dice"))
+    x = masks.select(*on, "structure", *AT).distinct()
+    sizes = x.groupBy(*on, "structure").agg(F.count("*").alias("n"))
+    y = x.select(*on, F.col("structure").alias("b"), *AT)
+    meet = x.select(*on, F.col("structure").alias("a"), *AT).join(y, [*on, *AT]).filter("a < b").groupBy(*on, "a", "b").agg(F.count("*").alias("m"))
+    p, q = sizes.select(*on, F.col("structure").alias("a"), F.col("n").alias("na")), sizes.select(*on, F.col("structure").alias("b"), F.col("n").alias("nb"))
+    pairs = _paired(p, q, on)
+    return pairs.join(meet, [*on, "a", "b"], "left").select(*on, "a", "b", (2.0 * F.coalesce("m", F.lit(0)) / (F.col("na") + F.col("nb"))).alias("dice"))
+
+
+def _paired(p: DataFrame, q: DataFrame, on: tuple[str, ...]) -> DataFrame:
+    """Pairs a < b with the same `on` columns."""
+    return p.join(q, list(on)).filter("a < b") if on else p.join(q, F.col("a") < F.col("b"))
 
 
 def structure_stats(masks: DataFrame, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
@@ -202,12 +208,20 @@ def _cells(points: DataFrame, size: float, spacing) -> DataFrame:
     return points.withColumns({f"_c{c}": F.floor(F.col(c) * s / size).cast("long") for c, s in zip(AT, spacing, strict=True)})
 
 
-def min_surface_distance(masks: DataFrame, a: str, b: str, spacing=(1.0, 1.0, 1.0)) -> DataFrame:
-    """One row: the least distance between two surfaces, 0 when below the larger in-plane spacing."""
-    surface = surface_voxels(masks.filter(F.col("structure").isin(a, b)))
-    p, q = (surface.filter(F.col("structure") == n) for n in (a, b))
+def min_surface_distance(masks: DataFrame, a: str, b: str, spacing=(1.0, 1.0, 1.0), on: tuple[str, ...] = ()) -> DataFrame:
+    """One row (for each value of the `on` columns that has both): the least distance between two surfaces, 0 when below the larger in-plane spacing."""
+    p, q = (_surface_of(masks.filter(F.col("structure") == n), on) for n in (a, b))
     small = max(spacing[0], spacing[1])
-    return least_distance(p, q, spacing).select(F.when(F.col("distance") < small, 0.0).otherwise(F.col("distance")).alias("distance"))
+    return least_distance(p, q, spacing, on).select(*on, F.when(F.col("distance") < small, 0.0).otherwise(F.col("distance")).alias("distance"))
+
+
+def _surface_of(masks: DataFrame, on: tuple[str, ...]) -> DataFrame:
+    """Surface voxels of structures that are told apart by `on` columns, too."""
+    if not on:
+        return surface_voxels(masks)
+    whole = F.struct(*on, "structure")
+    x = surface_voxels(masks.select(whole.alias("structure"), *AT))
+    return x.select(*[F.col(f"structure.{c}").alias(c) for c in on], F.col("structure.structure").alias("structure"), *AT, "faces")
 
 
 def nearest_distance(points: DataFrame, targets: DataFrame, spacing=(1.0, 1.0, 1.0), on: tuple[str, ...] = (), cell: float = 4.0) -> DataFrame:
@@ -248,68 +262,68 @@ def nearest_distance(points: DataFrame, targets: DataFrame, spacing=(1.0, 1.0, 1
         size *= 2
 
 
-def _both_ways(masks: DataFrame, a: str, b: str) -> tuple[DataFrame, DataFrame]:
+def _both_ways(masks: DataFrame, a: str, b: str, on: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
     """The surface voxels of two structures, and the same under the other one's name."""
-    surface = surface_voxels(masks.filter(F.col("structure").isin(a, b))).select("structure", *AT)
+    surface = _surface_of(masks.filter(F.col("structure").isin(a, b)), on).select(*on, "structure", *AT)
     return surface, surface.withColumn("structure", F.when(F.col("structure") == a, b).otherwise(a))
 
 
-def hausdorff(masks: DataFrame, a: str, b: str, spacing=(1.0, 1.0, 1.0)) -> DataFrame:
-    """One row: the larger of the two directed greatest nearest-surface distances."""
-    surface, other = _both_ways(masks, a, b)
-    return greatest_nearest(surface, other, spacing, ("structure",)).agg(F.max("distance").alias("hausdorff"))
+def hausdorff(masks: DataFrame, a: str, b: str, spacing=(1.0, 1.0, 1.0), on: tuple[str, ...] = ()) -> DataFrame:
+    """One row (for each value of the `on` columns that has both): the larger of the two directed greatest nearest-surface distances."""
+    surface, other = _both_ways(masks, a, b, on)
+    return greatest_nearest(surface, other, spacing, (*on, "structure")).groupBy(*on).agg(F.max("distance").alias("hausdorff"))
 
 
-def mean_surface_distance(masks: DataFrame, a: str, b: str, spacing=(1.0, 1.0, 1.0)) -> DataFrame:
-    """One row: the mean of the distances from all surface voxels of both to the nearest of the other."""
-    surface, other = _both_ways(masks, a, b)
-    return nearest_distance(surface, other, spacing, ("structure",)).agg(F.avg("distance").alias("mean_distance"))
+def mean_surface_distance(masks: DataFrame, a: str, b: str, spacing=(1.0, 1.0, 1.0), on: tuple[str, ...] = ()) -> DataFrame:
+    """One row (for each value of the `on` columns): the mean of the distances from all surface voxels of both to the nearest of the other."""
+    surface, other = _both_ways(masks, a, b, on)
+    return nearest_distance(surface, other, spacing, (*on, "structure")).groupBy(*on).agg(F.avg("distance").alias("mean_distance"))
 
 
-def com_distance(masks: DataFrame, spacing=(1.0, 1.0, 1.0)) -> DataFrame:
-    """Distance between the centres of mass of all pairs of structures a < b."""
-    com = masks.groupBy("structure").agg(*[(F.avg(c) * float(s)).alias(c) for c, s in zip(AT, spacing, strict=True)])
-    p = com.select(F.col("structure").alias("a"), *[F.col(c).alias(f"{c}a") for c in AT])
-    q = com.select(F.col("structure").alias("b"), *[F.col(c).alias(f"{c}b") for c in AT])
+def com_distance(masks: DataFrame, spacing=(1.0, 1.0, 1.0), on: tuple[str, ...] = ()) -> DataFrame:
+    """Distance between the centres of mass of all pairs of structures a < b that have the same `on` columns."""
+    com = masks.groupBy(*on, "structure").agg(*[(F.avg(c) * float(s)).alias(c) for c, s in zip(AT, spacing, strict=True)])
+    p = com.select(*on, F.col("structure").alias("a"), *[F.col(c).alias(f"{c}a") for c in AT])
+    q = com.select(*on, F.col("structure").alias("b"), *[F.col(c).alias(f"{c}b") for c in AT])
     square = sum((F.col(f"{c}a") - F.col(f"{c}b")) ** 2 for c in AT)
-    return p.join(q, F.col("a") < F.col("b")).select("a", "b", F.sqrt(square).alias("distance"))
+    return _paired(p, q, on).select(*on, "a", "b", F.sqrt(square).alias("distance"))
 
 
-def _patterns(masks: DataFrame, raters: list[str]) -> DataFrame:
+def _patterns(masks: DataFrame, raters: list[str], on: tuple[str, ...] = ()) -> DataFrame:
     """How many voxels of the union's bounding box have each pattern of ratings: a string of 0 and 1, a place for each rater.
 
-    There may be any number of raters; a pattern that no voxel has is no row.
+    There may be any number of raters; a pattern that no voxel has is no row. Boxes are those of each value of the `on` columns.
     """
     rated = masks.filter(F.col("structure").isin(raters))
     own = [F.when(F.max((F.col("structure") == r).cast("int")) == 1, F.lit("1")).otherwise(F.lit("0")) for r in raters]
-    voxels = rated.groupBy(*AT).agg(F.concat(*own).alias("pattern"))
-    counts = voxels.groupBy("pattern").agg(F.count("*").alias("n"))
-    size = rated.agg(*[(F.max(c) - F.min(c) + 1).cast("long").alias(c) for c in AT])
-    rest = size.crossJoin(voxels.agg(F.count("*").alias("m"))).select(F.lit("0" * len(raters)).alias("pattern"), (F.col("i") * F.col("j") * F.col("k") - F.col("m")).cast("long").alias("n"))
-    return counts.unionByName(rest)
+    voxels = rated.groupBy(*on, *AT).agg(F.concat(*own).alias("pattern"))
+    counts = voxels.groupBy(*on, "pattern").agg(F.count("*").alias("n"))
+    size = rated.groupBy(*on).agg(*[(F.max(c) - F.min(c) + 1).cast("long").alias(c) for c in AT])
+    some = voxels.groupBy(*on).agg(F.count("*").alias("m"))
+    both = size.join(some, list(on)) if on else size.crossJoin(some)
+    return counts.unionByName(both.select(*on, F.lit("0" * len(raters)).alias("pattern"), (F.col("i") * F.col("j") * F.col("k") - F.col("m")).cast("long").alias("n")))
 
 
 def _rating(r: int) -> F.Column:
     return F.substring("pattern", r + 1, 1).cast("double")
 
 
-def consensus(masks: DataFrame, raters: list[str], voxel_volume: float, levels: int = 20) -> DataFrame:
-    """Volume with at least each level of agreement: level, volume, corrected_volume.
+def consensus(masks: DataFrame, raters: list[str], voxel_volume: float, levels: int = 20, on: tuple[str, ...] = ()) -> DataFrame:
+    """Volume with at least each level of agreement: on..., level, volume, corrected_volume.
 
     Agreement is the mean rating of a voxel; corrected for chance it is the mean of (x - c) / (1 - c)
     with c = sqrt(p (1 - p)) of each rater's share p of the union's bounding box.
     """
-    counts = _patterns(masks, raters)
-    x = counts.select("pattern", "n")
+    x = _patterns(masks, raters, on).select(*on, "pattern", "n")
     rating = [_rating(r) for r in range(len(raters))]
-    shares = x.agg(*[(F.sum(rating[r] * F.col("n")) / F.sum("n")).alias(f"p{r}") for r in range(len(raters))])
-    x = x.crossJoin(F.broadcast(shares))
+    shares = x.groupBy(*on).agg(*[(F.sum(rating[r] * F.col("n")) / F.sum("n")).alias(f"p{r}") for r in range(len(raters))])
+    x = x.join(shares, list(on)) if on else x.crossJoin(F.broadcast(shares))
     chance = [F.sqrt(F.col(f"p{r}") * (1 - F.col(f"p{r}"))) for r in range(len(raters))]
-    x = x.select("n", (sum(rating) / len(raters)).alias("agree"), (sum((v - c) / (1 - c) for v, c in zip(rating, chance, strict=True)) / len(raters)).alias("corrected"))
+    x = x.select(*on, "n", (sum(rating) / len(raters)).alias("agree"), (sum((v - c) / (1 - c) for v, c in zip(rating, chance, strict=True)) / len(raters)).alias("corrected"))
     edges = [0.001 + (1 - 0.001) * t / (levels - 1) for t in range(levels)]
     level = F.explode(F.array(*[F.lit(e) for e in edges])).alias("level")
     volume = lambda c: F.coalesce(F.sum(F.when(F.col(c) >= F.col("level") - 1e-9, F.col("n"))), F.lit(0)) * voxel_volume
-    return x.select("*", level).groupBy("level").agg(volume("agree").alias("volume"), volume("corrected").alias("corrected_volume"))
+    return x.select("*", level).groupBy(*on, "level").agg(volume("agree").alias("volume"), volume("corrected").alias("corrected_volume"))
 
 
 def staple(masks: DataFrame, raters: list[str], iterations: int = 100, p0: float = 0.9999, q0: float = 0.9999, tolerance: float = 1e-2) -> tuple[DataFrame, DataFrame]:
@@ -349,16 +363,15 @@ def _truth(prior: float, p: list[float], q: list[float]) -> F.Column:
     return 1 / (1 + F.exp(F.least(odds, F.lit(700.0))))
 
 
-def kappa(masks: DataFrame, raters: list[str]) -> DataFrame:
-    """One row: Fleiss' kappa of in/out ratings over the union's bounding box.
+def kappa(masks: DataFrame, raters: list[str], on: tuple[str, ...] = ()) -> DataFrame:
+    """One row (for each value of the `on` columns): Fleiss' kappa of in/out ratings over the union's bounding box.
 
     With two categories the kappa of each is the overall one.
     """
     r = len(raters)
-    ones = sum(_rating(k) for k in range(r))
-    x = _patterns(masks, raters).select("n", ones.alias("x"))
+    x = _patterns(masks, raters, on).select(*on, "n", sum(_rating(k) for k in range(r)).alias("x"))
     agree = (F.col("x") * (F.col("x") - 1) + (r - F.col("x")) * (r - F.col("x") - 1)) / (r * (r - 1))
-    s = x.agg(F.sum("n").alias("n"), F.sum(F.col("x") * F.col("n")).alias("ones"), F.sum(agree * F.col("n")).alias("agree"))
+    s = x.groupBy(*on).agg(F.sum("n").alias("n"), F.sum(F.col("x") * F.col("n")).alias("ones"), F.sum(agree * F.col("n")).alias("agree"))
     p = F.col("ones") / (F.col("n") * r)
     chance = p * p + (1 - p) * (1 - p)
-    return s.select(((F.col("agree") / F.col("n") - chance) / (1 - chance)).alias("kappa"))
+    return s.select(*on, ((F.col("agree") / F.col("n") - chance) / (1 - chance)).alias("kappa"))

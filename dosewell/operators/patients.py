@@ -4,7 +4,9 @@ Operators on structures, volumes and texture know rows by structure and i, j, k.
 space: every patient gets slices of its own, farther apart than any operator reaches, and structures
 are named with the patient's number. An operator then runs once over all patients, spread over tasks by
 slice as for one of them, and its result is taken apart again. This holds for whatever is done structure by
-structure or place by place; totals over a whole volume, and pairs of structures, are for one patient.
+structure or place by place. Operators on pairs of structures and totals over whole volumes take the patient's column
+themselves, as `on`: masks.dice, min_surface_distance, hausdorff, com_distance, union_intersection, consensus and kappa,
+volume.compare_volumes, l2_scale and value_centroid, texture.mutual_information and background_threshold.
 """
 
 from __future__ import annotations

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from dosewell.operators.graph import components
 from dosewell.operators.ranks import exact_quantiles
 from dosewell.sources.lineage import cut
 
@@ -182,8 +183,7 @@ def size_zones(quantised: DataFrame) -> DataFrame:
     """How many 26-connected zones of each level and size a structure has: structure, level, size, n.
 
     Zones are found inside blocks of slices by NumPy first; zones that touch across blocks are then joined
-    by passing the least label along the few links between blocks until nothing changes. After each
-    pass a label also takes what its zone's own label has come to, so that long zones need few passes.
+    by contraction of the graph of their links, in some log2(blocks) passes however long a zone is.
     """
     size = 8
 
@@ -212,30 +212,20 @@ def size_zones(quantised: DataFrame) -> DataFrame:
     moved = edge.select("structure", "level", F.col("label").alias("a"), F.col("i").alias("i0"), F.col("j").alias("j0"), (F.col("k") + 1).alias("k"), o)
     moved = moved.select("structure", "level", "a", (F.col("i0") + F.col("o.a")).alias("i"), (F.col("j0") + F.col("o.b")).alias("j"), "k")
     links = moved.join(x.filter(F.col("k") % size == 0).withColumnRenamed("label", "b"), ["structure", "level", *AT]).select("structure", "a", "b").distinct()
-    both = cut(links.union(links.select("structure", F.col("b"), F.col("a"))))
-    least = both.select("structure", F.col("a").alias("label")).distinct().withColumn("zone", F.col("label"))
-    while True:
-        told = both.join(least.withColumnRenamed("label", "b"), ["structure", "b"]).groupBy("structure", F.col("a").alias("label")).agg(F.min("zone").alias("_z"))
-        new = cut(least.join(told, ["structure", "label"]).select("structure", "label", F.least("zone", "_z").alias("zone"), (F.col("_z") < F.col("zone")).alias("_c")))
-        changed = not new.filter("_c").isEmpty()
-        least = new.drop("_c")
-        if not changed:
-            break
-        for _ in range(2):
-            further = least.select("structure", F.col("label").alias("zone"), F.col("zone").alias("_z"))
-            least = cut(least.join(further, ["structure", "zone"]).select("structure", "label", F.col("_z").alias("zone")))
+    least = components(links, ("structure",)).withColumnRenamed("node", "label")
     whole = zones.join(least, ["structure", "label"], "left").groupBy("structure", "level", F.coalesce("zone", "label").alias("z")).agg(F.sum("n").alias("size"))
     return whole.groupBy("structure", "level", "size").agg(F.count("*").alias("n"))
 
 
-def mutual_information(a: DataFrame, b: DataFrame, levels: int) -> DataFrame:
-    """One row: sum p log2(p / (px py)) of two volumes' levels, by equal widths between their ends, where both exist."""
-    x = a.withColumnRenamed("value", "a").join(b.withColumnRenamed("value", "b"), AT)
-    ends = x.agg(*[f(c).alias(f"{n}{c}") for c in ("a", "b") for f, n in ((F.min, "lo"), (F.max, "hi"))], F.count("*").alias("_n"))
+def mutual_information(a: DataFrame, b: DataFrame, levels: int, on: tuple[str, ...] = ()) -> DataFrame:
+    """One row (for each value of the `on` columns): sum p log2(p / (px py)) of two volumes' levels, by equal widths between their ends, where both exist."""
+    x = a.withColumnRenamed("value", "a").join(b.withColumnRenamed("value", "b"), [*on, *AT])
+    ends = x.groupBy(*on).agg(*[f(c).alias(f"{n}{c}") for c in ("a", "b") for f, n in ((F.min, "lo"), (F.max, "hi"))], F.count("*").alias("_n"))
     level = lambda c: F.least(F.floor((F.col(c) - F.col(f"lo{c}")) / (F.col(f"hi{c}") - F.col(f"lo{c}")) * levels), F.lit(levels - 1))
-    y = x.crossJoin(F.broadcast(ends)).groupBy(level("a").alias("l1"), level("b").alias("l2"), "_n").agg((F.count("*") / F.col("_n")).alias("p"))
-    px, py = F.sum("p").over(Window.partitionBy("l1")), F.sum("p").over(Window.partitionBy("l2"))
-    return y.withColumn("_x", px).withColumn("_y", py).agg(F.sum(F.col("p") * F.log2(F.col("p") / (F.col("_x") * F.col("_y")))).alias("mutual_information"))
+    y = x.join(ends, list(on)) if on else x.crossJoin(F.broadcast(ends))
+    y = y.groupBy(*on, level("a").alias("l1"), level("b").alias("l2"), "_n").agg((F.count("*") / F.col("_n")).alias("p"))
+    px, py = F.sum("p").over(Window.partitionBy(*on, "l1")), F.sum("p").over(Window.partitionBy(*on, "l2"))
+    return y.withColumn("_x", px).withColumn("_y", py).groupBy(*on).agg(F.sum(F.col("p") * F.log2(F.col("p") / (F.col("_x") * F.col("_y")))).alias("mutual_information"))
 
 
 def local_variation(scan: DataFrame, masks: DataFrame, structure: str, distance: float, one_in: int) -> DataFrame:
@@ -253,24 +243,25 @@ def local_variation(scan: DataFrame, masks: DataFrame, structure: str, distance:
     return s.join(x, AT).agg(F.var_samp(F.abs(F.col("value") - F.col("_v"))).alias("local_variation"))
 
 
-def background_threshold(pet: DataFrame, limit: float, voxel_volume: float) -> DataFrame:
-    """One row: the level at which value x volume of the histogram's highest bins passes `limit`, as a share of the largest value, and their volume.
+def background_threshold(pet: DataFrame, limit: float, voxel_volume: float, on: tuple[str, ...] = ()) -> DataFrame:
+    """One row (for each value of the `on` columns): the level at which value x volume of the histogram's highest bins passes `limit`, as a share of the largest value, and their volume.
 
     Zeros, nulls and values that are not finite are no voxels. Bins are 2 IQR n^(-1/3) wide and counted from 0 as in a dose histogram, the quartiles
     are those of values at (rank - 1/2) / n. Where the limit is never passed, the lowest bin's level and the whole volume are given; without spread (a width of
     0) both are null.
     """
-    x = pet.filter((F.col("value") != 0) & ~F.isnan("value") & (F.abs("value") < float("inf"))).select("value")
-    q = exact_quantiles(x, [], "value", {"_a": 0.25, "_b": 0.75}, middles=True).crossJoin(x.agg(F.count("*").alias("_n"), F.min("value").alias("_lo"), F.max("value").alias("_top")))
+    x = pet.filter((F.col("value") != 0) & ~F.isnan("value") & (F.abs("value") < float("inf"))).select(*on, "value")
+    join = lambda left, right: left.join(right, list(on)) if on else left.crossJoin(F.broadcast(right))  # a row for each value of `on`
+    q = join(exact_quantiles(x, list(on), "value", {"_a": 0.25, "_b": 0.75}, middles=True), x.groupBy(*on).agg(F.count("*").alias("_n"), F.min("value").alias("_lo"), F.max("value").alias("_top")))
     width = 2 * (F.col("_b") - F.col("_a")) * F.pow(F.col("_n").cast("double"), F.lit(-1 / 3))
     q = q.withColumn("_w", F.when(width > 0, width))
     place = F.col("value") / F.col("_w")
     first = lambda v: F.when(F.col("_lo") >= 0, F.ceil(F.lit(EPS) + v)).otherwise(F.ceil(v))
-    bins = x.crossJoin(F.broadcast(q)).groupBy(first(place).alias("bin"), "_lo", "_top", "_w").agg(F.count("*").alias("n"))
+    bins = join(x, q).groupBy(*on, first(place).alias("bin"), "_lo", "_top", "_w").agg(F.count("*").alias("n"))
     bins = bins.withColumn("level", (F.col("bin") - 0.5) * F.col("_w"))
-    w = Window.orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, 0)  # bins, not voxels
+    w = Window.partitionBy(*on).orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, 0)  # bins, not voxels
     y = bins.withColumn("_s", F.sum(F.col("level") * F.col("n") * voxel_volume).over(w)).withColumn("_v", F.sum(F.col("n") * voxel_volume).over(w))
     passed = F.col("_s") > limit
     low = F.when(F.max("_lo") >= 0, 0.5 * F.max("_w")).otherwise(F.min("level"))
-    found = y.agg(F.max(F.when(passed, F.col("level"))).alias("_level"), F.min(F.when(passed, F.col("_v"))).alias("_volume"), low.alias("_first"), F.max("_v").alias("_all"), F.max("_top").alias("_peak"), F.max("_w").alias("_width"))
-    return found.select((F.coalesce("_level", "_first") / F.col("_peak")).alias("threshold"), F.when(F.col("_width").isNotNull(), F.coalesce("_volume", "_all")).alias("volume"))
+    found = y.groupBy(*on).agg(F.max(F.when(passed, F.col("level"))).alias("_level"), F.min(F.when(passed, F.col("_v"))).alias("_volume"), low.alias("_first"), F.max("_v").alias("_all"), F.max("_top").alias("_peak"), F.max("_w").alias("_width"))
+    return found.select(*on, (F.coalesce("_level", "_first") / F.col("_peak")).alias("threshold"), F.when(F.col("_width").isNotNull(), F.coalesce("_volume", "_all")).alias("volume"))

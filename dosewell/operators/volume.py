@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dosewell.operators.distance import whole_lines
-from dosewell.operators.dvh import dvh_differential
+from dosewell.operators.dvh import EPS, histogram_of
 
 AT = ["i", "j", "k"]
 
@@ -30,8 +30,8 @@ def sum_doses(doses: DataFrame, factors: DataFrame) -> DataFrame:
     return x.groupBy(*AT).agg(F.sum((gray + F.col("offset")) * F.col("factor")).alias("value"))
 
 
-def _both(a: DataFrame, b: DataFrame, how: str = "full") -> DataFrame:
-    return a.withColumnRenamed("value", "a").join(b.withColumnRenamed("value", "b"), AT, how)
+def _both(a: DataFrame, b: DataFrame, how: str = "full", on: tuple[str, ...] = ()) -> DataFrame:
+    return a.withColumnRenamed("value", "a").join(b.withColumnRenamed("value", "b"), [*on, *AT], how)
 
 
 def _at_point(volume: DataFrame, point: tuple[int, int, int], name: str) -> DataFrame:
@@ -58,10 +58,10 @@ def dose_ratio(a: DataFrame, b: DataFrame) -> DataFrame:
     return _both(a, b, "inner").select(*AT, F.when(F.col("a") != 0, F.col("b") / F.col("a")).alias("value"))
 
 
-def compare_volumes(old: DataFrame, new: DataFrame) -> DataFrame:
-    """One row: sum of absolute differences, the same over the old sum, peaks and sums."""
+def compare_volumes(old: DataFrame, new: DataFrame, on: tuple[str, ...] = ()) -> DataFrame:
+    """One row (for each value of the `on` columns): sum of absolute differences, the same over the old sum, peaks and sums."""
     x, y = F.coalesce("a", F.lit(0.0)), F.coalesce("b", F.lit(0.0))
-    s = _both(old, new).agg(F.sum(F.abs(y - x)).alias("abs_difference"), F.sum(x).alias("old_sum"), F.sum(y).alias("new_sum"), F.max(x).alias("old_peak"), F.max(y).alias("new_peak"))
+    s = _both(old, new, on=on).groupBy(*on).agg(F.sum(F.abs(y - x)).alias("abs_difference"), F.sum(x).alias("old_sum"), F.sum(y).alias("new_sum"), F.max(x).alias("old_peak"), F.max(y).alias("new_peak"))
     return s.withColumn("relative_difference", F.col("abs_difference") / F.col("old_sum"))
 
 
@@ -236,17 +236,21 @@ def inverse_square(volume: DataFrame, sad: float, spacing: float, centre: float)
     return volume.withColumn("value", F.col("value") * (sad / r) ** 2)
 
 
-def l2_scale(a: DataFrame, b: DataFrame) -> DataFrame:
-    """b times the factor that brings it closest to a (sum ab / sum b^2), and the factor."""
-    factor = _both(a, b, "inner").agg((F.sum(F.col("a") * F.col("b")) / F.sum(F.col("b") * F.col("b"))).alias("factor"))
-    return b.crossJoin(F.broadcast(factor)).withColumn("value", F.col("value") * F.col("factor"))
+def l2_scale(a: DataFrame, b: DataFrame, on: tuple[str, ...] = ()) -> DataFrame:
+    """b times the factor that brings it closest to a (sum ab / sum b^2), and the factor; one factor for each value of the `on` columns."""
+    factor = _both(a, b, "inner", on).groupBy(*on).agg((F.sum(F.col("a") * F.col("b")) / F.sum(F.col("b") * F.col("b"))).alias("factor"))
+    scaled = b.join(factor, list(on)) if on else b.crossJoin(F.broadcast(factor))
+    return scaled.withColumn("value", F.col("value") * F.col("factor"))
 
 
-def value_centroid(volume: DataFrame) -> DataFrame:
-    """Value-weighted centre of each plane and (k null) of the whole volume."""
+def value_centroid(volume: DataFrame, on: tuple[str, ...] = ()) -> DataFrame:
+    """Value-weighted centre of each plane and (k null) of the whole volume, for each value of the `on` columns."""
     v = F.sum("value")
-    x = volume.withColumn("z", F.col("k")).rollup("k").agg(*[(F.sum(F.col(c) * F.col("value")) / v).alias(f"c{c}") for c in ("i", "j")], (F.sum(F.col("z") * F.col("value")) / v).alias("ck"), v.alias("total"))
-    return x
+    centres = [(F.sum(F.col(c) * F.col("value")) / v).alias(f"c{c}") for c in ("i", "j")] + [(F.sum(F.col("z") * F.col("value")) / v).alias("ck"), v.alias("total")]
+    planes = volume.withColumn("z", F.col("k"))
+    if not on:
+        return planes.rollup("k").agg(*centres)
+    return planes.groupBy(*on, "k").agg(*centres).unionByName(planes.groupBy(*on).agg(F.lit(None).cast("int").alias("k"), *centres))
 
 
 def z_index(centroid: DataFrame, masks: DataFrame, structure: str) -> DataFrame:
@@ -327,22 +331,62 @@ def energy_deposited(dose: DataFrame, density: DataFrame, masks: DataFrame, voxe
     return x.groupBy("structure").agg((F.sum(F.col("a") * F.col("b")) * voxel_volume).alias("energy"), F.sum((F.col("a") > 0).cast("int")).alias("dosed_voxels"))
 
 
+#: Places of a tile along each axis, and the most shifts (trials x fractions) of a robust histogram.
+TILE, SHIFTS = (64, 64, 16), 1 << 20
+
+
 def robust_dvh(volume: DataFrame, masks: DataFrame, shifts: DataFrame, width: float, voxel_volume: float) -> DataFrame:
     """Spread over trials of the DVH under position shifts: structure, bin, dose, mean_volume, std_volume.
 
     shifts: trial, fraction, sx, sy, sz, a row for each fraction. A voxel's dose in a trial is the mean
     of the trilinear dose at its shifted places, outside as 0; a bin that a trial lacks counts 0.
+    A shift has the same eight weights for all voxels, so tiles of dose with a margin as wide as the largest shift meet
+    the tile's masks once and do all trials there; they give counts of bins. Shifts are a plan's table of some thousand rows and
+    go to every task; more than SHIFTS are an error. Rows of the dose that repeat a place add.
     """
-    fractions = shifts.groupBy("trial").agg(F.count("*").alias("_f"))
-    points = masks.select("structure", *AT).join(F.broadcast(shifts), F.lit(True))  # shifts are trials x fractions, some thousands
-    points = points.select("structure", F.col("i").alias("vi"), F.col("j").alias("vj"), F.col("k").alias("vk"), "trial", (F.col("i") + F.col("sx")).alias("x"), (F.col("j") + F.col("sy")).alias("y"), (F.col("k") + F.col("sz")).alias("z"))
-    keys = ["structure", "trial", "vi", "vj", "vk"]
-    found = _weighted(points, volume, keys).groupBy(*keys).agg(F.sum(F.col("_w") * F.col("value")).alias("_d"))
-    every = masks.select("structure", F.col("i").alias("vi"), F.col("j").alias("vj"), F.col("k").alias("vk")).join(F.broadcast(fractions), F.lit(True))
-    dose = every.join(found, keys, "left").select(F.col("trial").cast("string").alias("plan"), "structure", (F.coalesce("_d", F.lit(0.0)) / F.col("_f")).alias("dose"), F.lit(float(voxel_volume)).alias("volume"))
-    h = dvh_differential(dose, width)
-    trials = fractions.agg(F.count("*").alias("_t"))
-    s = h.groupBy("structure", "bin", "dose").agg(F.sum("volume").alias("_s"), F.sum(F.col("volume") * F.col("volume")).alias("_q")).crossJoin(F.broadcast(trials))
+    rows = shifts.select(F.col("trial").cast("string").alias("trial"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("sx", "sy", "sz")]).orderBy("trial").limit(SHIFTS + 1).collect()
+    if len(rows) > SHIFTS:
+        raise ValueError(f"more than {SHIFTS} shifts")
+    trials: dict[str, list[np.ndarray]] = {}
+    for trial, *way in rows:
+        trials.setdefault(trial, []).append(np.array(way))
+    margin = [max([1] + [int(np.ceil(abs(w[c]))) + 1 for own in trials.values() for w in own]) for c in range(3)]
+    size = [max(t, m) for t, m in zip(TILE, margin)]
+    tile = [f"_t{c}" for c in AT]
+    dose = volume.select(*[F.col(c).cast("int").alias(c) for c in AT], F.col("value").cast("double").alias("value")).dropna()
+    for c, t, m, n in zip(AT, size, margin, tile):  # a voxel also goes to the tiles in whose margin it lies
+        dose = dose.withColumn(n, F.explode(F.sequence(F.floor((F.col(c) - m) / t), F.floor((F.col(c) + m) / t))))
+    own = masks.select("structure", *[F.col(c).cast("int").alias(c) for c in AT]).dropna(subset=list(AT))
+    own = own.withColumns({n: F.floor(F.col(c) / t) for c, t, n in zip(AT, size, tile)})
+
+    def run(key, dose: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        out = {n: [] for n in ("plan", "structure", "_up", "_plain", "volume", "_min")}
+        if len(own):
+            low = np.array([key[c] * size[c] - margin[c] for c in range(3)])
+            grid = np.zeros([t + 2 * m + 1 for t, m in zip(size, margin)])
+            at = dose[AT].to_numpy(int) - low
+            np.add.at(grid, tuple(at.T), dose["value"].to_numpy())
+            places, index = np.unique(own[AT].to_numpy(int) - low, axis=0, return_inverse=True)
+            structure, names = pd.factorize(own["structure"], use_na_sentinel=False)
+            for trial, ways in trials.items():
+                total = np.zeros(len(places))
+                for way in ways:
+                    base = np.floor(way)
+                    part = way - base
+                    for corner in np.ndindex(2, 2, 2):
+                        weight = np.prod(np.where(corner, part, 1 - part))
+                        if weight > 0:
+                            total += weight * grid[tuple((places + base.astype(int) + corner).T)]
+                value = (total / len(ways))[index.ravel()]
+                found = pd.DataFrame({"structure": structure, "_up": np.ceil(value / width + EPS), "_plain": np.ceil(value / width), "value": value}).groupby(["structure", "_up", "_plain"])["value"].agg(["size", "min"]).reset_index()
+                for n, v in (("plan", [trial] * len(found)), ("structure", [names[s] for s in found["structure"]]), ("_up", found["_up"].astype(int)), ("_plain", found["_plain"].astype(int)), ("volume", found["size"] * voxel_volume), ("_min", found["min"])):
+                    out[n].extend(v)
+        kinds = {"plan": object, "structure": object, "_up": np.int64, "_plain": np.int64, "volume": float, "_min": float}
+        return pd.DataFrame({n: pd.Series(np.array(v, kinds[n]) if v else np.zeros(0, kinds[n])) for n, v in out.items()})
+
+    counted = dose.groupBy(*tile).cogroup(own.groupBy(*tile)).applyInPandas(run, "plan string, structure string, _up long, _plain long, volume double, _min double")
+    both = counted.groupBy("plan", "structure", "_up", "_plain").agg(F.sum("volume").alias("volume"), F.min("_min").alias("_min"))
+    s = histogram_of(both, width).groupBy("structure", "bin", "dose").agg(F.sum("volume").alias("_s"), F.sum(F.col("volume") * F.col("volume")).alias("_q")).withColumn("_t", F.lit(len(trials)))
     mean = F.col("_s") / F.col("_t")
     return s.select("structure", "bin", "dose", mean.alias("mean_volume"), F.sqrt(F.greatest((F.col("_q") - F.col("_t") * mean * mean) / (F.col("_t") - 1), F.lit(0.0))).alias("std_volume"))
 

@@ -224,3 +224,98 @@ def t1p(spark, sf_dir):
     c = patients.cohort_of(x)
     y = c.together(x)
     return rounded(c.apart(texture.first_order(y.drop("structure"), y.drop("value"), 1.0).select("structure", "mean", "median", "std")))
+
+
+#: Patients' structures: by type of event, and two that overlap them.
+PATIENT_MASKS = (
+    f"pm AS (SELECT user_id % 7 AS patient, event_type AS structure, {data.CELL.format('event_id')} FROM events"
+    + "".join(f" UNION ALL SELECT user_id % 7, 'D{n}', {data.CELL.format('event_id')} FROM events WHERE event_id % {n} = 0" for n in (2, 3))
+    + ")"
+)
+PATIENT_SURFACE = "po AS (SELECT * FROM (VALUES (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)) t(a, b, c)), pn AS (SELECT patient, structure, i + a AS i, j + b AS j, k + c AS k, count(*) AS n FROM pm, po GROUP BY ALL), ps AS (SELECT pm.* FROM pm LEFT JOIN pn USING (patient, structure, i, j, k) WHERE coalesce(n, 0) < 6)"
+#: A second volume at the same places.
+PATIENT_SECOND = f"w AS (SELECT user_id % 7 AS patient, {data.CELL.format('event_id')}, (event_id * 37 % 101)::DOUBLE AS value FROM events WHERE event_id % 5 <> 0)"
+ON = ("patient",)
+
+
+def _patient_masks(spark, sf_dir):
+    i, j, k = data.cell(F.col("event_id"))
+    x = data.table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 7).alias("patient"), "event_type", i.alias("i"), j.alias("j"), k.alias("k"))
+    parts = [x.select("patient", F.col("event_type").alias("structure"), "i", "j", "k")]
+    parts += [x.filter(F.col("event_id") % n == 0).select("patient", F.lit(f"D{n}").alias("structure"), "i", "j", "k") for n in (2, 3)]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+def _patient_volumes(spark, sf_dir):
+    i, j, k = data.cell(F.col("event_id"))
+    x = data.table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 7).alias("patient"), i.alias("i"), j.alias("j"), k.alias("k"), "value")
+    return x.drop("event_id"), x.filter("event_id % 5 <> 0").withColumn("value", (F.col("event_id") * 37 % 101).cast("double")).drop("event_id")
+
+
+@query("k4_dice_by_patient", with_sql(PATIENT_MASKS, "z AS (SELECT patient, structure, count(*) AS n FROM pm GROUP BY ALL), m AS (SELECT patient, x.structure AS a, y.structure AS b, count(*) AS m FROM pm x JOIN pm y USING (patient, i, j, k) WHERE x.structure < y.structure GROUP BY ALL) SELECT p.patient, p.structure AS a, q.structure AS b, round(2.0 * coalesce(m, 0) / (p.n + q.n), 6) AS dice FROM z p JOIN z q ON p.patient = q.patient AND p.structure < q.structure LEFT JOIN m ON m.patient = p.patient AND m.a = p.structure AND m.b = q.structure"))
+def k4p(spark, sf_dir):
+    return rounded(masks.dice(_patient_masks(spark, sf_dir), ON), 6)
+
+
+@query("k14_surface_distance_by_patient", with_sql(PATIENT_MASKS, PATIENT_SURFACE, "d AS (SELECT patient, sqrt(min((p.i - q.i) ^ 2 + 4 * (p.j - q.j) ^ 2 + 9 * (p.k - q.k) ^ 2)) AS d FROM ps p JOIN ps q USING (patient) WHERE p.structure = 'signup' AND q.structure = 'purchase' GROUP BY patient) SELECT patient, round(CASE WHEN d < 2 THEN 0 ELSE d END, 6) AS distance FROM d"))
+def k14p(spark, sf_dir):
+    return rounded(masks.min_surface_distance(_patient_masks(spark, sf_dir), "signup", "purchase", (1.0, 2.0, 3.0), ON), 6)
+
+
+@query("k15_hausdorff_by_patient", with_sql(PATIENT_MASKS, PATIENT_SURFACE, "p AS (SELECT * FROM ps WHERE structure = 'signup'), q AS (SELECT * FROM ps WHERE structure = 'purchase'), d AS (SELECT patient, sqrt(min((p.i - q.i) ^ 2 + (p.j - q.j) ^ 2 + (p.k - q.k) ^ 2)) AS d FROM p JOIN q USING (patient) GROUP BY patient, p.i, p.j, p.k UNION ALL SELECT patient, sqrt(min((p.i - q.i) ^ 2 + (p.j - q.j) ^ 2 + (p.k - q.k) ^ 2)) FROM p JOIN q USING (patient) GROUP BY patient, q.i, q.j, q.k) SELECT patient, round(max(d), 6) AS hausdorff FROM d GROUP BY patient"))
+def k15p(spark, sf_dir):
+    return rounded(masks.hausdorff(_patient_masks(spark, sf_dir), "signup", "purchase", on=ON), 6)
+
+
+@query("k16_com_distance_by_patient", with_sql(PATIENT_MASKS, "c AS (SELECT patient, structure, avg(i) AS i, avg(j) AS j, avg(k) AS k FROM pm GROUP BY ALL) SELECT a.patient, a.structure AS a, b.structure AS b, round(sqrt((a.i - b.i) ^ 2 + (a.j - b.j) ^ 2 + (a.k - b.k) ^ 2), 6) AS distance FROM c a JOIN c b ON a.patient = b.patient AND a.structure < b.structure"))
+def k16p(spark, sf_dir):
+    return rounded(masks.com_distance(_patient_masks(spark, sf_dir), on=ON), 6)
+
+
+PATIENT_PATTERNS = "v AS (SELECT patient, i, j, k, max((structure = 'D2')::INTEGER) AS a, max((structure = 'D3')::INTEGER) AS b, max((structure = 'click')::INTEGER) AS c FROM pm WHERE structure IN ('D2', 'D3', 'click') GROUP BY ALL), pat AS (SELECT patient, a, b, c, count(*) AS n FROM v GROUP BY ALL UNION ALL SELECT patient, 0, 0, 0, ((max(i) - min(i) + 1) * (max(j) - min(j) + 1) * (max(k) - min(k) + 1))::BIGINT - count(*) FROM v GROUP BY patient)"
+
+
+@query("k17_consensus_by_patient", with_sql(PATIENT_MASKS, PATIENT_PATTERNS, "s AS (SELECT patient, sum(a * n) / sum(n) AS pa, sum(b * n) / sum(n) AS pb, sum(c * n) / sum(n) AS pc FROM pat GROUP BY patient), x AS (SELECT patient, n, (a + b + c) / 3 AS agree, ((a - sqrt(pa * (1 - pa))) / (1 - sqrt(pa * (1 - pa))) + (b - sqrt(pb * (1 - pb))) / (1 - sqrt(pb * (1 - pb))) + (c - sqrt(pc * (1 - pc))) / (1 - sqrt(pc * (1 - pc)))) / 3 AS corrected FROM pat JOIN s USING (patient)), l AS (SELECT 0.001::DOUBLE + 0.999::DOUBLE * t / 4 AS level FROM range(5) r(t)) SELECT patient, round(level, 6) AS level, coalesce(sum(n) FILTER (WHERE agree >= level - 1e-9), 0) * 0.5::DOUBLE AS volume, coalesce(sum(n) FILTER (WHERE corrected >= level - 1e-9), 0) * 0.5::DOUBLE AS corrected_volume FROM x, l GROUP BY patient, level"))
+def k17p(spark, sf_dir):
+    return rounded(masks.consensus(_patient_masks(spark, sf_dir), ["D2", "D3", "click"], 0.5, 5, ON), 6)
+
+
+@query("k19_kappa_by_patient", with_sql(PATIENT_MASKS, PATIENT_PATTERNS, "q AS (SELECT patient, sum((a + b + c) * n) / sum(n) / 3 AS p, sum(((a + b + c) * (a + b + c - 1) + (3 - a - b - c) * (2 - a - b - c)) / 6 * n) / sum(n) AS agree FROM pat GROUP BY patient) SELECT patient, round((agree - (p * p + (1 - p) * (1 - p))) / (1 - (p * p + (1 - p) * (1 - p))), 6) AS kappa FROM q"))
+def k19p(spark, sf_dir):
+    return rounded(masks.kappa(_patient_masks(spark, sf_dir), ["D2", "D3", "click"], ON), 6)
+
+
+@query("g3_compare_volumes_by_patient", with_sql(PATIENTS, PATIENT_SECOND, "x AS (SELECT patient, coalesce(m.value, 0) AS x, coalesce(w.value, 0) AS y, m.value AS a, w.value AS b FROM m FULL JOIN w USING (patient, i, j, k)) SELECT patient, round(sum(abs(y - x)), 4) AS abs_difference, round(sum(x), 4) AS old_sum, round(sum(y), 4) AS new_sum, round(max(a), 4) AS old_peak, round(max(b), 4) AS new_peak, round(sum(abs(y - x)) / sum(x), 4) AS relative_difference FROM x GROUP BY patient"))
+def g3p(spark, sf_dir):
+    return rounded(volume.compare_volumes(*_patient_volumes(spark, sf_dir), on=ON))
+
+
+@query("g16_l2_scale_by_patient", with_sql(PATIENTS, PATIENT_SECOND, "f AS (SELECT patient, sum(m.value * w.value) / sum(w.value * w.value) AS factor FROM m JOIN w USING (patient, i, j, k) GROUP BY patient) SELECT patient, i, j, k, round(value * factor, 4) AS value, round(factor, 4) AS factor FROM w JOIN f USING (patient)"))
+def g16p(spark, sf_dir):
+    return rounded(volume.l2_scale(*_patient_volumes(spark, sf_dir), on=ON))
+
+
+@query("g17_value_centroid_by_patient", with_sql(PATIENTS, "SELECT patient, k, round(sum(i * value) / sum(value), 4) AS ci, round(sum(j * value) / sum(value), 4) AS cj, round(sum(z * value) / sum(value), 4) AS ck, round(sum(value), 4) AS total FROM (SELECT *, k AS z FROM m) GROUP BY GROUPING SETS ((patient, k), (patient))"))
+def g17p(spark, sf_dir):
+    return rounded(volume.value_centroid(_patient_volumes(spark, sf_dir)[0], ON))
+
+
+@query("t9_mutual_information_by_patient", with_sql(PATIENTS, PATIENT_SECOND, "x AS (SELECT patient, m.value AS a, w.value AS b FROM m JOIN w USING (patient, i, j, k)), e AS (SELECT patient, min(a) AS la, max(a) AS ha, min(b) AS lb, max(b) AS hb, count(*) AS n FROM x GROUP BY patient), l AS (SELECT patient, n, least(floor((a - la) / (ha - la) * 8), 7) AS l1, least(floor((b - lb) / (hb - lb) * 8), 7) AS l2 FROM x JOIN e USING (patient)), p AS (SELECT patient, l1, l2, count(*) / n AS p FROM l GROUP BY patient, l1, l2, n), y AS (SELECT *, sum(p) OVER (PARTITION BY patient, l1) AS px, sum(p) OVER (PARTITION BY patient, l2) AS py FROM p) SELECT patient, round(sum(p * log2(p / (px * py))), 6) AS mutual_information FROM y GROUP BY patient"))
+def t9p(spark, sf_dir):
+    return rounded(texture.mutual_information(*_patient_volumes(spark, sf_dir), 8, ON), 6)
+
+
+@query(
+    "t11_background_threshold_by_patient",
+    with_sql(
+        PATIENTS, "o AS (SELECT patient, value, row_number() OVER (PARTITION BY patient ORDER BY value) AS r, count(*) OVER (PARTITION BY patient) AS n FROM m WHERE value <> 0)",
+        "pt AS (SELECT patient, n, q, greatest(1, least(n, q * n + 0.5)) AS p FROM (SELECT DISTINCT patient, n FROM o), (VALUES (0.25::DOUBLE), (0.75::DOUBLE)) t(q))",
+        "qq AS (SELECT o.patient, any_value(o.n) AS n, q, sum(CASE WHEN r = floor(p) THEN value * (1 - (p - floor(p))) ELSE 0 END + CASE WHEN r = floor(p) + 1 THEN value * (p - floor(p)) ELSE 0 END) AS x FROM o JOIN pt ON o.patient = pt.patient GROUP BY o.patient, q)",
+        "w AS (SELECT patient, 2 * (max(x) - min(x)) * any_value(n) ^ (-1 / 3.0::DOUBLE) AS w FROM qq GROUP BY patient), t AS (SELECT patient, max(value) AS top FROM o GROUP BY patient)",
+        "b AS (SELECT patient, w, ceil(2.220446049250313e-16::DOUBLE + value / w) AS bin, count(*) AS n FROM o JOIN w USING (patient) GROUP BY ALL)",
+        "s AS (SELECT patient, w, bin, sum((bin - 0.5) * w * n * 0.25) OVER o AS s, sum(n * 0.25) OVER o AS v FROM b WINDOW o AS (PARTITION BY patient ORDER BY bin DESC ROWS UNBOUNDED PRECEDING))",
+        "SELECT patient, round(max((bin - 0.5) * w / top), 6) AS threshold, min(v)::DOUBLE AS volume FROM s JOIN t USING (patient) WHERE s > 100 GROUP BY patient",
+    ),
+)
+def t11p(spark, sf_dir):
+    return rounded(texture.background_threshold(_patient_volumes(spark, sf_dir)[0], 100.0, 0.25, ON), 6)

@@ -335,7 +335,17 @@ def t7(spark, sf_dir):
     return x.select("structure", "i", "j", "k", *[(F.round(F.col(c) + 1e-10, 5) + F.lit(0.0)).alias(c) for c in texture.FEATURES])
 
 
-@query("t8_size_zones")
+#: Zones by passing the least number to neighbours until nothing changes.
+ZONES = (
+    "nv AS MATERIALIZED (SELECT structure, level, i, j, k, (k::BIGINT * 20 + j) * 20 + i AS v FROM q)",
+    "nbr AS MATERIALIZED (SELECT x.structure, x.v AS a, y.v AS b FROM (SELECT structure, level, v, i + a AS i, j + b AS j, k + c AS k FROM nv, o) x JOIN nv y USING (structure, level, i, j, k))",
+    "links AS MATERIALIZED (SELECT structure, a, b FROM nbr UNION ALL SELECT structure, b, a FROM nbr)",
+    "z(structure, v, zone) USING KEY (structure, v) AS (SELECT structure, v, v FROM nv UNION SELECT l.structure, l.b, min(z.zone) FROM z JOIN links l ON l.structure = z.structure AND l.a = z.v JOIN recurring.z AS old ON old.structure = l.structure AND old.v = l.b WHERE z.zone < old.zone GROUP BY l.structure, l.b)",
+    "sizes AS (SELECT structure, level, zone, count(*) AS size FROM z JOIN nv USING (structure, v) GROUP BY ALL)",
+)
+
+
+@query("t8_size_zones", "WITH RECURSIVE " + with_sql(VOLUME, EVENT_MASKS, LEVELS, DIRECTIONS, *ZONES, "SELECT structure, level, size, count(*) AS n FROM sizes GROUP BY ALL").removeprefix("WITH "))
 def t8(spark, sf_dir):
     return texture.size_zones(_levels(spark, sf_dir))
 

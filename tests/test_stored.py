@@ -129,3 +129,69 @@ def test_box_sums_against_numpy(spark, width):
         want = z[max(0, a - back) : a + ahead + 1, max(0, j - back) : j + ahead + 1, k].sum()
         assert math.isclose(got[i, j, k], want, rel_tol=1e-9, abs_tol=1e-9)
     assert volume.box_filter(spark.createDataFrame([], "i int, j int, k int, value double"), width).count() == 0
+
+
+# --- graph contraction and tiles
+
+
+def test_contraction_against_search(spark, monkeypatch):
+    from dosewell.operators import graph
+
+    rng = np.random.default_rng(9)
+    links = [(g, int(a), int(b)) for g in "xy" for a, b in rng.integers(0, 400, (230, 2))] + [("z", 5, 5), ("x", 1, 2), ("x", 2, 1), ("x", 1, 2)]
+    got = {(r["g"], r["node"]): r["zone"] for r in graph.components(spark.createDataFrame(links, "g string, a long, b long"), ("g",)).collect()}
+    root = {}
+
+    def find(n):
+        while root.setdefault(n, n) != n:
+            n = root[n]
+        return n
+
+    for g, a, b in links:
+        if a != b:
+            root[find((g, a))] = find((g, b))
+    assert set(got) == set(root)
+    zones = {}
+    for n in root:
+        zones.setdefault(find(n), set()).add((n[0], got[n]))
+    assert all(len(z) == 1 for z in zones.values()) and len(set.union(*zones.values())) == len(zones)
+    assert graph.components(spark.createDataFrame([], "a string, b string")).count() == 0
+
+
+def test_a_snake_needs_few_passes(spark, monkeypatch):
+    from dosewell.operators import graph
+
+    passes = []
+    plain = graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: passes.append(1) or plain(df))
+    n = 500
+    found = graph.components(spark.createDataFrame([(f"{k}:0", f"{k + 1}:0") for k in range(n - 1)], "a string, b string"))
+    assert found.count() == n and found.select("zone").distinct().count() == 1
+    assert (len(passes) - 1) / 2 <= math.log2(n) + 2
+
+
+def test_robust_histogram_against_numpy(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    shape = (9, 7, 11)
+    d = np.round(rng.gamma(2, 4, shape), 2)
+    d[rng.random(shape) < 0.2] = 0
+    cells = [(*map(int, at), float(d[tuple(at)])) for at in np.argwhere(d > 0)]
+    own = {s: [tuple(map(int, at)) for at in np.argwhere(rng.random(shape) < 0.3)] for s in ("a", "b")} | {"out": [(30, 30, -20)]}
+    shifts = [(t, f, *np.round(rng.normal(0, 1.2, 3), 2).tolist()) for t in range(4) for f in range(3)] + [(4, 0, 0.0, 2.0, -1.0)]
+    args = (spark.createDataFrame(cells, "i int, j int, k int, value double"), spark.createDataFrame([(s, *p) for s, ps in own.items() for p in ps], "structure string, i int, j int, k int"), spark.createDataFrame(shifts, "trial int, fraction int, sx double, sy double, sz double"))
+    width = 2.0
+    dose = lambda x, y, z: sum((abs(1 - abs(x - a)) * abs(1 - abs(y - b)) * abs(1 - abs(z - c))) * d[a, b, c] for a in {math.floor(x), math.ceil(x)} for b in {math.floor(y), math.ceil(y)} for c in {math.floor(z), math.ceil(z)} if 0 <= a < 9 and 0 <= b < 7 and 0 <= c < 11)
+    want = {}
+    for s, ps in own.items():
+        for t in range(5):
+            ways = [w[2:] for w in shifts if w[0] == t]
+            for p in ps:
+                v = sum(dose(p[0] + x, p[1] + y, p[2] + z) for x, y, z in ways) / len(ways)
+                want.setdefault((s, max(1, math.ceil(v / width + 2.220446049250313e-16))), [0.0] * 5)[t] += 0.5
+    for tile in ((64, 64, 16), (4, 3, 2)):
+        monkeypatch.setattr(volume, "TILE", tile)
+        got = {(r["structure"], r["bin"]): r for r in volume.robust_dvh(*args, width, 0.5).collect()}
+        assert set(want) <= set(got)
+        for key, r in got.items():
+            v = np.array(want.get(key, [0.0] * 5))
+            assert math.isclose(r["mean_volume"], v.mean(), abs_tol=1e-9) and math.isclose(r["std_volume"], v.std(ddof=1), abs_tol=1e-9), key
