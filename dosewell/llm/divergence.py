@@ -242,30 +242,70 @@ def frequent_terms(coded: DataFrame, least: int = 10) -> DataFrame:
         before, width = width, 2 * width
 
 
-def term_counts(coded: DataFrame, kept: DataFrame) -> DataFrame:
+#: Entries (language, term, source) that a task adds up before it gives them away.
+HELD = 3 << 19
+
+
+class _Held:
+    """Counts of some blocks, to be added up by language, term and source."""
+
+    def __init__(self) -> None:
+        self.langs: dict[str, int] = {}
+        self.terms, self.lang, self.size, self.source, self.count = [], [], [], [], []
+        self.entries = 0
+
+    def add(self, k: Block, go: np.ndarray) -> None:
+        """The block's pairs for which `go` holds."""
+        terms, groups_ = max(1, len(k.length)), max(1, len(k.group_lang))
+        group = k.doc_group[k.doc[go]]
+        # by language and term, then by group
+        found, at = np.unique((k.group_lang[group] * terms + k.term[go]) * groups_ + group, return_inverse=True)
+        row = found // groups_
+        head = np.flatnonzero(np.diff(row, prepend=-1))
+        self.terms.append(_strings(*k.prefixes(row[head] % terms, None)))
+        self.lang.append(np.array([self.langs.setdefault(name, len(self.langs)) for name in k.langs], np.int64)[row[head] // terms])
+        self.size.append(np.diff(np.append(head, len(found))))
+        self.source.append(k.group_source[found % groups_])
+        self.count.append(np.bincount(at, weights=k.count[go], minlength=len(found)).astype(np.int64))
+        self.entries += len(found)
+
+    def rows(self, kind: type) -> pa.RecordBatch:
+        """One row for a language's term, with its sources and their counts side by side."""
+        coded = pa.chunked_array(self.terms, pa.binary()).combine_chunks().dictionary_encode()
+        ids, source = np.unique(np.concatenate(self.source), return_inverse=True)
+        terms, sources = max(1, len(coded.dictionary)), max(1, len(ids))
+        row = np.concatenate(self.lang) * terms + coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        found, at = np.unique(np.repeat(row, np.concatenate(self.size)) * sources + source, return_inverse=True)
+        count = np.bincount(at, weights=np.concatenate(self.count), minlength=len(found)).astype(np.int64)
+        row = found // sources
+        head = np.flatnonzero(np.diff(row, prepend=-1))
+        starts = pa.array(np.append(head, len(found)).astype(np.int32))
+        words = pc.binary_slice(coded.dictionary.take(pa.array(row[head] % terms)), 0, -1).cast(pa.string())  # without the end mark
+        lists = [pa.ListArray.from_arrays(starts, pa.array(v)) for v in (ids[found % sources].astype(kind), count.astype(np.int32))]
+        return pa.RecordBatch.from_arrays([pa.array(list(self.langs), pa.string()).take(pa.array(row[head] // terms)), words, *lists], names=["lang", "term", "s", "c"])
+
+
+def term_counts(coded: DataFrame, kept: DataFrame, small_ids: bool = False) -> DataFrame:
     """(lang, term, source_id, c > 0): occurrences of kept terms in each group.
 
-    A block gives one row for a language's term, with the sources that have it side by side, so that few rows move.
+    A task adds up its blocks, and gives one row for a language's term with the sources that have it side by side, so that few rows move.
+    `small_ids` says that the sources' ids fit an int.
     """
     few = prefix_filter(kept)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Held()
         for k in _each(batches):
             terms = len(k.length)
-            go = k.allowed(few.value, np.arange(terms), np.arange(terms), None)
-            groups_ = len(k.group_lang)
-            # by language and term, then by group
-            found, at = np.unique((k.group_lang[k.doc_group[k.doc[go]]] * max(1, terms) + k.term[go]) * groups_ + k.doc_group[k.doc[go]], return_inverse=True)
-            n = np.bincount(at, weights=k.count[go], minlength=len(found)).astype(np.int64)
-            head = np.flatnonzero(np.diff(found // groups_, prepend=-1))
-            rows = pa.array(np.append(head, len(found)).astype(np.int32))
-            lang, term = found[head] // groups_ // max(1, terms), found[head] // groups_ % max(1, terms)
-            words = pc.binary_slice(_strings(*k.prefixes(term, None)), 0, -1).cast(pa.string())  # without the end mark
-            sources, counts = (pa.ListArray.from_arrays(rows, pa.array(v)) for v in (k.group_source[found % groups_], n))
-            yield pa.RecordBatch.from_arrays([pa.array(k.langs, pa.string()).take(pa.array(lang)), words, sources, counts], names=["lang", "term", "s", "c"])
-
-    found = coded.mapInArrow(count, "lang string, term string, s array<long>, c array<long>").repartition("lang", "term")
-    each = found.select("lang", "term", F.explode(F.arrays_zip("s", "c")).alias("x")).groupBy("lang", "term", F.col("x.s").alias("source_id")).agg(F.sum("x.c").alias("c"))
+            held.add(k, k.allowed(few.value, np.arange(terms), np.arange(terms), None))
+            if held.entries > HELD:
+                yield held.rows(np.int32 if small_ids else np.int64)
+                held = _Held()
+        if held.entries:
+            yield held.rows(np.int32 if small_ids else np.int64)
+
+    found = coded.mapInArrow(count, f"lang string, term string, s array<{'int' if small_ids else 'long'}>, c array<int>").repartition("lang", "term")
+    each = found.select("lang", "term", F.explode(F.arrays_zip("s", "c")).alias("x")).groupBy("lang", "term", F.col("x.s").cast("long").alias("source_id")).agg(F.sum("x.c").alias("c"))
     return each.join(kept.select("lang", "term"), ["lang", "term"])
 
 
@@ -296,15 +336,16 @@ def divergence(docs: DataFrame, least: int = 10, top: int = 10, text_col: str =
     word = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = docs.select(word(text_col).alias("text"), word(lang_col).alias("lang"), word(source_col).alias("source"))
     present = keep(rows.select("lang", "source").distinct())
-    seed = 0  # sources have 64-bit ids within the job; should two of them have the same, others are taken
-    while True:
-        source_id = F.xxhash64("source", F.lit(seed))
+    # sources have ids within the job, of as few bits as tell them apart
+    for bits, seed in ((b, n) for n in range(64) for b in (16, 31, 63)):
+        source_id = F.xxhash64("source", F.lit(seed)).bitwiseAND((1 << bits) - 1)
         if present.agg(F.count_distinct("source") == F.count_distinct(source_id)).first()[0]:
             break
-        seed += 1
+    else:
+        raise ValueError("sources can't be told apart by hashes")
     coded = cut(blocks(rows.withColumn("source_id", source_id)))
     kept = keep(frequent_terms(coded, least))
-    counts = cut(term_counts(coded, kept))
+    counts = cut(term_counts(coded, kept, bits < 32))
     sizes = counts.groupBy("lang", "source_id").agg(F.sum("c").alias("total"))
     terms = kept.groupBy("lang").agg(F.count("*").alias("v"))
     zero = F.lit(0).cast("long")
