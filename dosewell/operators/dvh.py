@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dosewell.operators.ranks import exact_quantiles, ranked_values
@@ -295,11 +297,44 @@ def plan_score(verdicts: DataFrame) -> DataFrame:
     return verdicts.groupBy("plan").agg(F.sum(points * F.pow(F.lit(10.0), 10 - F.col("priority"))).alias("score"))
 
 
+@dataclass(frozen=True)
+class SumMetric:
+    """A metric of voxels by sums that merge: SQL of what a voxel adds (of `dose` and `volume`), by name, and of the value from the sums."""
+
+    name: str
+    parts: dict[str, str]
+    value: str
+
+    def install(self, spark: SparkSession) -> None:
+        """Temporary functions for SQL: `name_part(dose, volume)` for each part, and `name(sums...)` in the order of the parts."""
+        spark_name = lambda n: f"`{n}`"
+        for part, sql in self.parts.items():
+            spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {spark_name(f'{self.name}_{part}')}(dose DOUBLE, volume DOUBLE) RETURNS DOUBLE RETURN {sql}")
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {spark_name(self.name)}({', '.join(f'{p} DOUBLE' for p in self.parts)}) RETURNS DOUBLE RETURN {self.value}")
+
+
 class MetricRegistry:
     """User metrics by name: functions of (doses, volumes) as arrays, run for each plan and structure."""
 
     def __init__(self):
         self.functions: dict[str, Callable[[np.ndarray, np.ndarray], float]] = {}
+        self.sums: dict[str, SumMetric] = {}
+
+    def register_sums(self, metric: SumMetric, spark: SparkSession | None = None) -> None:
+        """A metric of voxel doses; with a session its functions are there for SQL, too."""
+        self.sums[metric.name] = metric
+        if spark is not None:
+            metric.install(spark)
+
+    def evaluate_voxels(self, doses: DataFrame, names: list[str] | None = None) -> DataFrame:
+        """plan, structure, metric, value of voxel doses, without a histogram and with no group in one task.
+
+        All sums of all metrics are one aggregate, combined in each task before groups move, as one row each.
+        """
+        chosen = [self.sums[n] for n in (names or sorted(self.sums))]
+        sums = doses.groupBy(*KEYS).agg(*[F.sum(F.expr(sql)).alias(f"_{k}_{part}") for k, m in enumerate(chosen) for part, sql in m.parts.items()])
+        rows = [sums.select(*KEYS, F.lit(m.name).alias("metric"), *[F.col(f"_{k}_{part}").alias(part) for part in m.parts]).select(*KEYS, "metric", F.expr(m.value).alias("value")) for k, m in enumerate(chosen)]
+        return reduce(DataFrame.unionByName, rows)
 
     def register(self, name: str, function: Callable[[np.ndarray, np.ndarray], float]) -> None:
         self.functions[name] = function

@@ -164,10 +164,26 @@ def from_segments(segments: DataFrame) -> DataFrame:
     return segments.select("structure", F.explode(F.sequence("first", "last")).alias("i"), "j", "k")
 
 
+#: Structures that one BIGINT tells apart; its sign stays free.
+WORD = 63
+
+
 def membership_bits(masks: DataFrame, order: DataFrame) -> DataFrame:
-    """One BIGINT for each voxel; bit `ord` (0 to 62) says that the voxel is in that structure."""
+    """One BIGINT for each voxel; bit `ord` (0 to 62) says that the voxel is in that structure. More structures take `membership_words`."""
     bit = F.expr("shiftleft(1L, cast(ord as int))")
-    return masks.join(F.broadcast(order), "structure").groupBy(*AT).agg(F.bit_or(bit).alias("bits"))
+    return masks.join(order, "structure").groupBy(*AT).agg(F.bit_or(bit).alias("bits"))
+
+
+def membership_words(masks: DataFrame, order: DataFrame, structures: int) -> DataFrame:
+    """`bits` as an array of BIGINTs, for any number of structures: word ord / 63, bit ord % 63."""
+    bit = F.expr(f"shiftleft(1L, cast(ord % {WORD} as int))")
+    word = lambda n: F.coalesce(F.bit_or(F.when(F.floor(F.col("ord") / WORD) == n, bit)), F.lit(0).cast("long"))
+    return masks.join(order, "structure").groupBy(*AT).agg(F.array(*[word(n) for n in range(-(-structures // WORD))]).alias("bits"))
+
+
+def is_member(bits: F.Column, ord: int) -> F.Column:
+    """Whether a voxel's words have the bit of a structure."""
+    return F.shiftright(bits[ord // WORD], ord % WORD).bitwiseAND(F.lit(1).cast("long")) == 1
 
 
 def split_sup_inf(masks: DataFrame, parts: int) -> DataFrame:

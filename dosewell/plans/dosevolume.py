@@ -242,6 +242,27 @@ def d20(spark, sf_dir):
     return rounded(registry.evaluate(_dvh(spark, sf_dir)), 6)
 
 
+#: Generalised equivalent uniform dose with a = 8, and the mean, by sums over voxels.
+GEUD = dvh.SumMetric("gEUD", {"top": "pow(dose, 8.0D) * volume", "total": "volume"}, "pow(top / total, 1.0D / 8.0D)")
+MEAN = dvh.SumMetric("mean_dose", {"top": "dose * volume", "total": "volume"}, "top / total")
+
+
+@query("d20_voxel_metrics", with_sql(DOSES, "SELECT plan, structure, 'gEUD' AS metric, round((sum(dose ^ 8 * volume) / sum(volume)) ^ (1 / 8.0::DOUBLE), 6) AS value FROM doses GROUP BY ALL UNION ALL SELECT plan, structure, 'mean_dose', round(sum(dose * volume) / sum(volume), 6) FROM doses GROUP BY ALL"))
+def d20b(spark, sf_dir):
+    registry = dvh.MetricRegistry()
+    for metric in (GEUD, MEAN):
+        registry.register_sums(metric)
+    return rounded(registry.evaluate_voxels(data.doses(spark, sf_dir)), 6)
+
+
+@query("d20_metrics_from_sql", with_sql(DOSES, "SELECT plan, structure, round((sum(dose ^ 8 * volume) / sum(volume)) ^ (1 / 8.0::DOUBLE), 6) AS geud, round(sum(dose * volume) / sum(volume), 6) AS mean FROM doses GROUP BY ALL"))
+def d20c(spark, sf_dir):
+    for metric in (GEUD, MEAN):
+        metric.install(spark)
+    sql = "SELECT plan, structure, gEUD(sum(gEUD_top(dose, volume)), sum(gEUD_total(dose, volume))) AS geud, mean_dose(sum(mean_dose_top(dose, volume)), sum(mean_dose_total(dose, volume))) AS mean FROM {doses} GROUP BY plan, structure"
+    return rounded(spark.sql(sql, doses=data.doses(spark, sf_dir)), 6)
+
+
 @query("d21_stale_dvh", "WITH v AS (SELECT l_suppkey AS plan, l_orderkey * 10 + l_linenumber AS voxel, l_quantity AS dose, l_returnflag FROM lineitem), c AS (SELECT plan, sum(dose) AS s, min(voxel) FILTER (WHERE dose = top) AS v FROM (SELECT *, max(dose) OVER (PARTITION BY plan) AS top FROM v) GROUP BY plan), o AS (SELECT plan, sum(dose) AS s, min(voxel) FILTER (WHERE dose = top) AS v FROM (SELECT *, max(dose) OVER (PARTITION BY plan) AS top FROM v WHERE plan % 3 <> 0 OR l_returnflag <> 'R') WHERE plan % 5 <> 0 GROUP BY plan) SELECT c.plan, NOT (round(c.s, 6) IS NOT DISTINCT FROM round(o.s, 6) AND c.v IS NOT DISTINCT FROM o.v) AS stale FROM c LEFT JOIN o USING (plan)")
 def d21(spark, sf_dir):
     x = data.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("plan"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("voxel"), F.col("l_quantity").alias("dose"), "l_returnflag")

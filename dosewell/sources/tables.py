@@ -22,5 +22,9 @@ def read_space_table(spark: SparkSession, path: str, schema: list[tuple[str, str
 
 
 def write_beam_parts(parts: DataFrame, path: str) -> None:
-    """One folder for each part of `partition_beams`."""
-    parts.repartition("part").write.partitionBy("part").parquet(path)
+    """One folder for each part of `partition_beams`, with a file for each beam or some of them.
+
+    Beams, not parts, are dealt to tasks, so a part of many beams is written by many. Spark commits all folders at
+    the end of the job: a failed task's files are never seen, and a path that exists is an error.
+    """
+    parts.repartition("part", "beam").write.partitionBy("part").parquet(path)

@@ -195,3 +195,56 @@ def test_robust_histogram_against_numpy(spark, monkeypatch):
         for key, r in got.items():
             v = np.array(want.get(key, [0.0] * 5))
             assert math.isclose(r["mean_volume"], v.mean(), abs_tol=1e-9) and math.isclose(r["std_volume"], v.std(ddof=1), abs_tol=1e-9), key
+
+
+# --- metrics by name, words of bits, parts
+
+
+def test_metrics_of_voxels_by_name_and_in_sql(spark):
+    from dosewell.operators import dvh
+    from dosewell.plans.dosevolume import GEUD, MEAN
+
+    rng = np.random.default_rng(1)
+    rows = [(p, s, float(d), float(v)) for p in "pq" for s in "st" for d, v in zip(rng.gamma(3, 4, 200), rng.random(200))] + [("p", "s", None, 1.0)]
+    doses = spark.createDataFrame(rows, "plan string, structure string, dose double, volume double")
+    registry = dvh.MetricRegistry()
+    for m in (GEUD, MEAN, dvh.SumMetric("over ten", {"over": "if(dose > 10, volume, 0)"}, "over")):
+        registry.register_sums(m, spark)
+    got = {(r["plan"], r["structure"], r["metric"]): r["value"] for r in registry.evaluate_voxels(doses.filter("dose is not null")).collect()}
+    sql = spark.sql("SELECT plan, structure, gEUD(sum(gEUD_top(dose, volume)), sum(gEUD_total(dose, volume))) AS g, `over ten`(sum(`over ten_over`(dose, volume))) AS o FROM {d} WHERE dose IS NOT NULL GROUP BY ALL", d=doses)
+    for r in sql.collect():
+        own = np.array([(d, v) for p, s, d, v in rows if (p, s) == (r["plan"], r["structure"]) and d is not None])
+        g = ((own[:, 0] ** 8 * own[:, 1]).sum() / own[:, 1].sum()) ** 0.125
+        assert math.isclose(r["g"], g) and math.isclose(got[r["plan"], r["structure"], "gEUD"], g)
+        assert math.isclose(got[r["plan"], r["structure"], "mean_dose"], np.average(own[:, 0], weights=own[:, 1]))
+        assert math.isclose(r["o"], own[own[:, 0] > 10, 1].sum()) and math.isclose(got[r["plan"], r["structure"], "over ten"], r["o"])
+
+
+def test_more_structures_than_a_word_has_bits(spark):
+    from dosewell.operators import masks
+
+    rng = np.random.default_rng(2)
+    rows = [(f"s{n}", int(i), 0, 0) for n in range(140) for i in rng.integers(0, 30, 6)]
+    m = spark.createDataFrame(rows, "structure string, i int, j int, k int")
+    order = spark.createDataFrame([(f"s{n}", n) for n in range(140)], "structure string, ord int")
+    got = masks.membership_words(m, order, 140)
+    for n in (0, 61, 62, 63, 125, 126, 139):
+        assert {r["i"] for r in got.filter(masks.is_member(F.col("bits"), n)).collect()} == {i for s, i, _, _ in rows if s == f"s{n}"}
+    few = m.join(order, "structure").filter("ord < 63").drop("ord")
+    one = {r["i"]: r["bits"] for r in masks.membership_bits(few, order).collect()}
+    assert one == {r["i"]: r["bits"][0] for r in masks.membership_words(few, order, 63).collect()}
+
+
+def test_failed_writes_leave_no_part(spark, tmp_path):
+    from dosewell.sources import tables
+
+    parts = coeffs.partition_beams(matrix(spark), 2)
+    good, bad = str(tmp_path / "good"), str(tmp_path / "bad")
+    tables.write_beam_parts(parts, good)
+    back = spark.read.parquet(good)
+    assert back.count() == parts.count() and {r[0] for r in back.select("part").distinct().collect()} == {0, 1}
+    fails = parts.withColumn("coeff", F.when(F.col("beam") == 3, F.raise_error(F.lit("broken"))).otherwise(F.col("coeff")))
+    with pytest.raises(Exception, match="broken"):
+        tables.write_beam_parts(fails, bad)
+    left = [p for p in (tmp_path / "bad").rglob("*.parquet")] if (tmp_path / "bad").exists() else []
+    assert not [p for p in left if "_temporary" not in str(p)]
