@@ -10,7 +10,7 @@ from dosewell.operators import dvh as dv
 from dosewell.operators import masks as mk
 from dosewell.operators import volume as vol
 from dosewell.operators.distance import greatest_nearest
-from dosewell.sources.lineage import cut
+from dosewell.sources.lineage import cut, small
 
 
 def match_structures(names: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -20,7 +20,7 @@ def match_structures(names: DataFrame, wanted: DataFrame) -> DataFrame:
     """
     n, w = F.lower("name"), F.lower("wanted")
     rung = F.when(n == w, 1).when(F.startswith(n, w), 2).when(F.expr("name rlike concat('(?i)', pattern)"), 3)
-    x = names.select("name").distinct().join(F.broadcast(wanted), F.lit(True)).withColumn("rung", rung).filter("rung is not null")
+    x = names.select("name").distinct().join(small(wanted), F.lit(True)).withColumn("rung", rung).filter("rung is not null")
     best = F.min("rung").over(Window.partitionBy("wanted"))
     return x.withColumn("_b", best).filter("rung = _b").select("wanted", "name", "rung")
 
@@ -97,15 +97,16 @@ def complete_trials(files: DataFrame, kinds: list[str]) -> DataFrame:
 
 def unique_match(paths: DataFrame, patterns: DataFrame) -> DataFrame:
     """patient, pattern, path, error: the one path that matches, or an error when none or several do."""
-    wanted = paths.select("patient").distinct().join(F.broadcast(patterns), F.lit(True))
-    hit = paths.join(F.broadcast(patterns), F.expr("path rlike pattern")).groupBy("patient", "pattern").agg(F.count("*").alias("n"), F.min("path").alias("path"))
+    patterns = small(patterns)
+    wanted = paths.select("patient").distinct().join(patterns, F.lit(True))
+    hit = paths.join(patterns, F.expr("path rlike pattern")).groupBy("patient", "pattern").agg(F.count("*").alias("n"), F.min("path").alias("path"))
     x = wanted.join(hit, ["patient", "pattern"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return x.select("patient", "pattern", F.when(F.col("n") == 1, F.col("path")).alias("path"), F.when(F.col("n") != 1, F.concat(F.col("n").cast("string"), F.lit(" matches"))).alias("error"))
 
 
 def scrub_headers(headers: DataFrame, fields: DataFrame) -> DataFrame:
     """Header rows with listed fields (modality, field) blanked."""
-    return headers.join(F.broadcast(fields.withColumn("_x", F.lit(True))), ["modality", "field"], "left").withColumn("value", F.when(F.col("_x"), "").otherwise(F.col("value"))).drop("_x")
+    return headers.join(fields.withColumn("_x", F.lit(True)), ["modality", "field"], "left").withColumn("value", F.when(F.col("_x"), "").otherwise(F.col("value"))).drop("_x")
 
 
 def header_differences(headers: DataFrame) -> DataFrame:
@@ -124,7 +125,7 @@ def order_slices(headers: DataFrame, modality: str) -> DataFrame:
 
 def check_structures(found: DataFrame, expected: DataFrame) -> DataFrame:
     """patient, missing: patients that lack an expected structure (expected: structure)."""
-    wanted = found.select("patient").distinct().join(F.broadcast(expected), F.lit(True))
+    wanted = found.select("patient").distinct().join(small(expected), F.lit(True))
     gone = wanted.join(found.select("patient", "structure").distinct(), ["patient", "structure"], "left_anti")
     return gone.groupBy("patient").agg(F.array_join(F.array_sort(F.collect_list("structure")), ",").alias("missing"))
 

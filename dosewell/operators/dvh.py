@@ -288,7 +288,7 @@ def pass_fail(metrics: DataFrame, criteria: DataFrame) -> DataFrame:
     """
     meets = lambda limit: F.when(F.col("direction") == "<", F.col("value") < F.col(limit)).otherwise(F.col("value") > F.col(limit))
     verdict = F.when(meets("pass_value"), "passed").when(meets("marginal_value"), "marginal").otherwise("failed")
-    return metrics.join(F.broadcast(criteria), "metric").select("plan", "metric", "value", "priority", verdict.alias("verdict"))
+    return metrics.join(criteria, "metric").select("plan", "metric", "value", "priority", verdict.alias("verdict"))
 
 
 def plan_score(verdicts: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from dosewell.sources.lineage import small
+
 
 def to_fluence_map(weights: DataFrame, dims: DataFrame) -> DataFrame:
     """Dense maps with zeros from (beam, beamlet, weight); dims has beam, nrows, ncols; beamlets run along rows."""
@@ -67,7 +69,7 @@ def blocked_beams(beams: DataFrame, body: DataFrame, iso: tuple[float, float, fl
     b = b.withColumn("_slice", side).withColumn("_px", F.lit(iso[0]) + t * F.col("_x")).withColumn("_py", F.lit(iso[1]) + t * F.col("_y"))
     # the slices' voxels are few; the beams of a plan are at most a few thousand and are sent to them
     rays = b.filter(F.col("_slice").isNotNull()).select("beam", "_slice", "_px", "_py")
-    hit = body.join(F.broadcast(rays), (F.col("k") == F.col("_slice")) & ((F.col("i") - F.col("_px")) ** 2 + (F.col("j") - F.col("_py")) ** 2 < dr2)).select("beam").distinct().withColumn("_hit", F.lit(True))
+    hit = body.join(small(rays), (F.col("k") == F.col("_slice")) & ((F.col("i") - F.col("_px")) ** 2 + (F.col("j") - F.col("_py")) ** 2 < dr2)).select("beam").distinct().withColumn("_hit", F.lit(True))
     return beams.join(hit, "beam", "left").withColumn("blocked", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 

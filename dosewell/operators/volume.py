@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from dosewell.operators.distance import whole_lines
 from dosewell.operators.dvh import EPS, histogram_of
+from dosewell.sources.lineage import small
 
 AT = ["i", "j", "k"]
 
@@ -132,7 +133,7 @@ def hu_to_density(volume: DataFrame, lut: DataFrame) -> DataFrame:
     top = F.max("_h").over(n)
     x = x.filter("_h is not null").withColumn("_end", F.when(F.col("_h") == top, F.lit(float("inf"))).otherwise(F.col("_h")))
     x = x.withColumn("_begin", F.when(F.col("hu") == F.col("_first"), F.lit(float("-inf"))).otherwise(F.col("hu"))).drop("_last")
-    y = volume.join(F.broadcast(x), (F.col("value") >= F.col("_begin")) & (F.col("value") < F.col("_end")))
+    y = volume.join(small(x), (F.col("value") >= F.col("_begin")) & (F.col("value") < F.col("_end")))
     line = F.col("density") + (F.col("value") - F.col("hu")) / (F.col("_h") - F.col("hu")) * (F.col("_d") - F.col("density"))
     return y.select(*AT, "value", F.when(F.col("value") <= F.col("_first"), F.col("density")).otherwise(line).alias("density_out")).withColumnRenamed("density_out", "density")
 
@@ -145,7 +146,7 @@ def edep_to_dose(edep: DataFrame, layers: DataFrame) -> DataFrame:
     """Energy over the density of the layer at its depth: edep has z (depth in cm) and value, layers ord, thickness, density."""
     w = Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
     x = layers.withColumn("_to", F.sum("thickness").over(w)).withColumn("_from", F.col("_to") - F.col("thickness"))
-    return edep.join(F.broadcast(x), (F.col("z") >= F.col("_from")) & (F.col("z") < F.col("_to"))).select(*edep.columns, (F.col("value") / F.col("density")).alias("dose"))
+    return edep.join(small(x), (F.col("z") >= F.col("_from")) & (F.col("z") < F.col("_to"))).select(*edep.columns, (F.col("value") / F.col("density")).alias("dose"))
 
 
 def ring_dose(edep: DataFrame, dr: float, dz: float, density: float) -> DataFrame:

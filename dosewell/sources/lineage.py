@@ -1,4 +1,4 @@
-"""Cutting lineage in loops by tables that all executors can read."""
+"""Cutting lineage in loops by tables that all executors can read, and tables whose size is looked up before they go to all tasks."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -22,6 +23,11 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """The table marked for broadcast if it has at most `most` rows, which is looked up; otherwise as it is, for Spark to decide."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def discard(*frames: DataFrame) -> None:
     """Deletes the tables that `cut` wrote for these frames, when nothing that is still to run reads them."""
     for df in frames:
