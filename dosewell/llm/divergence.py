@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 from dosewell.llm.common import LOWER, cut, flat, groups, hash_places, keep, maybe_in, membership, mix64
 
 #: Bytes of text in a block.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: Bytes of the first level's prefixes.
 FIRST_BYTES = 4
 
@@ -243,7 +243,7 @@ def frequent_terms(coded: DataFrame, least: int = 10) -> DataFrame:
 
 
 #: Entries (language, term, source) that a task adds up before it gives them away.
-HELD = 3 << 19
+HELD = 1 << 18
 
 
 class _Held:
