@@ -352,8 +352,8 @@ def _split(hot: DataFrame, length: int, parts: int) -> DataFrame:
 
     several = keep(hot.select("phrase", "place").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1"))
     bits = membership(several.select(F.col("h").alias("k")), hashed=False)
-    # each speaks for `HOT` places, so they are few
-    again = np.sort(several.filter(F.col("n") > HOT).select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64))
+    # a class that the filter takes for a hot one goes window by window, too, which is as exact
+    again = membership(several.filter(F.col("n") > HOT).select(F.col("h").alias("k")), hashed=False)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -363,7 +363,7 @@ def _split(hot: DataFrame, length: int, parts: int) -> DataFrame:
                 row, base, first, last, h = (c[some] for c in (row, base, first, last, h))
                 if not len(row):
                     continue
-                single = np.isin(h, again)
+                single = maybe_in(again.value, *hash_places(h))
                 one = np.flatnonzero(~single)
                 windows = last[single] - first[single] + 1
                 of = np.concatenate((one, np.repeat(np.flatnonzero(single), windows)))
@@ -386,9 +386,11 @@ def dealt_phrases(docs: DataFrame, hits: DataFrame, length: int, parts: int | No
     What is known to be a repeat has its `stop` and no phrase; the others have stop -1.
     """
     parts = parts or _phrase_parts(hits, length)
-    # each hot trigger speaks for `HOT` hits, so they are few
-    many = hits.select(F.explode("hits").alias("h")).groupBy("h").count().filter(F.col("count") > HOT).select("h").toPandas()["h"]
-    hot = np.sort(many.to_numpy(np.int64).view(np.uint64))
+    # a filter of fixed size says for both ways what is hot; a trigger that it takes for hot in error goes by classes of windows, which is as exact
+    many = keep(hits.select(F.explode("hits").alias("h")).groupBy("h").count().filter(F.col("count") > HOT).select("h"))
+    some_hot = not many.isEmpty()
+    filtered = membership(many, hashed=False)
+    hot = lambda h: maybe_in(filtered.value, *hash_places(h))
 
     def parsed(b: pa.RecordBatch, wanted) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]] | None:
         """(trigger hash, doc_id, start, windows, trigger's place in the phrase, phrase) of wanted(hashes, first row, row after the last)."""
@@ -412,14 +414,14 @@ def dealt_phrases(docs: DataFrame, hits: DataFrame, length: int, parts: int | No
         for b in batches:
             known = b.column(2)
             value, at = known.flatten().to_numpy().view(np.uint64), known.offsets.to_numpy() - known.offsets[0].as_py()
-            if found := parsed(b, lambda h, i, j, value=value, at=at: np.isin(h, value[at[i] : at[j]]) & ~np.isin(h, hot)):
+            if found := parsed(b, lambda h, i, j, value=value, at=at: np.isin(h, value[at[i] : at[j]]) & ~hot(h)):
                 h, doc, start, n, _, text = found
                 yield from _sent(h, doc, start, n, text, parts)
 
     def send_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Phrases of hot triggers; copies inside a batch are settled."""
         for b in batches:
-            if found := parsed(b, lambda h, i, j: np.isin(h, hot)):
+            if found := parsed(b, lambda h, i, j: hot(h)):
                 _, doc, start, n, place, text = found
                 first, again = first_places(text, doc, start)
                 names = ["doc_id", "start", "stop", "place", "phrase"]
@@ -429,7 +431,7 @@ def dealt_phrases(docs: DataFrame, hits: DataFrame, length: int, parts: int | No
                     yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(s), pa.array(e), pa.nulls(len(d), pa.int64()), pa.nulls(len(d), pa.binary())], names=names)
 
     dealt = docs.join(hits, "doc_id").select("doc_id", "text", "hits").mapInArrow(send, _DEALT)
-    if not len(hot):
+    if not some_hot:
         return dealt
     apart = keep(docs.select("doc_id", "text").mapInArrow(send_hot, "doc_id long, start long, stop long, place long, phrase binary"))
     known = apart.filter("stop >= 0").select(F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("part"), F.lit(0).cast("long").alias("h"), "doc_id", "start", "stop", "phrase")
