@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from dosewell.sources.lineage import cut
 
 AT = ("i", "j", "k")
+#: Pairs of points that are compared rather than bounded any further: in all, or for each point if that is more.
+ENOUGH, ENOUGH_EACH = 4_000_000, 20
 #: Bounds are compared with this much room for the rounding of sums.
 ROOM = 1 + 1e-9
 
@@ -126,7 +128,7 @@ def _boxes(points: DataFrame, on: list[str], size: int, parent: int, tag: str) -
     cell = [F.floor(F.col(c) / size).alias(f"{tag}_{c}") for c in AT]
     above = [F.floor(F.col(c) / parent).alias(f"{tag}_up_{c}") for c in AT]
     ends = [f(c).alias(f"{tag}_{n}_{c}") for c in AT for n, f in (("lo", F.min), ("hi", F.max))]
-    return points.groupBy(*on, *cell, *above).agg(*ends, F.min(F.struct(*AT)).alias(f"{tag}_one"))
+    return points.groupBy(*on, *cell, *above).agg(*ends, F.min(F.struct(*AT)).alias(f"{tag}_one"), F.count("*").alias(f"{tag}_n"))
 
 
 def _squares(parts: list[Column], spacing) -> Column:
@@ -142,9 +144,11 @@ def _descend(a: DataFrame, b: DataFrame, on: list[str], spacing, upper, prune) -
 
     Cells of a and b meet from the largest size down. `upper` bounds a pair's squared distance from above; `prune` keeps
     of the pairs (on, cells, least, most) those that can matter, and only their parts meet at the next size.
+    As soon as the pairs that are left have few pairs of points, these are compared.
     """
     a, b = cut(a.select(*on, *AT).dropna(subset=list(AT)).distinct()), cut(b.select(*on, *AT).dropna(subset=list(AT)).distinct())
-    ends = a.select(*AT).union(b.select(*AT)).agg(*[f(c).alias(f"{n}{c}") for c in AT for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    ends = a.select(*AT).union(b.select(*AT)).agg(F.count("*").alias("points"), *[f(c).alias(f"{n}{c}") for c in AT for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    points = ends["points"]
     if ends["loi"] is None:
         sizes = [2]
     else:  # cells count from the least place, so that the largest one holds all
@@ -160,8 +164,10 @@ def _descend(a: DataFrame, b: DataFrame, on: list[str], spacing, upper, prune) -
         else:
             above = pairs.select(*on, *[F.col(f"{t}_{c}").alias(f"{t}_up_{c}") for t in "ab" for c in AT])
             met = above.join(x, [*on, *up["a"]]).join(y, [*on, *up["b"]])
-        pairs = cut(prune(cut(met.select(*on, *cells, _squares(_least(), spacing).alias("least"), upper(spacing).alias("most")))))
-        parent = size
+        met = cut(met.select(*on, *cells, _squares(_least(), spacing).alias("least"), upper(spacing).alias("most"), (F.col("a_n") * F.col("b_n")).alias("points")))
+        pairs, parent = prune(met), size
+        if (pairs.agg(F.sum("points")).first()[0] or 0) <= max(ENOUGH, ENOUGH_EACH * points):
+            break
     p = a.select(*on, *AT, *[F.floor(F.col(c) / parent).alias(f"a_{c}") for c in AT])
     q = b.select(*on, *[F.col(c).alias(f"{c}2") for c in AT], *[F.floor(F.col(c) / parent).alias(f"b_{c}") for c in AT])
     near = pairs.select(*on, *cells).join(p, [*on, *cells[:3]]).join(q, [*on, *cells[3:]])

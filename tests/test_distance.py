@@ -82,7 +82,9 @@ def test_ring_radius_follows_the_target(spark):
 
 
 @pytest.mark.parametrize("seed", range(4))
-def test_trees_against_numpy(spark, seed):
+def test_trees_against_numpy(spark, monkeypatch, seed):
+    monkeypatch.setattr(distance, "ENOUGH", 0)
+    monkeypatch.setattr(distance, "ENOUGH_EACH", [0, 0, 1, 20][seed])
     rng = np.random.default_rng(seed)
     s = np.array([1.0, 0.5, 2.5])
     wide = [4, 30, 300, 60][seed]
@@ -107,6 +109,7 @@ def test_trees_of_nothing(spark):
 def test_distant_surfaces_meet_in_few_pairs(spark, monkeypatch):
     """Two spheres far apart: pairs of points that are compared stay below 50 for each surface voxel."""
     a, b = ball(40, hollow=True), ball(40, (280, 10, 0), "b", hollow=True)
+    monkeypatch.setattr(distance, "ENOUGH", 0)
     seen = []
     plain = distance._descend
 
