@@ -228,15 +228,17 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: dict) -> DataFrame:
-    """The rows, with all their columns, whose text gets a language other than `und`."""
+    """The rows, with all their columns, whose text gets a language other than `und`; columns go by their places, so names may be any."""
+    at = docs.columns.index("text")
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predictor = Predictor(model)
         for b in batches:
-            lang, _ = predictor(b.column(b.schema.get_field_index("text")))
+            lang, _ = predictor(b.column(at))
             yield b.filter(pa.array([code != "und" for code in lang], pa.bool_()))
 
-    return docs.mapInArrow(choose, docs.schema)
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    return plain.mapInArrow(choose, plain.schema).toDF(*docs.columns)
 
 
 def held_out(doc_id):
