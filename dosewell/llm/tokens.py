@@ -25,7 +25,7 @@ from dosewell.llm.common import flat, groups
 #: takes (some 30 bytes for each byte of text).
 BATCH_BYTES = 6 << 20
 #: Distinct pieces whose ids a Python worker remembers between batches.
-CACHE_PIECES = 100_000
+CACHE_PIECES = 300_000
 
 
 def default_vocabulary() -> str:
