@@ -19,11 +19,12 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Cohort:
-    """Patients with their numbers (patient, _p), the first slice of all, and the slices of one patient."""
+    """Patients with their numbers (patient, _p), the first slice of all, the slices of one patient, and those of them that stay empty."""
 
     numbers: DataFrame
     first: int
     stride: int
+    margin: int
 
     def together(self, table: DataFrame) -> DataFrame:
         """Rows with patient, k and perhaps structure, without the patient and with places and names of their own."""
@@ -39,7 +40,7 @@ class Cohort:
             number = F.substring_index("structure", ":", 1).cast("int")
             x = x.withColumn("_p", number).withColumn("structure", F.substring("structure", F.length(F.substring_index("structure", ":", 1)) + 2, F.length("structure")))
         else:
-            x = x.withColumn("_p", F.floor((F.col("k") + self.stride // 2) / self.stride).cast("int"))
+            x = x.withColumn("_p", F.floor((F.col("k") + self.margin // 2) / self.stride).cast("int"))
         if "k" in result.columns:
             x = x.withColumn("k", F.col("k") - F.col("_p") * self.stride + self.first)
         return x.join(self.numbers, "_p").select("patient", *result.columns)
@@ -54,4 +55,4 @@ def cohort_of(*tables: DataFrame, margin: int = 128) -> Cohort:
         people = people.union(t.select("patient"))
     # a row for each patient; ranked on one machine
     numbers = people.distinct().withColumn("_p", F.row_number().over(Window.orderBy("patient")) - 1)
-    return Cohort(numbers, low, high - low + 1 + margin)
+    return Cohort(numbers, low, high - low + 1 + margin, margin)
