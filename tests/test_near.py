@@ -3,8 +3,9 @@
 import math
 
 import numpy as np
+import pytest
 
-from dosewell.operators import masks
+from dosewell.operators import distance, masks
 
 ROWS = "structure string, i int, j int, k int"
 
@@ -30,6 +31,15 @@ def test_near_points_meet_no_cells(spark, monkeypatch):
     assert all(math.isclose(got[tuple(map(int, x))], least, abs_tol=1e-12) for x, least in zip(p, d.min(1), strict=True))
 
 
+@pytest.mark.parametrize("bit_map", [True, False])
+def test_near_points_go_down_no_tree(spark, monkeypatch, bit_map):
+    p, q, d = dense(4)
+    monkeypatch.setattr(distance, "_descend", refused)
+    monkeypatch.setattr(distance, "DENSE", distance.DENSE if bit_map else 0)
+    got = distance.greatest_nearest(frame(spark, s=p), frame(spark, s=q), (1.0, 2.0, 2.0), ("structure",)).first()["distance"]
+    assert math.isclose(got, d.min(1).max())
+
+
 def test_nulls_are_not_near(spark):
     x = spark.createDataFrame([("a", 1, 1, 1), ("a", None, 1, 1), (None, 1, 1, 1)], ROWS)
     got = [r["distance"] for r in masks.nearest_distance(x, x, on=("structure",)).orderBy("structure", "i").collect()]
