@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pytest
 
+from dosewell import queries
 from dosewell.operators import distance, masks
 
 ROWS = "structure string, i int, j int, k int"
@@ -44,3 +45,8 @@ def test_nulls_are_not_near(spark):
     x = spark.createDataFrame([("a", 1, 1, 1), ("a", None, 1, 1), (None, 1, 1, 1)], ROWS)
     got = [r["distance"] for r in masks.nearest_distance(x, x, on=("structure",)).orderBy("structure", "i").collect()]
     assert got == [None, None, 0.0]
+
+
+def test_k15_gives_the_mean_as_well(spark, sf_dir):
+    both, mean = (queries.QUERIES[n](spark, sf_dir).first() for n in ("k15_hausdorff", "k15_mean_surface_distance"))
+    assert both["mean_distance"] == mean["mean_distance"] <= both["hausdorff"]
