@@ -27,7 +27,7 @@ def sum_doses(doses: DataFrame, factors: DataFrame) -> DataFrame:
     factors: plan, factor, offset, unit; a unit that spells cGy is divided by 100. A factor of -1 subtracts.
     """
     gray = F.when(F.lower("unit").isin("cgy", "cgys", "cgray", "centigray", "centigrays"), F.col("value") / 100).otherwise(F.col("value"))
-    x = doses.join(factors, "plan")
+    x = doses.join(small(factors), "plan")
     return x.groupBy(*AT).agg(F.sum((gray + F.col("offset")) * F.col("factor")).alias("value"))
 
 
