@@ -131,11 +131,12 @@ def mask_dose(dose: DataFrame, masks: DataFrame, keep: list[str]) -> DataFrame:
 def beam_weights(coo: DataFrame, masks: DataFrame, target: str, floor: float = 0.1) -> DataFrame:
     """sqrt(mean target dose / sqrt(beamlets)) of each beam with unit weights, over the largest, at least `floor`.
 
-    The mean is over all target voxels, with those that a beam doesn't reach as 0.
+    The mean is over all target voxels, with those that a beam doesn't reach as 0. Coefficients are neither grouped nor sorted: they
+    stream past their share of the target's voxels, and sums by beam are what is held.
     """
     voxels = masks.filter(F.col("structure") == target).select("voxel").distinct()
     beams = coo.groupBy("beam").agg(F.count_distinct("beamlet").alias("_m"))
-    hit = coo.join(voxels, "voxel", "left_semi").groupBy("beam").agg(F.sum("coeff").alias("_d"))
+    hit = coo.join(voxels.hint("shuffle_hash"), "voxel", "left_semi").groupBy("beam").agg(F.sum("coeff").alias("_d"))
     size = voxels.agg(F.count("*").alias("_n"))
     raw = F.sqrt(F.coalesce("_d", F.lit(0.0)) / F.col("_n") / F.sqrt(F.col("_m").cast("double")))
     x = beams.join(hit, "beam", "left").crossJoin(F.broadcast(size)).select("beam", raw.alias("_w"))

@@ -136,7 +136,7 @@ def m10(spark, sf_dir):
 
 @query("m11_beam_weights", with_sql(COO, PART_MASKS, "t AS (SELECT DISTINCT voxel FROM masks WHERE structure = 'LARGE'), b AS (SELECT beam, sqrt(coalesce(sum(CASE WHEN voxel IN (SELECT voxel FROM t) THEN coeff END), 0) / (SELECT count(*) FROM t) / sqrt(count(DISTINCT beamlet))) AS w FROM coo GROUP BY beam) SELECT beam, round(greatest(w / (SELECT max(w) FROM b), 0.1), 6) AS weight FROM b"))
 def m11(spark, sf_dir):
-    return rounded(coeffs.beam_weights(data.coo(spark, sf_dir), data.part_masks(spark, sf_dir), "LARGE"), 6)
+    return rounded(coeffs.beam_weights(data.coo_rows(spark, sf_dir), data.part_masks(spark, sf_dir), "LARGE"), 6)
 
 
 @query("m12_select_columns", with_sql(COO, "c AS (SELECT * FROM coo WHERE beam IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2)), k AS (SELECT DISTINCT beam, beamlet FROM c), n AS (SELECT *, row_number() OVER (ORDER BY beam, beamlet) - 1 AS col FROM k) SELECT beam, beamlet, col, voxel, coeff FROM c JOIN n USING (beam, beamlet)"))
