@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from dosewell.operators.graph import components
 from dosewell.operators.ranks import exact_quantiles
-from dosewell.sources.lineage import cut
+from dosewell.sources.lineage import cut, dealt
 
 AT = ["i", "j", "k"]
 EPS = 2.220446049250313e-16
@@ -43,7 +43,7 @@ def histogram_entropy(values: DataFrame, n: int = 256) -> DataFrame:
 
 def quantise(scan: DataFrame, masks: DataFrame, levels: int, equal_width: bool = False) -> DataFrame:
     """structure, i, j, k, level from 1 to `levels`: linear rounding, or intervals (low, high] of equal width."""
-    x = masks.select("structure", *AT).distinct().join(scan, AT)
+    x = dealt(masks.select("structure", *AT), *AT).distinct().join(scan, AT)
     ends = x.groupBy("structure").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
     at = (F.col("value") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
     level = F.greatest(F.ceil(at * levels), F.lit(1)) if equal_width else F.floor(at * (levels - 1) + 1 + 0.5)
@@ -102,9 +102,10 @@ def cooccurrence_features(p: DataFrame, levels: int) -> DataFrame:
 
 
 def _blocks(quantised: DataFrame, size: int, halo: int) -> DataFrame:
-    """Rows with the blocks of k that need them; `own` says that a block holds the voxel itself."""
+    """Rows dealt out with the blocks of k that need them; `own` says that a block holds the voxel itself."""
     at = F.explode(F.sequence(F.floor((F.col("k") - halo) / size).cast("int"), F.floor((F.col("k") + halo) / size).cast("int"))).alias("block")
-    return quantised.select("structure", *AT, "level", at).withColumn("own", F.floor(F.col("k") / size) == F.col("block"))
+    rows = quantised.select("structure", *AT, "level", at).withColumn("own", F.floor(F.col("k") / size) == F.col("block"))
+    return dealt(rows, "structure", "block")
 
 
 #: Numbers of level pairs of patches that a task holds at a time.
@@ -203,7 +204,7 @@ def size_zones(quantised: DataFrame) -> DataFrame:
         return pdf[["structure", *AT, "level"]].assign(label=[f"{block}:{n}" for n in root.tolist()])
 
     blocks = quantised.withColumn("block", F.floor(F.col("k") / size).cast("int"))
-    x = blocks.groupBy("structure", "block").applyInPandas(label, "structure string, i int, j int, k int, level int, label string")
+    x = dealt(blocks, "structure", "block").groupBy("structure", "block").applyInPandas(label, "structure string, i int, j int, k int, level int, label string")
     x = cut(x)
     zones = x.groupBy("structure", "level", "label").agg(F.count("*").alias("n"))
     up = [o for o in DIRECTIONS_3D if o[2] == 1]

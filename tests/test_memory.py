@@ -3,7 +3,7 @@
 import pytest
 
 from dosewell import queries
-from dosewell.operators import coeffs
+from dosewell.operators import coeffs, texture
 from dosewell.plans import inputs
 
 COO = "beam int, beamlet long, voxel long, coeff double"
@@ -33,3 +33,9 @@ def test_beam_weights_add_rows_that_repeat(spark):
 
 def test_coefficients_are_dealt_out_evenly(spark, sf_dir):
     assert parts(inputs.coo(spark, sf_dir)) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_blocks_of_slices_are_dealt_out_evenly(spark):
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    x = spark.range(40 * 64).selectExpr("'s' AS structure", "int(id % 8) AS i", "int(id div 8 % 8) AS j", "int(id div 64 * 8) AS k", "1 + int(id % 3) AS level")
+    assert parts(texture.texture_map(x, 3)) > n // 2  # 40 slices of as many blocks
