@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dosewell.operators.fluence import fluence_gradients
-from dosewell.operators.stored import Coefficients, in_place
+from dosewell.operators.stored import Coefficients, few, in_place
 from dosewell.sources.lineage import cut, discard
 
 #: Columns of an optimisation row besides structure and voxel; null means not applicable.
@@ -65,15 +65,17 @@ def group_shrink(weights: DataFrame, tau: float) -> DataFrame:
 def optimise_fluence(coo: DataFrame | Coefficients, rows: DataFrame, weights: DataFrame, iterations: int, step: float, tau: float) -> tuple[DataFrame, list[float]]:
     """Projected gradient with `group_shrink` in each pass; returns the weights and the cost before each pass.
 
-    Coefficients are dealt out once by beamlet and once by voxel and stay there. A pass computes the dose once and writes
-    it beside the limits of its voxels; cost and residual are read from that table. Doses and weights, a row a voxel or beamlet, are cut from
+    Coefficients are dealt out once by voxel and, if weights are too many for all tasks, once by beamlet, and stay there; rows that repeat
+    a (beamlet, voxel) add. A pass computes the dose once and writes it beside the limits of its voxels; cost and residual are read from that table. Doses and weights, a row a voxel or beamlet, are cut from
     their lineage in every pass, so a lost executor costs no pass, and the tables of the pass before are deleted.
     """
     own = isinstance(coo, DataFrame)
-    stored = in_place(coo) if own else coo
+    lookup = few(weights)  # a pass keeps the beamlets
+    stored = in_place(coo, voxels_only=lookup) if own else coo
+    dose = stored.dose_of_few if lookup else stored.dose
     costs, before = [], []
     for _ in range(iterations):
-        dosed = cut(rows.join(stored.dose(weights), "voxel", "left"))
+        dosed = cut(rows.join(dose(weights), "voxel", "left"))
         costs.append(dose_cost(dosed).filter("structure is null").agg(F.max("cost")).first()[0])
         gradient = stored.gradient(voxel_residual(dosed))
         moved = weights.join(gradient, ["beam", "beamlet"], "left").select("beam", "beamlet", F.greatest(F.col("weight") - step * F.coalesce("gradient", F.lit(0.0)), F.lit(0.0)).alias("weight"))

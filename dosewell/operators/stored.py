@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from dosewell.operators.coeffs import COLUMN, apply_transpose, apply_weights
 
+#: Beamlets whose weights are sent to all tasks (some 70 MB).
+FEW = 1_000_000
 #: Voxels in a block of partial doses (2 MB of doubles).
 BLOCK = 1 << 18
 
@@ -29,25 +31,35 @@ class Coefficients:
         """d = A w. Weights are dealt out as the beamlets are; what moves are doses, summed in each task first."""
         return apply_weights(self.by_beamlet, weights)
 
+    def dose_of_few(self, weights: DataFrame) -> DataFrame:
+        """`dose` of so `few` weights that they go to all tasks: each voxel's coefficients are in one place already, so neither they nor doses move."""
+        return apply_weights(self.by_voxel, F.broadcast(weights))
+
     def gradient(self, residual: DataFrame) -> DataFrame:
-        """g = A' r, residuals dealt out as the voxels are."""
-        return apply_transpose(self.by_voxel, residual)
+        """g = A' r, residuals dealt out as the voxels are and looked up there, so that coefficients aren't sorted for each product."""
+        return apply_transpose(self.by_voxel, residual.hint("shuffle_hash"))
 
     def unpersist(self) -> None:
         self.by_beamlet.unpersist()
         self.by_voxel.unpersist()
 
 
-def in_place(coo: DataFrame, partitions: int | None = None) -> Coefficients:
-    """Both orientations on the executors' memory and disks, for the products of one session.
+def few(weights: DataFrame) -> bool:
+    """Whether there are at most FEW weights, which is looked up."""
+    return weights.limit(FEW + 1).count() <= FEW
+
+
+def in_place(coo: DataFrame, partitions: int | None = None, voxels_only: bool = False) -> Coefficients:
+    """Both orientations, or (for `dose_of_few`) the one by voxel only, on the executors' memory and disks, for the products of one session.
 
     The planner knows how stored rows are dealt out and joins them without another exchange as long as `partitions` is the session's
     spark.sql.shuffle.partitions, the default. Parts of a lost executor are dealt out again.
     """
     n = partitions or int(coo.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     x = coo.select(*COLUMN, "voxel", "coeff")
-    stored = Coefficients(*[x.repartition(n, *keys).persist(StorageLevel.MEMORY_AND_DISK) for keys in (COLUMN, ("voxel",))])
-    stored.by_beamlet.count(), stored.by_voxel.count()  # only of rows that are stored already is it known how they are dealt out
+    stored = Coefficients(*[x.repartition(n, *keys) for keys in (COLUMN, ("voxel",))])
+    for kept in (stored.by_voxel,) if voxels_only else (stored.by_beamlet, stored.by_voxel):
+        kept.persist(StorageLevel.MEMORY_AND_DISK).count()  # only of rows that are stored already is it known how they are dealt out
     return stored
 
 

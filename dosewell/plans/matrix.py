@@ -268,5 +268,5 @@ def _pass_sql(n: int, step: float, tau: float) -> tuple[str, ...]:
 @query("p5_optimise_fluence", with_sql(COO, LIMIT_ROWS, "w0 AS (SELECT s_nationkey AS beam, s_suppkey AS beamlet, 5.0::DOUBLE AS weight FROM supplier)", *[s for n in range(3) for s in _pass_sql(n, 1e-6, 0.5)], "SELECT beam, beamlet, round(weight, 6) AS weight FROM w3"))
 def p5(spark, sf_dir):
     start = data.table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("beam"), F.col("s_suppkey").alias("beamlet"), F.lit(5.0).alias("weight"))
-    found, _ = objective.optimise_fluence(data.coo(spark, sf_dir), limit_rows(spark, sf_dir), start, 3, 1e-6, 0.5)
+    found, _ = objective.optimise_fluence(data.coo_rows(spark, sf_dir), limit_rows(spark, sf_dir), start, 3, 1e-6, 0.5)
     return rounded(found, 6)

@@ -3,7 +3,7 @@
 import pytest
 
 from dosewell import queries
-from dosewell.operators import coeffs, texture
+from dosewell.operators import coeffs, stored, texture
 from dosewell.plans import inputs
 
 COO = "beam int, beamlet long, voxel long, coeff double"
@@ -39,3 +39,18 @@ def test_blocks_of_slices_are_dealt_out_evenly(spark):
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     x = spark.range(40 * 64).selectExpr("'s' AS structure", "int(id % 8) AS i", "int(id div 8 % 8) AS j", "int(id div 64 * 8) AS k", "1 + int(id % 3) AS level")
     assert parts(texture.texture_map(x, 3)) > n // 2  # 40 slices of as many blocks
+
+
+def test_optimiser_moves_neither_coefficients_nor_doses(spark, sf_dir, monkeypatch):
+    want = sorted(map(tuple, queries.QUERIES["p5_optimise_fluence"](spark, sf_dir).collect()))
+    monkeypatch.setattr(inputs, "coo", refused)
+    monkeypatch.setattr(stored.Coefficients, "dose", refused)
+    assert sorted(map(tuple, queries.QUERIES["p5_optimise_fluence"](spark, sf_dir).collect())) == want
+
+
+def test_optimiser_with_too_many_weights_for_all_tasks(spark, sf_dir, monkeypatch):
+    want = sorted(map(tuple, queries.QUERIES["p5_optimise_fluence"](spark, sf_dir).collect()))
+    monkeypatch.setattr(stored, "FEW", 1)
+    monkeypatch.setattr(stored.Coefficients, "dose_of_few", refused)
+    got = sorted(map(tuple, queries.QUERIES["p5_optimise_fluence"](spark, sf_dir).collect()))
+    assert [x[:2] for x in got] == [x[:2] for x in want] and [x[2] for x in got] == pytest.approx([x[2] for x in want], abs=1e-5)
