@@ -3,7 +3,7 @@
 import pytest
 
 from dosewell import queries
-from dosewell.operators import coeffs, stored, texture
+from dosewell.operators import coeffs, distance, stored, texture
 from dosewell.plans import inputs
 
 COO = "beam int, beamlet long, voxel long, coeff double"
@@ -54,3 +54,10 @@ def test_optimiser_with_too_many_weights_for_all_tasks(spark, sf_dir, monkeypatc
     monkeypatch.setattr(stored.Coefficients, "dose_of_few", refused)
     got = sorted(map(tuple, queries.QUERIES["p5_optimise_fluence"](spark, sf_dir).collect()))
     assert [x[:2] for x in got] == [x[:2] for x in want] and [x[2] for x in got] == pytest.approx([x[2] for x in want], abs=1e-5)
+
+
+def test_blocks_of_places_are_dealt_out_evenly(spark):
+    x = spark.range(64).selectExpr("int(id * 32) AS i", "0 AS j", "0 AS k")
+    found = distance._look(x, x, [], (1.0, 1.0, 1.0), 2.0)
+    assert parts(found) > int(spark.conf.get("spark.sql.shuffle.partitions")) // 2
+    assert found.filter("square = 0").count() == 64
